@@ -1,0 +1 @@
+"""Operators for training-data pipelines.  Nothing outside this subpackage imports it."""
