@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from respondex.llm import jaccard_join
+from respondex.llm import bpe, decontaminate, jaccard_join, token_counts
 
 QUERIES = {
+    "op1_bpe": bpe.op1,
+    "op3_decontaminate": decontaminate.op3,
+    "op5_token_counts": token_counts.op5,
     "op8_jaccard_join": jaccard_join.op8,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_decontaminate": decontaminate.SQL,
+}
