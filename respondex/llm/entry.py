@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from respondex.llm import bpe, decontaminate, jaccard_join, token_counts
+from respondex.llm import bpe, decontaminate, jaccard_join, language, quality, token_counts
 
 QUERIES = {
     "op1_bpe": bpe.op1,
+    "op2_language": language.op2,
     "op3_decontaminate": decontaminate.op3,
     "op5_token_counts": token_counts.op5,
+    "op6_quality": quality.op6,
     "op8_jaccard_join": jaccard_join.op8,
 }
 
