@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from respondex.llm import bpe, decontaminate, jaccard_join, language, quality, token_counts
+from respondex.llm import bpe, decontaminate, jaccard_join, language, quality, rules, token_counts, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1,
     "op2_language": language.op2,
     "op3_decontaminate": decontaminate.op3,
+    "op4_url_filter": url_filter.op4,
     "op5_token_counts": token_counts.op5,
     "op6_quality": quality.op6,
     "op8_jaccard_join": jaccard_join.op8,
+    "op9_quality_rules": rules.op9,
 }
 
 SQL: dict[str, str] = {
     "op3_decontaminate": decontaminate.SQL,
+    "op4_url_filter": url_filter.SQL,
 }
