@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from respondex.llm import bpe, decontaminate, jaccard_join, language, quality, rules, token_counts, url_filter
+from respondex.llm import bpe, decontaminate, html_text, jaccard_join, language, licenses, quality, rules, token_counts, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1,
@@ -11,8 +11,10 @@ QUERIES = {
     "op4_url_filter": url_filter.op4,
     "op5_token_counts": token_counts.op5,
     "op6_quality": quality.op6,
+    "op7_html_text": html_text.op7,
     "op8_jaccard_join": jaccard_join.op8,
     "op9_quality_rules": rules.op9,
+    "op10_license_scan": licenses.op10,
 }
 
 SQL: dict[str, str] = {

@@ -320,3 +320,20 @@ def op8(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = JaccardJoin(docs, size=3, percent=90).components()
     return found.select(F.col("cid").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of docs, all columns unchanged, without those linked to a document of a lower id.
+
+    Of rows that share an id one stays.  Rows with a null id and those without words stay.
+    """
+    found = JaccardJoin(docs, id_col, text_col, size, percent).components().where("cid IS NOT NULL")
+    gone = staged(found.where("cid <> component").select("cid").distinct(), "jaccard-gone")
+    key, n = "__respondex_id", gone.count()
+    ids = gone.select(F.col("cid").alias(key))
+    kept = docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, F.col(id_col).cast("long") == F.col(key), "left_anti")
+    again = staged(found.groupBy("cid").agg(F.count("*").alias("k")).where("k > 1").select(F.col("cid").alias(key)), "jaccard-again")
+    if again.isEmpty():
+        return kept
+    same = F.col(id_col).cast("long") == F.col(key)
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col])).select(docs.columns)
