@@ -67,6 +67,9 @@ _PIECES = [
     ("seeds", "SELECT DISTINCT feature FROM hits WHERE hit AND role <> 'challenge'"),
     ("events_iv", "SELECT event_id, user_id, event_type, epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 1000000 + CAST(floor(value * 600) AS BIGINT) AS e FROM events"),
     ("unit_lists", "SELECT l_orderkey AS unit, l_partkey AS member FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderdate >= TIMESTAMP '1997-10-01' AND o_orderdate < TIMESTAMP '1997-10-15'"),
+    ("tu_genes", "SELECT p_partkey % 70 AS tu, p_partkey AS gene FROM part UNION ALL SELECT 1000 + p_partkey % 13, p_partkey FROM part WHERE p_partkey % 5 = 0"),
+    ("tu_promoters", "SELECT DISTINCT tu, tu % 40 AS promoter FROM tu_genes WHERE tu % 3 <> 0 UNION SELECT DISTINCT tu, 100 + tu % 7 FROM tu_genes WHERE tu % 2 = 0"),
+    ("interactions", "SELECT src || '-' || dst AS interaction, src AS regulator, CASE dst % 3 WHEN 0 THEN 'gene' WHEN 1 THEN 'promoter' ELSE 'tu' END AS kind, CASE WHEN dst % 3 = 0 THEN dst END AS gene, CASE WHEN dst % 3 = 1 THEN dst % 150 END AS promoter, CASE WHEN dst % 3 = 2 THEN dst % 90 END AS tu, effect FROM edges"),
     ("weights", "SELECT vec_id AS feature, CAST(i - 1 AS INTEGER) AS component, CAST(embedding[i] AS DOUBLE) AS weight, label FROM (SELECT vec_id, embedding, label, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)"),
 ]
 _NAMES = [n for n, _ in _PIECES]
@@ -93,3 +96,33 @@ def unit_lists(spark: SparkSession, d: str) -> DataFrame:
 def weights(spark: SparkSession, d: str) -> DataFrame:
     """``(feature, component, weight, label)``: vectors in long form."""
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("feature"), F.posexplode("embedding").alias("component", "weight"), "label").withColumn("weight", F.col("weight").cast("double"))
+
+
+def seeds(spark: SparkSession, d: str) -> DataFrame:
+    from respondex.operators.candidates import seeded
+
+    return seeded(observations(spark, d), P_MAX, LFC_MIN).select("feature").distinct()
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    from respondex.operators.graph import collapsed_edges
+
+    return collapsed_edges(edges_raw(spark, d))
+
+
+def tu_genes(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("gene"))
+    return p.select((F.col("gene") % 70).alias("tu"), "gene").unionByName(p.where("gene % 5 = 0").select((F.lit(1000) + F.col("gene") % 13).alias("tu"), "gene"))
+
+
+def tu_promoters(genes: DataFrame) -> DataFrame:
+    t = genes.select("tu").distinct()
+    return t.where("tu % 3 <> 0").select("tu", (F.col("tu") % 40).alias("promoter")).union(t.where("tu % 2 = 0").select("tu", (F.lit(100) + F.col("tu") % 7).alias("promoter"))).distinct()
+
+
+def interactions(spark: SparkSession, d: str) -> DataFrame:
+    dst, kind = F.col("dst"), F.col("dst") % 3
+    return edges(spark, d).select(
+        F.concat_ws("-", "src", "dst").alias("interaction"), F.col("src").alias("regulator"), F.when(kind == 0, "gene").when(kind == 1, "promoter").otherwise("tu").alias("kind"),
+        F.when(kind == 0, dst).alias("gene"), F.when(kind == 1, dst % 150).alias("promoter"), F.when(kind == 2, dst % 90).alias("tu"), "effect",
+    )

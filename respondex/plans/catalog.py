@@ -1,6 +1,6 @@
 """All queries of the library, without the optional subpackage."""
 
-from respondex.plans import q_response  # noqa: F401
+from respondex.plans import q_candidates, q_response, q_scalar, q_sources  # noqa: F401
 from respondex.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
