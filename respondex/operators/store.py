@@ -12,3 +12,88 @@ def upserted(rows: DataFrame, keys: list[str], order: Column, first: list[str] =
     filled = lambda f, c: f(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), order))
     named += [filled(F.max_by, c).alias(f"{c}_last_filled") for c in last_filled] + [filled(F.min_by, c).alias(f"{c}_first_filled") for c in first_filled]
     return rows.groupBy(*keys).agg(*named)
+
+
+def summaries(candidates: DataFrame, promoters: DataFrame, newest: DataFrame) -> DataFrame:
+    """Candidates with their promoters' number and least id, and the state of their newest review; candidates: (feature, ...), promoters: (feature, promoter)."""
+    p = promoters.where("promoter IS NOT NULL").groupBy("feature").agg(F.count_distinct("promoter").alias("promoters"), F.min("promoter").alias("promoter"))
+    d = candidates.join(p, "feature", "left").join(newest.select("feature", "status"), "feature", "left")
+    return d.withColumn("promoters", F.coalesce("promoters", F.lit(0))).withColumn("status", F.coalesce("status", F.lit("unreviewed")))
+
+
+def search(candidates: DataFrame, evidence: DataFrame, p_max: float | None = None, effect_min: float | None = None, tier: str | None = None, grp: str | None = None) -> DataFrame:
+    """Candidates with a discovery result within both bounds (inclusive); bounds out of range are an error."""
+    if p_max is not None and not 0 <= p_max <= 1 or effect_min is not None and effect_min < 0:
+        raise ValueError("bound out of range")
+    out = candidates
+    if tier is not None:
+        out = out.where(F.col("tier") == tier)
+    if grp is not None:
+        out = out.where(F.col("grp") == grp)
+    if p_max is None and effect_min is None:
+        return out
+    e = evidence.where("role = 'discovery'")
+    e = e.where(F.col("p") <= p_max) if p_max is not None else e
+    e = e.where(F.abs("lfc") >= effect_min) if effect_min is not None else e
+    return out.join(e.select("feature").distinct(), "feature", "left_semi")
+
+
+def regulator_paths(edges: DataFrame, candidates: DataFrame, tu_genes: DataFrame, tu_promoters: DataFrame) -> DataFrame:
+    """Paths regulator, feature, unit, promoter; a promoter belongs to the unit on its path."""
+    d = edges.select(F.col("src").alias("regulator"), F.col("dst").alias("feature")).join(candidates.select("feature").distinct(), "feature", "left_semi")
+    return d.join(tu_genes.select(F.col("gene").alias("feature"), "tu"), "feature", "left").join(tu_promoters, "tu", "left").select("regulator", "feature", "tu", "promoter")
+
+
+def reference_paths(interactions: DataFrame, tu_genes: DataFrame, tu_promoters: DataFrame) -> DataFrame:
+    """``(interaction, regulator, kind, promoter, tu, gene, basis)`` for gene, promoter and unit targets: direct, by context, or missing."""
+    none = lambda: F.lit(None).cast("long")
+    key = ["interaction", "regulator", "kind"]
+    gene = interactions.where("kind = 'gene'").select(*key, none().alias("promoter"), none().alias("tu"), "gene", F.lit("direct").alias("basis"))
+    p = interactions.where("kind = 'promoter'").select(*key, "promoter").join(tu_promoters, "promoter", "left").join(tu_genes, "tu", "left")
+    t = interactions.where("kind = 'tu'").select(*key, "tu").join(tu_promoters, "tu", "left").join(tu_genes, "tu", "left")
+    basis = F.when(F.col("gene").isNotNull(), "context").otherwise("missing").alias("basis")
+    cols = [*key, "promoter", "tu", "gene"]
+    return gene.unionByName(p.select(*cols, basis)).unionByName(t.select(*cols, basis))
+
+
+def candidate_paths(candidates: DataFrame, interactions: DataFrame, tu_genes: DataFrame, tu_promoters: DataFrame) -> DataFrame:
+    """``(feature, interaction)``: interactions of the feature itself, of its units and of their promoters; not those of sibling features."""
+    c = candidates.select("feature").distinct()
+    tus = c.join(tu_genes.select(F.col("gene").alias("feature"), "tu"), "feature").distinct()
+    proms = tus.join(tu_promoters, "tu").select("feature", "promoter").distinct()
+    own = interactions.where("kind = 'gene'").select(F.col("gene").alias("feature"), "interaction").join(c, "feature", "left_semi")
+    out = own.unionByName(proms.join(interactions.where("kind = 'promoter'").select("promoter", "interaction"), "promoter").select("feature", "interaction"))
+    return out.unionByName(tus.join(interactions.where("kind = 'tu'").select("tu", "interaction"), "tu").select("feature", "interaction")).distinct()
+
+
+def actor_interactions(interactions: DataFrame, regulator: int, kind: str | None = None) -> DataFrame:
+    """Interactions of one actor with the id of their target, whatever its kind."""
+    d = interactions.where(F.col("regulator") == regulator)
+    d = d.where(F.col("kind") == kind) if kind else d
+    return d.select("interaction", "regulator", "kind", F.coalesce("gene", "promoter", "tu").alias("target"), "effect")
+
+
+def details(key: str, base: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
+    """One row a key with a sorted array of structs for each child table; a row is as large as what belongs to its key."""
+    out = base
+    for name, child in children.items():
+        rest = [c for c in child.columns if c != key]
+        out = out.join(child.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name)), key, "left").withColumn(name, F.coalesce(name, F.array().cast(f"array<struct<{','.join(f'{c}:{t}' for c, t in child.dtypes if c != key)}>>")))
+    return out
+
+
+def local_graph(paths: DataFrame, interactions: DataFrame) -> DataFrame:
+    """Distinct edges ``(feature, src, dst, kind)`` of each feature's evidence: regulation by interaction, and the target's context."""
+    d = paths.join(interactions, "interaction")
+    target = F.concat(F.col("kind"), F.lit(":"), F.coalesce("gene", "promoter", "tu"))
+    reg = d.select("feature", F.concat(F.lit("regulator:"), "regulator").alias("src"), target.alias("dst"), F.lit("regulation").alias("kind"))
+    ctx = d.where("kind <> 'gene'").select("feature", target.alias("src"), F.concat(F.lit("gene:"), "feature").alias("dst"), F.lit("context").alias("kind"))
+    return reg.unionByName(ctx).distinct()
+
+
+def reference_coverage(interactions: DataFrame, tu_promoters: DataFrame) -> DataFrame:
+    """Interactions by target kind, and how many have no promoter."""
+    has = tu_promoters.select("tu").distinct().withColumn("has", F.lit(True))
+    d = interactions.join(has, "tu", "left")
+    lacking = (F.col("kind") == "tu") & F.col("has").isNull()
+    return d.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(lacking).alias("without_promoter"))

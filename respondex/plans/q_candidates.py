@@ -96,7 +96,7 @@ def g1(spark, d):
     return g.nodes(b.edges(spark, d), b.seeds(spark, d))
 
 
-@query("g2_regulators", b.with_tables("seeds", "SELECT feature, coalesce(list_sort(list(DISTINCT src) FILTER (WHERE src IS NOT NULL)), []) AS regulators FROM seeds LEFT JOIN edges ON dst = feature GROUP BY 1"))
+@query("g2_regulators", b.with_tables("seeds", "SELECT feature, coalesce(list_sort(list(DISTINCT src) FILTER (WHERE src IS NOT NULL)), []) AS regulators FROM seeds LEFT JOIN edges ON dst = feature GROUP BY 1"), lists=("regulators",))
 def g2(spark, d):
     return g.regulators_of(b.edges(spark, d), b.seeds(spark, d))
 
@@ -144,7 +144,7 @@ def g8(spark, d):
     return g.reachable(e, i.where("regulator < 5").select(tag("r", "regulator").alias("start")))
 
 
-@query("g9_bundled", b.with_tables("edges_raw", "SELECT src, dst, confidence, count(*) AS records, list_sort(list(DISTINCT CASE sign WHEN '+' THEN 'activates' ELSE 'represses' END)) AS effects, bool_and(sign = '-') AS all_repress FROM edges_raw GROUP BY 1, 2, 3"))
+@query("g9_bundled", b.with_tables("edges_raw", "SELECT src, dst, confidence, count(*) AS records, list_sort(list(DISTINCT CASE sign WHEN '+' THEN 'activates' ELSE 'represses' END)) AS effects, bool_and(sign = '-') AS all_repress FROM edges_raw GROUP BY 1, 2, 3"), lists=("effects",))
 def g9(spark, d):
     return g.bundled(b.edges_raw(spark, d))
 

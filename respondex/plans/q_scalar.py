@@ -30,7 +30,7 @@ def p4(spark, d):
     return table(spark, d, "customer").select("c_custkey", s.first_filled(F.when(k % 3 == 0, "  ").otherwise(F.col("c_mktsegment")), F.when(k % 2 != 0, F.col("c_name")), F.col("c_nationkey").cast("string")).alias("first"))
 
 
-@query("p5_identifiers", "SELECT p_partkey, list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(p_type || '; ' || p_brand || ',, ' || p_brand || '|' || p_size, '[;,|]'), lambda x: trim(x)), lambda x: x <> ''))) AS ids FROM part")
+@query("p5_identifiers", "SELECT p_partkey, list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(p_type || '; ' || p_brand || ',, ' || p_brand || '|' || p_size, '[;,|]'), lambda x: trim(x)), lambda x: x <> ''))) AS ids FROM part", lists=("ids",))
 def p5(spark, d):
     return table(spark, d, "part").select("p_partkey", s.identifiers(F.concat("p_type", F.lit("; "), "p_brand", F.lit(",, "), "p_brand", F.lit("|"), "p_size")).alias("ids"))
 
@@ -77,7 +77,7 @@ def p10(spark, d):
 _LOCUS = "'[OLD:b' || lpad(CAST(c_custkey % 9973 AS VARCHAR), 4, '0') || '] b' || lpad(CAST(c_nationkey * 37 AS VARCHAR), 4, '0') || CASE WHEN c_custkey % 4 = 0 THEN ' xb12345' ELSE '' END"
 
 
-@query("p11_loci", f"SELECT c_custkey, loci, CASE WHEN len(loci) = 1 THEN 'mapped' WHEN len(loci) > 1 THEN 'ambiguous' ELSE 'missing' END AS status FROM (SELECT c_custkey, CASE WHEN l[1] = l[2] THEN l[1:1] ELSE l END AS loci FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN [] ELSE regexp_extract_all({_LOCUS}, '\\b(b\\d{{4}})\\b', 1) END AS l FROM customer))")
+@query("p11_loci", f"SELECT c_custkey, loci, CASE WHEN len(loci) = 1 THEN 'mapped' WHEN len(loci) > 1 THEN 'ambiguous' ELSE 'missing' END AS status FROM (SELECT c_custkey, CASE WHEN l[1] = l[2] THEN l[1:1] ELSE l END AS loci FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN [] ELSE regexp_extract_all({_LOCUS}, '\\b(b\\d{{4}})\\b', 1) END AS l FROM customer))", lists=("loci",))
 def p11(spark, d):
     k = F.col("c_custkey")
     text = F.concat(F.lit("[OLD:b"), F.lpad((k % 9973).cast("string"), 4, "0"), F.lit("] b"), F.lpad((F.col("c_nationkey") * 37).cast("string"), 4, "0"), F.when(k % 4 == 0, " xb12345").otherwise(""))

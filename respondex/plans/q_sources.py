@@ -92,7 +92,7 @@ def s11(spark, d):
     return rounded(b.weights(spark, d).groupBy("component").agg(F.count("*").alias("n"), F.sum("weight").alias("total")))
 
 
-@query("s12_dataset_config", "SELECT r_name AS class, list_sort(list(n_name)) AS datasets FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+@query("s12_dataset_config", "SELECT r_name AS class, list_sort(list(n_name)) AS datasets FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1", lists=("datasets",))
 def s12(spark, d):
     n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     return readers.dataset_config(n.select(F.col("n_name").alias("name"), F.col("r_name").alias("class")), [])[0]

@@ -5,19 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under an operator's id; sql is DuckDB's for the same rows and columns."""
+def query(name: str, sql: str | None = None, lists: tuple[str, ...] = ()) -> Callable[[Query], Query]:
+    """Register a query under an operator's id; sql is DuckDB's for the same rows and columns.
+
+    lists: columns of arrays, which both sides give as text joined by ``;``.
+    """
 
     def put(f: Query) -> Query:
-        QUERIES[name] = f
+        QUERIES[name] = (lambda spark, d: f(spark, d).withColumns({c: F.array_join(F.col(c).cast("array<string>"), ";") for c in lists})) if lists else f
         if sql:
-            SQL[name] = sql
+            SQL[name] = f"SELECT * REPLACE ({', '.join(f"array_to_string({c}, ';') AS {c}" for c in lists)}) FROM ({sql})" if lists else sql
         return f
 
     return put
