@@ -306,8 +306,10 @@ class Model:
 def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Model:
     """Fitted potentials; the sample is of marked-up pages of at most SAMPLE_CHARS characters, least hashes of the id first."""
     given = pages.where(F.col(html_col).rlike("(?i)<(article|main)[ >]") & (F.length(html_col) <= SAMPLE_CHARS))
-    rows = given.orderBy(F.xxhash64(F.col(id_col).cast("string")), html_col).select(F.col(html_col).alias("h")).limit(sample).collect()
-    return fitted([r["h"] for r in rows])
+    # only ids meet in the top-k; the pages of those chosen are then read
+    ids = [r[0] for r in given.where(F.col(id_col).isNotNull()).select(id_col).distinct().orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(sample).collect()]
+    rows = given.where(F.col(id_col).isin(ids)).select(F.col(html_col).alias("h")).collect() if ids else []
+    return fitted(sorted(r["h"] for r in rows)[: 2 * sample])
 
 
 def fitted(sources: list[str]) -> Model:

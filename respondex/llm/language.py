@@ -98,12 +98,14 @@ class Model:
     def label(self, texts: list[str | None]) -> list[tuple[np.ndarray, list[str], np.ndarray]]:
         """For each text: language number of every word, the words, their scores."""
         split = [_find(t.lower()) if t else [] for t in texts]
+        if not self.langs:
+            return [(np.empty(0, np.int64), words, np.empty((len(words), 0))) for words in split]
         rows = self.numbers(list(chain.from_iterable(split)))
         out, at = [], 0
         for words in split:
             s = self.scores[rows[at : at + len(words)]].reshape(len(words), len(self.langs))
             at += len(words)
-            out.append((viterbi(s, PENALTY) if len(words) and self.langs else np.empty(0, np.int64), words, s))
+            out.append((viterbi(s, PENALTY) if len(words) else np.empty(0, np.int64), words, s))
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
@@ -114,7 +116,7 @@ class Model:
         """
         out = []
         for labels, words, s in self.label(texts):
-            if not len(labels) or not self.langs:
+            if not len(labels):
                 out.append(("und", 0.0, []))
                 continue
             letters = np.fromiter(map(len, words), np.float64, len(words))
