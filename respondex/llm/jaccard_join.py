@@ -7,17 +7,19 @@ A document's set holds its distinct word n-grams.  Two documents link when
 2. Light sets (at most ``boundary`` members) enumerate fixed-size subsets: linked
    sets share the subset that is left when at most ``floor((100-percent)/100 * n)``
    members are deleted from either.
-3. Heavy sets are put on inverted lists and only lists with two classes are scanned.
-   A list belongs to one of ``K + 1`` parts into which the members are dealt by hash,
-   K being the largest symmetric difference of a linked pair of that size.  K
-   differences cannot touch all parts, so linked sets are equal in one part at least
-   and meet on its list, however common single n-grams are.
+3. Heavy sets are put on inverted lists of single members, and only lists with two
+   classes are scanned.  A set of n is on the lists of its first
+   ``n - ceil(percent/100 * n) + 1`` members in an order that all sets share; linked sets
+   meet on one of these lists at least.  The order puts members that many documents use
+   last, so a common passage makes no long list.  How common a member is comes from
+   bounded counts of all tasks; any order gives the same links.
 4. ``boundary`` is the cheaper of the possible ones, by the keys that the sizes of all
    classes would emit.  Sets just below it also emit heavy keys, so no pair falls between.
-5. On each list, classes meet its least class first (a star, never all pairs).  What is
-   then connected needs no more comparisons; lists that still hold several components
-   compare the classes outside the largest one with the rest.  Pairs whose sizes or
-   parity sketches prove too many differences are dropped; others are checked exactly.
+5. Each class first meets one class of its lists (never all pairs).  What is then
+   connected needs no more comparisons; lists that still hold several components are tried
+   with other hubs, and at last the classes outside a list's largest component meet the
+   rest.  Pairs whose sizes or parity sketches prove too many differences are dropped;
+   others are checked exactly on their texts.
 
 Ids: rows that share an id are one document; rows with a null id get a null component.
 Null and empty texts have no set, ``n_shingles`` 0 and link with nothing.
@@ -25,7 +27,7 @@ Null and empty texts have no set, ``n_shingles`` 0 and link with nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
 from itertools import combinations
 from math import comb
 
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from respondex.llm.batches import map_rows
+from respondex.llm.batches import map_rows, steps
 from respondex.operators.components import connected_components
 from respondex.plans.skew import BROADCAST_ROWS
 from respondex.plans.staging import staged
@@ -44,11 +46,14 @@ from respondex.plans.staging import staged
 SKETCH_BITS = 512
 #: What a heavy key costs, in light keys: its list may be scanned and its pairs compared.
 SCAN_COST = 4
-#: Star rounds with another hub before the remaining lists are compared outright.
-STAR_ROUNDS = 2
+#: Rounds with other hubs before the remaining lists are compared outright.
+STAR_ROUNDS = 3
+#: Common members: uses in a step that count, those that a task counts and hands on, uses in all and entries of the broadcast table.
+USES_IN_STEP, COUNTED, OF_TASK, USES, COMMON = 2, 200_000, 20_000, 8, 500_000
 #: Tasks that read one hot list in the last comparison.
 SALTS = 8
 
+_USES = pa.list_(pa.struct([("m", pa.int64()), ("k", pa.int64())]))
 _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
 
@@ -83,22 +88,9 @@ def sketch(members: np.ndarray) -> list[int]:
     return np.packbits(cells.astype(np.uint8)).view(np.int64).tolist()
 
 
-def size_classes(percent: int, first: int) -> Callable[[int], int]:
-    """Level of a set size: linked sizes lie in one level or two neighbouring ones."""
-    lows = [first]
-
-    def level(n: int) -> int:
-        while lows[-1] <= n:
-            lows.append(lows[-1] * 100 // percent + 1)
-        return int(np.searchsorted(lows, n, "right")) - 1
-
-    level.top = lambda c: (level(lows[c]), lows[c + 1] - 1)[1]  # type: ignore[attr-defined]
-    return level
-
-
-def most_differences(n: int, percent: int) -> int:
-    """Largest symmetric difference of a linked pair whose smaller set has n members."""
-    return n * (100 - percent) // percent
+def listed(n: int, percent: int) -> int:
+    """Members by which a set of n is on inverted lists."""
+    return n + n * -percent // 100 + 1
 
 
 def deletions(n: int, percent: int) -> int:
@@ -121,16 +113,40 @@ def light_keys(members: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def heavy_keys(members: np.ndarray, percent: int, level: Callable[[int], int]) -> np.ndarray:
-    """A key for each part, at the set's own level and at the one below, where it is the larger set."""
-    n, m, spread = len(members), mixed(members), mixed(members + _C)
-    out = []
-    for c in {level(n), level(n) - 1} - {-1}:
-        parts = most_differences(level.top(c), percent) + 1  # type: ignore[attr-defined]
-        content = np.zeros(parts, _U)
-        np.add.at(content, (spread % _U(parts)).astype(np.int64), m)
-        out.append(mixed(mixed(content + np.array([c], _U) * _A) + np.arange(parts, dtype=_U) * _B))
-    return np.concatenate(out)
+def heavy_keys(members: np.ndarray, percent: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first listed(n) members: rarely used ones first, then by hash; common: sorted members and the size class of their uses."""
+    known, uses = common
+    m = mixed(members + _C)
+    n = listed(len(members), percent)
+    if not len(known):
+        return np.partition(m, n - 1)[:n]
+    at = np.minimum(np.searchsorted(known, members), len(known) - 1)
+    use = np.where(known[at] == members, uses[at], 0)
+    rare = use == 0
+    if np.count_nonzero(rare) >= n:
+        return np.partition(m[rare], n - 1)[:n]
+    return m[np.lexsort((m, use))[:n]]
+
+
+class Uses:
+    """Bounded counts of members that a task sees repeatedly."""
+
+    def __init__(self):
+        self.counts: Counter = Counter()
+
+    def add(self, sets: list[np.ndarray]) -> None:
+        if not sets:
+            return
+        m, k = np.unique(np.concatenate(sets), return_counts=True)
+        many = k >= USES_IN_STEP
+        if np.count_nonzero(many) > COUNTED:
+            many &= k >= np.partition(k[many], -COUNTED)[-COUNTED]
+        self.counts.update(dict(zip(m[many].tolist(), k[many].tolist(), strict=True)))
+        if len(self.counts) > 2 * COUNTED:
+            self.counts = Counter(dict(self.counts.most_common(COUNTED)))
+
+    def top(self) -> list[tuple[int, int]]:
+        return self.counts.most_common(OF_TASK)
 
 
 class JaccardJoin:
@@ -153,19 +169,21 @@ class JaccardJoin:
         if self._members is None:
             size = self.size
 
-            def make():
-                def f(batch: pa.RecordBatch) -> dict:
-                    ns, digests, sketches = [], [], []
-                    for text in batch.column("text").to_pylist():
-                        s = shingles(text, size)
-                        ns.append(len(s))
-                        digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                        sketches.append(sketch(s) if len(s) else None)
-                    return {"cid": batch.column("cid"), "n": ns, "digest": digests, "sketch": sketches}
-
-                return f
-
-            self._members = staged(map_rows(self.docs, "cid long, n int, digest binary, sketch array<long>", "text", make), "jaccard-members")
+            def run(batches):
+                uses = Uses()
+                for batch in steps(batches, "text"):
+                    sets = [shingles(text, size) for text in batch.column("text").to_pylist()]
+                    uses.add(sets)
+                    yield pa.RecordBatch.from_pydict({
+                        "cid": batch.column("cid"), "n": pa.array([len(s) for s in sets], pa.int32()), "digest": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                        "sketch": pa.array([sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64())), "uses": pa.nulls(len(sets), _USES),
+                    })
+                top = [{"m": m - (1 << 64) * (m >> 63), "k": k} for m, k in uses.top()]
+                yield pa.RecordBatch.from_pydict({"cid": pa.array([None], pa.int64()), "n": pa.array([0], pa.int32()), "digest": pa.array([None], pa.binary()), "sketch": pa.array([None], pa.list_(pa.int64())), "uses": pa.array([top], _USES)})
+
+            kind = "cid long, n int, digest binary, sketch array<long>, uses array<struct<m:long,k:long>>"
+            self._all = staged(self.docs.mapInArrow(run, kind), "jaccard-members")
+            self._members = self._all.where("uses IS NULL").drop("uses")
         return self._members
 
     def classes(self) -> DataFrame:
@@ -173,23 +191,30 @@ class JaccardJoin:
         live = self.members().where("n > 0 AND cid IS NOT NULL")
         return live.groupBy("digest").agg(F.min("cid").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
 
+    def common(self) -> tuple[np.ndarray, np.ndarray]:
+        """The COMMON most used members, sorted, and the binary logarithms of their uses."""
+        self.members()
+        total = self._all.where("uses IS NOT NULL").select(F.explode("uses").alias("u")).groupBy("u.m").agg(F.sum("u.k").alias("k")).where(F.col("k") >= USES)
+        rows = total.orderBy(F.desc("k"), "m").limit(COMMON).toPandas()
+        m = rows["m"].to_numpy(np.int64).view(_U)
+        order = np.argsort(m)
+        return m[order], np.log2(rows["k"].to_numpy(np.float64)[order]).astype(np.uint8) if len(m) else np.empty(0, np.uint8)
+
     # step 4: the boundary
     def boundary(self, sizes: list[tuple[int, int]]) -> int:
         """Largest light size, by the keys that all classes would emit; sizes: (n, classes of n members)."""
-        percent, level = self.percent, size_classes(self.percent, 1)
-        heavy = {n: sum(most_differences(level.top(c), percent) + 1 for c in {level(n), level(n) - 1} - {-1}) * SCAN_COST for n, _ in sizes}  # type: ignore[attr-defined]
+        percent = self.percent
         step = 100 // (100 - percent)
         choices = range(step - 1, 5 * step, step)
-        cost = {x: sum(k * ((light_cost(n, percent) if n <= x else 0) + (heavy[n] if 100 * n > percent * x else 0)) for n, k in sizes) for x in choices}
+        cost = {x: sum(k * ((light_cost(n, percent) if n <= x else 0) + (listed(n, percent) * SCAN_COST if 100 * n > percent * x else 0)) for n, k in sizes) for x in choices}
         return min(cost, key=lambda x: (cost[x], x))
 
     def keys(self, reps: DataFrame, boundary: int) -> DataFrame:
         """``(key, cid)``: the subsets and lists of each representative."""
         size, percent = self.size, self.percent
+        sent = self.docs.sparkSession.sparkContext.broadcast(self.common())
 
         def make():
-            level = size_classes(percent, 1)
-
             def f(batch: pa.RecordBatch) -> dict:
                 keys, owners = [np.empty(0, _U)], [np.empty(0, np.int64)]
                 for cid, text in zip(batch.column("cid").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -199,7 +224,7 @@ class JaccardJoin:
                         continue
                     got = [light_keys(s, percent)] if n <= boundary else []
                     if 100 * n > percent * boundary:
-                        got.append(heavy_keys(s, percent, level))
+                        got.append(heavy_keys(s, percent, sent.value))
                     keys += got
                     owners.append(np.full(sum(map(len, got)), cid, np.int64))
                 return {"key": pa.array(np.concatenate(keys).view(np.int64)), "cid": pa.array(np.concatenate(owners))}
@@ -214,10 +239,11 @@ class JaccardJoin:
         return self.docs.where("cid IS NOT NULL").join(F.broadcast(ids) if n_ids <= BROADCAST_ROWS else ids, "cid", how)
 
     def close(self, pairs: DataFrame, meta: DataFrame) -> DataFrame:
-        """Pairs ``(a, b)`` that sizes and sketches don't rule out, each once; meta: (cid, n, sketch)."""
+        """For each ``a`` the partner ``b`` that it meets on most lists, of those that sizes and sketches don't rule out; meta: (cid, n, sketch)."""
         side = lambda c: meta.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-        both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
-        return both.where(self.possible("na", "nb", "sa", "sb")).select("a", "b")
+        counted = pairs.groupBy("a", "b").agg(F.count("*").alias("k"))
+        both = counted.join(side("a"), "a").join(side("b"), "b").where(self.possible("na", "nb", "sa", "sb"))
+        return both.groupBy("a").agg(F.max_by("b", F.struct("k", -F.col("b"))).alias("b"))
 
     def possible(self, na: str, nb: str, sa: str, sb: str):
         """No proof of too many differences: size ratio, and differing sketch bits against the largest symmetric difference."""
@@ -230,29 +256,23 @@ class JaccardJoin:
         size, percent = self.size, self.percent
         pairs = staged(pairs, "jaccard-pairs")
         ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "jaccard-ids")
+        texts = self.texts(ids, ids.count())
+        side = lambda c: texts.select(F.col("cid").alias(c), F.col("text").alias(f"t{c}"))
 
-        def make_sets():
-            def f(batch: pa.RecordBatch) -> dict:
-                return {"cid": batch.column("cid"), "members": [shingles(x, size).tobytes() for x in batch.column("text").to_pylist()]}
-
-            return f
-
-        sets = staged(map_rows(self.texts(ids, ids.count()), "cid long, members binary", "text", make_sets), "jaccard-sets")
-        side = lambda c: sets.select(F.col("cid").alias(c), F.col("members").alias(f"m{c}"))
-
-        def make_check():
+        def make():
             def f(batch: pa.RecordBatch) -> dict:
-                good = []
-                for x, y in zip(batch.column("ma").to_pylist(), batch.column("mb").to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
+                good, sets = [], {}
+                for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
+                    x = shingles(x, size)
+                    y = sets[y] if y in sets else sets.setdefault(y, shingles(y, size))
                     same = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(100 * same >= percent * (len(x) + len(y) - same))
+                    good.append(same > 0 and 100 * same >= percent * (len(x) + len(y) - same))
                 mask = pa.array(good, pa.bool_())
                 return {"src": batch.column("a").filter(mask), "dst": batch.column("b").filter(mask)}
 
             return f
 
-        return staged(map_rows(pairs.join(side("a"), "a").join(side("b"), "b"), "src long, dst long", "ma", make_check), "jaccard-links")
+        return staged(map_rows(pairs.join(side("a"), "a").join(side("b"), "b"), "src long, dst long", "ta", make), "jaccard-links")
 
     def links(self) -> DataFrame:
         """Checked links (src, dst) between class representatives that connect all that is linked."""
