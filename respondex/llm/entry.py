@@ -20,4 +20,6 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op3_decontaminate": decontaminate.SQL,
     "op4_url_filter": url_filter.SQL,
+    "op8_jaccard_join": jaccard_join.SQL,
+    "op9_quality_rules": rules.SQL,
 }
