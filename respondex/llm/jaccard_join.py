@@ -195,10 +195,10 @@ class JaccardJoin:
         """The COMMON most used members, sorted, and the binary logarithms of their uses."""
         self.members()
         total = self._all.where("uses IS NOT NULL").select(F.explode("uses").alias("u")).groupBy("u.m").agg(F.sum("u.k").alias("k")).where(F.col("k") >= USES)
-        rows = total.orderBy(F.desc("k"), "m").limit(COMMON).toPandas()
-        m = rows["m"].to_numpy(np.int64).view(_U)
+        rows = total.orderBy(F.desc("k"), "m").limit(COMMON).toArrow()
+        m = rows["m"].to_numpy().astype(np.int64).view(_U)
         order = np.argsort(m)
-        return m[order], np.log2(rows["k"].to_numpy(np.float64)[order]).astype(np.uint8) if len(m) else np.empty(0, np.uint8)
+        return m[order], np.log2(rows["k"].to_numpy().astype(np.float64)[order]).astype(np.uint8)
 
     # step 4: the boundary
     def boundary(self, sizes: list[tuple[int, int]]) -> int:
