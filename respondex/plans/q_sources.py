@@ -24,6 +24,17 @@ def s1(spark, d):
     return readers.member_tables(spark, path, r"sample=([A-Z])-(\d)", "feature").select("feature", "sample", "grp", "replicate", "value")
 
 
+@query("s2_processed_text", b.with_tables("counts", "SELECT CAST(feature AS VARCHAR) AS feature, condition || '_' || replicate AS sample, value, p_name AS annotation FROM counts LEFT JOIN part ON p_partkey = feature"))
+def s2(spark, d):
+    path, counts = fresh(spark, "processed"), b.counts(spark, d)
+    names = table(spark, d, "part").select(F.col("p_partkey").alias("feature"), F.col("p_name").alias("annotation"))
+    counts.join(names, "feature", "left").select("feature", "annotation", F.col("value").alias("normalised"), F.concat_ws("-", "condition", "replicate").alias("sample")).write.partitionBy("sample").option("sep", "\t").option("header", True).csv(path)
+    values = readers.member_tables(spark, path, r"sample=([A-Z])-(\d)", "feature")
+    raw = spark.read.option("header", True).option("sep", "\t").option("recursiveFileLookup", True).csv(path)
+    notes = readers.first_annotations(raw, "feature", ["annotation"], [F.col("_metadata.file_path")])
+    return values.select("feature", "sample", "value").join(notes, "feature", "left")
+
+
 @query("s3_matrix", "SELECT p_brand AS feature, sample, CAST(sum(value) AS DOUBLE) AS value FROM (SELECT p_brand, unnest(['p_size', 'p_partkey']) AS sample, unnest([CAST(p_size AS DOUBLE), CAST(p_partkey AS DOUBLE)]) AS value FROM part) GROUP BY 1, 2")
 def s3(spark, d):
     return readers.matrix(table(spark, d, "part"), "p_brand", ["p_size", "p_partkey"])
