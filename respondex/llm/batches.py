@@ -10,9 +10,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Rows that a worker handles at once; texts can be long.
-STEP_ROWS = 1024
+STEP_ROWS = 512
 #: Bytes of the handled column at which a step ends early.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 2 << 20
 
 
 def steps(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from respondex.llm.batches import map_rows
 
 #: Cached words at which a worker starts anew.
-MAX_WORDS = 400_000
+MAX_WORDS = 200_000
 #: The pre-tokens of byte-level BPE: contractions, runs of letters, numbers, other signs, white space.
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 

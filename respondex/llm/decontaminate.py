@@ -7,9 +7,9 @@ words stream through it and keep the length of the longest match that ends at ea
 word inside any occurrence of a window is hit.
 
 The automaton grows with the items, so items are cut into blocks of at most
-``block_words`` words, each with an automaton of its own, and a block of documents meets
-one automaton after another.  Automata are broadcast: a block is bounded by
-``block_words``, and so is what a worker holds.
+``block_words`` words, each broadcast and made into an automaton by each worker.  A pass
+over the documents meets HELD blocks at most, which bounds a worker's memory; if there are
+more, the spans found so far go along as a column and the table is staged between passes.
 
 Null texts have no words.  Items that repeat count each under its own id; items with a
 null id take part in hits but are not listed.
@@ -21,14 +21,14 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from respondex.llm.batches import keep_rows, map_rows
+from respondex.llm.batches import map_rows
 from respondex.plans.staging import staged
 
-#: Words of items in one automaton (about 100 bytes of a worker's memory each).
-BLOCK_WORDS = 200_000
+#: Words of items in one automaton (about half a kilobyte of a worker's memory each), and automata of a pass.
+BLOCK_WORDS, HELD = 50_000, 4
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -181,68 +181,67 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_
 _automata: dict[str, SuffixAutomaton] = {}
 
 
-def matcher(parts: list):
-    """Function of a text: (words, spans, items); holds one automaton if there is one block, else the latest."""
-
-    def automaton(i: int) -> SuffixAutomaton:
-        key, items, window = parts[i].value
-        if key not in _automata:
+def automaton(part) -> SuffixAutomaton:
+    """This process's automaton of a broadcast block."""
+    key, items, window = part.value
+    if key not in _automata:
+        if len(_automata) >= HELD:
             _automata.clear()
-            _automata[key] = SuffixAutomaton(items, window)
-        return _automata[key]
+        _automata[key] = SuffixAutomaton(items, window)
+    return _automata[key]
 
-    def match(texts: list[str | None]) -> list[tuple[list[bytes], list[tuple[int, int]], set]]:
-        split = list(map(words, texts))
-        got = [([], set()) for _ in split]
-        for i in range(len(parts)):
-            a = automaton(i)
-            for k, w in enumerate(split):
-                spans, found = a.hits(w)
-                if spans:
-                    got[k] = (merged(got[k][0] + spans), got[k][1] | found)
-        return [(w, *g) for w, g in zip(split, got, strict=True)]
 
-    return match
+def with_hits(docs: DataFrame, text_col: str, parts: list, out: str, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of docs and ``out``: struct(n words, spans of hit words in order, sorted items)."""
+    kind = "struct<n:int,spans:array<struct<start:int,end:int>>,items:array<string>>"
+    df = docs.withColumn(out, F.lit(None).cast(kind))
+    groups = [parts[i : i + HELD] for i in range(0, len(parts), HELD)] or [[]]
+    for k, group in enumerate(groups):
+        last = k == len(groups) - 1
+        columns = [*(keep if last else docs.columns), out]
 
+        def make(group=group, columns=columns):
+            def f(batch: pa.RecordBatch) -> dict:
+                found = []
+                for text, before in zip(batch.column(text_col).to_pylist(), batch.column(out).to_pylist(), strict=True):
+                    w = words(text)
+                    spans, items = ([(x["start"], x["end"]) for x in before["spans"]], set(before["items"])) if before else ([], set())
+                    for part in group:
+                        more, names = automaton(part).hits(w)
+                        if more:
+                            spans, items = merged(spans + more), items | {x for x in names if x is not None}
+                    found.append({"n": len(w), "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(items)})
+                return {c: batch.column(c) for c in columns if c != out} | {out: found}
 
-def contaminated(n_words: int, n_hit: int, share: int) -> bool:
-    """Whether at least one word and at least 1/share of all words are hit."""
-    return n_hit > 0 and share * n_hit >= n_words
+            return f
 
+        df = map_rows(df, df.select(*columns).schema, text_col, make)
+        if not last:
+            df = staged(df, "decontamination-pass")
+    return df
 
-def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, share: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``(id, n_words, n_hit, items array<string> sorted, spans array<struct<start,end>> of words, contaminated)`` of every row."""
-    parts = blocks(benchmark, item_col, item_text, window, block_words)
 
-    def make():
-        match = matcher(parts)
+def n_hit(hits: str) -> Column:
+    return F.aggregate(F.col(hits)["spans"], F.lit(0), lambda a, x: a + x["end"] - x["start"])
+
 
-        def f(batch: pa.RecordBatch) -> dict:
-            got = match(batch.column("text").to_pylist())
-            n_hit = [sum(b - a for a, b in spans) for _, spans, _ in got]
-            return {
-                "id": batch.column("id"), "n_words": [len(w) for w, _, _ in got], "n_hit": n_hit,
-                "items": [sorted(x for x in found if x is not None) for _, _, found in got],
-                "spans": [[{"start": a, "end": b} for a, b in spans] for _, spans, _ in got],
-                "contaminated": [contaminated(len(w), n, share) for (w, _, _), n in zip(got, n_hit, strict=True)],
-            }
+def contaminated(hits: str, share: int) -> Column:
+    """Whether at least one word and at least 1/share of all words are hit."""
+    return (n_hit(hits) > 0) & (share * n_hit(hits) >= F.col(hits)["n"])
 
-        return f
 
+def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, share: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``(id, n_words, n_hit, items array<string> sorted, spans array<struct<start,end>> of words, contaminated)`` of every row."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = f"id {rows.schema['id'].dataType.simpleString()}, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>, contaminated boolean"
-    return map_rows(rows, kind, "text", make).withColumnRenamed("id", id_col)
+    d = with_hits(rows, "text", blocks(benchmark, item_col, item_text, window, block_words), "hits", ["id"])
+    return d.select(F.col("id").alias(id_col), F.col("hits.n").cast("long").alias("n_words"), n_hit("hits").cast("long").alias("n_hit"), "hits.items", "hits.spans", contaminated("hits", share).alias("contaminated"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, share: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Rows of docs, all columns unchanged, that are not contaminated."""
-    parts = blocks(benchmark, item_col, item_text, window, block_words)
-
-    def make():
-        match = matcher(parts)
-        return lambda texts: [not contaminated(len(w), sum(b - a for a, b in spans), share) for w, spans, _ in match(texts)]
-
-    return keep_rows(docs, text_col, make)
+    out = "__respondex_hits"
+    d = with_hits(docs, text_col, blocks(benchmark, item_col, item_text, window, block_words), out, docs.columns)
+    return d.where(~contaminated(out, share)).drop(out)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

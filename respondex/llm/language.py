@@ -37,7 +37,7 @@ SCRIPTS = [
 ]
 _STARTS = [a for a, _ in SCRIPTS]
 #: Labelled rows to learn from, n-grams of the model, cost of a change, words that a worker remembers.
-MAX_ROWS, MAX_GRAMS, PENALTY, MAX_CACHE = 20_000, 60_000, 12.0, 300_000
+MAX_ROWS, MAX_GRAMS, PENALTY, MAX_CACHE = 20_000, 60_000, 12.0, 150_000
 _find = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 
 
@@ -47,12 +47,11 @@ def script(word: str) -> str:
 
 
 def grams(word: str) -> list[str]:
-    """Character pairs and triples of a word with its borders, and a short word itself."""
+    """Character triples of a word with its borders, and a short word itself."""
     w = f" {word} "
     n = len(w)
     out = [w[i : i + 3] for i in range(n - 2)]
-    out += [w[i : i + 2] for i in range(n - 1)]
-    if 4 < n <= 7:
+    if 4 <= n <= 7:
         out.append(w)
     return out
 

@@ -31,7 +31,9 @@ from respondex.plans.staging import staged
 #: Labelled rows; hashed terms; dimensions of a vector; entries of an index vector; terms on each side of a context.
 MAX_ROWS, BUCKETS, DIM, SPARSE, NEAR = 20_000, 1 << 13, 48, 4, 2
 #: Hidden units, passes over the training rows, share of them (1 in HOLD) that only fits the temperature, words a worker remembers.
-HIDDEN, EPOCHS, HOLD, MAX_CACHE = 32, 60, 5, 400_000
+HIDDEN, EPOCHS, HOLD, MAX_CACHE = 32, 60, 5, 150_000
+#: Terms whose contexts are summed at once.
+CHUNK = 60_000
 _runs = regex.compile(r"\p{Lu}+|\p{L}+|\d+|[^\p{L}\d]+")
 
 
@@ -88,8 +90,18 @@ class Terms:
 def context_sums(batches, index: np.ndarray):
     """Word vectors of a task's rows: for each bucket the sum of index vectors around it, in blocks of rows."""
     terms, sums = Terms(), np.zeros((BUCKETS, DIM), np.float32)
+    seen: list[np.ndarray] = []
+    around: list[np.ndarray] = []
+
+    def flush() -> None:
+        if seen:
+            t, near = np.concatenate(seen), np.concatenate(around)
+            for d in range(DIM):
+                sums[:, d] += np.bincount(t, near[:, d], minlength=BUCKETS).astype(np.float32)
+            seen.clear()
+            around.clear()
+
     for step in steps(batches, "text"):
-        seen, around = [], []
         for text in step.column("text").to_pylist():
             w, s, _ = terms.of(text)
             if len(w):
@@ -100,10 +112,9 @@ def context_sums(batches, index: np.ndarray):
                     near[:-k] += at[k:]
                 seen += [w, s]
                 around += [near, near]
-        if seen:
-            t, near = np.concatenate(seen), np.concatenate(around)
-            for d in range(DIM):
-                sums[:, d] += np.bincount(t, near[:, d], minlength=BUCKETS).astype(np.float32)
+                if sum(map(len, seen)) > CHUNK:
+                    flush()
+    flush()
     rows = 64
     yield pa.RecordBatch.from_pydict({"block": pa.array(range(BUCKETS // rows), pa.int32()), "sums": pa.array([sums[i * rows : (i + 1) * rows].tobytes() for i in range(BUCKETS // rows)], pa.binary())})
 
