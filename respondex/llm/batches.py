@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from respondex.plans.shipping import ship
+
 #: Rows that a worker handles at once; texts can be long.
 STEP_ROWS = 512
 #: Bytes of the handled column at which a step ends early.
@@ -31,6 +33,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordB
 
 def map_rows(df: DataFrame, schema: StructType | str, column: str, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]]) -> DataFrame:
     """Apply ``make()`` (called once a task) to steps of df; it returns a column list or array for each field of schema."""
+    ship(df.sparkSession)
     kind = schema if isinstance(schema, StructType) else df.sparkSession.createDataFrame([], schema).schema
     out = to_arrow_schema(kind)
 
@@ -51,4 +54,5 @@ def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list], li
         for step in steps(batches, column):
             yield step.filter(pa.array(f(step.column(column).to_pylist()), pa.bool_()))
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, df.schema)
