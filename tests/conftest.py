@@ -5,6 +5,8 @@ import tempfile
 import pytest
 from pyspark.sql import SparkSession
 
+from respondex.plans.shipping import ship
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -13,4 +15,5 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-")).config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    ship(s)
     return s
