@@ -6,6 +6,7 @@ as in tests on one machine, a temporary folder is chosen.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,3 +32,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/respondex/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more (they go when the driver collects its garbage)."""
+    gc.collect()
+    spark._jvm.System.gc()
