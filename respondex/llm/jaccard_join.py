@@ -40,10 +40,12 @@ from pyspark.sql import functions as F
 from respondex.llm.batches import map_rows, steps
 from respondex.operators.components import connected_components
 from respondex.plans.skew import BROADCAST_ROWS
-from respondex.plans.staging import staged
+from respondex.plans.staging import release, staged
 
 #: Bits of a parity sketch; the number of differing bits never exceeds the symmetric difference.
 SKETCH_BITS = 512
+#: Bits of the wide sketch of sets of at least WIDE_FROM members, for which the other one says little.
+WIDE_BITS, WIDE_FROM = 8192, 600
 #: What a heavy key costs, in light keys: its list may be scanned and its pairs compared.
 SCAN_COST = 4
 #: Rounds with other hubs before the remaining lists are compared outright.
@@ -82,9 +84,9 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(mixed(h))
 
 
-def sketch(members: np.ndarray) -> list[int]:
-    """Parities of the members dealt to SKETCH_BITS cells, as 64-bit words."""
-    cells = np.bincount(((members * _C) >> _U(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+def sketch(members: np.ndarray, bits: int = SKETCH_BITS) -> list[int]:
+    """Parities of the members dealt to cells (a power of two), as 64-bit words."""
+    cells = np.bincount(((members * _C) >> _U(64 - bits.bit_length() + 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(cells.astype(np.uint8)).view(np.int64).tolist()
 
 
@@ -176,12 +178,12 @@ class JaccardJoin:
                     uses.add(sets)
                     yield pa.RecordBatch.from_pydict({
                         "cid": batch.column("cid"), "n": pa.array([len(s) for s in sets], pa.int32()), "digest": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                        "sketch": pa.array([sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64())), "uses": pa.nulls(len(sets), _USES),
+                        "sketch": pa.array([sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64())), "wide": pa.array([sketch(s, WIDE_BITS) if len(s) >= WIDE_FROM else None for s in sets], pa.list_(pa.int64())), "uses": pa.nulls(len(sets), _USES),
                     })
                 top = [{"m": m - (1 << 64) * (m >> 63), "k": k} for m, k in uses.top()]
-                yield pa.RecordBatch.from_pydict({"cid": pa.array([None], pa.int64()), "n": pa.array([0], pa.int32()), "digest": pa.array([None], pa.binary()), "sketch": pa.array([None], pa.list_(pa.int64())), "uses": pa.array([top], _USES)})
+                yield pa.RecordBatch.from_pydict({"cid": pa.array([None], pa.int64()), "n": pa.array([0], pa.int32()), "digest": pa.array([None], pa.binary()), "sketch": pa.array([None], pa.list_(pa.int64())), "wide": pa.array([None], pa.list_(pa.int64())), "uses": pa.array([top], _USES)})
 
-            kind = "cid long, n int, digest binary, sketch array<long>, uses array<struct<m:long,k:long>>"
+            kind = "cid long, n int, digest binary, sketch array<long>, wide array<long>, uses array<struct<m:long,k:long>>"
             self._all = staged(self.docs.mapInArrow(run, kind), "jaccard-members")
             self._members = self._all.where("uses IS NULL").drop("uses")
         return self._members
@@ -285,6 +287,7 @@ class JaccardJoin:
         keys = staged(self.keys(self.texts(copies, copies.count(), "left_anti"), boundary), "jaccard-keys")
         shared = staged(keys.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("most")).where("hub < most").select("key", "hub"), "jaccard-shared")
         lists = staged(keys.join(shared, "key"), "jaccard-lists")
+        release(self.docs.sparkSession)
         links = self.verified(self.close(lists.where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")), meta))
         lists = lists.select("key", "cid")
         for turn in range(1, STAR_ROUNDS + 1):
@@ -298,7 +301,17 @@ class JaccardJoin:
             pairs = lists.join(staged(hubs, "jaccard-hubs"), "key").where("component <> of").select(F.col("cid").alias("a"), F.col("hub").alias("b"))
             links = staged(links.unionByName(self.verified(self.close(pairs, meta))), "jaccard-links")
             lists = lists.select("key", "cid")
-        return links.unionByName(self.verified(self.rest(lists, meta)))
+        release(self.docs.sparkSession)
+        return links.unionByName(self.verified(self.narrowed(self.rest(lists, meta))))
+
+    def narrowed(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) without those of large sets whose wide sketches prove too many differences."""
+        p, pairs = self.percent, staged(pairs, "jaccard-rest")
+        wide = self.members().where("wide IS NOT NULL AND cid IS NOT NULL")
+        side = lambda c: wide.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}"))
+        differ = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        fits = differ * (100 + p) <= (F.col("na") + F.col("nb")) * (100 - p)
+        return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce(fits, F.lit(True))).select("a", "b").distinct()
 
     def open_lists(self, lists: DataFrame, links: DataFrame) -> DataFrame:
         """``(key, cid, component)`` of the lists whose classes are not all connected yet."""
