@@ -354,19 +354,3 @@ def test_licenses(spark):
     got = {r["doc_id"]: (r["own_license"], r["license"], r["license_dir"]) for r in licenses.scanned(df, "doc_id", "path", "text").collect()}
     assert got == {0: ("Apache-2.0", "Apache-2.0", None), 1: (None, "MIT", "a/b"), 2: ("MIT", "MIT", None), 3: (None, "MIT", "a/b"), 4: ("CC-BY-NC-4.0", "CC-BY-NC-4.0", None), 5: (None, None, None), 6: ("GPL-3.0", "GPL-3.0", None), 7: (None, None, None), 8: (None, None, None)}
     assert licenses.scanned(df.where("false"), "doc_id", "path", "text").count() == 0
-
-
-def test_wide_sketches_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "WIDE_FROM", 1)
-    r = random.Random(12)
-    base = [str(i) for i in range(90)]
-    texts = []
-    for _ in range(60):
-        w = base[:]
-        for _ in range(r.randrange(0, 14)):
-            w[r.randrange(len(w))] = str(1000 + r.randrange(60))
-        texts.append(" ".join(w))
-    rows = list(enumerate(texts))
-    _, want = brute_jaccard(rows, 1, 80)
-    got = jaccard_join.JaccardJoin(docs(spark, texts), size=1, percent=80).components().collect()
-    assert {x["cid"]: x["component"] for x in got} == want and len(set(want.values())) > 1
