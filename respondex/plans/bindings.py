@@ -93,6 +93,12 @@ def unit_lists(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("unit"), F.col("l_partkey").alias("member")).join(orders, "unit")
 
 
+def all_unit_lists(spark: SparkSession, d: str) -> DataFrame:
+    """``(unit, member)``: parts of all orders."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("unit"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("unit"), F.col("l_partkey").alias("member")).join(orders, "unit")
+
+
 def weights(spark: SparkSession, d: str) -> DataFrame:
     """``(feature, component, weight, label)``: vectors in long form."""
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("feature"), F.posexplode("embedding").alias("component", "weight"), "label").withColumn("weight", F.col("weight").cast("double"))

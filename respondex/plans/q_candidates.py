@@ -120,6 +120,18 @@ def g4_names(spark, d):
     return g.group_names(lists, g.unit_groups(lists))
 
 
+@query("g4_unit_groups_whole")
+def g4_whole(spark, d):
+    """All orders; recursive SQL is too slow for them."""
+    return g.unit_groups(b.all_unit_lists(spark, d))
+
+
+@query("g4_group_names_whole")
+def g4_names_whole(spark, d):
+    lists = b.all_unit_lists(spark, d)
+    return g.group_names(lists, g.unit_groups(lists))
+
+
 _MEM = "m AS (SELECT feature, component FROM weights WHERE abs(weight) > 0.25)"
 
 

@@ -51,6 +51,22 @@ def test_unit_groups(spark):
     assert names == {"a;b;c", "d"}
 
 
+def test_unit_groups_take_all_orders(spark, tmp_path):
+    from respondex.plans import catalog
+
+    r = random.Random(8)
+    orders = [(i, f"{r.randrange(1992, 1999)}-0{r.randrange(1, 9)}-11") for i in range(40)]
+    lines = [(i, r.randrange(60)) for i in range(40) for _ in range(r.randrange(1, 3))]
+    d = f"file://{tmp_path}"
+    spark.createDataFrame(orders, "o_orderkey long, o_orderdate string").selectExpr("o_orderkey", "to_timestamp_ntz(o_orderdate) AS o_orderdate").write.parquet(f"{d}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{d}/lineitem.parquet")
+    root = union_find([(u, 1000 + m) for u, m in lines])
+    want = {i: root[i] for i in range(40)}
+    assert {x["unit"]: x["grp"] for x in catalog.QUERIES["g4_unit_groups_whole"](spark, d).collect()} == want
+    names = {k: ";".join(map(str, sorted({m for u, m in lines if want[u] == k}))) for k in set(want.values())}
+    assert {x["grp"]: x["name"] for x in catalog.QUERIES["g4_group_names_whole"](spark, d).collect()} == names
+
+
 def test_fragment_window(spark):
     prom = spark.createDataFrame([("p", 100, "+"), ("q", 100, "-"), ("r", None, "+")], "promoter string, tss long, strand string")
     sites = spark.createDataFrame([("p", 75, 130), ("q", 75, 130), ("p", 0, 5), ("p", 9, 3)], "promoter string, left long, right long")
