@@ -69,17 +69,21 @@ def neighbours(members: DataFrame, candidates: DataFrame) -> DataFrame:
     return members.join(near, "component", "left_semi").join(c, "feature", "left_anti").groupBy("feature").agg(F.count_distinct("component").alias("components"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, rounds: int = 10) -> DataFrame:
-    """``(start, node)`` reached along edges (src to dst) from each start, itself included, to a fixed point."""
+def reachable(edges: DataFrame, starts: DataFrame, fold: int = 10) -> DataFrame:
+    """``(start, node)`` reached along edges (src to dst) from each start, itself included, to a fixed point.
+
+    What was found is staged as one table every ``fold`` steps, so that a deep graph makes no long plan.
+    """
     found = staged(starts.select(F.col(starts.columns[0]).alias("start"), F.col(starts.columns[0]).alias("node")).distinct(), "reach")
-    new = found
-    for _ in range(rounds):
+    new, step_no = found, 0
+    while True:
         step = new.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("start", F.col("dst").alias("node")).distinct()
         new = staged(step.join(found, ["start", "node"], "left_anti"), "reach")
         if new.isEmpty():
-            break
-        found = found.unionByName(new)
-    return found
+            return found
+        found, step_no = found.unionByName(new), step_no + 1
+        if step_no % fold == 0:
+            found = staged(found, "reach")
 
 
 def bundled(raw: DataFrame) -> DataFrame:

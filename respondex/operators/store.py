@@ -66,9 +66,9 @@ def candidate_paths(candidates: DataFrame, interactions: DataFrame, tu_genes: Da
     return out.unionByName(tus.join(interactions.where("kind = 'tu'").select("tu", "interaction"), "tu").select("feature", "interaction")).distinct()
 
 
-def actor_interactions(interactions: DataFrame, regulator: int, kind: str | None = None) -> DataFrame:
-    """Interactions of one actor with the id of their target, whatever its kind."""
-    d = interactions.where(F.col("regulator") == regulator)
+def actor_interactions(interactions: DataFrame, regulator: int | None = None, kind: str | None = None) -> DataFrame:
+    """Interactions of one actor (None: of all) with the id of their target, whatever its kind."""
+    d = interactions if regulator is None else interactions.where(F.col("regulator") == regulator)
     d = d.where(F.col("kind") == kind) if kind else d
     return d.select("interaction", "regulator", "kind", F.coalesce("gene", "promoter", "tu").alias("target"), "effect")
 

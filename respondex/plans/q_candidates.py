@@ -141,19 +141,44 @@ def g5(spark, d):
     return g.co_members(m, m.where("feature % 2 = 0").select("feature"), b.edges(spark, d))
 
 
+@query("g5_co_members_whole")
+def g5_whole(spark, d):
+    """All members are candidates."""
+    m = b.weights(spark, d).where(F.abs("weight") > 0.25)
+    return g.co_members(m, m.select("feature"), b.edges(spark, d))
+
+
 @query("g6_neighbours", b.with_tables("weights", f", {_MEM}, c AS (SELECT DISTINCT feature FROM m WHERE feature % 10 = 0) SELECT feature, count(DISTINCT component) AS components FROM m WHERE component IN (SELECT component FROM m SEMI JOIN c USING (feature)) AND feature NOT IN (SELECT feature FROM c) GROUP BY 1"))
 def g6(spark, d):
     m = b.weights(spark, d).where(F.abs("weight") > 0.25)
     return g.neighbours(m, m.where("feature % 10 = 0").select("feature"))
 
 
-@query("g8_reachable", b.with_tables("interactions", ", e AS (SELECT 'r' || regulator AS src, kind[1] || coalesce(promoter, tu, gene) AS dst FROM interactions UNION SELECT 'p' || promoter, 't' || tu FROM tu_promoters UNION SELECT 't' || tu, 'g' || gene FROM tu_genes), reach AS (SELECT DISTINCT 'r' || regulator AS start, 'r' || regulator AS node FROM interactions WHERE regulator < 5 UNION SELECT start, dst FROM reach JOIN e ON src = node) SELECT start, node FROM reach", recursive=True))
-def g8(spark, d):
+@query("g6_neighbours_whole")
+def g6_whole(spark, d):
+    """The seeds are candidates."""
+    return g.neighbours(b.weights(spark, d).where(F.abs("weight") > 0.25), b.seeds(spark, d))
+
+
+def _steps(spark, d):
+    """Interactions, and the edges regulator to target, promoter to unit, unit to gene between tagged ids."""
     i, t = b.interactions(spark, d), b.tu_genes(spark, d)
     tag = lambda k, col: F.concat(F.lit(k), F.col(col))
     e = i.select(tag("r", "regulator").alias("src"), F.concat(F.substring("kind", 1, 1), F.coalesce("promoter", "tu", "gene")).alias("dst"))
-    e = e.unionByName(b.tu_promoters(t).select(tag("p", "promoter").alias("src"), tag("t", "tu").alias("dst"))).unionByName(t.select(tag("t", "tu").alias("src"), tag("g", "gene").alias("dst"))).distinct()
-    return g.reachable(e, i.where("regulator < 5").select(tag("r", "regulator").alias("start")))
+    return i, e.unionByName(b.tu_promoters(t).select(tag("p", "promoter").alias("src"), tag("t", "tu").alias("dst"))).unionByName(t.select(tag("t", "tu").alias("src"), tag("g", "gene").alias("dst"))).distinct()
+
+
+@query("g8_reachable", b.with_tables("interactions", ", e AS (SELECT 'r' || regulator AS src, kind[1] || coalesce(promoter, tu, gene) AS dst FROM interactions UNION SELECT 'p' || promoter, 't' || tu FROM tu_promoters UNION SELECT 't' || tu, 'g' || gene FROM tu_genes), reach AS (SELECT DISTINCT 'r' || regulator AS start, 'r' || regulator AS node FROM interactions WHERE regulator < 5 UNION SELECT start, dst FROM reach JOIN e ON src = node) SELECT start, node FROM reach", recursive=True))
+def g8(spark, d):
+    i, e = _steps(spark, d)
+    return g.reachable(e, i.where("regulator < 5").select(F.concat(F.lit("r"), "regulator").alias("start")))
+
+
+@query("g8_reachable_whole")
+def g8_whole(spark, d):
+    """From all regulators."""
+    i, e = _steps(spark, d)
+    return g.reachable(e, i.select(F.concat(F.lit("r"), "regulator").alias("start")))
 
 
 @query("g9_bundled", b.with_tables("edges_raw", "SELECT src, dst, confidence, count(*) AS records, list_sort(list(DISTINCT CASE sign WHEN '+' THEN 'activates' ELSE 'represses' END)) AS effects, bool_and(sign = '-') AS all_repress FROM edges_raw GROUP BY 1, 2, 3"), lists=("effects",))

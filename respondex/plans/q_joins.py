@@ -259,3 +259,9 @@ def j24(spark, d):
 def j27(spark, d):
     x = table(spark, d, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("condition"), F.col("c_nationkey").alias("background"), (F.col("c_custkey") % 3 == 0).alias("treated"))
     return modules.pairings(x)
+
+
+@query("j27_pairings_whole")
+def j27_whole(spark, d):
+    """All customers; those of one market segment are treated."""
+    return modules.pairings(table(spark, d, "customer").select(F.col("c_custkey").alias("condition"), F.col("c_nationkey").alias("background"), (F.col("c_mktsegment") == "BUILDING").alias("treated")))

@@ -105,6 +105,12 @@ def j19(spark, d):
     return store.actor_interactions(b.interactions(spark, d), 3, "tu")
 
 
+@query("j19_actor_interactions_whole")
+def j19_whole(spark, d):
+    """All actors, all kinds of targets."""
+    return store.actor_interactions(b.interactions(spark, d))
+
+
 _CP = ", tus AS (SELECT DISTINCT feature, tu FROM seeds JOIN tu_genes ON gene = feature), prs AS (SELECT DISTINCT feature, promoter FROM tus JOIN tu_promoters USING (tu)), cp AS (SELECT feature, interaction FROM seeds JOIN interactions ON kind = 'gene' AND gene = feature UNION SELECT feature, interaction FROM prs JOIN interactions i ON i.promoter = prs.promoter UNION SELECT feature, interaction FROM tus JOIN interactions i ON i.tu = tus.tu)"
 
 
@@ -137,6 +143,13 @@ def j21_paths(spark, d):
     return store.reference_paths(i, t, b.tu_promoters(t)).where("kind = 'promoter'").select("interaction", "regulator", "promoter", "tu", "gene")
 
 
+@query("j21_promoter_paths_whole")
+def j21_paths_whole(spark, d):
+    """All promoters."""
+    t = b.tu_genes(spark, d)
+    return store.reference_paths(b.interactions(spark, d), t, b.tu_promoters(t)).where("kind = 'promoter'").select("interaction", "regulator", "promoter", "tu", "gene")
+
+
 @query("j22_candidate_detail", b.with_tables("tu_promoters", "SELECT feature, coalesce(rg.r, []) AS regulators, coalesce(t.u, []) AS units FROM seeds LEFT JOIN (SELECT dst AS feature, list_transform(list_sort(list({'src': src, 'effect': effect})), lambda x: x.src || ':' || x.effect) AS r FROM edges GROUP BY 1) rg USING (feature) LEFT JOIN (SELECT gene AS feature, list_sort(list(tu)) AS u FROM tu_genes GROUP BY 1) t USING (feature)"), lists=("regulators", "units",))
 def j22(spark, d):
     e = b.edges(spark, d).select(F.col("dst").alias("feature"), "src", "effect")

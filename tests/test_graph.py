@@ -1,5 +1,6 @@
 """Components, intervals, panels, sets, reviews, checks."""
 
+import os
 import random
 
 import pytest
@@ -67,6 +68,49 @@ def test_unit_groups_take_all_orders(spark, tmp_path):
     assert {x["grp"]: x["name"] for x in catalog.QUERIES["g4_group_names_whole"](spark, d).collect()} == names
 
 
+def test_reachable_beyond_ten_steps(spark):
+    chain = spark.createDataFrame([*[(i, i + 1) for i in range(14)], (14, 3)], "src long, dst long")
+    got = graph.reachable(chain, spark.createDataFrame([(0,), (12,)], "start long"))
+    assert sorted((r["start"], r["node"]) for r in got.collect()) == sorted([(0, i) for i in range(15)] + [(12, i) for i in range(3, 15)])
+
+
+def test_whole_queries_take_all_ids(spark):
+    from respondex.plans import bindings, catalog, registry
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables here")
+    q = lambda name: catalog.QUERIES[name](spark, d)
+    raw = [r.asDict() for r in bindings.interactions(spark, d).collect()]
+    assert {r["interaction"] for r in q("j19_actor_interactions_whole").collect()} == {r["interaction"] for r in raw}
+    assert {r["interaction"] for r in q("j21_promoter_paths_whole").collect()} == {r["interaction"] for r in raw if r["kind"] == "promoter"}
+    reached = {(r["start"], r["node"]) for r in q("g8_reachable_whole").collect()}
+    genes = [tuple(r) for r in bindings.tu_genes(spark, d).collect()]
+    steps = {}
+    for a, b in [*((f"r{r['regulator']}", r["kind"][0] + str(next(r[k] for k in ("promoter", "tu", "gene") if r[k] is not None))) for r in raw), *((f"p{r['promoter']}", f"t{r['tu']}") for r in bindings.tu_promoters(bindings.tu_genes(spark, d)).collect()), *((f"t{a}", f"g{b}") for a, b in genes)]:
+        steps.setdefault(a, set()).add(b)
+    want = set()
+    for start in {f"r{r['regulator']}" for r in raw}:
+        todo = [start]
+        while todo:
+            x = todo.pop()
+            if (start, x) not in want:
+                want.add((start, x))
+                todo += steps.get(x, ())
+    assert reached == want
+    people = registry.table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").collect()
+    pairs = {(a[0], b[0]) for a in people for b in people if a[1] == b[1] and a[2] == "BUILDING" and b[2] != "BUILDING"}
+    assert {(r["condition"], r["control"]) for r in q("j27_pairings_whole").collect()} == pairs
+    of, seeds = {}, {r["feature"] for r in bindings.seeds(spark, d).collect()}
+    for r in bindings.weights(spark, d).where(F.abs("weight") > 0.25).collect():
+        of.setdefault(r["feature"], set()).add(r["component"])
+    typed = {(min(r["src"], r["dst"]), max(r["src"], r["dst"])) for r in bindings.edges(spark, d).collect()}
+    shared = {(a, b): len(of[a] & of[b]) for a in of for b in of if a < b and of[a] & of[b] and (a, b) not in typed}
+    assert {(r["a"], r["b"]): r["shared"] for r in q("g5_co_members_whole").collect()} == shared
+    near = {c for f in of if f in seeds for c in of[f]}
+    assert {r["feature"]: r["components"] for r in q("g6_neighbours_whole").collect()} == {f: len(of[f] & near) for f in of if f not in seeds and of[f] & near}
+
+
 def test_fragment_window(spark):
     prom = spark.createDataFrame([("p", 100, "+"), ("q", 100, "-"), ("r", None, "+")], "promoter string, tss long, strand string")
     sites = spark.createDataFrame([("p", 75, 130), ("q", 75, 130), ("p", 0, 5), ("p", 9, 3)], "promoter string, left long, right long")
