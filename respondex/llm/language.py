@@ -5,8 +5,10 @@ that use it.  A word's score for a language is the sum of log-probabilities of i
 character n-grams.  The best labelling of all words by languages, where each change
 costs ``penalty``, gives spans; the language of most letters is the prediction.
 
-The n-gram table is learned from labelled rows.  At most about ``max_rows`` of them,
-picked evenly by a hash of the id, are used (a classifier's documented bound).
+The n-gram table is learned from labelled rows.  At most about ``max_rows`` of them are
+used (a classifier's documented bound): a language with less than an even share gives all
+its rows, the others share the rest, picked evenly by a hash of the id.  The MAX_GRAMS
+n-grams kept are those of the largest share of any one language's.
 
 Null texts and texts without a letter are ``und`` with score 0.  A word whose script no
 language uses may be any language.  Without labelled rows every text is ``und``.
@@ -132,14 +134,17 @@ class Model:
 def viterbi(s: np.ndarray, penalty: float) -> np.ndarray:
     """Labels of largest total score less ``penalty`` for each change; s: words x labels; ties go to the lower label.
 
-    Where no run of words favours another label by more than the penalty, the best single
-    label is optimal: every detour of k runs needs k changes at least and gains at most k
-    penalties.  Only other texts need the recursion.
+    Where no run of words favours another label by more than the penalty, no path that uses
+    the best single label somewhere beats it: k runs of other labels need k changes at least
+    and gain at most k penalties.  A path that never uses it has k runs but only k - 1 changes:
+    it loses if no run gains more than half a penalty, or if even the best other label of
+    each word, less one change, gains nothing.  Only other texts need the recursion.
     """
     one = int(s.sum(axis=0).argmax())
     gain = np.cumsum(s - s[:, one : one + 1], axis=0)
     before = np.minimum.accumulate(np.vstack([np.zeros((1, s.shape[1])), gain[:-1]]), axis=0)
-    if (gain - before).max() <= penalty:
+    most = (gain - before).max()
+    if most <= penalty / 2 or most <= penalty and np.delete(s - s[:, one : one + 1], one, axis=1).max(axis=1).sum() <= penalty:
         return np.full(len(s), one)
     n, k = s.shape
     back = np.empty((n, k), np.int8 if k < 128 else np.int32)
@@ -158,13 +163,25 @@ def viterbi(s: np.ndarray, penalty: float) -> np.ndarray:
     return out
 
 
+def even_share(sizes: list[int], total: int) -> float:
+    """Most rows that any language may give so that all together give ``total``, small ones giving all they have."""
+    left = total
+    for i, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - i) > left:
+            return left / (len(sizes) - i)
+        left -= n
+    return float(max(sizes, default=0))
+
+
 def learn(rows: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows: int = MAX_ROWS) -> dict:
     """N-gram table from labelled rows (null labels and texts don't count)."""
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL")
-    n = rows.select("lang").count()
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = 1 << 20
-    if n > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(share)) < max_rows * share // n)
+    if sum(sizes.values()) > max_rows:
+        most = even_share(list(sizes.values()), max_rows)
+        limits = rows.sparkSession.createDataFrame([(lang, int(min(1.0, most / n) * share)) for lang, n in sizes.items()], "lang string, __limit long")
+        rows = rows.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64("id"), F.lit(share)) < F.col("__limit")).select("id", "text", "lang")
 
     def count(batches):
         seen: dict[tuple[str, str], Counter] = defaultdict(Counter)
@@ -182,9 +199,10 @@ def learn(rows: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows:
         yield pa.RecordBatch.from_pydict({"lang": pa.array(cols[0], pa.string()), "kind": pa.array(cols[1], pa.string()), "x": pa.array(cols[2], pa.string()), "n": pa.array(cols[3], pa.int64())})
 
     sums = staged(rows.mapInArrow(count, "lang string, kind string, x string, n long").groupBy("lang", "kind", "x").agg(F.sum("n").alias("n")), "language-counts")
-    top = sums.where("kind = 'g'").groupBy("x").agg(F.sum("n").alias("t")).orderBy(F.desc("t"), "x").limit(MAX_GRAMS).select("x")
-    got = sums.where("kind = 'g'").join(F.broadcast(top), "x").select("lang", "x", "n").collect()
     totals = {r["lang"]: r["t"] for r in sums.where("kind = 'g'").groupBy("lang").agg(F.sum("n").alias("t")).collect()}
+    of = sums.sparkSession.createDataFrame(list(totals.items()), "lang string, t long")
+    top = sums.where("kind = 'g'").join(F.broadcast(of), "lang").groupBy("x").agg(F.max(F.col("n") / F.col("t")).alias("share")).orderBy(F.desc("share"), "x").limit(MAX_GRAMS).select("x")
+    got = sums.where("kind = 'g'").join(F.broadcast(top), "x").select("lang", "x", "n").collect()
     by_script = sums.where("kind = 's'").select("lang", F.col("x"), "n").collect()
     langs = sorted(totals)
     at = {lang: i for i, lang in enumerate(langs)}

@@ -216,6 +216,28 @@ def test_viterbi_equals_enumeration():
         assert value(language.viterbi(s, 1.5)) == pytest.approx(value(best))
 
 
+def test_viterbi_with_a_compromise_label():
+    import numpy as np
+
+    s = np.array([[0.0, -30.0, -10.0], [-30.0, 0.0, -10.0]])
+    assert list(language.viterbi(s, 12.0)) == [0, 1]
+    r = np.random.default_rng(8)
+    for _ in range(300):
+        s = -np.abs(r.choice([0, 10, 30], (r.integers(1, 6), 3), p=[0.3, 0.5, 0.2]) + r.random((1, 3)))
+        value = lambda path: sum(s[i, x] for i, x in enumerate(path)) - 12.0 * sum(a != b for a, b in zip(path, path[1:]))  # noqa: E731, B023
+        assert value(language.viterbi(s, 12.0)) == pytest.approx(max(map(value, np.ndindex(*[3] * len(s)))))
+
+
+def test_small_language_keeps_its_rows_and_ngrams(spark, monkeypatch):
+    r = random.Random(12)
+    words = lambda signs, n: " ".join("".join(r.choice(signs) for _ in range(5)) for _ in range(n))
+    rows = [(i, words("abcdefghij", 20), "big") for i in range(400)] + [(1000 + i, words("qrs", 6), "small") for i in range(8)]
+    monkeypatch.setattr(language, "MAX_GRAMS", 60)
+    table = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", max_rows=40)
+    assert table["langs"] == ["big", "small"] and sum(set(g) <= set(" qrs") for g in table["grams"]) >= 30
+    assert language.even_share([400, 8], 40) == 32 and language.even_share([5, 5], 40) == 5 and language.even_share([], 3) == 0
+
+
 def test_quality(spark):
     r = random.Random(2)
     word = lambda: "".join(r.choice("aeiou") + r.choice("bdlmnrst") for _ in range(r.randrange(1, 4)))
