@@ -17,6 +17,7 @@ null id take part in hits but are not listed.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -30,6 +31,7 @@ from respondex.plans.staging import staged
 #: Words of items in one automaton (about half a kilobyte of a worker's memory each), and automata of a pass.
 BLOCK_WORDS, HELD = 50_000, 4
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_RUN = re.compile(rb"[^\x20]+")
 
 
 def words(text: str | None) -> list[bytes]:
@@ -244,6 +246,42 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
     return d.where(~contaminated(out, share)).drop(out)
 
 
+def cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the given half-open spans of words (what separates a span from the next word stays)."""
+    raw = text.encode()
+    at = [m.span() for m in _RUN.finditer(raw.translate(_FOLD))]
+    out, done = [], 0
+    for a, b in spans:
+        out.append(raw[done : at[a][0]])
+        done = at[b - 1][1]
+    return b"".join([*out, raw[done:]]).decode()
+
+
+def without_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, longest: int = 13, share: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """All rows and columns of docs, with hit spans cut out of the text.
+
+    Merged spans of at least ``longest`` words are cut; all spans of a document are cut if
+    they cover 1/share of its words.
+    """
+    out = "__respondex_hits"
+    d = with_hits(docs, text_col, blocks(benchmark, item_col, item_text, window, block_words), out, docs.columns)
+    columns = docs.columns
+
+    def make():
+        def f(batch: pa.RecordBatch) -> dict:
+            texts = []
+            for text, hits in zip(batch.column(text_col).to_pylist(), batch.column(out).to_pylist(), strict=True):
+                spans = [(x["start"], x["end"]) for x in hits["spans"]]
+                if share * sum(b - a for a, b in spans) < hits["n"]:
+                    spans = [(a, b) for a, b in spans if b - a >= longest]
+                texts.append(cut(text, spans) if spans else text)
+            return {c: batch.column(c) for c in columns if c != text_col} | {text_col: texts}
+
+        return f
+
+    return map_rows(d, docs.schema, text_col, make)
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     """Contract query: 13-word windows, contaminated from 1/20 of the words on."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")

@@ -178,6 +178,17 @@ def test_jaccard_join_of_a_chain_in_one_list(spark):
     assert {x["cid"]: x["component"] for x in got} == want and len(set(want.values())) == 1
 
 
+@pytest.mark.parametrize("block", [1, 100000])
+def test_spans_beyond_limits_are_cut(spark, block):
+    items = spark.createDataFrame([(1, "one two three four five six"), (2, "É!")], "item_id long, text string")
+    far = " ".join(f"w{i}" for i in range(200))
+    texts = [None, "", f"ß, {far} ONE (two) three-four Five six; end É {far}", f"{far} two three four five {far}", "É one", f"É {far}"]
+    got = {r["doc_id"]: r["text"] for r in decontaminate.without_spans(docs(spark, texts), items, window=4, longest=5, block_words=block).collect()}
+    assert got == {0: None, 1: "", 2: f"ß, {far} ; end É {far}", 3: texts[3], 4: " one", 5: texts[5]}
+    assert decontaminate.without_spans(docs(spark, texts), items).columns == docs(spark).columns
+    assert decontaminate.without_spans(docs(spark, texts), items.where("false")).count() == len(texts)
+
+
 def labelled(spark):
     r = random.Random(8)
     rows = []
