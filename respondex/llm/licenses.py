@@ -1,7 +1,11 @@
 """Licence scan: TF-IDF cosine of headers and licence files to templates, then inheritance from ancestor directories.
 
-A file's header passages are its runs of lines with a word of TRIGGERS; a licence file
-(LICENSE, COPYING, ...) is one passage as a whole.  Passages and templates are sparse
+A file's header passages are its lines with a word of TRIGGERS, their runs, the comment
+blocks or paragraphs around them, and the lines from such a line (or the one before it) on,
+joined one after another up to the length of the longest template; a licence file (LICENSE,
+COPYING, ...) is also one passage as a whole, and each of its paragraphs is one.  Templates are one-sentence notices, notices as
+they stand in source headers, the bodies of the short licences, and the titles of the long
+ones (their files hold the title as a paragraph).  Passages and templates are sparse
 vectors over their words, weighted by how few of all files use each template word; words
 outside the templates count with the largest weight.  The best cosine of at least
 ``least`` names the file's own licence.
@@ -44,11 +48,41 @@ TEMPLATES = {
     "CC0-1.0": ["Released into the public domain under CC0 1.0 Universal."],
     "Proprietary": ["All rights reserved. Unauthorized copying of this file is strictly prohibited."],
 }
+#: More of them: source headers and short licences in full, titles of long ones (fixed values).
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+)
+_GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+_LONG = {
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"],
+    "MIT": [_MIT[0], " ".join(_MIT)],
+    "BSD-3-Clause": [" ".join(_BSD)],
+    "GPL-3.0": [_GPL.format("General Public License", 3), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "GPL-2.0": [_GPL.format("General Public License", 2), "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "LGPL-3.0": [_GPL.format("Lesser General Public License", 3), "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "AGPL-3.0": [_GPL.format("Affero General Public License", 3), "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "Mozilla Public License Version 2.0"],
+    "CC-BY-4.0": ["Creative Commons Attribution 4.0 International Public License"],
+    "CC-BY-SA-4.0": ["Creative Commons Attribution-ShareAlike 4.0 International Public License"],
+    "CC-BY-NC-4.0": ["Creative Commons Attribution-NonCommercial 4.0 International Public License"],
+    "CC0-1.0": ["CC0 1.0 Universal", "Creative Commons Legal Code CC0 1.0 Universal"],
+}
+for _name, _texts in _LONG.items():
+    TEMPLATES[_name] = TEMPLATES[_name] + _texts
 TRIGGERS = ("licen", "copyright", "permission", "redistribut", "public domain", "spdx", "all rights reserved", "terms of the")
 FILE_NAMES = r"(?i)^(licen[sc]e|copying|notice|copyright)([._-].*)?$"
 LEAST = 0.75
 _WORD = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
 
+_COMMENT = re.compile(r"\s*(?:#|//|/?\*|--|;|%|<!--)")
+
 
 def tokens(text: str) -> list[str]:
     return _WORD.findall(text.lower())
@@ -57,14 +91,50 @@ def tokens(text: str) -> list[str]:
 VOCABULARY = sorted({w for group in TEMPLATES.values() for t in group for w in tokens(t)})
 
 
+#: Words of the longest joined lines.
+LONGEST = max(len(tokens(t)) for group in TEMPLATES.values() for t in group) + 20
+
+
+def blocks(lines: list[str]) -> list[list[str]]:
+    """Paragraphs and comment blocks: adjacent lines with a word that all begin with a comment mark, or all without."""
+    out, before = [], None
+    for line in lines:
+        kind = bool(_COMMENT.match(line)) if _WORD.search(line.lower()) else None
+        if kind is not None and kind == before:
+            out[-1].append(line)
+        elif kind is not None:
+            out.append([line])
+        before = kind
+    return out
+
+
+def joined(lines: list[str]) -> list[str]:
+    """Blocks around lines with a trigger, and lines from each such line or the one before it on, joined up to LONGEST words."""
+    out = []
+    for block in blocks(lines):
+        hits = [i for i, line in enumerate(block) if any(t in line.lower() for t in TRIGGERS)]
+        if not hits or len(block) == 1:
+            continue
+        out.append(" ".join(block))
+        sizes = [len(tokens(line)) for line in block]
+        for i in sorted({i for h in hits for i in (h - 1, h) if i >= 0}):
+            n = sizes[i]
+            for j in range(i + 1, len(block)):
+                n += sizes[j]
+                if n > LONGEST:
+                    break
+                out.append(" ".join(block[i : j + 1]))
+    return list(dict.fromkeys(out))
+
+
 def passages(text: str | None, whole: bool) -> list[str]:
-    """Runs of lines with a trigger, or the whole text."""
+    """Lines with a trigger, their runs, what is around them; the whole text and all blocks of a licence file."""
     if not text:
         return []
     low = text.lower()
     if not any(t in low for t in TRIGGERS):
-        return [text] if whole else []
-    out, run = [text] if whole else [], []
+        return [text, *map(" ".join, blocks(text.split("\n")))] if whole else []
+    out, run = [text, *map(" ".join, blocks(text.split("\n")))] if whole else [], []
     for line in [*text.split("\n"), ""]:
         if any(t in line.lower() for t in TRIGGERS):
             run.append(line)
@@ -73,7 +143,7 @@ def passages(text: str | None, whole: bool) -> list[str]:
             if len(run) > 1:
                 out.append(" ".join(run))
             run = []
-    return out
+    return out + joined(text.split("\n"))
 
 
 class Scanner:

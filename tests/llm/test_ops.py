@@ -378,6 +378,32 @@ def test_marginals_equal_enumeration():
     assert model.marginals(page) == pytest.approx([x / total for x in on], abs=1e-9)
 
 
+def test_wrapped_headers_and_full_licenses(spark):
+    import os
+    import textwrap
+
+    def wrapped(text, mark=""):
+        return "\n".join(mark + x for x in textwrap.wrap(text, 70))
+
+    mit, bsd = [wrapped(x) for x in licenses._MIT], [wrapped(x) for x in licenses._BSD]
+    gpl = licenses._GPL.format("General Public License", 3)
+    rows = {
+        "MIT": ["x = 1\n" + wrapped(licenses._MIT[0], "# ") + "\nimport os\n", "Copyright (c) 2020 Some One\n\n" + "\n\n".join(mit), "Some prose\nof two lines\n" + mit[0] + "\nand more prose\nbelow"],
+        "BSD-3-Clause": ["Copyright (c) 2020, Some One\n\n" + "\n\n".join(bsd)],
+        "GPL-3.0": ["/*\n" + wrapped(gpl, " * ") + "\n */\nint x;"],
+        "MPL-2.0": [wrapped(licenses._LONG["MPL-2.0"][0], "// ")],
+    }
+    for name, file in (("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3"), ("GPL-2.0", "GPL-2"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        if os.path.exists(f"/usr/share/common-licenses/{file}"):
+            with open(f"/usr/share/common-licenses/{file}") as f:
+                rows.setdefault(name, []).append(f.read())
+    want = [(name, t) for name, ts in rows.items() for t in ts]
+    plain = ["we need permission\nto go\nout to the garden", "the terms of the house\nare few and old"]
+    df = spark.createDataFrame([(i, f"d{i}/LICENSE" if len(t) > 900 else f"d{i}/f.txt", t) for i, t in enumerate([t for _, t in want] + plain)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["own_license"] for r in licenses.scanned(df, "doc_id", "path", "text").collect()}
+    assert [got[i] for i in range(len(want) + 2)] == [name for name, _ in want] + [None, None]
+
+
 def test_licenses(spark):
     rows = [
         (0, "a/LICENSE", "Licensed under the Apache License, Version 2.0."), (1, "a/b/c/f.txt", "plain text"), (2, "a/b/LICENSE.md", "Released under the MIT License."), (3, "a/b/g.txt", None),
