@@ -8,8 +8,7 @@ and of its COMMON most used words of at most four letters (all other words are o
 class).  A document of at least ``least`` words is kept if the Jensen-Shannon distance
 (square root of the divergence in bits) of either histogram to its language's stays
 within the limit; shorter ones and those that fail a base rule are not kept.  Documents
-without a language, and of languages beyond the LANGUAGES largest, are held against the
-sum of all.
+without a language are held against the sum of all.
 
 Null and empty texts have no words and fail the base rules.
 """
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 
 from respondex.plans.staging import staged
 
-#: Words of a reference; references (their rows are broadcast, LANGUAGES * (COMMON + 7) entries at most).
+#: Words of a reference; languages up to which references are broadcast (more are joined by a shuffle).
 COMMON, LANGUAGES = 40, 200
 #: Characters of the classes, stripped from a text in this order; what is left is the last class (fixed values).
 CLASSES = {"lower": "a-z", "space": r"\x20\x09-\x0D", "wide": r"^\x00-\x7F", "upper": "A-Z", "digit": "0-9", "mark": r".,;:!?'\"()\-"}
@@ -77,7 +76,7 @@ def counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None) ->
 
 
 def references(docs: DataFrame, text_col: str, lang_col: str | None) -> DataFrame:
-    """``(ref, chars array<double>, common array<struct<word,share>>)`` for the largest languages; ref ``*`` is the sum of all."""
+    """``(ref, chars array<double>, common array<struct<word,share>>)`` for each language; ref ``*`` is the sum of all."""
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("*")) if lang_col else F.lit("*")
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = with_histograms(docs.select(lang.alias("lang"), t.alias("t"))).drop("t")
@@ -87,8 +86,7 @@ def references(docs: DataFrame, text_col: str, lang_col: str | None) -> DataFram
     items = F.concat(F.transform("short", lambda x: entry("w", x, F.lit(1.0))), F.array(*sums))
     each = staged(d.select("lang", F.explode(items).alias("e")).groupBy("lang", "e.kind", "e.key").agg(F.sum("e.n").alias("n")), "rule-counts")
     every = each.groupBy("kind", "key").agg(F.sum("n").alias("n")).select(F.lit("*").alias("lang"), "kind", "key", "n")
-    large = each.where("kind = 'n' AND lang <> '*'").orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
-    table = each.join(F.broadcast(large), "lang").unionByName(every)
+    table = each.where("lang <> '*'").unionByName(every)
     top = ranked(table)
     whole = table.where("kind = 'n'").select("lang", F.col("n").alias("total"))
     chars = table.where("kind = 'c'").groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("key").cast("int").alias("k"), "n"))), lambda x: x["n"]).alias("c"))
@@ -118,9 +116,9 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """
     refs = references(docs, text_col, lang_col)
     d = counts(docs, id_col, text_col, lang_col)
-    # at most LANGUAGES + 1 rows; other languages and none look up the sum of all
-    known = [r["ref"] for r in refs.select("ref").collect()]
-    d = d.withColumn("ref", F.when(F.col("lang").isin(known), F.col("lang")).otherwise("*")).join(F.broadcast(refs.withColumnRenamed("common", "ref_words")), "ref", "left")
+    # every language of a document has a row; none looks up the sum of all
+    side = refs.withColumnRenamed("common", "ref_words")
+    d = d.withColumn("ref", F.coalesce("lang", F.lit("*"))).join(F.broadcast(side) if refs.count() <= LANGUAGES + 1 else side, "ref", "left")
     total = F.aggregate("chars", F.lit(0.0), lambda a, x: a + x)
     d = d.withColumn("total", total)
     js_chars = F.aggregate(F.zip_with("chars", "ref_chars", lambda c, q: js_term(c / F.col("total"), q)), F.lit(0.0), lambda a, x: a + x) / 2

@@ -316,6 +316,16 @@ def test_rules(spark):
     assert rules.judged(empty(spark)).count() == 0 and rules.judged(docs(spark), lang_col=None).count() == len(ODD)
 
 
+def test_small_languages_have_references(spark, monkeypatch):
+    texts = [("en", "the cat of the house and a dog ")] * 6 + [("fr", "le chat de la maison et un ami ")] * 2 + [(None, "the le x ")]
+    df = spark.createDataFrame([(i, t * 10, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    got = []
+    for n in (200, 1):
+        monkeypatch.setattr(rules, "LANGUAGES", n)
+        got.append({r["doc_id"]: (r["js_chars"], r["js_words"], r["kept"]) for r in rules.judged(df).collect()})
+    assert got[0] == got[1] and got[0][6][1] == pytest.approx(0, abs=1e-6) and got[0][8][1] > 0
+
+
 def test_js_distances_equal_python(spark):
     from math import log2, sqrt
 
