@@ -20,7 +20,7 @@ def keep_latest(reviews: DataFrame, keys: list[str], path: str, checkpoint: str)
 
     A batch is merged with the snapshot before it and written as a new one, named by the
     batch, so that a batch that runs again after a failure writes the same snapshot.  Late
-    reviews older than what is held change nothing.
+    reviews older than what is held change nothing, nor do repeats; no review is too late.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -29,7 +29,7 @@ def keep_latest(reviews: DataFrame, keys: list[str], path: str, checkpoint: str)
         both = batch.unionByName(held) if held is not None else batch
         latest(both, keys).write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
 
-    return deduplicated(reviews).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return reviews.withColumn("edited_at", F.col("edited_at").cast("timestamp")).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def snapshot(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:

@@ -15,3 +15,14 @@ def test_latest_over_batches(spark, tmp_path):
     assert run([("a", "1", "2024-01-01 00:00:00", "new"), ("b", "2", "2024-01-01 00:00:00", "x")], 0) == {"a": "new", "b": "x"}
     assert run([("a", "3", "2024-01-01 00:10:00", "newer"), ("b", "0", "2023-12-31 23:50:00", "late")], 1) == {"a": "newer", "b": "x"}
     assert snapshot(spark, f"file://{tmp_path}/none") is None
+
+
+def test_very_late_review_counts(spark, tmp_path):
+    def run(rows):
+        spark.createDataFrame(rows, "feature string, edit_id string, edited_at string, status string").selectExpr("feature", "edit_id", "to_timestamp_ntz(edited_at) AS edited_at", "status").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        keep_latest(spark.readStream.schema(KIND).parquet(f"file://{tmp_path}/in"), ["feature"], f"file://{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination()
+        return {r["feature"]: r["status"] for r in snapshot(spark, f"file://{tmp_path}/out").collect()}
+
+    run([("a", "1", "2024-01-09 00:00:00", "new"), ("b", "2", "2024-01-01 00:00:00", "x")])
+    run([("a", "1", "2024-01-09 00:00:00", "new")])
+    assert run([("b", "3", "2024-01-02 00:00:00", "late but newest"), ("a", "0", "2024-01-01 00:00:00", "older")]) == {"a": "new", "b": "late but newest"}
