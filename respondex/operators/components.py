@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from respondex.plans.staging import staged
+from respondex.plans.staging import discard, staged
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -24,8 +24,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     raw = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     nodes = staged(raw.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "cc-nodes")
     e = staged(raw.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges")
-    before = None
     for _ in range(max_rounds):
+        if is_stars(e):
+            break
         # large star: each node's larger neighbours move to the least node it sees
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -34,11 +35,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         # small star: a node and its smaller neighbours move to the least of them
         low = big.groupBy("u").agg(F.min("v").alias("m"))
         small = big.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.u", "p.v").where("u <> v").distinct()
-        e = staged(small, "cc-edges")
-        state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (state["n"], state["h"]) == before:
-            break
-        before = (state["n"], state["h"])
+        old, e = e, staged(small, "cc-edges")
+        discard(old)
     else:
         raise RuntimeError(f"components not stable after {max_rounds} rounds")
     return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("m")), "node", "left").select("node", F.coalesce("m", "node").alias("component"))
+
+
+def is_stars(e: DataFrame) -> bool:
+    """Whether edges (u, v), v the lesser, are stars already: no u has two v, and no v is a u."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b")))
+    return ends.groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a > 1 OR (a > 0 AND b > 0)").isEmpty()

@@ -1,7 +1,7 @@
 """Cutting lineage with tables in the folder that all executors share.
 
-``spark.checkpoint.dir`` names that folder on a cluster.  Only where it is unset,
-as in tests on one machine, a temporary folder is chosen.
+``spark.checkpoint.dir`` names that folder on a cluster.  Only where it is unset
+and Spark runs on one machine, as in tests, a temporary folder is chosen.
 """
 
 from __future__ import annotations
@@ -17,11 +17,28 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="respondex-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{shared_dir(spark)}/respondex/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once its results are written; results not yet written need them."""
+    _delete(spark, run_dir(spark))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
@@ -29,9 +46,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     only, and its size is known to the planner.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/respondex/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._respondex_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``staged`` returned, once nothing reads them any more; other tables are left alone."""
+    for df in tables:
+        if path := getattr(df, "_respondex_path", None):
+            _delete(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
