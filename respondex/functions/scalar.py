@@ -111,9 +111,12 @@ def eligible(lfc: Column, padj: Column, flag: Column) -> Column:
 
 
 def condition_parts(name: Column, words: list[str]) -> tuple[Column, Column]:
-    """(background, treatment) of ``background_treatment``: the treatment is the first part with one of the words."""
-    parts = F.split(name, "_")
-    drug = F.element_at(F.filter(parts, lambda x: F.lower(x).rlike("|".join(words))), 1)
-    rest = F.array_join(F.filter(parts, lambda x: ~F.lower(x).rlike("|".join(words))), "_")
-    found = F.size(F.filter(parts, lambda x: F.lower(x).rlike("|".join(words)))) > 0
-    return F.when(found, rest), F.when(found, drug)
+    """(background, treatment) of ``background_treatment``, lower-cased: the treatment is the first part that contains one of the words.
+
+    The background is the name without ``_treatment`` and outer ``_``, or the first part if nothing is left.
+    """
+    low = F.lower(name)
+    parts = F.split(low, "_")
+    drug = F.get(F.filter(parts, lambda x: F.array_contains(F.transform(F.array(*map(F.lit, words)), lambda w: F.contains(x, F.lower(w))), True)), F.lit(0))
+    rest = F.nullif(F.btrim(F.replace(low, F.concat(F.lit("_"), drug), F.lit("")), F.lit("_")), F.lit(""))
+    return F.when(drug.isNotNull(), F.coalesce(rest, F.get(parts, F.lit(0)))), drug

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from respondex.functions.tails import hypergeom_tail
 from respondex.operators.fdr import adjust_all
+from respondex.plans.ranges import places
+from respondex.plans.skew import broadcast_if_small
 
 
 def hit(p_max: float, lfc_min: float, up_only: bool = False) -> Column:
@@ -21,45 +23,74 @@ def seeded(obs: DataFrame, p_max: float, lfc_min: float, up_only: bool = False)
     return obs.join(keys, "feature", "left_semi")
 
 
-def evidence(obs: DataFrame, p_max: float, lfc_min: float) -> DataFrame:
-    """One row a feature: datasets seen and responding, support by class, directions, group and tier."""
-    d = obs.where("feature IS NOT NULL").withColumn("hit", hit(p_max, lfc_min))
-    per = d.groupBy("feature", "class").agg(
-        F.count_distinct("dataset").alias("seen"), F.count_distinct(F.when(F.col("hit"), F.col("dataset"))).alias("hits"),
-        F.coalesce(F.bool_or(F.when(F.col("hit"), F.col("lfc") > 0)), F.lit(False)).alias("up"), F.coalesce(F.bool_or(F.when(F.col("hit"), F.col("lfc") < 0)), F.lit(False)).alias("down"),
+#: Support labels, best first (fixed values).
+TIERS = ("multiple_comparisons_supported", "single_comparison_supported", "within_class_direction_difference")
+
+
+def tier_rank(tier: Column) -> Column:
+    """0 for the best label; unknown ones are last."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i, t in enumerate(TIERS) for x in (t, i)]), tier), F.lit(99))
+
+
+def evidence(obs: DataFrame, configured: dict[str, list[str]], p_max: float, lfc_min: float, up_only: bool = True, lone: str | None = None, caveats: dict[str, str] | None = None) -> DataFrame:
+    """One row for each candidate: a feature with a qualifying result outside challenge datasets.
+
+    obs: (feature, dataset, class, role, lfc, p).  configured: datasets of each class, from
+    the configuration.  A result is significant by size, qualifying if its direction counts
+    too.  A class conflicts if it has significant results of both signs.  Its tier says
+    whether one or several datasets qualify, or that it conflicts; the feature's tier is the
+    conflict, else the best.  support: share of a class's configured datasets that qualify.
+    lone: a dataset whose sole support is flagged.  ``profile`` keeps each dataset's effects
+    and p; it is as long as the configuration.  All is settled in one shuffle by feature.
+    """
+    d = obs.where("feature IS NOT NULL").withColumn("sig", hit(p_max, lfc_min)).withColumn("qual", hit(p_max, lfc_min, up_only))
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    per = d.repartition("feature").groupBy("feature", "class", "dataset", "role").agg(
+        F.bool_or("sig").alias("significant"), F.bool_or("qual").alias("qualifying"), some(F.col("sig") & (F.col("lfc") > 0)).alias("up"), some(F.col("sig") & (F.col("lfc") < 0)).alias("down"),
+        some(F.col("lfc").isNotNull() & F.col("p").between(0, 1)).alias("usable"), F.max(F.when(F.col("qual"), F.abs("lfc"))).alias("strongest"),
+        F.array_sort(F.collect_list("lfc")).alias("effects"), F.array_sort(F.collect_list("p")).alias("ps"),
     )
-    out = per.groupBy("feature").agg(
-        F.sum("seen").alias("n_seen"), F.sum("hits").alias("n_hits"), F.count_if(F.col("hits") > 0).alias("n_classes"),
-        F.bool_or(F.col("up") & F.col("down")).alias("conflict_within"), (F.bool_or("up") & F.bool_or("down")).alias("conflict"),
-        F.max(F.when(F.col("hits") > 0, F.col("class"))).alias("one"), F.max(F.col("hits") / F.col("seen")).alias("support"),
+    found = F.when(F.col("significant"), "significant_response").when(F.col("usable"), "no_detected_response").otherwise("unavailable")
+    own = F.col("qualifying") & (F.col("role") != "challenge")
+    by = per.groupBy("feature", "class").agg(
+        F.array_sort(F.collect_set("dataset")).alias("observed"), F.array_sort(F.collect_set(F.when(F.col("qualifying"), F.col("dataset")))).alias("supporting"),
+        F.bool_or("up").alias("up"), F.bool_or("down").alias("down"), some(own).alias("seed"), F.max(F.when(own, F.col("strongest"))).alias("strongest"),
+        F.collect_list(F.struct("dataset", "class", "role", "significant", "qualifying", found.alias("status"), "strongest", "effects", "ps")).alias("profile"),
+    )
+    n = F.size("supporting")
+    tier = F.when(n == 0, None).when(F.col("up") & F.col("down"), TIERS[2]).when(n > 1, TIERS[0]).otherwise(TIERS[1])
+    sizes = F.create_map(*[F.lit(x) for k, v in configured.items() for x in (k, len(set(v)))])
+    by = by.withColumn("tier", tier).withColumn("share", F.round(n / F.element_at(sizes, F.col("class")), 3))
+    out = by.groupBy("feature").agg(
+        some("seed").alias("seed"), F.sum(F.size("observed")).alias("n_seen"), F.sum(n).alias("n_hits"), F.bool_or(F.col("up") & F.col("down")).alias("direction_conflict"), (F.bool_or("up") & F.bool_or("down")).alias("both"),
+        F.array_sort(F.collect_list(F.when(F.col("tier").isNotNull(), F.struct("class", "tier")))).alias("tiers"), F.map_from_entries(F.collect_list(F.struct("class", "share"))).alias("shares"),
+        F.array_sort(F.flatten(F.collect_list("supporting"))).alias("supporting"), F.array_sort(F.flatten(F.collect_list("observed"))).alias("observed"),
+        F.max("strongest").alias("primary_effect"), F.array_sort(F.flatten(F.collect_list("profile"))).alias("profile"),
+    )
+    classes = F.transform("tiers", lambda x: x["class"])
+    names = F.transform("tiers", lambda x: x["tier"])
+    support = F.transform(F.array(*[F.lit(k) for k in sorted(configured)]), lambda k: F.struct(k.alias("class"), F.coalesce(F.element_at("shares", k), F.lit(0.0)).alias("share")))
+    cross = F.col("both") & ~F.col("direction_conflict")
+    flags = [F.when(F.col("direction_conflict"), F.lit("within_class_direction_difference")), F.when(cross, F.lit("cross_class_direction_difference"))]
+    if lone:
+        flags.append(F.when(F.array_distinct("supporting") == F.array(F.lit(lone)), F.lit(f"{lone}_only")))
+    said = {k: v for k, v in (caveats or {}).items() if v}
+    notes = F.array_sort(F.array_distinct(F.filter(F.transform("observed", lambda x: F.element_at(F.create_map(*[F.lit(y) for kv in said.items() for y in kv]), x)), lambda x: x.isNotNull()))) if said else F.array().cast("array<string>")
+    best = F.when(F.col("direction_conflict"), TIERS[2]).when(F.array_contains(names, TIERS[0]), TIERS[0]).otherwise(TIERS[1])
+    return out.where("seed").select(
+        "feature", best.alias("tier"), F.when(F.size(classes) > 1, "cross").otherwise(F.get(classes, F.lit(0))).alias("grp"), classes.alias("classes"), "tiers", support.alias("support"), "n_seen", "n_hits",
+        "direction_conflict", cross.alias("cross_difference"), F.array_compact(F.array(*flags)).alias("flags"), notes.alias("caveats"), "primary_effect", "profile",
     )
-    group = F.when(F.col("n_classes") > 1, "cross").when(F.col("n_classes") == 1, F.col("one")).otherwise("none")
-    tier = F.when((F.col("n_classes") > 1) & ~F.col("conflict"), "A").when(F.col("support") == 1, "B").when(F.col("n_hits") > 0, "C").otherwise("D")
-    return out.withColumn("grp", group).withColumn("tier", tier).drop("one")
 
 
-def ranked(ev: DataFrame, effects: DataFrame) -> DataFrame:
-    """Rank by tier, then effect (largest first, missing last), then id; effects: (feature, effect)."""
-    d = ev.join(effects, "feature", "left")
-    # ranks of a whole list are places in one sorted order: counts of range partitions give their offsets
-    order = [F.col("tier").asc(), F.col("effect").desc_nulls_last(), F.col("feature").asc()]
-    return global_rank(d, order, "rank")
+def ranked(ev: DataFrame) -> DataFrame:
+    """Rank by tier, then largest effect (missing last), then id."""
+    return global_rank(ev, [tier_rank(F.col("tier")).asc(), F.col("primary_effect").desc_nulls_last(), F.col("feature").asc()], "rank")
 
 
 def global_rank(df: DataFrame, order: list[Column], out: str) -> DataFrame:
-    """1-based place of each row in a total order, without a window in one partition."""
-    from respondex.plans.staging import staged
-
-    part, place = "__part", "__place"
-    d = df.repartitionByRange(*order).withColumn(part, F.spark_partition_id())
-    d = staged(d.withColumn(place, F.row_number().over(Window.partitionBy(part).orderBy(*order))), "rank")
-    sizes = sorted((r[part], r["count"]) for r in d.groupBy(part).count().collect())
-    before, run = [], 0
-    for i, n in sizes:
-        before += [F.lit(i), F.lit(run)]
-        run += n
-    offset = F.element_at(F.create_map(*before), F.col(part)) if before else F.lit(0)
-    return d.withColumn(out, (F.col(place) + offset).cast("long")).drop(part, place)
+    """1-based place of each row in a total order."""
+    return places(df, [], order, out)
 
 
 def top_by_class(obs: DataFrame, n: int) -> DataFrame:
@@ -69,37 +100,48 @@ def top_by_class(obs: DataFrame, n: int) -> DataFrame:
     return best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
-def shortlist(obs: DataFrame, p_max: float, lfc_min: float, n: int) -> DataFrame:
-    """Best n of each class among responding features, by class support and largest class effect outside challenges."""
-    d = obs.where("role <> 'challenge'").withColumn("hit", hit(p_max, lfc_min))
-    per = d.groupBy("class", "feature").agg(F.count_if("hit").alias("hits"), F.max(F.when(F.col("hit"), F.abs("lfc"))).alias("effect")).where("hits > 0")
-    w = Window.partitionBy("class").orderBy(F.desc("hits"), F.desc("effect"), "feature")
-    return per.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+def shortlist(ev: DataFrame, n: int | None = None) -> DataFrame:
+    """For each class its supported candidates by class tier, largest qualifying effect of the class outside challenges, and id; n: only the first.
+
+    ev: rows of ``evidence``.
+    """
+    d = ev.select("feature", "profile", F.explode("tiers").alias("t")).select("feature", "t.class", "t.tier", "profile")
+    ours = F.filter("profile", lambda x: (x["class"] == F.col("class")) & x["qualifying"] & (x["role"] != "challenge"))
+    d = d.select("class", "feature", "tier", F.array_max(F.transform(ours, lambda x: x["strongest"])).alias("effect"))
+    order = [tier_rank(F.col("tier")).asc(), F.col("effect").desc_nulls_last(), F.col("feature").asc()]
+    if n is None:
+        return places(d, ["class"], order, "place")
+    return d.withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy(*order))).where(F.col("place") <= n)
 
 
 def stability(obs: DataFrame, counts: DataFrame, floors: list[float], shifts: list[float], p_max: float, lfc_min: float, min_samples: int = 3) -> DataFrame:
-    """Share of screens that a feature passes: every floor on counts with every shift of the effect limit, p fixed.
+    """For each class and candidate of it, the share of screens that it passes: every floor on counts with every shift of the effect limit, p fixed.
 
-    counts: (feature, value).  The grid has a few fixed rows, so screens are expressions of
-    one row a feature, not a join.
+    obs: (feature, dataset, class, role, lfc, shrunk, p); challenge datasets and effects
+    downward don't count.  counts: (feature, value).  The grid has a few fixed rows, so
+    screens are expressions of one row for each class and feature, not a join.
     """
     supply = counts.groupBy("feature").agg(*[F.count_if(F.col("value") >= f).alias(f"k{i}") for i, f in enumerate(floors)])
-    best = obs.where("role <> 'challenge'").groupBy("feature").agg(F.max(F.when(F.coalesce(F.col("p") < p_max, F.lit(False)), F.abs("lfc"))).alias("effect"))
-    d = best.join(supply, "feature")
-    tests = [F.coalesce((F.col(f"k{i}") >= min_samples) & (F.col("effect") > lfc_min + s), F.lit(False)).cast("int") for i in range(len(floors)) for s in shifts]
-    return d.select("feature", sum(tests[1:], tests[0]).alias("passed"), (sum(tests[1:], tests[0]) / len(tests)).alias("screen_fraction"))
+    sure = F.coalesce(F.col("p") < p_max, F.lit(False))
+    hits = sure & (F.col("lfc") > lfc_min)
+    d = obs.where("role <> 'challenge'").groupBy("feature", "class").agg(
+        F.count_if(hits).alias("n_supporting"), F.max(F.when(hits, F.col("lfc"))).alias("raw_effect"), F.max(F.when(hits, F.col("shrunk"))).alias("effect"), F.max(F.when(sure, F.col("lfc"))).alias("top"),
+    )
+    d = d.where("n_supporting > 0").join(supply, "feature", "left")
+    tests = [F.coalesce((F.col(f"k{i}") >= min_samples) & (F.col("top") > lfc_min + s), F.lit(False)).cast("int") for i in range(len(floors)) for s in shifts]
+    passed = sum(tests[1:], tests[0])
+    return d.select("feature", "class", "n_supporting", "raw_effect", "effect", passed.alias("passed"), (passed / len(tests)).alias("screen_fraction"))
 
 
-def rank_change(obs: DataFrame) -> DataFrame:
-    """Places of features within their class by two effects, and the change."""
-    a = Window.partitionBy("class").orderBy(F.col("lfc").desc_nulls_last(), "feature")
-    b = Window.partitionBy("class").orderBy(F.col("shrunk").desc_nulls_last(), "feature")
-    d = obs.withColumn("place", F.row_number().over(a)).withColumn("shrunk_place", F.row_number().over(b))
-    return d.withColumn("change", F.col("shrunk_place") - F.col("place"))
+def rank_change(stable: DataFrame) -> DataFrame:
+    """Places within the class by raw and by shrunk effect, after the number of supporting comparisons; change: raw less shrunk place."""
+    order = lambda c: [F.desc("n_supporting"), F.col(c).desc_nulls_last(), F.col("feature").asc()]
+    d = places(places(stable, ["class"], order("raw_effect"), "raw_place"), ["class"], order("effect"), "shrunk_place")
+    return d.withColumn("change", F.col("raw_place") - F.col("shrunk_place"))
 
 
 def coverage(edges: DataFrame, classes: DataFrame) -> DataFrame:
-    """For each regulator: targets, targets of each class, of several classes, and the dominant class (``mixed`` on ties).
+    """For each regulator: targets, those of several classes, number and share of each class's, whether several classes occur, and the dominant one (``mixed`` on ties).
 
     classes: (feature, class), one row for each class of a feature.
     """
@@ -110,7 +152,8 @@ def coverage(edges: DataFrame, classes: DataFrame) -> DataFrame:
     per = one.join(c, "feature").groupBy("src", "class").agg(F.count("*").alias("n"))
     top = per.groupBy("src").agg(F.max("n").alias("m"), F.array_sort(F.collect_list(F.struct("class", "n"))).alias("by_class"))
     lead = F.filter("by_class", lambda x: x["n"] == F.col("m"))
-    return size.join(top, "src", "left").select("src", "targets", "multi_class", "by_class", F.when(F.size(lead) == 1, lead[0]["class"]).otherwise("mixed").alias("dominant"))
+    by = F.transform(F.coalesce("by_class", F.array().cast("array<struct<class:string,n:bigint>>")), lambda x: F.struct(x["class"].alias("class"), x["n"].alias("n"), F.round(x["n"] / F.col("targets"), 3).alias("share")))
+    return size.join(top, "src", "left").select("src", "targets", "multi_class", by.alias("by_class"), (F.size(by) > 1).alias("several"), F.when(F.size(lead) == 1, lead[0]["class"]).otherwise("mixed").alias("dominant"))
 
 
 def enrichment(edges: DataFrame, universe: DataFrame, overlap: bool = False) -> DataFrame:
@@ -129,7 +172,7 @@ def enrichment(edges: DataFrame, universe: DataFrame, overlap: bool = False) ->
         F.count_if(F.col("up") & (F.col("effect") == "activates")).alias("agree_up"), F.count_if(F.col("down") & (F.col("effect") == "represses")).alias("agree_down"),
         *([F.array_sort(F.collect_list(F.when(F.col("up") | F.col("down"), F.col("feature")))).alias("overlap")] if overlap else []),
     )
-    d = sets.join(F.broadcast(totals), "dataset")
+    d = sets.join(broadcast_if_small(totals), "dataset")
     sides = F.array(*[F.struct(F.lit(s).alias("direction"), F.col(f"a_{s}").alias("a"), F.col(f"n_{s}").alias("responsive"), F.col(f"agree_{s}").alias("agree")) for s in ("up", "down")])
     d = d.select("src", "dataset", "targets", "background", *(["overlap"] if overlap else []), F.explode(sides).alias("s")).select("src", "dataset", "targets", "background", *(["overlap"] if overlap else []), "s.*")
     d = d.withColumn("b", F.col("targets") - F.col("a")).withColumn("c", F.col("responsive") - F.col("a")).withColumn("d", F.col("background") - F.col("targets") - F.col("responsive") + F.col("a"))

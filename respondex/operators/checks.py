@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from respondex.functions.scalar import version
+
 
 def failing(df: DataFrame, name: str, key: str | Column, wrong: Column) -> DataFrame:
     """Rows for which ``wrong`` is true."""
@@ -79,6 +81,14 @@ def lock_mismatches(files: DataFrame, lock: DataFrame) -> DataFrame:
     return failing(d, "lock", "name", ~(F.col("sha256").eqNullSafe(F.col("want")) & F.col("size").eqNullSafe(F.col("want_size"))))
 
 
+def releases(sources: DataFrame, least: str) -> DataFrame:
+    """Sources whose release is not the one that most have (ties: the lesser), and those of a version below ``least``; sources: (name, release, version), few rows."""
+    first = sources.groupBy("release").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "release").first()
+    d = sources.where(~F.col("release").eqNullSafe(F.lit(first["release"] if first else None)))
+    old = failing(sources, "version", "name", ~F.coalesce(version(F.col("version")) >= version(F.lit(least)), F.lit(False)))
+    return failing(d, "release", "name", F.lit(True)).unionByName(old)
+
+
 def file_hashes(spark, path: str) -> DataFrame:
     """``(name, sha256, size)`` of the files below a path."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

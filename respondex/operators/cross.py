@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from respondex.operators.fdr import adjust_all
+
 
 def both_ways(pairs: DataFrame) -> DataFrame:
     """Pairs and their reverses: effect negated, interval negated and swapped."""
@@ -17,24 +19,39 @@ def oriented_pairs(wanted: DataFrame, pairs: DataFrame) -> DataFrame:
     return wanted.join(both_ways(pairs), ["feature", "numerator", "denominator"], "left")
 
 
-def counterparts(seeds: DataFrame, obs: DataFrame, contrasts: DataFrame) -> DataFrame:
-    """Each seed (feature, dataset, class) with the results of all contrasts of other classes; contrasts is a small table."""
-    c = contrasts.select(F.col("dataset").alias("other"), F.col("class").alias("other_class"))
-    w = seeds.join(F.broadcast(c), F.col("class") != F.col("other_class"))
-    o = obs.select("feature", F.col("dataset").alias("other"), F.col("lfc").alias("other_lfc"), F.col("p").alias("other_p"))
+def counterparts(seeds: DataFrame, obs: DataFrame, contrasts: list[tuple[str, str]]) -> DataFrame:
+    """Each seed (feature, dataset, class) with the results of all contrasts of other classes; contrasts: (dataset, class) of the configuration.
+
+    obs: (feature, dataset, lfc, p[, ci_low, ci_high]).
+    """
+    others = F.filter(F.array(*[F.struct(F.lit(n).alias("other"), F.lit(k).alias("other_class")) for n, k in contrasts]), lambda x: x["other_class"] != F.col("class"))
+    w = seeds.select("*", F.explode(others).alias("x")).select(*seeds.columns, "x.*")
+    named = {"lfc": "other_lfc", "p": "other_p", "ci_low": "other_low", "ci_high": "other_high"}
+    o = obs.select("feature", F.col("dataset").alias("other"), *[F.col(c).alias(n) for c, n in named.items() if c in obs.columns])
     return w.join(o, ["feature", "other"], "left")
 
 
-def status(d: DataFrame, p_max: float, bound: float) -> DataFrame:
+def family_adjusted(pairs: DataFrame, p: str = "p") -> DataFrame:
+    """Pair results with ``family_padj``, over all features and pairs as one family."""
+    return adjust_all(pairs, p, "family_padj")
+
+
+def status(d: DataFrame, p_max: float, lfc_min: float, bound: float) -> DataFrame:
     """Whether the pair difference shows the seed or its counterpart to be stronger; no difference shown is inconclusive, never absence.
 
-    d has lfc, p, ci_low and ci_high of the pair.
+    d has family_padj, ci_low and ci_high of the pair, and other_lfc, other_p, other_low and
+    other_high of the counterpart.  The pair's interval must lie on one side of zero.
+    ``detected``: the counterpart responds itself; ``within_bound``: its own interval stays
+    inside the limit.
     """
-    sure = F.coalesce(F.col("p") < p_max, F.lit(False))
-    s = F.when(sure & (F.col("lfc") > 0), "discovery_response_stronger").when(sure & (F.col("lfc") < 0), "counterpart_response_stronger").otherwise("inconclusive")
-    return d.withColumn("status", s).withColumn("within_bound", F.coalesce((F.col("ci_low") > -bound) & (F.col("ci_high") < bound), F.lit(False)))
+    sure = F.coalesce(F.col("family_padj") < p_max, F.lit(False))
+    s = F.when(sure & (F.col("ci_low") > 0), "discovery_response_stronger").when(sure & (F.col("ci_high") < 0), "counterpart_response_stronger").otherwise("inconclusive")
+    usable = F.col("other_lfc").isNotNull() & F.col("other_p").between(0, 1)
+    detected = usable & (F.col("other_p") < p_max) & (F.abs("other_lfc") > lfc_min)
+    inside = usable & (F.col("other_low") > -bound) & (F.col("other_high") < bound)
+    return d.withColumn("status", s).withColumn("detected", F.coalesce(detected, F.lit(False))).withColumn("within_bound", F.coalesce(inside, F.lit(False)))
 
 
 def summary(cross: DataFrame) -> DataFrame:
-    """Share of comparisons in which the discovery response is stronger, and the largest counterpart effect."""
-    return cross.groupBy("feature").agg(F.avg((F.col("status") == "discovery_response_stronger").cast("double")).alias("stronger_fraction"), F.max(F.abs("other_lfc")).alias("max_other"))
+    """For each feature and class, the share of comparisons in which the discovery response is stronger, and the largest counterpart effect."""
+    return cross.groupBy("feature", "class").agg(F.avg((F.col("status") == "discovery_response_stronger").cast("double")).alias("stronger_fraction"), F.max(F.abs("other_lfc")).alias("max_other"))

@@ -1,53 +1,37 @@
-"""Benjamini-Hochberg adjustment, per family and over one family of any size."""
+"""Benjamini-Hochberg adjustment, within families or over one family, of any size."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from respondex.plans.ranges import cumulated, joined_by_value, with_side
 from respondex.plans.staging import staged
 
 
-def adjust_by_family(df: DataFrame, family: list[str], p: str = "p", out: str = "padj", nulls: str = "as_one") -> DataFrame:
+def adjust_by_family(df: DataFrame, family: list[str], p: str = "p", out: str = "padj", nulls: str = "as_one", partitions: int | None = None) -> DataFrame:
     """Adjusted p within each family; ties share a value.
 
     nulls: ``as_one`` counts missing p as 1 and adjusts them, ``exclude`` leaves them null.
+    The input is staged, as it is read twice.  The distinct p with their counts are
+    range-partitioned by family and p; each partition's number of rows and least raw value
+    give the offsets of ranks and of the running minimum, and the adjusted value of each
+    distinct p is joined back, so no task reads a whole family.
     """
     v = "__p"
     value = F.when(~F.isnan(p), F.col(p))
     df = df.withColumn(v, F.coalesce(value, F.lit(1.0)) if nulls == "as_one" else value)
-    w = Window.partitionBy(*family)
-    upto = w.orderBy(v).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = w.orderBy(v).rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    raw = F.col(v) * F.count(v).over(w) / F.count(v).over(upto)
-    return df.withColumn("__raw", F.when(F.col(v).isNotNull(), raw)).withColumn(out, F.least(F.lit(1.0), F.min("__raw").over(onward))).withColumn(out, F.when(F.col(v).isNotNull(), F.col(out))).drop(v, "__raw")
+    by = family or ["__all"]
+    df = staged(df if family else df.withColumn("__all", F.lit(0)), "bh-input")
+    raw = staged(cumulated(df, by, v, partitions).withColumn("__raw", F.col(v) * F.col("__total") / F.col("__upto")), "bh-raw")
+    least = raw.groupBy(*by, "__part").agg(F.min("__raw").alias("__least"))
+    later = F.min("__least").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(1, Window.unboundedFollowing))
+    d = with_side(raw, least.select(*by, "__part", later.alias("__later")), [*by, "__part"])
+    here = F.min("__raw").over(Window.partitionBy("__part", *by).orderBy(v).rowsBetween(0, Window.unboundedFollowing))
+    done = d.select(*by, v, F.least(F.lit(1.0), here, F.col("__later")).alias(out))
+    return joined_by_value(df, done, by, v).drop(v, "__all")
 
 
 def adjust_all(df: DataFrame, p: str = "p", out: str = "padj", partitions: int | None = None) -> DataFrame:
-    """Adjusted p over all rows as one family, without a window in one partition; missing p stay null.
-
-    The distinct p with their counts are range-partitioned.  Each partition's number of
-    rows and least raw value (one row a partition) give the offsets of ranks and of the
-    running minimum; the adjusted value of each distinct p is joined back.
-    """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = df.where(F.col(p).isNotNull() & ~F.isnan(p)).groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__k"))
-    parts = staged(counts.repartitionByRange(n, "__p").withColumn("__part", F.spark_partition_id()), "bh-distinct")
-    sizes = {r["__part"]: r["k"] for r in parts.groupBy("__part").agg(F.sum("__k").alias("k")).collect()}
-    total, before, run = sum(sizes.values()), {}, 0
-    for i in sorted(sizes):
-        before[i], run = run, run + sizes[i]
-    if not sizes:
-        return df.withColumn(out, F.lit(None).cast("double"))
-    offsets = F.create_map(*[F.lit(x) for i in before for x in (i, before[i])])
-    w = Window.partitionBy("__part")
-    rank = F.element_at(offsets, F.col("__part")) + F.sum("__k").over(w.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0))
-    raw = staged(parts.withColumn("__raw", F.col("__p") * total / rank), "bh-raw")
-    least = {r["__part"]: r["m"] for r in raw.groupBy("__part").agg(F.min("__raw").alias("m")).collect()}
-    after, low = {}, float("inf")
-    for i in sorted(least, reverse=True):
-        after[i], low = low, min(low, least[i])
-    later = F.create_map(*[F.lit(x) for i in after for x in (i, float(after[i]))])
-    done = raw.select(F.col("__p").alias(p), F.least(F.lit(1.0), F.min("__raw").over(w.orderBy("__p").rowsBetween(0, Window.unboundedFollowing)), F.element_at(later, F.col("__part"))).alias(out))
-    return df.join(done, p, "left")
+    """Adjusted p over all rows as one family; missing p stay null."""
+    return adjust_by_family(df, [], p, out, "exclude", partitions)

@@ -10,14 +10,19 @@ from respondex.operators.components import connected_components
 from respondex.plans.staging import staged
 
 
-def collapsed_edges(raw: DataFrame, least: int = 0) -> DataFrame:
+def collapsed_edges(raw: DataFrame, least: int = 0, keep: bool = False) -> DataFrame:
     """One edge for each ``(src, dst)``: best confidence rank, joint effect (opposing signs are ``dual``), number of records.
 
-    Rows of unknown sign or of a rank below ``least`` are left out first.
+    Rows of unknown sign or of a rank below ``least`` are left out first.  keep: each
+    distinct kind of record with its number as ``evidence``, combined before the shuffle.
     """
     d = raw.withColumn("rank", F.coalesce(lookup(CONFIDENCE, F.col("confidence")), F.lit(0))).withColumn("effect", lookup(EFFECTS, F.col("sign"))).where(F.col("effect").isNotNull() & (F.col("rank") >= least))
-    one = d.groupBy("src", "dst").agg(F.max("rank").alias("rank"), F.min("effect").alias("a"), F.max("effect").alias("b"), F.count("*").alias("n_evidence"))
-    return one.select("src", "dst", "rank", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("dual").alias("effect"), "n_evidence")
+    if keep:
+        d = d.groupBy("src", "dst", "sign", "confidence", "rank", "effect").agg(F.count("*").alias("k"))
+    records = F.sum("k") if keep else F.count("*")
+    kept = [F.array_sort(F.collect_list(F.struct("sign", "confidence", "k"))).alias("evidence")] if keep else []
+    one = d.groupBy("src", "dst").agg(F.max("rank").alias("rank"), F.min("effect").alias("a"), F.max("effect").alias("b"), records.alias("n_evidence"), *kept)
+    return one.select("src", "dst", "rank", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("dual").alias("effect"), "n_evidence", *(["evidence"] if keep else []))
 
 
 def nodes(edges: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -27,21 +27,27 @@ def valid_sites(sites: DataFrame) -> DataFrame:
     return sites.where("left > 0 AND right >= left")
 
 
-def fragments(promoters: DataFrame, sites: DataFrame, length: int, up: int, down: int) -> DataFrame:
-    """Window of each promoter along its strand, stretched to linked sites and clamped to the sequence.
+def fragments(promoters: DataFrame, sites: DataFrame, length: int, up: int, down: int, genes: DataFrame | None = None, width: int = 5000) -> DataFrame:
+    """Window of each promoter along its strand, stretched to linked sites and clamped to the sequence, with the sites and the genes that overlap it.
 
-    promoters: (promoter, tss, strand).  sites: (promoter, left, right).  A missing start or
-    strand gives a status row without a window.
+    promoters: (promoter, tss, strand).  sites: (promoter, left, right).  genes: (gene, s, e).
+    A missing start or strand gives a status row without a window.
     """
     ok = F.col("tss").isNotNull() & F.col("strand").isin("+", "-")
     lo = F.when(F.col("strand") == "+", F.col("tss") - up).otherwise(F.col("tss") - down)
     hi = F.when(F.col("strand") == "+", F.col("tss") + down).otherwise(F.col("tss") + up)
-    linked = valid_sites(sites).groupBy("promoter").agg(F.min("left").alias("left"), F.max("right").alias("right"), F.count("*").alias("sites"))
+    linked = valid_sites(sites).groupBy("promoter").agg(F.min("left").alias("left"), F.max("right").alias("right"), F.count("*").alias("sites"), F.array_sort(F.collect_set(F.struct("left", "right"))).alias("site_list"))
     d = promoters.withColumn("lo", F.when(ok, lo)).withColumn("hi", F.when(ok, hi)).join(linked, "promoter", "left")
-    return d.select(
+    out = d.select(
         "promoter", "tss", "strand", F.when(ok, F.greatest(F.lit(1), F.least("lo", F.coalesce("left", "lo")))).alias("start"), F.when(ok, F.least(F.lit(length), F.greatest("hi", F.coalesce("right", "hi")))).alias("end"),
         F.coalesce("sites", F.lit(0)).alias("sites"), F.coalesce((F.col("left") < F.col("lo")) | (F.col("right") > F.col("hi")), F.lit(False)).alias("stretched"), F.when(ok, "ready").otherwise("missing_coordinates").alias("status"),
+        F.coalesce("site_list", F.array().cast(dict(linked.dtypes)["site_list"])).alias("site_list"),
     )
+    if genes is None:
+        return out
+    near = overlaps(out.where("status = 'ready'").select("promoter", F.col("start").alias("s"), F.col("end").alias("e")), genes.select("gene", "s", "e"), [], width)
+    names = near.groupBy("promoter").agg(F.array_sort(F.collect_set("gene_b")).alias("genes"))
+    return out.join(names, "promoter", "left").withColumn("genes", F.coalesce("genes", F.array().cast(dict(names.dtypes)["genes"])))
 
 
 def linked_sites(windows: DataFrame, sites: DataFrame) -> DataFrame:

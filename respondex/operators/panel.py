@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from respondex.plans.staging import staged
 
@@ -21,61 +24,97 @@ def promoter_rollup(mapped: DataFrame, tiers: DataFrame) -> DataFrame:
     return d.groupBy("promoter").agg(F.array_sort(F.collect_set("feature")).alias("features"), F.array_sort(F.collect_set("tu")).alias("units"), F.array_sort(F.collect_set("tier")).alias("tiers"))
 
 
-def options(stability: DataFrame, cross: DataFrame, cv: DataFrame, candidates: DataFrame, mapped: DataFrame) -> DataFrame:
-    """Panel options: one row for each candidate and promoter; a feature without a unit group is its own group."""
-    d = candidates.join(stability.select("feature", "screen_fraction"), "feature").join(mapped.where("promoter IS NOT NULL").select("feature", "promoter", F.col("tu").alias("grp")).distinct(), "feature")
-    d = d.join(cross, "feature", "left").join(cv.groupBy("feature").agg(F.max("cv").alias("max_cv")), "feature", "left")
-    return d.withColumn("grp", F.coalesce("grp", -F.col("feature")))
+def options(stability: DataFrame, cross: DataFrame, cv: DataFrame, regulators: DataFrame, mapped: DataFrame, fragments: DataFrame) -> DataFrame:
+    """Panel options: one row for each class, candidate and promoter; a feature without a unit group is its own group.
+
+    stability, cross: by (feature, class).  cv: (feature, cv), the largest counts.
+    regulators: (feature, regulators).  mapped: (feature, promoter, grp) of mapped
+    promoters.  fragments: (promoter, confidence_rank, matches).
+    """
+    d = stability.join(cross, ["feature", "class"], "left").join(cv.groupBy("feature").agg(F.max("cv").alias("max_cv")), "feature", "left")
+    d = d.join(regulators.select("feature", "regulators"), "feature").join(mapped.where("promoter IS NOT NULL").select("feature", "promoter", "grp").distinct(), "feature")
+    d = d.join(fragments.select("promoter", F.coalesce("confidence_rank", F.lit(0)).alias("confidence_rank"), "matches"), "promoter")
+    return d.withColumn("grp", F.coalesce("grp", -F.col("feature")) if dict(d.dtypes)["grp"] != "string" else F.coalesce("grp", F.col("feature").cast("string")))
 
 
-#: Keys after the reuse penalty, best first: (column, largest first).
-ORDER = [("screen_fraction", True), ("stronger_fraction", True), ("rank", True), ("effect", True), ("max_other", False), ("max_cv", False)]
+#: Sort keys of the balanced panel and of the baseline, best first: (column, largest first); missing values are last.
+BALANCED = [("n_supporting", True), ("screen_fraction", True), ("confidence_rank", True), ("reuse", False), ("stronger_fraction", True), ("max_other", False), ("effect", True), ("feature", False), ("promoter", False)]
+EFFECT_ONLY = [("effect", True), ("confidence_rank", True), ("feature", False), ("promoter", False)]
 
 
-def balanced(opts: DataFrame, per_class: int, order: list[tuple[str, bool]] = ORDER) -> DataFrame:
-    """Greedy panel, one pick a class in turn: no promoter, group or feature twice, regulators used before count against an option.
+def greedy(opts: DataFrame, per_class: int, order: list[tuple[str, bool]], once: list[str], classes: list[str] | None = None) -> DataFrame:
+    """One pick a class in turn: the best option whose ``once`` columns have no value that was picked before.
 
-    A pick depends on those before it, so it takes 2 * per_class top-one jobs over the
-    staged options; each reads them once and returns one row.  Ends early if a class has
-    nothing left.  opts: (feature, class, promoter, grp, regulators, ...).
+    A pick depends on those before it, so it takes per_class top-one jobs for each class over
+    the staged options; each reads them once and returns one row.  A class with nothing left
+    is passed over.  Options whose sequence doesn't match the reference are not eligible.
+    ``reuse`` counts how often an option's regulators were picked; null without regulators.
     """
     spark = opts.sparkSession
-    opts = staged(opts, "panel-options")
-    classes = [r["class"] for r in opts.select("class").distinct().orderBy("class").collect()]
-    picked, uses = [], {}
-    keys = [(F.col(c).desc_nulls_last() if most else F.col(c).asc_nulls_last()) for c, most in order if c in opts.columns]
-    for turn in range(per_class):
+    opts = staged(opts.where("matches"), "panel-options")
+    classes = classes or [r["class"] for r in opts.select("class").distinct().orderBy("class").collect()]
+    picked: list[dict] = []
+    for _ in range(per_class):
         for name in classes:
             left = opts.where(F.col("class") == name)
-            for c in ("promoter", "grp", "feature"):
-                taken = [r[c] for r in picked if r[c] is not None]
-                left = left.where(~F.coalesce(F.col(c).isin(taken), F.lit(False))) if taken else left
+            for c in once:
+                if taken := [r[c] for r in picked]:
+                    left = left.where(~F.col(c).isin(taken))
+            uses = Counter(x for r in picked for x in r["regulators"] or [])
             table = F.create_map(*[F.lit(x) for kv in uses.items() for x in kv]) if uses else None
-            reuse = F.aggregate(F.transform("regulators", lambda r: F.coalesce(F.element_at(table, r), F.lit(0))), F.lit(0), lambda a, x: a + x) if uses else F.lit(0)
-            best = left.withColumn("reuse", reuse).orderBy("reuse", *keys, "feature", "promoter").limit(1).collect()
-            for r in best:
-                picked.append({"place": len(picked) + 1, "turn": turn + 1, "class": name, "feature": r["feature"], "promoter": r["promoter"], "grp": r["grp"]})
-                for x in r["regulators"] or []:
-                    uses[x] = uses.get(x, 0) + 1
-    kind = opts.schema
-    return spark.createDataFrame([tuple(r.values()) for r in picked], f"place int, turn int, class string, feature {kind['feature'].dataType.simpleString()}, promoter {kind['promoter'].dataType.simpleString()}, grp {kind['grp'].dataType.simpleString()}")
+            count = F.aggregate(F.transform("regulators", lambda r: F.coalesce(F.element_at(table, r), F.lit(0))), F.lit(0), lambda a, x: a + x) if uses else F.lit(0)
+            keys = [F.col(c).desc_nulls_last() if most else F.col(c).asc_nulls_last() for c, most in order]
+            best = left.withColumn("reuse", F.when(F.size("regulators") > 0, count)).orderBy(*keys).limit(1).collect()
+            picked += [r.asDict() | {"place": len(picked) + 1} for r in best]
+    names = [*opts.columns, "reuse", "place"]
+    kind = StructType([*opts.schema.fields, StructField("reuse", IntegerType()), StructField("place", IntegerType())])
+    return spark.createDataFrame([tuple(r[c] for c in names) for r in picked], kind)
+
+
+def balanced(opts: DataFrame, per_class: int, classes: list[str] | None = None) -> DataFrame:
+    """Panel of ``per_class`` options a class, no promoter or unit group twice; used regulators count against an option."""
+    return greedy(opts, per_class, BALANCED, ["promoter", "grp"], classes)
+
+
+def effect_only(opts: DataFrame, per_class: int, classes: list[str] | None = None) -> DataFrame:
+    """Baseline: the largest effects of each class in turn, features distinct across classes, promoters and groups as they come."""
+    return greedy(opts.where("effect IS NOT NULL"), per_class, EFFECT_ONLY, ["feature"], classes)
+
+
+def listing(panel: DataFrame) -> DataFrame:
+    """A panel in the order of its picks (a panel is as small as its budget)."""
+    return panel.orderBy("place")
+
+
+def quality_listing(quality: DataFrame) -> DataFrame:
+    """Sample quality by sample (one row a sample)."""
+    return quality.orderBy("sample")
 
 
-def effect_only(opts: DataFrame, per_class: int) -> DataFrame:
-    """Baseline: the largest effects of each class in turn, features distinct across classes."""
-    return balanced(opts.withColumns({"promoter": F.col("feature"), "grp": F.col("feature"), "regulators": F.array().cast(opts.schema["regulators"].dataType)}), per_class, [("effect", True), ("screen_fraction", True)])
+def metrics(panel: DataFrame) -> DataFrame:
+    """Slots, distinct features, promoters and groups, medians and missing values of a panel."""
+    return panel.agg(
+        F.count("*").alias("n"), F.count_distinct("feature").alias("features"), F.count_distinct("promoter").alias("promoters"), F.count_distinct("grp").alias("groups"), F.median("effect").alias("median_effect"),
+        F.median("screen_fraction").alias("median_screen"), F.median("max_other").alias("median_other"), F.count_if(F.col("max_other").isNull()).alias("missing_other"),
+    )
 
 
-def metrics(panel: DataFrame, opts: DataFrame) -> DataFrame:
-    """Distinct promoters and groups, medians and missing values of a panel; opts: one row a feature is used."""
-    first = opts.groupBy("feature").agg(F.first("effect").alias("effect"), F.first("max_other").alias("max_other"))
-    d = panel.join(first, "feature", "left")
-    return d.agg(F.count("*").alias("n"), F.count_distinct("promoter").alias("promoters"), F.count_distinct("grp").alias("groups"), F.count_distinct("feature").alias("features"), F.median("effect").alias("median_effect"), F.median("max_other").alias("median_other"), F.count_if(F.col("max_other").isNull()).alias("missing_other"))
+def violations(panel: DataFrame, opts: DataFrame, per_class: int) -> DataFrame:
+    """``(check, key)``: classes over budget, repeated options, picks outside the eligible pool, and picks whose metrics are not the pool's."""
+    key = ["class", "feature", "promoter"]
+    pool = opts.where("matches")
+    name = lambda d, check: d.select(F.lit(check).alias("check"), F.concat_ws("|", *[c for c in key if c in d.columns]).alias("key"))
+    over = panel.groupBy("class").agg(F.count("*").alias("n")).where(F.col("n") > per_class)
+    twice = pool.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    fields = ["effect", "screen_fraction", "max_other"]
+    stale = compared(panel.select(*key, *fields), pool.select(*key, *fields).join(panel.select(*key), key, "left_semi"), key)
+    outside = panel.select(*key).join(pool.select(*key), key, "left_anti")
+    return name(over, "budget").unionByName(name(twice, "repeated_option")).unionByName(name(outside, "outside_pool")).unionByName(name(stale.join(outside, key, "left_anti").select(*key).distinct(), "stale_metrics"))
 
 
 def compared(a: DataFrame, b: DataFrame, key: list[str], tolerance: float = 1e-9) -> DataFrame:
     """Numbers of a and b that differ by more than a relative tolerance, or are missing on one side: ``(key..., metric, a, b)``."""
     long = lambda d, v: d.select(*key, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias(v)) for c, t in d.dtypes if c not in key and t in ("double", "bigint", "int")])).alias("x")).select(*key, "x.*")
     d = long(a, "a").join(long(b, "b"), [*key, "metric"], "full")
-    far = F.abs(F.col("a") - F.col("b")) > tolerance * F.greatest(F.abs("a"), F.abs("b"))
+    far = F.abs(F.col("a") - F.col("b")) > F.greatest(F.lit(1e-12), tolerance * F.greatest(F.abs("a"), F.abs("b")))
     return d.where(F.coalesce(far, F.col("a").isNull() != F.col("b").isNull()))

@@ -7,6 +7,7 @@ row for every sample.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,10 +124,25 @@ def sample_quality(counts: DataFrame) -> DataFrame:
 
 
 def gram(norm: DataFrame, value: str = "log2") -> DataFrame:
-    """``(a, b, dot)`` of samples over feature-centred values; only sample pairs leave the tasks."""
-    center = norm.groupBy("feature").agg(F.avg(value).alias("c"), F.collect_list(F.struct("sample", F.col(value).alias("v"))).alias("xs"))
-    flat = center.select("c", F.explode("xs").alias("x"), "xs").select((F.col("x.v") - F.col("c")).alias("va"), F.col("x.sample").alias("a"), "c", F.explode("xs").alias("y"))
-    return flat.select("a", F.col("y.sample").alias("b"), (F.col("va") * (F.col("y.v") - F.col("c"))).alias("d")).groupBy("a", "b").agg(F.sum("d").alias("dot"))
+    """``(a, b, dot)`` of samples over feature-centred values; tasks sum matrix products of Arrow batches, only sample pairs leave them."""
+    rows = norm.groupBy("feature").agg(F.collect_list("sample").alias("s"), F.collect_list(F.col(value) - F.lit(0.0)).alias("v"), F.avg(value).alias("c"))
+
+    def products(batches):
+        names: dict[str, int] = {}
+        dots = np.zeros((0, 0))
+        for batch in batches:
+            s, v = batch.column("s"), batch.column("v")
+            at = np.array([names.setdefault(x, len(names)) for x in s.flatten().to_pylist()], np.int64)
+            if len(names) > len(dots):
+                dots = np.pad(dots, (0, len(names) - len(dots)))
+            of = np.repeat(np.arange(batch.num_rows), s.value_lengths().to_numpy())
+            x = np.zeros((batch.num_rows, len(names)))
+            x[of, at] = v.flatten().to_numpy() - batch.column("c").to_numpy()[of]
+            dots += x.T @ x
+        keys = list(names)
+        yield pa.RecordBatch.from_pydict({"a": pa.array([k for k in keys for _ in keys], pa.string()), "b": pa.array(keys * len(keys), pa.string()), "d": pa.array(dots.ravel(), pa.float64())})
+
+    return rows.mapInArrow(products, "a string, b string, d double").groupBy("a", "b").agg(F.sum("d").alias("dot"))
 
 
 def distances(g: DataFrame) -> DataFrame:
@@ -164,7 +180,7 @@ def finalised(results: DataFrame, alpha: float = 0.05, effect: float = 2.0, fami
     """Fills padj and its source, drops rows without an effect, labels and scores; input has lfc and p, and may have padj."""
     have = "padj" in results.columns
     d = results.withColumnRenamed("padj", "given") if have else results.withColumn("given", F.lit(None).cast("double"))
-    d = adjust_by_family(d, family or [], "p", "bh")
+    d = adjust_by_family(d, family or [], "p", "bh")  # without a family all rows are one
     source = F.when(F.col("p").isNull(), "no_valid_pvalue_set_to_1").when(F.col("given").isNotNull(), "input").otherwise("BH_from_pvalue")
     d = d.withColumn("padj_source", source).withColumn("padj", F.coalesce("given", "bh")).drop("given", "bh").where("lfc IS NOT NULL")
     return d.withColumn("regulation", response_label(F.col("lfc"), F.col("padj"), effect, alpha)).withColumn("signal", signal(F.col("lfc"), F.col("padj")))

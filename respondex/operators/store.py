@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from respondex.plans.skew import broadcast_if_small
+
 
 def upserted(rows: DataFrame, keys: list[str], order: Column, first: list[str] = (), last_filled: list[str] = (), first_filled: list[str] = ()) -> DataFrame:
     """One row a key: the first row's value, the last or the first value that is not null, in the given order."""
@@ -57,13 +61,20 @@ def reference_paths(interactions: DataFrame, tu_genes: DataFrame, tu_promoters:
 
 
 def candidate_paths(candidates: DataFrame, interactions: DataFrame, tu_genes: DataFrame, tu_promoters: DataFrame) -> DataFrame:
-    """``(feature, interaction)``: interactions of the feature itself, of its units and of their promoters; not those of sibling features."""
+    """``(feature, interaction, kind)``: interactions of the feature itself, of its units, and of its own or its units' promoters; not those of sibling features.
+
+    candidates: (feature[, promoter]), a promoter being the candidate's own.  Keys are made
+    distinct before the joins; an interaction has one kind, so no pair can come twice.
+    """
     c = candidates.select("feature").distinct()
     tus = c.join(tu_genes.select(F.col("gene").alias("feature"), "tu"), "feature").distinct()
-    proms = tus.join(tu_promoters, "tu").select("feature", "promoter").distinct()
-    own = interactions.where("kind = 'gene'").select(F.col("gene").alias("feature"), "interaction").join(c, "feature", "left_semi")
-    out = own.unionByName(proms.join(interactions.where("kind = 'promoter'").select("promoter", "interaction"), "promoter").select("feature", "interaction"))
-    return out.unionByName(tus.join(interactions.where("kind = 'tu'").select("tu", "interaction"), "tu").select("feature", "interaction")).distinct()
+    proms = tus.join(tu_promoters, "tu").select("feature", "promoter")
+    if "promoter" in candidates.columns:
+        proms = proms.unionByName(candidates.where("promoter IS NOT NULL").select("feature", "promoter"))
+    of = lambda kind, key: interactions.where(F.col("kind") == kind).select(key, "interaction", "kind")
+    own = c.join(of("gene", "gene").withColumnRenamed("gene", "feature"), "feature")
+    parts = [own, proms.distinct().join(of("promoter", "promoter"), "promoter"), tus.join(of("tu", "tu"), "tu")]
+    return reduce(DataFrame.unionByName, [x.select("feature", "interaction", "kind") for x in parts])
 
 
 def actor_interactions(interactions: DataFrame, regulator: int | None = None, kind: str | None = None) -> DataFrame:
@@ -84,16 +95,44 @@ def details(key: str, base: DataFrame, children: dict[str, DataFrame]) -> DataFr
 
 def local_graph(paths: DataFrame, interactions: DataFrame) -> DataFrame:
     """Distinct edges ``(feature, src, dst, kind)`` of each feature's evidence: regulation by interaction, and the target's context."""
-    d = paths.join(interactions, "interaction")
+    d = paths.select("feature", "interaction").join(interactions, "interaction")
     target = F.concat(F.col("kind"), F.lit(":"), F.coalesce("gene", "promoter", "tu"))
     reg = d.select("feature", F.concat(F.lit("regulator:"), "regulator").alias("src"), target.alias("dst"), F.lit("regulation").alias("kind"))
     ctx = d.where("kind <> 'gene'").select("feature", target.alias("src"), F.concat(F.lit("gene:"), "feature").alias("dst"), F.lit("context").alias("kind"))
     return reg.unionByName(ctx).distinct()
 
 
-def reference_coverage(interactions: DataFrame, tu_promoters: DataFrame) -> DataFrame:
-    """Interactions by target kind, and how many have no promoter."""
-    has = tu_promoters.select("tu").distinct().withColumn("has", F.lit(True))
-    d = interactions.join(has, "tu", "left")
-    lacking = (F.col("kind") == "tu") & F.col("has").isNull()
+def local_nodes(graph: DataFrame) -> DataFrame:
+    """``(feature, node, kind)`` of the ends of local edges; the kind is what stands before the colon, the feature itself is ``candidate``."""
+    ends = graph.select("feature", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    own = F.concat(F.lit("gene:"), F.col("feature").cast("string"))
+    return ends.withColumn("kind", F.when(F.col("node") == own, "candidate").otherwise(F.split_part("node", F.lit(":"), F.lit(1))))
+
+
+def panel_review(panel: DataFrame, newest: DataFrame) -> DataFrame:
+    """Panel rows with the state of their feature's newest review; none is ``unreviewed``."""
+    return panel.join(newest.select("feature", "status"), "feature", "left").withColumn("status", F.coalesce("status", F.lit("unreviewed")))
+
+
+def exposures(samples: DataFrame, conditions: DataFrame) -> DataFrame:
+    """Samples with their condition's medium, dose, unit, hours and role; samples of an unknown condition keep nulls.
+
+    conditions: one row a condition.
+    """
+    return samples.join(broadcast_if_small(conditions.select("condition", "medium", "dose", "unit", "hours", "role")), "condition", "left")
+
+
+def candidate_coverage(candidates: DataFrame, mapped: DataFrame) -> DataFrame:
+    """Candidates, those with a mapped promoter, and their share: one row; mapped: (feature, promoter)."""
+    has = mapped.where("promoter IS NOT NULL").select("feature").distinct().withColumn("has", F.lit(True))
+    d = candidates.select("feature").distinct().join(has, "feature", "left")
+    return d.agg(F.count("*").alias("n"), F.count("has").alias("mapped"), F.try_divide(F.count("has"), F.count("*")).alias("share"))
+
+
+def reference_coverage(interactions: DataFrame, tu_genes: DataFrame, tu_promoters: DataFrame) -> DataFrame:
+    """Interactions by target kind, and how many have no promoter: neither as a target nor by the target's units."""
+    tus = tu_promoters.select("tu").distinct().withColumn("by_tu", F.lit(True))
+    genes = tu_genes.join(tus, "tu", "left_semi").select("gene").distinct().withColumn("by_gene", F.lit(True))
+    d = interactions.join(tus, "tu", "left").join(genes, "gene", "left")
+    lacking = F.when(F.col("kind") == "tu", F.col("by_tu").isNull()).when(F.col("kind") == "gene", F.col("by_gene").isNull()).otherwise(F.lit(False))
     return d.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(lacking).alias("without_promoter"))

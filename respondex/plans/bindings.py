@@ -18,6 +18,8 @@ CONDITIONS, REPLICATES = ["A", "N", "R"], [0, 1, 2]
 CONTRASTS = [("alpha", "A", "N", "one", "discovery"), ("rho", "R", "N", "two", "discovery"), ("versus", "A", "R", "one", "challenge")]
 #: Limits under which the random driver data have responses.
 P_MAX, LFC_MIN = 0.2, 1.0
+#: Datasets of each class.
+CONFIGURED = {k: [n for n, _, _, cls, _ in CONTRASTS if cls == k] for k in ("one", "two")}
 
 
 def counts(spark: SparkSession, d: str) -> DataFrame:
@@ -42,6 +44,11 @@ def observations(spark: SparkSession, d: str) -> DataFrame:
     return response.pooled_p4(long).select("feature", "dataset", "class", "role", F.round("lfc", 9).alias("lfc"), F.round("p", 9).alias("p"))
 
 
+def shrunk(spark: SparkSession, d: str) -> DataFrame:
+    """Observations with a shrunk effect."""
+    return observations(spark, d).withColumn("shrunk", F.round(F.col("lfc") * (1 - F.col("p")), 9))
+
+
 def edges_raw(spark: SparkSession, d: str) -> DataFrame:
     """``(src, dst, sign, confidence)``: one row a line item."""
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linestatus")
@@ -65,6 +72,11 @@ _PIECES = [
     ("edges", "SELECT src, dst, max(CASE confidence WHEN 'C' THEN 3 WHEN 'S' THEN 2 ELSE 1 END) AS rank, CASE WHEN count(DISTINCT sign) > 1 THEN 'dual' WHEN max(sign) = '+' THEN 'activates' ELSE 'represses' END AS effect, count(*) AS n_evidence FROM edges_raw GROUP BY 1, 2"),
     ("hits", "SELECT *, coalesce(p < 0.2 AND abs(lfc) > 1.0, false) AS hit FROM obs"),
     ("seeds", "SELECT DISTINCT feature FROM hits WHERE hit AND role <> 'challenge'"),
+    ("evc", "SELECT feature, class, count(DISTINCT dataset) AS seen, count(DISTINCT dataset) FILTER (WHERE qual) AS n, max(dataset) FILTER (WHERE qual) AS ds, bool_or(hit AND lfc > 0) AS up, bool_or(hit AND lfc < 0) AS down, bool_or(qual AND role <> 'challenge') AS seed, max(lfc) FILTER (WHERE qual AND role <> 'challenge') AS strongest FROM (SELECT *, hit AND lfc > 0 AS qual FROM hits) GROUP BY 1, 2"),
+    ("evt", "SELECT *, CASE WHEN n = 0 THEN NULL WHEN up AND down THEN 'within_class_direction_difference' WHEN n > 1 THEN 'multiple_comparisons_supported' ELSE 'single_comparison_supported' END AS tier FROM evc"),
+    ("ev", "SELECT feature, CASE WHEN bool_or(up AND down) THEN 'within_class_direction_difference' WHEN bool_or(tier = 'multiple_comparisons_supported') THEN 'multiple_comparisons_supported' ELSE 'single_comparison_supported' END AS tier, CASE WHEN count(*) FILTER (WHERE n > 0) > 1 THEN 'cross' ELSE max(class) FILTER (WHERE n > 0) END AS grp, CAST(sum(seen) AS BIGINT) AS n_seen, CAST(sum(n) AS BIGINT) AS n_hits, bool_or(up AND down) AS direction_conflict, bool_or(up) AND bool_or(down) AND NOT bool_or(up AND down) AS cross_difference, sum(n) = 1 AND max(ds) = 'alpha' AS lone, max(strongest) AS primary_effect, coalesce(max(round(n / 2, 3)) FILTER (WHERE class = 'one'), 0) AS support_one, coalesce(max(round(n / 1, 3)) FILTER (WHERE class = 'two'), 0) AS support_two FROM evt GROUP BY 1 HAVING bool_or(seed)"),
+    ("supply", "SELECT feature, count(*) FILTER (WHERE value >= 40) AS k0, count(*) FILTER (WHERE value >= 80) AS k1, count(*) FILTER (WHERE value >= 200) AS k2 FROM counts GROUP BY 1"),
+    ("stab", "SELECT feature, class, n_supporting, raw_effect, effect, " + " + ".join(f"CASE WHEN k{i} >= 3 AND top > 1.0 + {s} THEN 1 ELSE 0 END" for i in range(3) for s in (-0.5, 0.0, 0.5)) + " AS passed FROM (SELECT feature, class, count(*) FILTER (WHERE p < 0.2 AND lfc > 1.0) AS n_supporting, max(lfc) FILTER (WHERE p < 0.2 AND lfc > 1.0) AS raw_effect, max(round(lfc * (1 - p), 9)) FILTER (WHERE p < 0.2 AND lfc > 1.0) AS effect, max(lfc) FILTER (WHERE p < 0.2) AS top FROM obs WHERE role <> 'challenge' GROUP BY 1, 2) LEFT JOIN supply USING (feature) WHERE n_supporting > 0"),
     ("events_iv", "SELECT event_id, user_id, event_type, epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 1000000 + CAST(floor(value * 600) AS BIGINT) AS e FROM events"),
     ("unit_lists", "SELECT l_orderkey AS unit, l_partkey AS member FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderdate >= TIMESTAMP '1997-10-01' AND o_orderdate < TIMESTAMP '1997-10-15'"),
     ("tu_genes", "SELECT p_partkey % 70 AS tu, p_partkey AS gene FROM part UNION ALL SELECT 1000 + p_partkey % 13, p_partkey FROM part WHERE p_partkey % 5 = 0"),

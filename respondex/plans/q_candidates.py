@@ -10,19 +10,28 @@ from respondex.plans import bindings as b
 from respondex.plans.registry import query, rounded
 
 
-@query("a12_edge_collapse", b.with_tables("edges", "SELECT src, dst, CAST(rank AS INTEGER) AS rank, effect, n_evidence FROM edges"))
+@query("a12_edge_collapse", b.with_tables("edges", "SELECT src, dst, CAST(rank AS INTEGER) AS rank, effect, n_evidence, evidence FROM edges JOIN (SELECT src, dst, list_sort(list(sign || confidence || k)) AS evidence FROM (SELECT src, dst, sign, confidence, count(*) AS k FROM edges_raw GROUP BY 1, 2, 3, 4) GROUP BY 1, 2) USING (src, dst)"), lists=("evidence",))
 def a12(spark, d):
-    return b.edges(spark, d)
+    return g.collapsed_edges(b.edges_raw(spark, d), keep=True).withColumn("evidence", F.transform("evidence", lambda x: F.concat(x["sign"], x["confidence"], x["k"])))
 
 
-_EV = """SELECT feature, CAST(sum(seen) AS BIGINT) AS n_seen, CAST(sum(hits) AS BIGINT) AS n_hits, count(*) FILTER (WHERE hits > 0) AS n_classes, bool_or(up AND down) AS conflict_within, bool_or(up) AND bool_or(down) AS conflict, max(class) FILTER (WHERE hits > 0) AS one, max(hits / seen) AS support
-FROM (SELECT feature, class, count(DISTINCT dataset) AS seen, count(DISTINCT dataset) FILTER (WHERE hit) AS hits, coalesce(bool_or(lfc > 0) FILTER (WHERE hit), false) AS up, coalesce(bool_or(lfc < 0) FILTER (WHERE hit), false) AS down FROM hits GROUP BY 1, 2) GROUP BY 1"""
-_EV2 = f"SELECT feature, n_seen, n_hits, n_classes, conflict_within, conflict, support, CASE WHEN n_classes > 1 THEN 'cross' WHEN n_classes = 1 THEN one ELSE 'none' END AS grp, CASE WHEN n_classes > 1 AND NOT conflict THEN 'A' WHEN support = 1 THEN 'B' WHEN n_hits > 0 THEN 'C' ELSE 'D' END AS tier FROM ({_EV})"
+#: Support labels to their ranks.
+_RANK = "CASE tier WHEN 'multiple_comparisons_supported' THEN 0 WHEN 'single_comparison_supported' THEN 1 ELSE 2 END"
 
 
-@query("a13_evidence", b.with_tables("hits", f"SELECT * REPLACE (round(support, 6) AS support) FROM ({_EV2})"))
+def evidence(spark, d):
+    return c.evidence(b.observations(spark, d), b.CONFIGURED, b.P_MAX, b.LFC_MIN, lone="alpha", caveats={"versus": "two treatments"})
+
+
+def stable(spark, d):
+    return c.stability(b.shrunk(spark, d), b.counts(spark, d), [40, 80, 200], [-0.5, 0.0, 0.5], b.P_MAX, b.LFC_MIN)
+
+
+@query("a13_evidence", b.with_tables("ev", "SELECT feature, tier, grp, n_seen, n_hits, direction_conflict, cross_difference, support_one, support_two, list_filter([CASE WHEN direction_conflict THEN 'within_class_direction_difference' END, CASE WHEN cross_difference THEN 'cross_class_direction_difference' END, CASE WHEN lone THEN 'alpha_only' END], lambda x: x IS NOT NULL) AS flags, 'two treatments' AS caveats, round(primary_effect, 6) AS primary_effect, tiers, statuses FROM ev JOIN (SELECT feature, list_sort(list(class || ':' || tier)) AS tiers FROM evt WHERE n > 0 GROUP BY 1) USING (feature) JOIN (SELECT feature, list_sort(list(dataset || ':' || CASE WHEN hit THEN 'significant_response' WHEN lfc IS NOT NULL AND p BETWEEN 0 AND 1 THEN 'no_detected_response' ELSE 'unavailable' END)) AS statuses FROM hits GROUP BY 1) USING (feature)"), lists=("flags", "tiers", "statuses"))
 def a13(spark, d):
-    return rounded(c.evidence(b.observations(spark, d), b.P_MAX, b.LFC_MIN))
+    share = lambda i: F.get("support", F.lit(i))["share"]
+    out = evidence(spark, d).withColumns({"support_one": share(0), "support_two": share(1), "caveats": F.array_join("caveats", ";"), "statuses": F.transform("profile", lambda x: F.concat_ws(":", x["dataset"], x["status"])), "tiers": F.transform("tiers", lambda x: F.concat_ws(":", x["class"], x["tier"]))})
+    return rounded(out.drop("support", "classes", "profile"))
 
 
 @query("a14_seeds", b.with_tables("seeds", "SELECT feature, dataset, round(lfc, 6) + 0.0 AS lfc FROM obs SEMI JOIN seeds USING (feature)"))
@@ -31,11 +40,12 @@ def a14(spark, d):
 
 
 @query("a15_coverage", b.with_tables("hits", """, cls AS (SELECT DISTINCT feature, class FROM hits WHERE hit), e AS (SELECT DISTINCT src, dst AS feature FROM edges), per AS (SELECT src, class, count(*) AS n FROM e JOIN cls USING (feature) GROUP BY 1, 2)
-SELECT src, targets, multi_class, coalesce(CASE WHEN (SELECT count(*) FROM per p WHERE p.src = s.src AND p.n = (SELECT max(n) FROM per q WHERE q.src = s.src)) = 1 THEN (SELECT max_by(class, n) FROM per p WHERE p.src = s.src) END, 'mixed') AS dominant
-FROM (SELECT src, count(*) AS targets, count(*) FILTER (WHERE k > 1) AS multi_class FROM e LEFT JOIN (SELECT feature, count(*) AS k FROM cls GROUP BY 1) USING (feature) GROUP BY 1) s"""))
+SELECT src, targets, multi_class, coalesce(CASE WHEN (SELECT count(*) FROM per p WHERE p.src = s.src AND p.n = (SELECT max(n) FROM per q WHERE q.src = s.src)) = 1 THEN (SELECT max_by(class, n) FROM per p WHERE p.src = s.src) END, 'mixed') AS dominant, coalesce(n1, 0) AS n_one, coalesce(n2, 0) AS n_two, round(coalesce(n1, 0) / targets, 3) AS share_one, round(coalesce(n2, 0) / targets, 3) AS share_two, coalesce(n1, 0) > 0 AND coalesce(n2, 0) > 0 AS several
+FROM (SELECT src, count(*) AS targets, count(*) FILTER (WHERE k > 1) AS multi_class FROM e LEFT JOIN (SELECT feature, count(*) AS k FROM cls GROUP BY 1) USING (feature) GROUP BY 1) s LEFT JOIN (SELECT src, max(n) FILTER (WHERE class = 'one') AS n1, max(n) FILTER (WHERE class = 'two') AS n2 FROM per GROUP BY 1) USING (src)"""))
 def a15(spark, d):
     cls = b.observations(spark, d).where(c.hit(b.P_MAX, b.LFC_MIN)).select("feature", "class")
-    return c.coverage(b.edges(spark, d), cls).drop("by_class")
+    of = lambda k, x: F.coalesce(F.get(F.filter("by_class", lambda y: y["class"] == k), F.lit(0))[x], F.lit(0).cast("long" if x == "n" else "double"))
+    return c.coverage(b.edges(spark, d), cls).withColumns({f"{n}_{k}": of(k, x) for k in ("one", "two") for n, x in (("n", "n"), ("share", "share"))}).drop("by_class")
 
 
 _FISHER = """, u AS (SELECT dataset, feature, hit AND lfc > 0 AS up, hit AND lfc < 0 AS down FROM hits), tot AS (SELECT dataset, count(*) AS background, count(*) FILTER (WHERE up) AS n_up, count(*) FILTER (WHERE down) AS n_down FROM u GROUP BY 1),
@@ -58,20 +68,25 @@ def a16(spark, d):
     return rounded(out)
 
 
-@query("a27_tier_counts", b.with_tables("hits", f"SELECT tier, grp, count(*) AS n FROM ({_EV2}) GROUP BY 1, 2"))
+@query("a27_tier_counts", b.with_tables("ev", "SELECT tier, grp, count(*) AS n FROM ev GROUP BY 1, 2"))
 def a27(spark, d):
-    return c.evidence(b.observations(spark, d), b.P_MAX, b.LFC_MIN).groupBy("tier", "grp").agg(F.count("*").alias("n"))
+    return evidence(spark, d).groupBy("tier", "grp").agg(F.count("*").alias("n"))
 
 
-@query("k2_ranked", b.with_tables("hits", f"SELECT feature, tier, row_number() OVER (ORDER BY tier, effect DESC NULLS LAST, feature) AS rank FROM ({_EV2}) LEFT JOIN (SELECT feature, max(abs(lfc)) AS effect FROM obs GROUP BY 1) USING (feature)"))
+@query("k2_ranked", b.with_tables("ev", f"SELECT feature, tier, row_number() OVER (ORDER BY {_RANK}, primary_effect DESC NULLS LAST, feature) AS rank FROM ev"))
 def k2(spark, d):
-    o = b.observations(spark, d)
-    return c.ranked(c.evidence(o, b.P_MAX, b.LFC_MIN), o.groupBy("feature").agg(F.max(F.abs("lfc")).alias("effect"))).select("feature", "tier", "rank")
+    return c.ranked(evidence(spark, d)).select("feature", "tier", "rank")
 
 
-@query("k3_shortlist", b.with_tables("hits", "SELECT class, feature, hits, round(effect, 6) AS effect, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY hits DESC, effect DESC, feature) AS place FROM (SELECT class, feature, count(*) AS hits, max(abs(lfc)) AS effect FROM hits WHERE hit AND role <> 'challenge' GROUP BY 1, 2)) WHERE place <= 20"))
+@query("k3_shortlist", b.with_tables("ev", f"SELECT class, feature, tier, round(effect, 6) AS effect, CAST(place AS INTEGER) AS place FROM (SELECT class, feature, tier, strongest AS effect, row_number() OVER (PARTITION BY class ORDER BY {_RANK}, strongest DESC NULLS LAST, feature) AS place FROM evt WHERE n > 0 AND feature IN (SELECT feature FROM ev)) WHERE place <= 20"))
 def k3(spark, d):
-    return rounded(c.shortlist(b.observations(spark, d), b.P_MAX, b.LFC_MIN, 20))
+    return rounded(c.shortlist(evidence(spark, d), 20))
+
+
+@query("k3_shortlist_whole", b.with_tables("ev", f"SELECT class, feature, row_number() OVER (PARTITION BY class ORDER BY {_RANK}, strongest DESC NULLS LAST, feature) AS place FROM evt WHERE n > 0 AND feature IN (SELECT feature FROM ev)"))
+def k3_whole(spark, d):
+    """All supported candidates of each class."""
+    return c.shortlist(evidence(spark, d)).select("class", "feature", "place")
 
 
 @query("w6_top_by_class", b.with_tables("obs", "SELECT class, feature, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY s DESC NULLS LAST, feature) AS place FROM (SELECT class, feature, max(round(abs(lfc) * -log10(greatest(coalesce(p, 1.0), 1e-300)), 9)) AS s FROM obs GROUP BY 1, 2)) WHERE place <= 25"))
@@ -80,15 +95,14 @@ def w6(spark, d):
     return c.top_by_class(o, 25).drop("signal")
 
 
-@query("k4_stability", b.with_tables("obs", "SELECT feature, CAST(passed AS INTEGER) AS passed, round(passed / 9, 6) AS screen_fraction FROM (SELECT feature, " + " + ".join(f"CASE WHEN k{i} >= 3 AND effect > 1.0 + {s} THEN 1 ELSE 0 END" for i in range(3) for s in (-0.5, 0.0, 0.5)) + " AS passed FROM (SELECT feature, max(abs(lfc)) FILTER (WHERE p < 0.2) AS effect FROM obs WHERE role <> 'challenge' GROUP BY 1) JOIN (SELECT feature, count(*) FILTER (WHERE value >= 40) AS k0, count(*) FILTER (WHERE value >= 80) AS k1, count(*) FILTER (WHERE value >= 200) AS k2 FROM counts GROUP BY 1) USING (feature))"))
+@query("k4_stability", b.with_tables("stab", "SELECT feature, class, n_supporting, round(raw_effect, 6) AS raw_effect, round(effect, 6) AS effect, CAST(passed AS INTEGER) AS passed, round(passed / 9, 6) AS screen_fraction FROM stab"))
 def k4(spark, d):
-    return rounded(c.stability(b.observations(spark, d), b.counts(spark, d), [40, 80, 200], [-0.5, 0.0, 0.5], b.P_MAX, b.LFC_MIN))
+    return rounded(stable(spark, d))
 
 
-@query("w5_rank_change", b.with_tables("obs", "SELECT feature, dataset, CAST(b - a AS INTEGER) AS change FROM (SELECT feature, dataset, row_number() OVER (PARTITION BY dataset ORDER BY lfc DESC NULLS LAST, feature) AS a, row_number() OVER (PARTITION BY dataset ORDER BY round(lfc * (1 - p), 9) DESC NULLS LAST, feature) AS b FROM obs)"))
+@query("w5_rank_change", b.with_tables("stab", "SELECT feature, class, a AS raw_place, b AS shrunk_place, a - b AS change FROM (SELECT feature, class, row_number() OVER (PARTITION BY class ORDER BY n_supporting DESC, raw_effect DESC NULLS LAST, feature) AS a, row_number() OVER (PARTITION BY class ORDER BY n_supporting DESC, effect DESC NULLS LAST, feature) AS b FROM stab)"))
 def w5(spark, d):
-    o = b.observations(spark, d).withColumn("class", F.col("dataset")).withColumn("shrunk", F.round(F.col("lfc") * (1 - F.col("p")), 9))
-    return c.rank_change(o).select("feature", "dataset", "change")
+    return c.rank_change(stable(spark, d)).select("feature", "class", "raw_place", "shrunk_place", "change")
 
 
 @query("g1_nodes", b.with_tables("seeds", "SELECT node, CASE WHEN bool_or(k = 'c') THEN 'candidate' WHEN bool_or(k = 't') THEN 'target' ELSE 'regulator' END AS kind, bool_or(k = 'r') AS is_regulator FROM (SELECT CAST(feature AS VARCHAR) AS node, 'c' AS k FROM seeds UNION ALL SELECT CAST(dst AS VARCHAR), 't' FROM edges UNION ALL SELECT CAST(src AS VARCHAR), 'r' FROM edges) GROUP BY 1"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from respondex.operators import candidates as c
-from respondex.operators import cross, identity, interval, modules, panel, response
+from respondex.operators import cross, identity, interval, modules, panel, response, reviews, store
 from respondex.plans import bindings as b
+from respondex.plans.q_candidates import stable
 from respondex.plans.registry import query, rounded, table
+from respondex.plans.staging import staged
 
 _BRAND = "lower(p_brand || '-' || p_size || '-' || p_type)"
 
@@ -79,33 +81,37 @@ def j6(spark, d):
     return rounded(cross.oriented_pairs(wanted, _pairs(spark, d)))
 
 
-def _counterparts(spark, d):
+def _seeds(spark, d):
     o = b.observations(spark, d)
-    s = o.where(c.hit(b.P_MAX, b.LFC_MIN) & (F.col("role") == "discovery")).select("feature", "dataset", "class", "lfc")
-    k = spark.createDataFrame([(n, cls) for n, _, _, cls, role in b.CONTRASTS if role == "discovery"], "dataset string, class string")
-    return cross.counterparts(s, o, k)
+    return o, o.where(c.hit(b.P_MAX, b.LFC_MIN, up_only=True) & (F.col("role") == "discovery")).select("feature", "dataset", "class", "lfc")
+
+
+def _counterparts(spark, d):
+    o, s = _seeds(spark, d)
+    o = o.withColumn("ci_low", F.col("lfc") - 0.5).withColumn("ci_high", F.col("lfc") + 0.5)
+    return cross.counterparts(s, o, [(n, cls) for n, _, _, cls, role in b.CONTRASTS if role == "discovery"])
 
 
-@query("j7_counterparts", b.with_tables("hits", "SELECT h.feature, h.dataset, o.dataset AS other, round(o.lfc, 6) + 0.0 AS other_lfc, round(o.p, 6) AS other_p FROM hits h JOIN obs o ON o.feature = h.feature AND o.role = 'discovery' AND o.class <> h.class WHERE h.hit AND h.role = 'discovery'"))
+@query("j7_counterparts", b.with_tables("hits", "SELECT h.feature, h.dataset, o.dataset AS other, round(o.lfc, 6) + 0.0 AS other_lfc, round(o.p, 6) AS other_p FROM hits h JOIN obs o ON o.feature = h.feature AND o.role = 'discovery' AND o.class <> h.class WHERE h.hit AND h.lfc > 0 AND h.role = 'discovery'"))
 def j7(spark, d):
     return rounded(_counterparts(spark, d).select("feature", "dataset", "other", "other_lfc", "other_p"))
 
 
-_CROSS = ", cr AS (SELECT h.feature, h.dataset, o.lfc AS other_lfc, CASE h.dataset WHEN 'alpha' THEN v.lfc ELSE -v.lfc END AS lfc, v.p, CASE h.dataset WHEN 'alpha' THEN v.lfc - 0.5 ELSE -v.lfc - 0.5 END AS ci_low, CASE h.dataset WHEN 'alpha' THEN v.lfc + 0.5 ELSE -v.lfc + 0.5 END AS ci_high FROM hits h JOIN obs o ON o.feature = h.feature AND o.role = 'discovery' AND o.class <> h.class LEFT JOIN obs v ON v.feature = h.feature AND v.dataset = 'versus' WHERE h.hit AND h.role = 'discovery'), st AS (SELECT *, CASE WHEN p < 0.3 AND lfc > 0 THEN 'discovery_response_stronger' WHEN p < 0.3 AND lfc < 0 THEN 'counterpart_response_stronger' ELSE 'inconclusive' END AS status, coalesce(ci_low > -1 AND ci_high < 1, false) AS within_bound FROM cr)"
+_CROSS = ", fam AS (SELECT feature, lfc, least(1.0, min(raw) OVER (ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS family_padj FROM (SELECT feature, lfc, p, p * count(*) OVER () / count(*) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS raw FROM obs WHERE dataset = 'versus' AND p IS NOT NULL)), cr AS (SELECT h.feature, h.dataset, h.class, o.lfc AS other_lfc, o.p AS other_p, family_padj, CASE h.dataset WHEN 'alpha' THEN v.lfc ELSE -v.lfc END AS lfc FROM hits h JOIN obs o ON o.feature = h.feature AND o.role = 'discovery' AND o.class <> h.class LEFT JOIN fam v ON v.feature = h.feature WHERE h.hit AND h.lfc > 0 AND h.role = 'discovery'), st AS (SELECT *, CASE WHEN family_padj < 0.9 AND lfc - 0.5 > 0 THEN 'discovery_response_stronger' WHEN family_padj < 0.9 AND lfc + 0.5 < 0 THEN 'counterpart_response_stronger' ELSE 'inconclusive' END AS status, coalesce(other_p BETWEEN 0 AND 1 AND other_p < 0.9 AND abs(other_lfc) > 1, false) AS detected, coalesce(other_p BETWEEN 0 AND 1 AND other_lfc - 0.5 > -1 AND other_lfc + 0.5 < 1, false) AS within_bound FROM cr)"
 
 
 def _cross(spark, d):
-    w = _counterparts(spark, d).select("feature", "dataset", "other", "other_lfc", F.when(F.col("dataset") == "alpha", "A").otherwise("R").alias("numerator"), F.when(F.col("dataset") == "alpha", "R").otherwise("A").alias("denominator"))
+    w = _counterparts(spark, d).withColumns({"numerator": F.when(F.col("dataset") == "alpha", "A").otherwise("R"), "denominator": F.when(F.col("dataset") == "alpha", "R").otherwise("A")}).drop("lfc")
     v = b.observations(spark, d).where("dataset = 'versus'").select("feature", F.lit("A").alias("numerator"), F.lit("R").alias("denominator"), "lfc", "p", (F.col("lfc") - 0.5).alias("ci_low"), (F.col("lfc") + 0.5).alias("ci_high"))
-    return cross.status(cross.oriented_pairs(w, v), 0.3, 1.0)
+    return cross.status(cross.oriented_pairs(w, cross.family_adjusted(v).drop("p")), 0.9, b.LFC_MIN, 1.0)
 
 
-@query("i4_cross_status", b.with_tables("hits", _CROSS + " SELECT feature, dataset, status, within_bound FROM st"))
+@query("i4_cross_status", b.with_tables("hits", _CROSS + " SELECT feature, dataset, status, detected, within_bound FROM st"))
 def i4(spark, d):
-    return _cross(spark, d).select("feature", "dataset", "status", "within_bound")
+    return _cross(spark, d).select("feature", "dataset", "status", "detected", "within_bound")
 
 
-@query("a18_cross_summary", b.with_tables("hits", _CROSS + " SELECT feature, round(avg(CASE WHEN status = 'discovery_response_stronger' THEN 1.0 ELSE 0.0 END), 6) AS stronger_fraction, round(max(abs(other_lfc)), 6) AS max_other FROM st GROUP BY 1"))
+@query("a18_cross_summary", b.with_tables("hits", _CROSS + " SELECT feature, class, round(avg(CASE WHEN status = 'discovery_response_stronger' THEN 1.0 ELSE 0.0 END), 6) AS stronger_fraction, round(max(abs(other_lfc)), 6) AS max_other FROM st GROUP BY 1, 2"))
 def a18(spark, d):
     return rounded(cross.summary(_cross(spark, d)))
 
@@ -128,10 +134,12 @@ def _promoters(spark, d):
     return prom, sites
 
 
-@query("i1_fragments", b.with_tables("cells", _PROM + " SELECT * FROM frag"))
+@query("i1_fragments", b.with_tables("cells", _PROM + ", gn AS (SELECT s_suppkey AS gene, s_suppkey * 91 % 100000 AS s, s_suppkey * 91 % 100000 + 60 AS e FROM supplier) SELECT frag.*, coalesce(sl.site_list, []) AS site_list, coalesce(gl.genes, []) AS genes FROM frag LEFT JOIN (SELECT promoter, list_transform(list_sort(list(DISTINCT {'a': \"left\", 'b': \"right\"})), lambda x: x.a || '-' || x.b) AS site_list FROM vs GROUP BY 1) sl USING (promoter) LEFT JOIN (SELECT promoter, list_sort(list(DISTINCT gene)) AS genes FROM frag JOIN gn ON s <= \"end\" AND e >= start WHERE status = 'ready' GROUP BY 1) gl USING (promoter)"), lists=("site_list", "genes"))
 def i1(spark, d):
     prom, sites = _promoters(spark, d)
-    return interval.fragments(prom, sites, 100_000, 200, 30)
+    at = F.col("s_suppkey") * 91 % 100_000
+    genes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("gene"), at.alias("s"), (at + 60).alias("e"))
+    return interval.fragments(prom, sites, 100_000, 200, 30, genes).withColumn("site_list", F.transform("site_list", lambda x: F.concat_ws("-", x["left"], x["right"])))
 
 
 @query("i3_valid_sites", b.with_tables("cells", _PROM + " SELECT promoter, \"left\", \"right\" FROM vs"))
@@ -161,49 +169,96 @@ def i2(spark, d):
 
 
 def _options(spark, d):
-    o, n = b.observations(spark, d), b.norm(spark, d)
-    st = c.stability(o, b.counts(spark, d), [40, 80, 200], [-0.5, 0.0, 0.5], b.P_MAX, b.LFC_MIN)
-    best = o.where(c.hit(b.P_MAX, b.LFC_MIN) & (F.col("role") == "discovery")).groupBy("feature", "class").agg(F.max(F.abs("lfc")).alias("effect"))
-    regs = b.edges(spark, d).groupBy(F.col("dst").alias("feature")).agg(F.array_sort(F.collect_set("src")).alias("regulators"), F.max("rank").alias("rank"))
-    cands = best.join(regs, "feature")
-    cv = response.replicate_summary(n, ["feature", "condition"]).where("condition <> 'N'").select("feature", "cv")
-    return panel.options(st, cross.summary(_cross(spark, d)), cv, cands, _mapped(spark, d).where("status = 'mapped'"))
+    """Panel options, rounded as their SQL is, staged."""
+    regs = b.edges(spark, d).groupBy(F.col("dst").alias("feature")).agg(F.array_sort(F.collect_set("src")).alias("regulators"))
+    cv = response.replicate_summary(b.norm(spark, d), ["feature", "condition"]).where("condition <> 'N'").select("feature", "cv")
+    mapped = _mapped(spark, d).where("status = 'mapped'").select("feature", "promoter", F.col("tu").alias("grp"))
+    fragments = b.tu_promoters(b.tu_genes(spark, d)).select("promoter").distinct().select("promoter", (F.col("promoter") % 4).cast("int").alias("confidence_rank"), (F.col("promoter") % 5 > 0).alias("matches"))
+    return staged(rounded(panel.options(stable(spark, d), cross.summary(_cross(spark, d)), cv, regs, mapped, fragments)), "options")
+
+
+_OPT = _CROSS + ", sm AS (SELECT feature, class, avg(CASE WHEN status = 'discovery_response_stronger' THEN 1.0 ELSE 0.0 END) AS stronger_fraction, max(abs(other_lfc)) AS max_other FROM st GROUP BY 1, 2), rg AS (SELECT dst AS feature, list_sort(list(DISTINCT src)) AS regulators FROM edges GROUP BY 1), cvs AS (SELECT feature, max(CASE WHEN m > 0 THEN s / m END) AS max_cv FROM (SELECT feature, condition, avg(norm) AS m, stddev_samp(norm) AS s FROM norm WHERE condition <> 'N' GROUP BY 1, 2) GROUP BY 1), opt AS (SELECT stab.feature, stab.class, promoter, tu AS grp, n_supporting, round(raw_effect, 6) AS raw_effect, round(effect, 6) AS effect, CAST(passed AS INTEGER) AS passed, round(passed / 9, 6) AS screen_fraction, round(stronger_fraction, 6) AS stronger_fraction, round(max_other, 6) AS max_other, round(max_cv, 6) AS max_cv, regulators, CAST(promoter % 4 AS INTEGER) AS confidence_rank, promoter % 5 > 0 AS matches FROM stab JOIN rg USING (feature) JOIN (SELECT DISTINCT feature, promoter, tu FROM (" + _MAP + ") WHERE status = 'mapped') m ON m.feature = stab.feature LEFT JOIN sm ON sm.feature = stab.feature AND sm.class = stab.class LEFT JOIN cvs ON cvs.feature = stab.feature)"
+_REUSE = "CASE WHEN len(regulators) > 0 THEN coalesce(list_sum(list_transform(regulators, lambda r: len(list_filter(rs, lambda x: x = r)))), 0) END"
+
 
+def _picks(name: str, order: str, once: dict[str, str], more: str = "") -> str:
+    """A recursive table ``name`` of greedy picks, a class in turn; once: lists of values that were taken, by column."""
+    lists = {"rs": "regulators"} | once
+    start = ", ".join(f"CAST([] AS BIGINT[]) AS {x}" for x in lists)
+    grown = ", ".join(f"CASE WHEN feature IS NULL THEN {x} WHEN {c} IS NULL THEN {x} ELSE {'list_concat' if x == 'rs' else 'list_append'}({x}, {c}) END" for x, c in lists.items())
+    free = " AND ".join(f"NOT list_contains(s.{x}, o.{c})" for x, c in once.items())
+    fields = ["class", "feature", "promoter", "grp", "effect", "screen_fraction", "max_other"]
+    kinds = ["VARCHAR", "BIGINT", "BIGINT", "BIGINT", "DOUBLE", "DOUBLE", "DOUBLE"]
+    empty = ", ".join(f"CAST(NULL AS {k}) AS {f}" for f, k in zip(fields, kinds))
+    return f", {name} AS (SELECT 0 AS step, {start}, {empty} UNION ALL SELECT step + 1, {grown}, {', '.join(fields)} FROM (SELECT s.step, {', '.join('s.' + x for x in lists)}, o.* FROM {name} s LEFT JOIN opt o ON o.matches AND o.class = (CASE s.step % 2 WHEN 0 THEN 'one' ELSE 'two' END) AND {free} {more} WHERE s.step < 12 ORDER BY {order} LIMIT 1))"
 
-_OPT = _CROSS + ", sm AS (SELECT feature, avg(CASE WHEN status = 'discovery_response_stronger' THEN 1.0 ELSE 0.0 END) AS stronger_fraction, max(abs(other_lfc)) AS max_other FROM st GROUP BY 1), best AS (SELECT feature, class, max(abs(lfc)) AS effect FROM hits WHERE hit AND role = 'discovery' GROUP BY 1, 2), rg AS (SELECT dst AS feature, max(rank) AS rank FROM edges GROUP BY 1), cvs AS (SELECT feature, max(CASE WHEN m > 0 THEN s / m END) AS max_cv FROM (SELECT feature, condition, avg(norm) AS m, stddev_samp(norm) AS s FROM norm WHERE condition <> 'N' GROUP BY 1, 2) GROUP BY 1), sta AS (SELECT feature FROM obs WHERE role <> 'challenge' GROUP BY 1), opt AS (SELECT best.feature, best.class, promoter, tu AS grp, round(effect, 6) AS effect, CAST(rank AS INTEGER) AS rank, round(stronger_fraction, 6) AS stronger_fraction, round(max_other, 6) AS max_other, round(max_cv, 6) AS max_cv FROM best JOIN rg USING (feature) JOIN (SELECT DISTINCT feature, promoter, tu FROM (" + _MAP + ") WHERE status = 'mapped') m ON m.feature = best.feature LEFT JOIN sm ON sm.feature = best.feature LEFT JOIN cvs ON cvs.feature = best.feature)"
 
+_BALANCED = _picks("pick", f"n_supporting DESC NULLS LAST, screen_fraction DESC NULLS LAST, confidence_rank DESC NULLS LAST, {_REUSE} ASC NULLS LAST, stronger_fraction DESC NULLS LAST, max_other ASC NULLS LAST, effect DESC NULLS LAST, feature, promoter", {"ps": "promoter", "gs": "grp"})
+_BASELINE = _picks("base", "effect DESC NULLS LAST, confidence_rank DESC NULLS LAST, feature, promoter", {"fs": "feature"}, "AND o.effect IS NOT NULL")
+_PICKED = "SELECT CAST(row_number() OVER (ORDER BY step) AS INTEGER) AS place, class, feature, promoter, grp, effect FROM {} WHERE feature IS NOT NULL"
+_SHOWN = ["place", "class", "feature", "promoter", "grp", "effect"]
 
-@query("j5_panel_options", b.with_tables("tu_promoters", _OPT + " SELECT * FROM opt"))
+
+@query("j5_panel_options", b.with_tables("tu_promoters", _OPT + " SELECT * FROM opt"), lists=("regulators",))
 def j5(spark, d):
-    return rounded(_options(spark, d).drop("screen_fraction", "regulators"))
+    return _options(spark, d)
 
 
-@query("k5_balanced_panel")
+@query("k5_balanced_panel", b.with_tables("tu_promoters", _OPT + _BALANCED + _PICKED.format("pick"), recursive=True))
 def k5(spark, d):
-    return panel.balanced(_options(spark, d), 6)
+    return panel.balanced(_options(spark, d), 6).select(_SHOWN)
 
 
-@query("k6_effect_only_panel")
+@query("k6_effect_only_panel", b.with_tables("tu_promoters", _OPT + _BASELINE + _PICKED.format("base"), recursive=True))
 def k6(spark, d):
-    return panel.effect_only(_options(spark, d), 6)
+    return panel.effect_only(_options(spark, d), 6).select(_SHOWN)
+
+
+_METRICS = "SELECT '{0}' AS panel, count(*) AS n, count(DISTINCT feature) AS features, count(DISTINCT promoter) AS promoters, count(DISTINCT grp) AS groups, round(median(effect), 6) AS median_effect, round(median(screen_fraction), 6) AS median_screen, round(median(max_other), 6) AS median_other, count(*) FILTER (WHERE max_other IS NULL) AS missing_other FROM {0} WHERE feature IS NOT NULL"
 
 
-@query("k7_selection_comparison")
+@query("k7_selection_comparison", b.with_tables("tu_promoters", _OPT + _BALANCED + _BASELINE + _METRICS.format("pick") + " UNION ALL " + _METRICS.format("base"), recursive=True))
 def k7(spark, d):
     o = _options(spark, d)
-    named = lambda p, n: panel.metrics(p, o).withColumn("panel", F.lit(n))
-    return rounded(named(panel.balanced(o, 6), "balanced").unionByName(named(panel.effect_only(o, 6), "effect_only")))
+    named = lambda p, n: panel.metrics(p).withColumn("panel", F.lit(n))
+    return rounded(named(panel.balanced(o, 6), "pick").unionByName(named(panel.effect_only(o, 6), "base")))
+
+
+@query("k7_panel_violations", "SELECT NULL::VARCHAR AS \"check\", NULL::VARCHAR AS key WHERE false")
+def k7_violations(spark, d):
+    """A panel made from its own pool within its budget violates nothing."""
+    o = _options(spark, d)
+    return panel.violations(panel.balanced(o, 6), o, 6)
+
+
+@query("k8_panel_listing", b.with_tables("tu_promoters", _OPT + _BALANCED + " SELECT CAST(row_number() OVER (ORDER BY step) AS INTEGER) AS place, class, feature, promoter FROM pick WHERE feature IS NOT NULL", recursive=True))
+def k8_listing(spark, d):
+    return panel.listing(panel.balanced(_options(spark, d), 6)).select("place", "class", "feature", "promoter")
+
+
+@query("k8_quality_listing", b.with_tables("counts", "SELECT sample, sum(value) AS library_size, count(*) FILTER (WHERE value > 0) AS features_detected FROM counts GROUP BY 1"))
+def k8_quality(spark, d):
+    return panel.quality_listing(response.sample_quality(b.counts(spark, d)))
 
 
 @query("k8_first_choice", b.with_tables("tu_promoters", _OPT + " SELECT class, min_by(feature, (-effect, feature)) AS feature FROM opt GROUP BY 1"))
 def k8(spark, d):
-    """The first pick of the effect-only panel in each class."""
-    return _options(spark, d).groupBy("class").agg(F.min_by("feature", F.struct(-F.round("effect", 6), F.col("feature"))).alias("feature"))
+    """The largest effect of each class."""
+    return _options(spark, d).groupBy("class").agg(F.min_by("feature", F.struct(-F.col("effect"), F.col("feature"))).alias("feature"))
+
+
+_REV = ", nw AS (SELECT user_id AS feature, max_by(event_type, (ts, event_id)) AS status FROM events GROUP BY 1)"
+
+
+@query("j15_panel_review", b.with_tables("tu_promoters", _OPT + _BALANCED + _REV + " SELECT feature, promoter, coalesce(status, 'unreviewed') AS status FROM pick LEFT JOIN nw USING (feature) WHERE feature IS NOT NULL", recursive=True))
+def j15(spark, d):
+    newest = reviews.latest(table(spark, d, "events").select(F.col("user_id").alias("feature"), F.col("event_id").alias("edit_id"), F.col("ts").alias("edited_at"), F.col("event_type").alias("status")), ["feature"])
+    return store.panel_review(panel.balanced(_options(spark, d), 6), newest).select("feature", "promoter", "status")
 
 
 @query("a22_panel_metrics", b.with_tables("tu_promoters", _OPT + " SELECT class, count(*) AS n, count(DISTINCT promoter) AS promoters, count(DISTINCT grp) AS groups, round(median(effect), 6) AS median_effect, count(*) FILTER (WHERE max_other IS NULL) AS missing FROM opt GROUP BY 1"))
 def a22(spark, d):
-    o = rounded(_options(spark, d))
+    o = _options(spark, d)
     return rounded(o.groupBy("class").agg(F.count("*").alias("n"), F.count_distinct("promoter").alias("promoters"), F.count_distinct("grp").alias("groups"), F.median("effect").alias("median_effect"), F.count_if(F.col("max_other").isNull()).alias("missing")))
 
 
@@ -242,6 +297,15 @@ def a26(spark, d):
     return rounded(modules.top_set(t, [F.round("f1", 9).desc(), F.round("precision", 9).desc()]))
 
 
+@query("a26_enriched_sets", b.with_tables("weights", ", m AS (SELECT DISTINCT component, feature FROM weights WHERE abs(weight) > 0.2), s AS (SELECT DISTINCT label AS set, feature FROM weights), u AS (SELECT count(DISTINCT feature) AS features FROM weights), y AS (SELECT x.*, n AS in_component, k AS in_set, features FROM (SELECT component, set, count(*) AS shared FROM m JOIN s USING (feature) GROUP BY 1, 2) x JOIN (SELECT component, count(*) AS n FROM m GROUP BY 1) USING (component) JOIN (SELECT set, count(*) AS k FROM s GROUP BY 1) USING (set), u), f AS (SELECT component, set, shared, in_component, in_set, round(least(1.0, sum(exp(lgamma(in_component + 1) + lgamma(features - in_component + 1) + lgamma(in_set + 1) + lgamma(features - in_set + 1) - lgamma(features + 1) - lgamma(j + 1) - lgamma(in_component - j + 1) - lgamma(in_set - j + 1) - lgamma(features - in_component - in_set + j + 1)))), 9) AS p FROM (SELECT *, unnest(range(shared, least(in_component, in_set) + 1)) AS j FROM y) WHERE features - in_component - in_set + j >= 0 GROUP BY 1, 2, 3, 4, 5), q AS (SELECT *, least(1.0, min(raw) OVER (ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS raw FROM f)) SELECT component, set, shared, round(shared / in_component, 6) AS precision, round(shared / in_set, 6) AS recall, round(2 * shared / (in_component + in_set), 6) AS f1, round(p, 6) AS p, round(q, 5) AS q FROM q WHERE round(q, 6) <= 0.9 QUALIFY row_number() OVER (PARTITION BY component ORDER BY round(q, 6), round(2 * shared / (in_component + in_set), 9) DESC, round(shared / in_component, 9) DESC, set) = 1"))
+def a26_enriched(spark, d):
+    """The set of the least q of each component, cut at q 0.9 as the vectors are random."""
+    w = b.weights(spark, d)
+    t = modules.enriched_sets(modules.membership(w, 0.2), w.select(F.col("label").alias("set"), "feature"), w.select("feature").distinct().count(), 1.0).where(F.round("q", 6) <= 0.9)
+    top = modules.top_set(t, [F.round("q", 6), F.round("f1", 9).desc(), F.round("precision", 9).desc()])
+    return rounded(top.withColumn("q", F.round("q", 5)).drop("in_component", "in_set"))
+
+
 @query("w7_percentile", b.with_tables("hits", "SELECT feature, dataset, CASE WHEN hit THEN round_even(cume_dist() OVER (PARTITION BY dataset, hit ORDER BY lfc) * 100, 2) END AS percentile FROM hits"))
 def w7(spark, d):
     o = b.observations(spark, d).withColumn("hit", c.hit(b.P_MAX, b.LFC_MIN))

@@ -115,7 +115,7 @@ def p17(spark, d):
     return b.observations(spark, d).select("feature", "dataset", s.eligible(F.col("lfc"), F.col("p"), flag).alias("eligible"))
 
 
-@query("p18_condition", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'bg' || p_size || '_x' END AS background, CASE WHEN p_size % 2 = 0 THEN 'Ampicillin' || p_size END AS treatment FROM part")
+@query("p18_condition", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'bg' || p_size || '_x' END AS background, CASE WHEN p_size % 2 = 0 THEN 'ampicillin' || p_size END AS treatment FROM part")
 def p18(spark, d):
     name = F.concat(F.lit("bg"), "p_size", F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("_Ampicillin"), "p_size")).otherwise(""), F.lit("_x"))
     back, drug = s.condition_parts(name, ["ampicillin", "tobramycin"])

@@ -48,10 +48,11 @@ def s3_annotations(spark, d):
 @query("s4_sectioned", "SELECT CAST(p_partkey AS VARCHAR) AS feature, sample, CAST(value AS DOUBLE) AS value FROM (SELECT p_partkey, unnest(['size', 'price']) AS sample, unnest([CAST(p_size AS DOUBLE), round(p_retailprice, 2)]) AS value FROM part)")
 def s4(spark, d):
     path = fresh(spark, "sections")
-    p = table(spark, d, "part").select((F.col("p_partkey") % 8).alias("f"), F.concat_ws("\t", F.concat(F.lit('"'), "p_partkey", F.lit('"')), "p_size", F.round("p_retailprice", 2).cast("string")).alias("line"))
+    files = max(1, table(spark, d, "part").count() // 500)
+    p = table(spark, d, "part").select((F.col("p_partkey") % files).alias("f"), F.concat_ws("\t", F.concat(F.lit('"'), "p_partkey", F.lit('"')), "p_size", F.round("p_retailprice", 2).cast("string")).alias("line"))
     text = F.concat_ws("\n", F.lit("!title"), F.lit("!begin"), F.lit('"ID"\t"size"\t"price"'), F.array_join(F.collect_list("line"), "\n"), F.lit("!end"))
-    files = p.groupBy("f").agg(text.alias("value"))
-    files.repartition(8, "f").write.partitionBy("f").option("lineSep", "\n\n").text(path)
+    whole = p.groupBy("f").agg(text.alias("value"))
+    whole.repartition(min(files, 200), "f").write.partitionBy("f").option("lineSep", "\n\n").text(path)
     return readers.section_values(readers.sectioned(spark, path, "!begin", "!end")).select("feature", "sample", "value")
 
 
@@ -98,15 +99,42 @@ def s10(spark, d):
     return readers.fasta(spark, path, 500).groupBy("contig").agg(F.count("*").alias("chunks"), F.sum(F.length("seq")).alias("bases"))
 
 
-@query("s11_component_weights", b.with_tables("weights", "SELECT component, count(*) AS n, round(sum(weight), 6) + 0.0 AS total FROM weights GROUP BY 1"))
+@query("s11_component_weights", b.with_tables("weights", "SELECT 'c' || component AS component, count(*) AS n, round(sum(weight), 4) + 0.0 AS total FROM weights GROUP BY 1"))
 def s11(spark, d):
-    return rounded(b.weights(spark, d).groupBy("component").agg(F.count("*").alias("n"), F.sum("weight").alias("total")))
+    """The vectors as a wide text matrix, read back as component weights."""
+    path, e = fresh(spark, "matrix"), table(spark, d, "embeddings")
+    width = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    e.select(F.concat(F.lit(" "), "vec_id").alias("gene"), *[F.get("embedding", F.lit(i)).cast("double").cast("string").alias(f"c{i}") for i in range(width)]).write.option("header", True).option("sep", "\t").csv(path)
+    wide = spark.read.option("header", True).option("sep", "\t").csv(path)
+    return rounded(readers.component_weights(wide, "gene").groupBy("component").agg(F.count("weight").alias("n"), F.sum("weight").alias("total")), 4)
 
 
-@query("s12_dataset_config", "SELECT r_name AS class, list_sort(list(n_name)) AS datasets FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1", lists=("datasets",))
-def s12(spark, d):
+@query("s11_expression", "SELECT CAST(p_partkey AS VARCHAR) AS feature, sample, value, 'log2(TPM+1)' AS units, 'embedded_log_tpm' AS normalization FROM (SELECT p_partkey, unnest(['size', 'price']) AS sample, unnest([CAST(p_size AS DOUBLE), round(p_retailprice, 2)]) AS value FROM part)")
+def s11_expression(spark, d):
+    p = table(spark, d, "part")
+    own = p.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("string").alias("size"), F.round("p_retailprice", 2).cast("string").alias("price"))
+    return rounded(readers.expression(own, own.withColumn("price", F.lit("0")), "id"))
+
+
+def _config(spark, d):
     n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    return readers.dataset_config(n.select(F.col("n_name").alias("name"), F.col("r_name").alias("class")), [])[0]
+    k = F.col("n_nationkey")
+    return n.select(F.col("n_name").alias("name"), F.col("r_name").alias("class"), F.when(k % 7 == 0, "other").when(k % 2 == 0, "discovery").otherwise("challenge").alias("role"), F.when(k % 3 == 0, "small").alias("caveat"), F.when(k % 5 == 0, 1.5).otherwise(0.05).alias("padj"), F.lit(2.0).alias("log2_fold_change"))
+
+
+@query("s12_dataset_config", "SELECT r_name AS class, list_sort(list(n_name || CASE WHEN n_nationkey % 7 = 0 THEN ':other' WHEN n_nationkey % 2 = 0 THEN ':discovery' ELSE ':challenge' END || CASE WHEN n_nationkey % 3 = 0 THEN ':small' ELSE '' END)) AS datasets FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1", lists=("datasets",))
+def s12(spark, d):
+    return readers.dataset_config(_config(spark, d), [])[0].withColumn("datasets", F.array_sort(F.transform("datasets", lambda x: F.concat_ws(":", x["name"], x["role"], x["caveat"]))))
+
+
+@query("s12_config_violations", "SELECT 'unknown_class' AS \"check\", n_name AS key FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name NOT IN ('ASIA', 'EUROPE') UNION ALL SELECT 'unknown_role', n_name FROM nation WHERE n_nationkey % 7 = 0 UNION ALL SELECT 'limits', n_name FROM nation WHERE n_nationkey % 5 = 0")
+def s12_violations(spark, d):
+    return readers.dataset_config(_config(spark, d), ["ASIA", "EUROPE"])[1]
+
+
+@query("s6_listed_counts", "SELECT CASE WHEN sample = 'p_size' THEN 'a' ELSE 'b' END AS dataset, p_brand AS feature, sample, CAST(sum(value) AS DOUBLE) AS value FROM (SELECT p_brand, unnest(['p_size', 'p_partkey']) AS sample, unnest([CAST(p_size AS DOUBLE), CAST(p_partkey AS DOUBLE)]) AS value FROM part) GROUP BY 1, 2, 3")
+def s6_counts(spark, d):
+    return readers.listed_counts(table(spark, d, "part"), "p_brand", {"a": ["p_size"], "b": ["p_partkey"]})
 
 
 @query("s13_standardised", b.with_tables("obs", "SELECT dataset, count(*) AS n, round(sum(lfc), 5) + 0.0 AS total FROM obs GROUP BY 1"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from respondex.operators import candidates as c
 from respondex.operators import checks, identity, reviews, store
 from respondex.plans import bindings as b
-from respondex.plans.q_candidates import _EV2
+from respondex.plans.q_candidates import evidence as _evidence
 from respondex.plans.registry import query, rounded, table
+from respondex.plans.staging import staged
 
 _REV = "rv AS (SELECT user_id AS feature, event_id AS edit_id, ts AS edited_at, event_type AS status FROM events)"
 
@@ -17,13 +18,9 @@ def _reviews(spark, d):
     return table(spark, d, "events").select(F.col("user_id").alias("feature"), F.col("event_id").alias("edit_id"), F.col("ts").alias("edited_at"), F.col("event_type").alias("status"))
 
 
-def _evidence(spark, d):
-    return c.evidence(b.observations(spark, d), b.P_MAX, b.LFC_MIN)
-
-
-@query("j10_search", b.with_tables("hits", f"SELECT feature, tier FROM ({_EV2}) WHERE tier IN ('A', 'B', 'C') AND feature IN (SELECT feature FROM obs WHERE role = 'discovery' AND p <= 0.2 AND abs(lfc) >= 1.0)"))
+@query("j10_search", b.with_tables("ev", "SELECT feature, tier FROM ev WHERE feature IN (SELECT feature FROM obs WHERE role = 'discovery' AND p <= 0.2 AND abs(lfc) >= 1.0)"))
 def j10(spark, d):
-    return store.search(_evidence(spark, d).where("tier <> 'D'"), b.observations(spark, d), 0.2, 1.0).select("feature", "tier")
+    return store.search(_evidence(spark, d), b.observations(spark, d), 0.2, 1.0).select("feature", "tier")
 
 
 _AL = "SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand || '/' || p_size AS alias FROM part UNION SELECT CAST(p_partkey AS VARCHAR), p_name FROM part"
@@ -53,7 +50,7 @@ def a20(spark, d):
     return identity.unique_alias(_ids(spark, d)[1])
 
 
-@query("j13_candidate_summary", b.with_tables("tu_promoters", f", {_REV}, ev AS ({_EV2}), pm AS (SELECT gene AS feature, count(DISTINCT promoter) AS promoters, min(promoter) AS promoter FROM tu_genes JOIN tu_promoters USING (tu) GROUP BY 1), nw AS (SELECT feature, max_by(status, (edited_at, edit_id)) AS status FROM rv GROUP BY 1) SELECT ev.feature, tier, coalesce(promoters, 0) AS promoters, promoter, coalesce(status, 'unreviewed') AS status FROM ev LEFT JOIN pm USING (feature) LEFT JOIN nw USING (feature)"))
+@query("j13_candidate_summary", b.with_tables("tu_promoters", f", {_REV}, pm AS (SELECT gene AS feature, count(DISTINCT promoter) AS promoters, min(promoter) AS promoter FROM tu_genes JOIN tu_promoters USING (tu) GROUP BY 1), nw AS (SELECT feature, max_by(status, (edited_at, edit_id)) AS status FROM rv GROUP BY 1) SELECT ev.feature, tier, coalesce(promoters, 0) AS promoters, promoter, coalesce(status, 'unreviewed') AS status FROM ev LEFT JOIN pm USING (feature) LEFT JOIN nw USING (feature)"))
 def j13(spark, d):
     t = b.tu_genes(spark, d)
     p = t.join(b.tu_promoters(t), "tu").select(F.col("gene").alias("feature"), "promoter")
@@ -66,11 +63,6 @@ def j14(spark, d):
     return rounded(b.observations(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("feature"), "p_name"), "feature").join(F.broadcast(k), "dataset").select("feature", "p_name", "dataset", "contrast", "lfc"))
 
 
-@query("j15_panel_review", b.with_tables("hits", f", {_REV}, ev AS ({_EV2}) SELECT feature, tier, status FROM ev JOIN (SELECT feature, max_by(status, (edited_at, edit_id)) AS status FROM rv GROUP BY 1) USING (feature) WHERE tier <> 'D'"))
-def j15(spark, d):
-    return _evidence(spark, d).where("tier <> 'D'").select("feature", "tier").join(reviews.latest(_reviews(spark, d), ["feature"]).select("feature", "status"), "feature")
-
-
 @query("j16_regulator_paths", b.with_tables("tu_promoters", "SELECT src AS regulator, dst AS feature, tu, promoter FROM edges JOIN seeds ON feature = dst LEFT JOIN tu_genes ON gene = dst LEFT JOIN tu_promoters USING (tu)"))
 def j16(spark, d):
     t = b.tu_genes(spark, d)
@@ -94,10 +86,11 @@ def j18(spark, d):
     return q.join(F.broadcast(ctx), "condition", "left").select("sample", "condition", "role", "library_size")
 
 
-@query("j25_exposure", "SELECT l_returnflag AS condition, l_suppkey AS sample, count(*) AS n, CASE l_returnflag WHEN 'N' THEN NULL ELSE 2.5 END AS dose, CASE l_returnflag WHEN 'N' THEN NULL ELSE 'mg/l' END AS unit FROM lineitem GROUP BY 1, 2")
+@query("j25_exposure", "SELECT l_returnflag AS condition, l_suppkey AS sample, count(*) AS n, 'broth' AS medium, CASE l_returnflag WHEN 'N' THEN NULL ELSE 2.5 END AS dose, CASE l_returnflag WHEN 'N' THEN NULL ELSE 'mg/l' END AS unit, CASE l_returnflag WHEN 'R' THEN 2 ELSE 1 END AS hours, CASE l_returnflag WHEN 'N' THEN 'control' ELSE 'treated' END AS role FROM lineitem GROUP BY 1, 2")
 def j25(spark, d):
-    ctx = spark.createDataFrame([("A", 2.5, "mg/l"), ("N", None, None), ("R", 2.5, "mg/l")], "condition string, dose double, unit string")
-    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("condition"), F.col("l_suppkey").alias("sample")).agg(F.count("*").alias("n")).join(F.broadcast(ctx), "condition", "left")
+    conditions = spark.createDataFrame([("A", "broth", 2.5, "mg/l", 1, "treated"), ("N", "broth", None, None, 1, "control"), ("R", "broth", 2.5, "mg/l", 2, "treated")], "condition string, medium string, dose double, unit string, hours int, role string")
+    samples = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("condition"), F.col("l_suppkey").alias("sample")).agg(F.count("*").alias("n"))
+    return store.exposures(samples, conditions)
 
 
 @query("j19_actor_interactions", b.with_tables("interactions", "SELECT interaction, regulator, kind, coalesce(gene, promoter, tu) AS target, effect FROM interactions WHERE regulator = 3 AND kind = 'tu'"))
@@ -111,19 +104,19 @@ def j19_whole(spark, d):
     return store.actor_interactions(b.interactions(spark, d))
 
 
-_CP = ", tus AS (SELECT DISTINCT feature, tu FROM seeds JOIN tu_genes ON gene = feature), prs AS (SELECT DISTINCT feature, promoter FROM tus JOIN tu_promoters USING (tu)), cp AS (SELECT feature, interaction FROM seeds JOIN interactions ON kind = 'gene' AND gene = feature UNION SELECT feature, interaction FROM prs JOIN interactions i ON i.promoter = prs.promoter UNION SELECT feature, interaction FROM tus JOIN interactions i ON i.tu = tus.tu)"
+_CP = ", tus AS (SELECT DISTINCT feature, tu FROM seeds JOIN tu_genes ON gene = feature), prs AS (SELECT feature, promoter FROM tus JOIN tu_promoters USING (tu) UNION SELECT feature, feature % 40 FROM seeds WHERE feature % 2 = 0), cp AS (SELECT feature, interaction FROM seeds JOIN interactions ON kind = 'gene' AND gene = feature UNION SELECT feature, interaction FROM prs JOIN interactions i ON i.promoter = prs.promoter UNION SELECT feature, interaction FROM tus JOIN interactions i ON i.tu = tus.tu)"
 
 
 def _paths(spark, d):
+    """Paths of the seeds, even ones having a promoter of their own, and the interactions; both inputs are staged, as each is read more than once."""
     t = b.tu_genes(spark, d)
-    i = b.interactions(spark, d)
-    return store.candidate_paths(b.seeds(spark, d), i, t, b.tu_promoters(t)), i
+    i, s = staged(b.interactions(spark, d), "interactions"), staged(b.seeds(spark, d), "seeds")
+    return store.candidate_paths(s.withColumn("promoter", F.when(F.col("feature") % 2 == 0, F.col("feature") % 40)), i, t, b.tu_promoters(t)), i
 
 
 @query("j20_candidate_paths", b.with_tables("interactions", _CP + " SELECT feature, kind, count(*) AS n FROM cp JOIN interactions USING (interaction) GROUP BY 1, 2"))
 def j20(spark, d):
-    p, i = _paths(spark, d)
-    return p.join(i.select("interaction", "kind"), "interaction").groupBy("feature", "kind").agg(F.count("*").alias("n"))
+    return _paths(spark, d)[0].groupBy("feature", "kind").agg(F.count("*").alias("n"))
 
 
 @query("g7_local_graph", b.with_tables("interactions", _CP + ", ed AS (SELECT DISTINCT feature, 'regulator:' || regulator AS src, kind || ':' || coalesce(gene, promoter, tu) AS dst, 'regulation' AS kind FROM cp JOIN interactions USING (interaction) UNION SELECT DISTINCT feature, kind || ':' || coalesce(gene, promoter, tu), 'gene:' || feature, 'context' FROM cp JOIN interactions USING (interaction) WHERE kind <> 'gene') SELECT feature, kind, count(*) AS n FROM ed GROUP BY 1, 2"))
@@ -131,6 +124,11 @@ def g7(spark, d):
     return store.local_graph(*_paths(spark, d)).groupBy("feature", "kind").agg(F.count("*").alias("n"))
 
 
+@query("g7_local_nodes", b.with_tables("interactions", _CP + ", nd AS (SELECT feature, 'regulator:' || regulator AS node, 'regulator' AS kind FROM cp JOIN interactions USING (interaction) UNION SELECT feature, kind || ':' || coalesce(gene, promoter, tu), CASE WHEN gene = feature THEN 'candidate' ELSE kind END FROM cp JOIN interactions USING (interaction) UNION SELECT feature, 'gene:' || feature, 'candidate' FROM cp JOIN interactions USING (interaction) WHERE kind <> 'gene') SELECT feature, kind, count(*) AS n FROM nd GROUP BY 1, 2"))
+def g7_nodes(spark, d):
+    return store.local_nodes(store.local_graph(*_paths(spark, d))).groupBy("feature", "kind").agg(F.count("*").alias("n"))
+
+
 @query("j21_regulator_search", "SELECT s_suppkey, s_name FROM supplier WHERE contains(lower(s_name), '00001') OR CAST(s_suppkey AS VARCHAR) = '7'")
 def j21(spark, d):
     return table(spark, d, "supplier").where(F.contains(F.lower("s_name"), F.lit("00001")) | (F.col("s_suppkey").cast("string") == "7")).select("s_suppkey", "s_name")
@@ -150,11 +148,18 @@ def j21_paths_whole(spark, d):
     return store.reference_paths(b.interactions(spark, d), t, b.tu_promoters(t)).where("kind = 'promoter'").select("interaction", "regulator", "promoter", "tu", "gene")
 
 
-@query("j22_candidate_detail", b.with_tables("tu_promoters", "SELECT feature, coalesce(rg.r, []) AS regulators, coalesce(t.u, []) AS units FROM seeds LEFT JOIN (SELECT dst AS feature, list_transform(list_sort(list({'src': src, 'effect': effect})), lambda x: x.src || ':' || x.effect) AS r FROM edges GROUP BY 1) rg USING (feature) LEFT JOIN (SELECT gene AS feature, list_sort(list(tu)) AS u FROM tu_genes GROUP BY 1) t USING (feature)"), lists=("regulators", "units",))
+@query("j22_candidate_detail", b.with_tables("interactions", f", {_REV}, al AS ({_AL}) SELECT feature, coalesce(rg.r, []) AS regulators, coalesce(t.u, []) AS units, coalesce(pr.p, []) AS promoters, coalesce(e.v, []) AS evidence, coalesce(i.a, []) AS identifiers, coalesce(rp.s, []) AS replicates, coalesce(x.v, []) AS assessments FROM seeds LEFT JOIN (SELECT dst AS feature, list_transform(list_sort(list({{'src': src, 'effect': effect}})), lambda x: x.src || ':' || x.effect) AS r FROM edges GROUP BY 1) rg USING (feature) LEFT JOIN (SELECT gene AS feature, list_sort(list(tu)) AS u FROM tu_genes GROUP BY 1) t USING (feature) LEFT JOIN (SELECT gene AS feature, list_sort(list(DISTINCT promoter)) AS p FROM tu_genes JOIN tu_promoters USING (tu) GROUP BY 1) pr USING (feature) LEFT JOIN (SELECT feature, list_sort(list(dataset || ':' || role)) AS v FROM obs GROUP BY 1) e USING (feature) LEFT JOIN (SELECT CAST(id AS BIGINT) AS feature, list_sort(list(DISTINCT alias)) AS a FROM al GROUP BY 1) i USING (feature) LEFT JOIN (SELECT feature, list_sort(list(sample)) AS s FROM counts WHERE value > 0 GROUP BY 1) rp USING (feature) LEFT JOIN (SELECT feature, list_sort(list(DISTINCT status)) AS v FROM rv GROUP BY 1) x USING (feature)"), lists=("regulators", "units", "promoters", "evidence", "identifiers", "replicates", "assessments"))
 def j22(spark, d):
-    e = b.edges(spark, d).select(F.col("dst").alias("feature"), "src", "effect")
-    out = store.details("feature", b.seeds(spark, d), {"regulators": e, "units": b.tu_genes(spark, d).select(F.col("gene").alias("feature"), "tu")})
-    return out.select("feature", F.transform("regulators", lambda x: F.concat_ws(":", x["src"], x["effect"])).alias("regulators"), F.transform("units", lambda x: x["tu"]).alias("units"))
+    t, o = b.tu_genes(spark, d), b.observations(spark, d)
+    children = {
+        "regulators": b.edges(spark, d).select(F.col("dst").alias("feature"), "src", "effect"), "units": t.select(F.col("gene").alias("feature"), "tu"),
+        "promoters": t.join(b.tu_promoters(t), "tu").select(F.col("gene").alias("feature"), "promoter").distinct(), "evidence": o.select("feature", "dataset", "role"),
+        "identifiers": _ids(spark, d)[1].select(F.col("id").cast("long").alias("feature"), "alias").distinct(), "replicates": b.counts(spark, d).where("value > 0").select("feature", "sample"),
+        "assessments": _reviews(spark, d).select("feature", "status").distinct(),
+    }
+    out = store.details("feature", b.seeds(spark, d), children)
+    shown = lambda fields: lambda x: F.concat_ws(":", *[x[f] for f in fields])
+    return out.select("feature", *[F.transform(k, shown([f for f in c.columns if f != "feature"])).alias(k) for k, c in children.items()])
 
 
 @query("j23_promoter_detail", b.with_tables("tu_promoters", "SELECT promoter, list_transform(list_sort(list({'tu': tu, 'genes': genes})), lambda x: x.tu || ':' || x.genes) AS units FROM tu_promoters JOIN (SELECT tu, count(*) AS genes FROM tu_genes GROUP BY 1) USING (tu) GROUP BY 1"), lists=("units",))
@@ -165,9 +170,16 @@ def j23(spark, d):
     return out.select("promoter", F.transform("units", lambda x: F.concat_ws(":", x["tu"], x["genes"])).alias("units"))
 
 
-@query("a21_reference_coverage", b.with_tables("interactions", "SELECT kind, count(*) AS n, count(*) FILTER (WHERE kind = 'tu' AND tu NOT IN (SELECT tu FROM tu_promoters)) AS without_promoter FROM interactions GROUP BY 1"))
+@query("a21_reference_coverage", b.with_tables("interactions", "SELECT kind, count(*) AS n, count(*) FILTER (WHERE kind = 'tu' AND tu NOT IN (SELECT tu FROM tu_promoters) OR kind = 'gene' AND gene NOT IN (SELECT gene FROM tu_genes SEMI JOIN tu_promoters USING (tu))) AS without_promoter FROM interactions GROUP BY 1"))
 def a21(spark, d):
-    return store.reference_coverage(b.interactions(spark, d), b.tu_promoters(b.tu_genes(spark, d)))
+    t = b.tu_genes(spark, d)
+    return store.reference_coverage(b.interactions(spark, d), t, b.tu_promoters(t))
+
+
+@query("a21_candidate_coverage", b.with_tables("tu_promoters", "SELECT count(*) AS n, count(m.feature) AS mapped, round(count(m.feature) / count(*), 6) AS share FROM seeds LEFT JOIN (SELECT DISTINCT gene AS feature FROM tu_genes SEMI JOIN tu_promoters USING (tu)) m USING (feature)"))
+def a21_candidates(spark, d):
+    t = b.tu_genes(spark, d)
+    return rounded(store.candidate_coverage(b.seeds(spark, d), t.join(b.tu_promoters(t), "tu").select(F.col("gene").alias("feature"), "promoter")))
 
 
 @query("w3_latest_review", f"WITH {_REV} SELECT feature, max_by(status, (edited_at, edit_id)) AS status, max_by(edit_id, (edited_at, edit_id)) AS edit_id FROM rv GROUP BY 1")
@@ -265,6 +277,13 @@ def v10(spark, d):
     return checks.lock_mismatches(docs, lock)
 
 
+@query("v10_releases", "SELECT 'release' AS \"check\", c_name AS key FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'version', c_name FROM customer WHERE c_nationkey < 9")
+def v10_releases(spark, d):
+    """Sources of one release but for a segment, whose versions are 14.(nation); at least 14.9 is asked."""
+    s = table(spark, d, "customer").select(F.col("c_name").alias("name"), F.when(F.col("c_mktsegment") == "BUILDING", "13").otherwise("14").alias("release"), F.concat(F.lit("14."), "c_nationkey").alias("version"))
+    return checks.releases(s, "14.9")
+
+
 @query("v11_fingerprint", "SELECT sha256(array_to_string(list_sort(list(n_name || ':' || sha256(h))), ',')) AS run_id FROM (SELECT n_name, CAST(count(*) AS VARCHAR) AS h FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1)")
 def v11(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")

@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 #: Rows of the Arrow batches that workers get, unless the session has set its own; rows may be long texts.
-BATCH_ROWS, _CONF, _DEFAULT = 1024, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+BATCH_ROWS, _CONF, _DEFAULT = 512, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def ship(spark: SparkSession) -> None:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from respondex.functions.scalar import SIGMA_GENES, lookup, token
+from respondex.plans.skew import broadcast_if_small
 
 
 def member_tables(spark: SparkSession, path: str, pattern: str, id_column: str, value_column: str | None = None, sep: str = "\t") -> DataFrame:
@@ -75,7 +76,7 @@ def section_values(rows: DataFrame) -> DataFrame:
     """``(file, feature, sample, value)``: cells of a section below its header, which is joined by file and place."""
     head = rows.where("row = 0").select("file", F.posexplode("cells").alias("at", "sample"))
     body = rows.where("row > 0").select("file", F.col("cells")[0].alias("feature"), F.posexplode("cells").alias("at", "value")).where("at > 0")
-    return body.join(F.broadcast(head), ["file", "at"]).select("file", "feature", "sample", F.col("value").try_cast("double").alias("value"))
+    return body.join(broadcast_if_small(head), ["file", "at"]).select("file", "feature", "sample", F.col("value").try_cast("double").alias("value"))
 
 
 def platform(rows: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -94,10 +95,11 @@ def reference(spark: SparkSession, path: str) -> DataFrame:
 
 
 def edge_lines(spark: SparkSession, path: str, fields: list[str], least: int) -> DataFrame:
-    """Named tab fields of each line; blank lines, comments, numbered headers and short lines are skipped; confidence defaults to ``?``."""
+    """Named tab fields of each line; blank lines, comments, numbered headers and short lines are skipped; ids (the first two fields) are lower-cased; confidence defaults to ``?``."""
     lines = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").rlike(r"^(#|\d+\))"))
     cells = F.split("value", "\t")
     d = lines.where(F.size(cells) >= least).select(*[F.trim(F.get(cells, F.lit(i))).alias(n) for i, n in enumerate(fields)])
+    d = d.withColumns({c: F.lower(c) for c in fields[:2]})
     return d.withColumn("confidence", F.coalesce(F.nullif("confidence", F.lit("")), F.lit("?"))) if "confidence" in fields else d
 
 
@@ -113,12 +115,43 @@ def fasta(spark: SparkSession, path: str, chunk: int = 1 << 20) -> DataFrame:
     return d.select("contig", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("s") - 1) / chunk).cast("int")))).alias("chunk_no"), "s").select("contig", "chunk_no", (F.col("chunk_no") * chunk + 1).alias("start"), F.substring("s", F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("seq"))
 
 
-def dataset_config(df: DataFrame, classes: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Datasets by class, and violations ``(check, key)``: blank or repeated names, unknown classes."""
-    by = df.groupBy("class").agg(F.array_sort(F.collect_list("name")).alias("datasets"))
-    bad = df.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("repeated_name").alias("check"), F.col("name").alias("key"))
-    bad = bad.unionByName(df.where(F.trim(F.coalesce("name", F.lit(""))) == "").select(F.lit("blank_name").alias("check"), F.col("name").alias("key")))
-    return by, bad.unionByName(df.where(~F.coalesce(F.col("class").isin(classes), F.lit(False))).select(F.lit("unknown_class").alias("check"), F.col("name").alias("key")))
+def component_weights(wide: DataFrame, id_column: str) -> DataFrame:
+    """``(feature, component, weight)`` of a matrix with a column for each component; ids are trimmed, what is no number is null."""
+    columns = [c for c in wide.columns if c != id_column]
+    long = wide.select(F.trim(F.col(f"`{id_column}`").cast("string")).alias("feature"), F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.col(f"`{c}`").cast("string").try_cast("double").alias("weight")) for c in columns])).alias("x"))
+    return long.select("feature", "x.*").where("feature <> ''")
+
+
+def expression(log_tpm: DataFrame | None, centred: DataFrame | None, id_column: str) -> DataFrame:
+    """``(feature, sample, value, units, normalization)``: the embedded log-TPM matrix where there is one, else the centred one; activities are never expression."""
+    source = log_tpm if log_tpm is not None else centred
+    if source is None:
+        raise ValueError("neither log-TPM nor centred expression is there")
+    units, how = ("log2(TPM+1)", "embedded_log_tpm") if log_tpm is not None else ("centred log2", "control_centred")
+    return component_weights(source, id_column).select("feature", F.col("component").alias("sample"), F.col("weight").alias("value"), F.lit(units).alias("units"), F.lit(how).alias("normalization"))
+
+
+def dataset_config(df: DataFrame, classes: list[str], roles: tuple[str, ...] = ("discovery", "challenge")) -> tuple[DataFrame, DataFrame]:
+    """Datasets by class with role and caveat, and violations ``(check, key)``: blank or repeated names, unknown classes or roles, limits out of range.
+
+    df: (name, class, role, caveat, padj, log2_fold_change).
+    """
+    by = df.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("name", "role", "caveat"))).alias("datasets"))
+    wrong = lambda check, rows: rows.select(F.lit(check).alias("check"), F.col("name").alias("key"))
+    known = lambda c, values: F.coalesce(F.col(c).isin(list(values)), F.lit(False))
+    bad = wrong("repeated_name", df.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"))
+    bad = bad.unionByName(wrong("blank_name", df.where(F.trim(F.coalesce("name", F.lit(""))) == ""))).unionByName(wrong("unknown_class", df.where(~known("class", classes))))
+    limits = F.coalesce(F.col("padj").between(0, 1) & (F.col("log2_fold_change") >= 0), F.lit(False))
+    return by, bad.unionByName(wrong("unknown_role", df.where(~known("role", roles)))).unionByName(wrong("limits", df.where(~limits)))
+
+
+def listed_counts(df: DataFrame, id_column: str, samples: dict[str, list[str]]) -> DataFrame:
+    """``(dataset, feature, sample, value)``: counts of the explicit samples of each dataset; overlapping lists and missing columns are an error."""
+    named = [x for xs in samples.values() for x in xs]
+    if len(named) != len(set(named)):
+        raise ValueError("a sample is listed twice")
+    of = F.create_map(*[F.lit(y) for k, xs in samples.items() for x in xs for y in (x, k)])
+    return matrix(df, id_column, named).select(F.element_at(of, F.col("sample")).alias("dataset"), "feature", "sample", "value")
 
 
 def imported_results(df: DataFrame, required: tuple[str, ...] = ("gene", "log2FoldChange", "padj")) -> DataFrame:

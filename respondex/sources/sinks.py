@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def standardised(results: DataFrame, path: str, by: str = "dataset") -> None:
-    """One Parquet partition for each contrast; rows of a partition are gathered before they are written."""
-    results.repartition(F.col(by)).write.partitionBy(by).parquet(path)
+def standardised(results: DataFrame, path: str, by: str = "dataset", parts: int = 16) -> None:
+    """One Parquet partition for each contrast; its rows are gathered by ``parts`` tasks, as many as its files."""
+    rows = results.withColumn("__salt", F.pmod(F.xxhash64(*results.columns), F.lit(parts)))
+    rows.repartition(F.col(by), F.col("__salt")).drop("__salt").write.partitionBy(by).parquet(path)
 
 
 def display(df: DataFrame, places: int = 2) -> DataFrame:

@@ -139,20 +139,91 @@ def test_enrichment_golden(spark):
     assert got["up"]["odds"] == float("inf") and got["up"]["overlap"] == [0, 1, 2] and got["down"]["odds"] is None
 
 
-OPTIONS = "feature string, class string, promoter string, grp string, effect double, screen_fraction double, regulators array<string>"
+OPTIONS = "feature string, class string, promoter string, grp string, n_supporting long, screen_fraction double, confidence_rank int, stronger_fraction double, max_other double, effect double, regulators array<string>, matches boolean"
 
 
 def options(spark, rows):
     return spark.createDataFrame(rows, OPTIONS)
 
 
-def test_balanced_panel_avoids_reuse_and_order(spark):
-    rows = [("a", "one", "p1", "t1", 9.0, 1.0, ["r"]), ("b", "two", "p1", "t2", 8.0, 1.0, ["s"]), ("c", "two", "p3", "t3", 2.0, 0.5, ["r"]), ("d", "one", "p4", "t4", 1.0, 0.1, [])]
+def test_balanced_panel_keeps_the_order_of_keys(spark):
+    # support, then screens, then confidence come before reuse; reuse before the direct share; the largest effect is near the end
+    rows = [
+        ("a", "one", "p1", "t1", 2, 0.5, 1, 0.0, 9.0, 1.0, ["r"], True), ("b", "one", "p2", "t2", 1, 1.0, 3, 1.0, 0.0, 9.0, ["r"], True), ("x", "one", "p9", "t9", 9, 1.0, 3, 1.0, 0.0, 9.0, ["r"], False),
+        ("c", "two", "p1", "t3", 9, 1.0, 3, 1.0, 0.0, 9.0, ["s"], True), ("d", "two", "p4", "t1", 9, 1.0, 3, 1.0, 0.0, 9.0, ["s"], True), ("e", "two", "p5", "t5", 1, 0.5, 2, 0.1, None, 1.0, ["r"], True),
+        ("f", "two", "p6", "t6", 1, 0.5, 2, 0.0, 5.0, 0.5, ["q"], True), ("g", "two", "p7", "t7", 1, 0.5, 2, 1.0, 0.0, 9.0, [], True),
+    ]
     for order in (rows, rows[::-1]):
-        got = [(r["class"], r["feature"]) for r in panel.balanced(options(spark, order), 2).collect()]
-        assert got == [("one", "a"), ("two", "c"), ("one", "d")]
-    base = [(r["class"], r["feature"]) for r in panel.effect_only(options(spark, rows), 1).collect()]
-    assert base == [("one", "a"), ("two", "b")]
+        got = [(r["class"], r["feature"], r["reuse"]) for r in panel.listing(panel.balanced(options(spark, order), 3)).collect()]
+        # c and d share a promoter or group with a; f reuses nothing, e reuses r, g has no regulator and comes last
+        assert got == [("one", "a", 0), ("two", "f", 0), ("one", "b", 1), ("two", "e", 2), ("two", "g", None)]
+    base = [(r["class"], r["feature"], r["promoter"]) for r in panel.effect_only(options(spark, rows), 2).collect()]
+    assert base == [("one", "b", "p2"), ("two", "c", "p1"), ("one", "a", "p1"), ("two", "d", "p4")]
+    m = panel.metrics(panel.effect_only(options(spark, rows), 2)).first()
+    assert (m["n"], m["features"], m["promoters"], m["groups"], m["median_effect"], m["missing_other"]) == (4, 4, 3, 3, 9.0, 0)
+
+
+def test_panel_violations(spark):
+    row = ("a", "one", "p1", "t1", 2, 0.5, 1, 0.0, 9.0, 1.0, ["r"], True)
+    pool = options(spark, [row, ("b", "one", "p2", "t2", 1, 1.0, 3, 1.0, 0.0, 9.0, ["r"], True), ("c", "two", "p3", "t3", 1, 1.0, 3, 1.0, 0.0, 9.0, ["r"], False)])
+    chosen = options(spark, [row, ("b", "one", "p2", "t2", 1, 0.9, 3, 1.0, 0.0, 9.0, ["r"], True), ("c", "two", "p3", "t3", 1, 1.0, 3, 1.0, 0.0, 9.0, ["r"], False)])
+    assert sorted(tuple(r) for r in panel.violations(chosen, pool, 1).collect()) == [("budget", "one"), ("outside_pool", "two|c|p3"), ("stale_metrics", "one|b|p2")]
+    assert panel.violations(panel.balanced(pool, 2), pool, 2).count() == 0
+
+
+def test_evidence_tiers(spark):
+    rows = [
+        ("one_hit", "d1", "beta", "discovery", 3.0, 0.01), ("one_hit", "d2", "beta", "discovery", 0.1, 0.5), ("two_hits", "d1", "beta", "discovery", 3.0, 0.01), ("two_hits", "d2", "beta", "discovery", 2.5, 0.01), ("two_hits", "d3", "amino", "discovery", -4.0, 0.01),
+        ("clash", "d1", "beta", "discovery", 3.0, 0.01), ("clash", "d2", "beta", "discovery", -3.0, 0.01), ("both", "d1", "beta", "discovery", 3.0, 0.01), ("both", "d3", "amino", "discovery", 5.0, 0.01),
+        ("challenge_only", "d4", "amino", "challenge", 6.0, 0.001), ("down", "d1", "beta", "discovery", -6.0, 0.001), ("lone", "d3", "amino", "discovery", 2.2, 0.04), ("lone", "d1", "beta", "discovery", None, None),
+    ]
+    obs = spark.createDataFrame(rows, "feature string, dataset string, class string, role string, lfc double, p double")
+    ev = candidates.evidence(obs, {"beta": ["d1", "d2"], "amino": ["d3", "d4"]}, 0.05, 2.0, lone="d3", caveats={"d2": "few samples"})
+    got = {r["feature"]: r for r in ev.collect()}
+    assert set(got) == {"one_hit", "two_hits", "clash", "both", "lone"}
+    single, multiple, within = "single_comparison_supported", "multiple_comparisons_supported", "within_class_direction_difference"
+    assert {k: r["tier"] for k, r in got.items()} == {"one_hit": single, "two_hits": multiple, "clash": within, "both": single, "lone": single}
+    assert {k: r["grp"] for k, r in got.items()} == {"one_hit": "beta", "two_hits": "beta", "clash": "beta", "both": "cross", "lone": "amino"}
+    assert {x["class"]: x["share"] for x in got["one_hit"]["support"]} == {"beta": 0.5, "amino": 0.0} and got["two_hits"]["caveats"] == ["few samples"]
+    assert got["two_hits"]["flags"] == ["cross_class_direction_difference"] and got["clash"]["flags"] == [within] and got["lone"]["flags"] == ["d3_only"] and not got["both"]["flags"]
+    assert [x["status"] for x in got["lone"]["profile"]] == ["unavailable", "significant_response"] and got["both"]["primary_effect"] == 5.0
+    assert [r["feature"] for r in candidates.ranked(ev).orderBy("rank").collect()] == ["two_hits", "both", "one_hit", "lone", "clash"]
+    short = candidates.shortlist(ev)
+    assert [r["feature"] for r in short.where("class = 'beta'").orderBy("place").collect()] == ["two_hits", "both", "one_hit", "clash"]
+    assert sorted(map(tuple, short.collect())) == sorted(map(tuple, candidates.shortlist(ev, 9).collect()))
+
+
+def test_stability_and_rank_change(spark):
+    rows = [("a", "d1", "beta", "discovery", 3.0, 1.0, 0.01), ("a", "d2", "beta", "discovery", 2.4, 2.3, 0.01), ("b", "d1", "beta", "discovery", 9.0, 2.0, 0.01), ("c", "d1", "beta", "discovery", 2.2, 2.2, 0.01), ("d", "d1", "beta", "discovery", -9.0, -9.0, 0.01), ("e", "d4", "beta", "challenge", 9.0, 9.0, 0.01), ("a", "d3", "amino", "discovery", 1.8, 1.0, 0.01)]
+    obs = spark.createDataFrame(rows, "feature string, dataset string, class string, role string, lfc double, shrunk double, p double")
+    counts = spark.createDataFrame([(f, v) for f, vs in {"a": [10, 20, 50], "b": [50, 50, 50], "c": [10, 10, 10]}.items() for v in vs], "feature string, value int")
+    s = candidates.stability(obs, counts, [10, 20, 50], [-0.5, 0.0, 0.5], 0.05, 2.0)
+    got = {(r["class"], r["feature"]): (r["n_supporting"], r["raw_effect"], r["effect"], r["passed"]) for r in s.collect()}
+    assert got == {("beta", "a"): (2, 3.0, 2.3, 3), ("beta", "b"): (1, 9.0, 2.0, 9), ("beta", "c"): (1, 2.2, 2.2, 2)}
+    assert {r["feature"]: (r["raw_place"], r["shrunk_place"], r["change"]) for r in candidates.rank_change(s).collect()} == {"a": (1, 1, 0), "b": (2, 3, -1), "c": (3, 2, 1)}
+
+
+def test_cross_status(spark):
+    rows = [("s", 3.0, 1.0, 5.0, 0.01, 0.2, 0.5, -0.4, 0.8), ("c", -3.0, -5.0, -1.0, 0.01, 4.0, 0.001, 3.0, 5.0), ("i", 3.0, -0.1, 5.0, 0.01, 0.2, 0.5, -0.4, 1.8), ("n", 3.0, 1.0, 5.0, 0.2, None, None, None, None)]
+    df = spark.createDataFrame(rows, "feature string, lfc double, ci_low double, ci_high double, family_padj double, other_lfc double, other_p double, other_low double, other_high double")
+    got = {r["feature"]: (r["status"], r["detected"], r["within_bound"]) for r in cross.status(df, 0.05, 2.0, 1.0).collect()}
+    assert got == {"s": ("discovery_response_stronger", False, True), "c": ("counterpart_response_stronger", True, False), "i": ("inconclusive", False, False), "n": ("inconclusive", False, False)}
+
+
+def test_places_and_percentiles_of_large_groups(spark):
+    from respondex.operators import modules
+    from respondex.plans import ranges
+
+    r = random.Random(3)
+    rows = [(i, r.choice(["a", "b", None]), float(r.randrange(9)), r.random() < 0.7) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, k string, v double, ok boolean")
+    got = {x["id"]: x["place"] for x in ranges.places(df, ["k"], [F.col("v").desc(), F.col("id").asc()], "place").collect()}
+    for k in ("a", "b", None):
+        assert [got[i] for i, *_ in sorted((x for x in rows if x[1] == k), key=lambda x: (-x[2], x[0]))] == list(range(1, sum(x[1] == k for x in rows) + 1))
+    p = {x["id"]: x["percentile"] for x in modules.percentile(df, "v", "k", "ok").collect()}
+    for i, k, v, ok in rows:
+        mine = [x[2] for x in rows if x[1] == k and x[3]]
+        assert (p[i] is None) if not ok else p[i] == pytest.approx(100 * sum(x <= v for x in mine) / len(mine), abs=0.006)
 
 
 def test_latest_review_is_by_time(spark):

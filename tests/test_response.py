@@ -52,6 +52,29 @@ def test_bh_global_has_no_single_partition(spark):
     assert "SinglePartition" not in plan
 
 
+def test_no_task_reads_a_whole_family(spark):
+    df = spark.range(4000).select(F.col("id"), F.lit("f").alias("f"), ((F.col("id") % 977 + 1) / 977).alias("p"), F.lit(1.0).alias("lfc"))
+    out = response.finalised(df, family=["f"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    # by the family alone go only the sums of its partitions, one row each
+    assert "SinglePartition" not in plan and all("HashAggregate(keys=[f#" in below and "__part#" in below for line, below in zip(lines, lines[1:]) if "hashpartitioning(f#" in line and "__" not in line.split("hashpartitioning(")[1].split(")")[0])
+    assert "SinglePartition" not in response.finalised(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bh_joins_back_a_hot_value(spark, monkeypatch):
+    from respondex.plans import ranges
+
+    monkeypatch.setattr(ranges, "broadcast_if_small", lambda df: df)
+    ps = [1.0] * 50 + [0.01, 0.02, None]
+    df = spark.createDataFrame([(i, "f" if i % 2 else None, p) for i, p in enumerate(ps)], "id int, f string, p double")
+    got = {r["id"]: r["padj"] for r in fdr.adjust_by_family(df, ["f"], nulls="exclude").collect()}
+    for odd in (0, 1):
+        ids = [i for i, p in enumerate(ps) if i % 2 == odd and p is not None]
+        assert [got[i] for i in ids] == pytest.approx(brute_bh([ps[i] for i in ids]))
+    assert got[52] is None and len(got) == 53
+
+
 def test_bh_empty(spark):
     assert fdr.adjust_all(spark.createDataFrame([], "id int, p double")).count() == 0
 

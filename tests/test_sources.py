@@ -18,7 +18,7 @@ def test_sections_and_platform(spark, tmp_path):
 def test_reference_and_edges(spark, tmp_path):
     (tmp_path / "r.tsv").write_text("# c\n1)id\t2)name\n7\t x \n")
     assert [r.asDict() for r in readers.reference(spark, f"file://{tmp_path}/r.tsv").collect()] == [{"id": "7", "name": "x"}]
-    (tmp_path / "e.tsv").write_text("# c\n1)a\n\na\tb\t+\t\nshort\tx\nq\tr\t-\tS\n")
+    (tmp_path / "e.tsv").write_text("# c\n1)a\n\nA\tb\t+\t\nshort\tx\nq\tR\t-\tS\n")
     got = readers.edge_lines(spark, f"file://{tmp_path}/e.tsv", ["src", "dst", "sign", "confidence"], 3)
     assert sorted(tuple(r) for r in got.collect()) == [("a", "b", "+", "?"), ("q", "r", "-", "S")]
 
