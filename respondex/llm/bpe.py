@@ -9,6 +9,9 @@ share it.  A word's tokens are then read backwards from its end.
 Which tokens may follow each other comes from the merge order: two tokens are apart
 in an encoding unless some merge across their border comes before the merges that
 built them up to it.
+
+Null and empty texts have no tokens; repeated rows are each encoded; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from respondex.llm.batches import map_rows
 
 #: Cached words at which a worker starts anew.
-MAX_WORDS = 200_000
+MAX_WORDS = 150_000
 #: The pre-tokens of byte-level BPE: contractions, runs of letters, numbers, other signs, white space.
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -103,7 +106,7 @@ class Vocabulary:
         key = a * self.size + b
         known = self.follows.get(key)
         if known is None:
-            if len(self.follows) > 1_000_000:
+            if len(self.follows) > 300_000:
                 self.follows.clear()
             known = self.follows[key] = not self.crossed(a, b)
         return known
@@ -187,17 +190,6 @@ class Encoder:
         return b"".join(map(self.vocabulary.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(raw: bytes) -> Encoder:
-    """This process's encoder of a tokenizer file."""
-    key = hashlib.sha1(raw).hexdigest()
-    if key not in _encoders:
-        _encoders[key] = Encoder(raw)
-    return _encoders[key]
-
-
 def tokenizer_file(path: str | None = None) -> bytes:
     """Content of a tokenizer file, read where the query is built and broadcast (it doesn't grow with data)."""
     if path is None:
@@ -216,7 +208,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     raw = docs.sparkSession.sparkContext.broadcast(tokenizer_file(path))
 
     def make():
-        e = encoder(raw.value)
+        e = Encoder(raw.value)
         sign = list(map(str, range(e.vocabulary.size)))
 
         def f(batch: pa.RecordBatch) -> dict:

@@ -1,15 +1,17 @@
 """Token counts by a two-tier lookup on the map side.
 
 Tier one is a compact table of the token counts of frequent pre-tokens, broadcast to
-all workers.  Tier two encodes the rest through the bounded caches of each worker.
-No occurrence of a pre-token is shuffled.  What is frequent is found over all texts:
-each task keeps bounded counts and hands on its TOP_OF_TASK heaviest; the table holds
-the TOP heaviest of their sums.  The table only saves time: counts are exact with any.
+all workers: the vocabulary's own entries that are pre-tokens, as a vocabulary is the list
+of what is frequent.  So no pass over the texts, and no shuffle, finds them.  Tier two
+encodes the rest through the bounded caches of each worker.  Counts are exact with any
+table, and the table doesn't grow with data.
+
+Null texts count as empty; repeated rows are each counted; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from itertools import chain
 
 import pyarrow as pa
@@ -17,28 +19,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from respondex.llm.batches import map_rows
-from respondex.llm.bpe import encoder, tokenizer_file
-
-#: Entries of the broadcast table; words that a task hands on, and those that it counts at once.
-TOP, TOP_OF_TASK, COUNTED = 32_768, 4_096, 150_000
-
-
-def frequent(rows: DataFrame, raw) -> DataFrame:
-    """``(word, uses)``: the TOP heaviest pre-tokens by the tasks' bounded counts; rows: (id, text)."""
+from respondex.llm.bpe import Encoder, tokenizer_file
 
-    def run(batches):
-        e, seen = encoder(raw.value), Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                if text:
-                    seen.update(e.words(text))
-                    if len(seen) > COUNTED:
-                        seen = Counter(dict(seen.most_common(COUNTED // 4)))
-        top = seen.most_common(TOP_OF_TASK)
-        yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in top], pa.string()), "uses": pa.array([n for _, n in top], pa.int64())})
 
-    parts = rows.select("text").mapInArrow(run, "word string, uses long")
-    return parts.groupBy("word").agg(F.sum("uses").alias("uses")).orderBy(F.desc("uses"), "word").limit(TOP)
+def frequent(e: Encoder) -> dict[str, int]:
+    """Token counts of the vocabulary's entries that are one pre-token each."""
+    words = []
+    for raw in e.vocabulary.ids:
+        try:
+            text = raw.decode()
+        except UnicodeDecodeError:
+            continue
+        if "\0" not in text and e.words(text) == [text]:
+            words.append(text)
+    return {w: n for w, n in zip(words, map(len, e.encode_all(words)), strict=True) if n < 256}
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -46,14 +40,11 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sc = docs.sparkSession.sparkContext
     raw = sc.broadcast(tokenizer_file(path))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    words = [r["word"] for r in frequent(rows, raw).select("word").collect()]
-    here = encoder(raw.value)
-    sizes = bytes(min(255, sum(map(len, here.encode_all([w])))) for w in words)
-    keep = [i for i, n in enumerate(sizes) if n < 255]
-    table = sc.broadcast(("\0".join(words[i] for i in keep if "\0" not in words[i]).encode(), bytes(sizes[i] for i in keep if "\0" not in words[i])))
+    words = frequent(Encoder(raw.value))
+    table = sc.broadcast(("\0".join(words).encode(), bytes(words.values())))
 
     def make():
-        e = encoder(raw.value)
+        e = Encoder(raw.value)
         names, lengths = table.value
         tier = dict(zip(names.decode().split("\0"), lengths, strict=True)) if lengths else {}
         frequent, code = tier.get, e.cache.__getitem__
