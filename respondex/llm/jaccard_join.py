@@ -7,25 +7,28 @@ A document's set holds its distinct word n-grams.  Two documents link when
 2. Light sets (at most ``boundary`` members) enumerate fixed-size subsets: linked
    sets share the subset that is left when at most ``floor((100-percent)/100 * n)``
    members are deleted from either.
-3. Heavy sets are put on inverted lists and only lists with two classes are scanned.
-   A list belongs to one of ``K + 1`` parts into which the members are dealt by hash,
-   K being the largest symmetric difference of a linked pair of that size.  K
-   differences cannot touch all parts, so linked sets are equal in one part at least
-   and meet on its list, however common single n-grams are.
+3. Heavy sets are put on inverted lists of single members, and only lists with two
+   classes are scanned.  A set of n is on the lists of its first
+   ``n - ceil(percent/100 * n) + 1`` members in an order that all sets share; linked sets
+   meet on the list of the first member that they share.  The order puts members that many
+   documents use last, so a common passage makes no long list.  How common a member is
+   comes from bounded counts of all tasks; any order gives the same links.
 4. ``boundary`` is the cheaper of the possible ones, by the keys that the sizes of all
    classes would emit.  Sets just below it also emit heavy keys, so no pair falls between.
-5. On each list, classes meet its least class first (a star, never all pairs).  What is
+5. On a list two classes are a pair only if their sizes and their places on it allow enough
+   common members.  Each class first meets one hub of its list (never all pairs).  What is
    then connected needs no more comparisons; lists that still hold several components
-   compare the classes outside the largest one with the rest.  Pairs whose sizes or
-   parity sketches prove too many differences are dropped; others are checked exactly.
+   are tried with other hubs, and at last the classes outside a list's largest component
+   meet the rest, in as many tasks as the list is long.  Pairs whose parity sketches
+   prove too many differences are dropped; others are checked exactly on their texts.
 
 Ids: rows that share an id are one document; rows with a null id get a null component.
-Null and empty texts have no set, ``n_shingles`` 0 and link with nothing.
+Null and empty texts have no set, ``n_shingles`` 0 and link with nothing.  Repeated rows
+are one document, or one class if their ids differ.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import combinations
 from math import comb
 
@@ -35,20 +38,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from respondex.llm.batches import map_rows
+from respondex.llm.batches import give_back, map_rows, steps
 from respondex.operators.components import connected_components
+from respondex.plans.shipping import ship
 from respondex.plans.skew import BROADCAST_ROWS
-from respondex.plans.staging import staged
+from respondex.plans.staging import discard, release, staged
 
-#: Bits of a parity sketch; the number of differing bits never exceeds the symmetric difference.
-SKETCH_BITS = 512
 #: What a heavy key costs, in light keys: its list may be scanned and its pairs compared.
 SCAN_COST = 4
-#: Star rounds with another hub before the remaining lists are compared outright.
-STAR_ROUNDS = 2
-#: Tasks that read one hot list in the last comparison.
-SALTS = 8
-
+#: Rounds with other hubs before the remaining lists are compared outright.
+STAR_ROUNDS = 3
+#: Common members: members that a task holds at once, counts, and hands on; least uses in all and entries of the broadcast table.
+HELD, COUNTED, OF_TASK, USES, COMMON = 1_000_000, 200_000, 50_000, 8, 500_000
+#: Entries of a list that one task compares with the classes outside the list's largest component.
+PER_SALT = 512
+
+_USES = pa.list_(pa.struct([("m", pa.int64()), ("k", pa.int64())]))
 _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
 
@@ -77,28 +82,27 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(mixed(h))
 
 
-def sketch(members: np.ndarray) -> list[int]:
-    """Parities of the members dealt to SKETCH_BITS cells, as 64-bit words."""
-    cells = np.bincount(((members * _C) >> _U(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(cells.astype(np.uint8)).view(np.int64).tolist()
-
+def sketch(members: np.ndarray) -> bytes:
+    """Parities of the members dealt to cells, one bit each; as many cells as members, up to the next power of two (64 at least)."""
+    cells = 1 << max(6, (len(members) - 1).bit_length())
+    odd = np.bincount((members * _C >> _U(20)).astype(np.int64) & (cells - 1), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
-def size_classes(percent: int, first: int) -> Callable[[int], int]:
-    """Level of a set size: linked sizes lie in one level or two neighbouring ones."""
-    lows = [first]
 
-    def level(n: int) -> int:
-        while lows[-1] <= n:
-            lows.append(lows[-1] * 100 // percent + 1)
-        return int(np.searchsorted(lows, n, "right")) - 1
+def differing(x: bytes, y: bytes) -> int:
+    """Cells in which two sketches differ, the longer one folded to the shorter; never above the symmetric difference of the sets."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    for size in range(len(x).bit_length() - 2, len(y).bit_length() - 2, -1):
+        bits = 8 << size
+        a = (a >> bits) ^ (a & ((1 << bits) - 1))
+    return (a ^ b).bit_count()
 
-    level.top = lambda c: (level(lows[c]), lows[c + 1] - 1)[1]  # type: ignore[attr-defined]
-    return level
 
-
-def most_differences(n: int, percent: int) -> int:
-    """Largest symmetric difference of a linked pair whose smaller set has n members."""
-    return n * (100 - percent) // percent
+def listed(n: int, percent: int) -> int:
+    """Members by which a set of n is on inverted lists."""
+    return n + n * -percent // 100 + 1
 
 
 def deletions(n: int, percent: int) -> int:
@@ -121,16 +125,47 @@ def light_keys(members: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def heavy_keys(members: np.ndarray, percent: int, level: Callable[[int], int]) -> np.ndarray:
-    """A key for each part, at the set's own level and at the one below, where it is the larger set."""
-    n, m, spread = len(members), mixed(members), mixed(members + _C)
-    out = []
-    for c in {level(n), level(n) - 1} - {-1}:
-        parts = most_differences(level.top(c), percent) + 1  # type: ignore[attr-defined]
-        content = np.zeros(parts, _U)
-        np.add.at(content, (spread % _U(parts)).astype(np.int64), m)
-        out.append(mixed(mixed(content + np.array([c], _U) * _A) + np.arange(parts, dtype=_U) * _B))
-    return np.concatenate(out)
+def heavy_keys(members: np.ndarray, percent: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first listed(n) members in order: rarely used ones first, then by hash; common: sorted members and the size class of their uses."""
+    known, uses = common
+    m = mixed(members + _C)
+    n = listed(len(members), percent)
+    if not len(known):
+        return np.sort(m)[:n]
+    at = np.minimum(np.searchsorted(known, members), len(known) - 1)
+    use = np.where(known[at] == members, uses[at], 0)
+    rare = m[use == 0]
+    if len(rare) >= n:
+        return np.sort(rare)[:n]
+    return m[np.lexsort((m, use))[:n]]
+
+
+class Uses:
+    """Counts of the members that a task sees repeatedly, in bounded memory; the least used are forgotten first."""
+
+    def __init__(self):
+        self.held, self.n = [], 0
+        self.m, self.k = np.empty(0, _U), np.empty(0, np.int64)
+
+    def add(self, sets: list[np.ndarray]) -> None:
+        self.held += sets
+        self.n += sum(map(len, sets))
+        if self.n >= HELD:
+            self.settle()
+
+    def settle(self) -> None:
+        m, k = np.unique(np.concatenate([*self.held, np.empty(0, _U)]), return_counts=True)
+        old = np.isin(m, self.m, assume_unique=True)
+        keep = (k > 1) | old
+        m, at = np.unique(np.concatenate([self.m, m[keep]]), return_inverse=True)
+        k = np.bincount(at, np.concatenate([self.k, k[keep]]), len(m)).astype(np.int64)
+        order = np.sort(np.lexsort((m, -k))[:COUNTED])
+        self.m, self.k, self.held, self.n = m[order], k[order], [], 0
+
+    def top(self) -> list[dict]:
+        self.settle()
+        order = np.lexsort((self.m, -self.k))[:OF_TASK]
+        return [{"m": m, "k": k} for m, k in zip(self.m[order].view(np.int64).tolist(), self.k[order].tolist(), strict=True)]
 
 
 class JaccardJoin:
@@ -151,151 +186,178 @@ class JaccardJoin:
     def members(self) -> DataFrame:
         """``(cid, n, digest, sketch)`` of each row of docs."""
         if self._members is None:
-            size = self.size
-
-            def make():
-                def f(batch: pa.RecordBatch) -> dict:
-                    ns, digests, sketches = [], [], []
-                    for text in batch.column("text").to_pylist():
-                        s = shingles(text, size)
-                        ns.append(len(s))
-                        digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                        sketches.append(sketch(s) if len(s) else None)
-                    return {"cid": batch.column("cid"), "n": ns, "digest": digests, "sketch": sketches}
-
-                return f
-
-            self._members = staged(map_rows(self.docs, "cid long, n int, digest binary, sketch array<long>", "text", make), "jaccard-members")
+            size, kind = self.size, "cid long, n int, digest binary, sketch binary, uses array<struct<m:long,k:long>>"
+            ship(self.docs.sparkSession)
+
+            def run(batches):
+                uses = Uses()
+                for batch in steps(batches, "text"):
+                    sets = [shingles(text, size) for text in batch.column("text").to_pylist()]
+                    uses.add(sets)
+                    digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
+                    sketches = pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())
+                    yield pa.RecordBatch.from_pydict({"cid": batch.column("cid"), "n": pa.array([len(s) for s in sets], pa.int32()), "digest": digests, "sketch": sketches, "uses": pa.nulls(len(sets), _USES)})
+                give_back()
+                yield pa.RecordBatch.from_pydict({"cid": pa.nulls(1, pa.int64()), "n": pa.array([0], pa.int32()), "digest": pa.nulls(1, pa.binary()), "sketch": pa.nulls(1, pa.binary()), "uses": pa.array([uses.top()], _USES)})
+
+            self._all = staged(self.docs.mapInArrow(run, kind), "jaccard-members")
+            self._members = self._all.where("uses IS NULL").drop("uses")
         return self._members
 
+    def live(self) -> DataFrame:
+        return self.members().where("n > 0 AND cid IS NOT NULL")
+
     def classes(self) -> DataFrame:
-        """``(digest, rep, n, sketch)``: each distinct set and the least id that has it."""
-        live = self.members().where("n > 0 AND cid IS NOT NULL")
-        return live.groupBy("digest").agg(F.min("cid").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+        """``(digest, rep, n)``: each distinct set and the least id that has it."""
+        return self.live().groupBy("digest").agg(F.min("cid").alias("rep"), F.min("n").alias("n"))
+
+    def common(self) -> tuple[np.ndarray, np.ndarray]:
+        """The COMMON most used members, sorted, and the binary logarithms of their uses."""
+        self.members()
+        total = self._all.where("uses IS NOT NULL").select(F.explode("uses").alias("u")).groupBy("u.m").agg(F.sum("u.k").alias("k")).where(F.col("k") >= USES)
+        rows = total.orderBy(F.desc("k"), "m").limit(COMMON).toArrow()
+        m = rows["m"].to_numpy().astype(np.int64).view(_U)
+        order = np.argsort(m)
+        return m[order], np.log2(rows["k"].to_numpy().astype(np.float64)[order]).astype(np.uint8)
 
     # step 4: the boundary
     def boundary(self, sizes: list[tuple[int, int]]) -> int:
         """Largest light size, by the keys that all classes would emit; sizes: (n, classes of n members)."""
-        percent, level = self.percent, size_classes(self.percent, 1)
-        heavy = {n: sum(most_differences(level.top(c), percent) + 1 for c in {level(n), level(n) - 1} - {-1}) * SCAN_COST for n, _ in sizes}  # type: ignore[attr-defined]
+        percent = self.percent
         step = 100 // (100 - percent)
         choices = range(step - 1, 5 * step, step)
-        cost = {x: sum(k * ((light_cost(n, percent) if n <= x else 0) + (heavy[n] if 100 * n > percent * x else 0)) for n, k in sizes) for x in choices}
+        cost = {x: sum(k * ((light_cost(n, percent) if n <= x else 0) + (listed(n, percent) * SCAN_COST if 100 * n > percent * x else 0)) for n, k in sizes) for x in choices}
         return min(cost, key=lambda x: (cost[x], x))
 
     def keys(self, reps: DataFrame, boundary: int) -> DataFrame:
-        """``(key, cid)``: the subsets and lists of each representative."""
+        """``(key, cid, n, pos)``: the subsets and lists of each representative, with the size of its set and its place on the list."""
         size, percent = self.size, self.percent
+        sent = self.docs.sparkSession.sparkContext.broadcast(self.common())
 
         def make():
-            level = size_classes(percent, 1)
-
             def f(batch: pa.RecordBatch) -> dict:
-                keys, owners = [np.empty(0, _U)], [np.empty(0, np.int64)]
+                keys, owners, sizes, places = [np.empty(0, _U)], [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
                 for cid, text in zip(batch.column("cid").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     s = shingles(text, size)
                     n = len(s)
                     if not n:
                         continue
-                    got = [light_keys(s, percent)] if n <= boundary else []
-                    if 100 * n > percent * boundary:
-                        got.append(heavy_keys(s, percent, level))
-                    keys += got
-                    owners.append(np.full(sum(map(len, got)), cid, np.int64))
-                return {"key": pa.array(np.concatenate(keys).view(np.int64)), "cid": pa.array(np.concatenate(owners))}
+                    light = light_keys(s, percent) if n <= boundary else np.empty(0, _U)
+                    heavy = heavy_keys(s, percent, sent.value) if 100 * n > percent * boundary else np.empty(0, _U)
+                    keys += [light, heavy]
+                    places += [np.zeros(len(light), np.int32), np.arange(len(heavy), dtype=np.int32)]
+                    owners.append(np.full(len(light) + len(heavy), cid, np.int64))
+                    sizes.append(np.full(len(light) + len(heavy), n, np.int32))
+                return {"key": pa.array(np.concatenate(keys).view(np.int64)), "cid": pa.array(np.concatenate(owners)), "n": pa.array(np.concatenate(sizes)), "pos": pa.array(np.concatenate(places))}
 
             return f
 
-        return map_rows(reps, "key long, cid long", "text", make)
+        return map_rows(reps, "key long, cid long, n int, pos int", "text", make)
 
     def texts(self, ids: DataFrame, n_ids: int, how: str = "left_semi") -> DataFrame:
         """Rows of docs whose id is (left_anti: is not) in ids; ids is broadcast only if its counted rows are few."""
         ids = ids.select(F.col(ids.columns[0]).alias("cid"))
         return self.docs.where("cid IS NOT NULL").join(F.broadcast(ids) if n_ids <= BROADCAST_ROWS else ids, "cid", how)
 
-    def close(self, pairs: DataFrame, meta: DataFrame) -> DataFrame:
-        """Pairs ``(a, b)`` that sizes and sketches don't rule out, each once; meta: (cid, n, sketch)."""
-        side = lambda c: meta.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-        both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
-        return both.where(self.possible("na", "nb", "sa", "sb")).select("a", "b")
+    def possible(self, na, nb, pa_, pb):
+        """Whether two sets of these sizes, whose first common member may have these places, can have enough common members."""
+        least, left = (na + nb) * self.percent, F.least(na - pa_, nb - pb)
+        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * self.percent) & (left * (100 + self.percent) >= least)
 
-    def possible(self, na: str, nb: str, sa: str, sb: str):
-        """No proof of too many differences: size ratio, and differing sketch bits against the largest symmetric difference."""
+    def close(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+        """Pairs ``(a, b, k)`` that sketches don't rule out; k is the number of lists on which they met, sketches ``(cid, n, sketch)``."""
         p = self.percent
-        differ = sum((F.bit_count(F.get(sa, F.lit(i)).bitwiseXOR(F.get(sb, F.lit(i)))) for i in range(SKETCH_BITS // 64)), F.lit(0))
-        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * p) & (differ * (100 + p) <= (F.col(na) + F.col(nb)) * (100 - p))
+        side = lambda c: sketches.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose sets, made anew from the texts, are similar enough."""
-        size, percent = self.size, self.percent
-        pairs = staged(pairs, "jaccard-pairs")
-        ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "jaccard-ids")
-
-        def make_sets():
+        def make():
             def f(batch: pa.RecordBatch) -> dict:
-                return {"cid": batch.column("cid"), "members": [shingles(x, size).tobytes() for x in batch.column("text").to_pylist()]}
+                rows = zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")), strict=True)
+                mask = pa.array([differing(sa, sb) * (100 + p) <= (na + nb) * (100 - p) for na, nb, sa, sb in rows], pa.bool_())
+                return {c: batch.column(c).filter(mask) for c in ("a", "b", "k")}
 
             return f
 
-        sets = staged(map_rows(self.texts(ids, ids.count()), "cid long, members binary", "text", make_sets), "jaccard-sets")
-        side = lambda c: sets.select(F.col("cid").alias(c), F.col("members").alias(f"m{c}"))
+        counted = pairs.groupBy("a", "b").agg(F.count("*").alias("k"))
+        return map_rows(counted.join(side("a"), "a").join(side("b"), "b"), "a long, b long, k long", "sa", make)
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose sets, made anew from the texts, are similar enough."""
+        size, percent = self.size, self.percent
+        pairs = staged(pairs.select("a", "b"), "jaccard-pairs")
+        if pairs.isEmpty():
+            return pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "jaccard-ids")
+        texts = self.texts(ids, ids.count())
+        side = lambda c: texts.select(F.col("cid").alias(c), F.col("text").alias(f"t{c}"))
 
-        def make_check():
+        def make():
             def f(batch: pa.RecordBatch) -> dict:
-                good = []
-                for x, y in zip(batch.column("ma").to_pylist(), batch.column("mb").to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
+                good, sets = [], {}
+                for b, x, y in zip(batch.column("b").to_pylist(), batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
+                    x = shingles(x, size)
+                    y = sets[b] if b in sets else sets.setdefault(b, shingles(y, size))
                     same = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(100 * same >= percent * (len(x) + len(y) - same))
+                    good.append(same > 0 and 100 * same >= percent * (len(x) + len(y) - same))
                 mask = pa.array(good, pa.bool_())
                 return {"src": batch.column("a").filter(mask), "dst": batch.column("b").filter(mask)}
 
             return f
 
-        return staged(map_rows(pairs.join(side("a"), "a").join(side("b"), "b"), "src long, dst long", "ma", make_check), "jaccard-links")
+        found = staged(map_rows(pairs.join(side("a"), "a").join(side("b"), "b"), "src long, dst long", "ta", make), "jaccard-links")
+        discard(pairs, ids)
+        return found
 
     def links(self) -> DataFrame:
         """Checked links (src, dst) between class representatives that connect all that is linked."""
-        classes = staged(self.classes(), "jaccard-classes")
-        meta = classes.select(F.col("rep").alias("cid"), "n", "sketch")
-        everyone = self.members().where("n > 0 AND cid IS NOT NULL").select("cid").distinct()
-        copies = staged(everyone.join(classes.select(F.col("rep").alias("cid")), "cid", "left_anti"), "jaccard-copies")
-        histogram = [(r["n"], r["k"]) for r in meta.groupBy("n").agg(F.count("*").alias("k")).collect()]
-        boundary = self.boundary(histogram)
-        keys = staged(self.keys(self.texts(copies, copies.count(), "left_anti"), boundary), "jaccard-keys")
-        shared = staged(keys.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("most")).where("hub < most").select("key", "hub"), "jaccard-shared")
-        lists = staged(keys.join(shared, "key"), "jaccard-lists")
-        links = self.verified(self.close(lists.where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")), meta))
-        lists = lists.select("key", "cid")
-        for turn in range(1, STAR_ROUNDS + 1):
-            lists = self.open_lists(lists, links)
+        reps = staged(self.classes().select(F.col("rep").alias("cid"), "n", "digest"), "jaccard-classes")
+        sketches = staged(self.live().join(reps.select("cid", "digest"), ["cid", "digest"], "left_semi").select("cid", "n", "sketch").dropDuplicates(["cid"]), "jaccard-sketches")
+        copies = staged(self.live().select("cid").distinct().join(reps.select("cid"), "cid", "left_anti"), "jaccard-copies")
+        histogram = [(r["n"], r["k"]) for r in reps.groupBy("n").agg(F.count("*").alias("k")).collect()]
+        keys = staged(self.keys(self.texts(copies, copies.count(), "left_anti"), self.boundary(histogram)), "jaccard-keys")
+        shared = staged(keys.groupBy("key").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x < y").select("key"), "jaccard-shared")
+        lists = staged(keys.join(shared, "key").withColumn("component", F.col("cid")), "jaccard-lists")
+        discard(keys, shared, copies, reps)
+        release(self.docs.sparkSession)
+        links = None
+        for turn in range(STAR_ROUNDS):
             if lists.isEmpty():
-                return links
-            if turn == STAR_ROUNDS:
                 break
-            order = F.struct(F.xxhash64("cid", F.lit(turn)), F.col("cid"), F.col("component"))
-            hubs = lists.groupBy("key").agg(F.max(order).alias("h")).select("key", F.col("h.cid").alias("hub"), F.col("h.component").alias("of"))
-            pairs = lists.join(staged(hubs, "jaccard-hubs"), "key").where("component <> of").select(F.col("cid").alias("a"), F.col("hub").alias("b"))
-            links = staged(links.unionByName(self.verified(self.close(pairs, meta))), "jaccard-links")
-            lists = lists.select("key", "cid")
-        return links.unionByName(self.verified(self.rest(lists, meta)))
+            found = self.verified(self.stars(lists, sketches, turn))
+            links = found if links is None else staged(links.unionByName(found), "jaccard-links")
+            lists = self.open_lists(lists, links)
+            release(self.docs.sparkSession)
+        if not lists.isEmpty():
+            links = links.unionByName(self.verified(self.close(self.rest(lists), sketches)))
+        discard(sketches, lists)
+        return links if links is not None else lists.select(F.col("cid").alias("src"), F.col("cid").alias("dst")).limit(0)
+
+    def stars(self, lists: DataFrame, sketches: DataFrame, turn: int) -> DataFrame:
+        """For each class the hub that it meets on most lists, of those in other components that sizes, places and sketches don't rule out."""
+        order = F.col("cid") if turn == 0 else F.xxhash64("cid", F.lit(turn))
+        hubs = lists.groupBy("key").agg(F.min(F.struct(order.alias("o"), "cid", "n", "pos", "component")).alias("h")).select("key", F.col("h.cid").alias("b"), F.col("h.n").alias("nb"), F.col("h.pos").alias("pb"), F.col("h.component").alias("of"))
+        met = lists.join(hubs, "key").where((F.col("component") != F.col("of")) & self.possible(F.col("n"), F.col("nb"), F.col("pos"), F.col("pb")))
+        close = self.close(met.select(F.col("cid").alias("a"), "b"), sketches)
+        return close.groupBy("a").agg(F.max_by("b", F.struct("k", -F.col("b"))).alias("b"))
 
     def open_lists(self, lists: DataFrame, links: DataFrame) -> DataFrame:
-        """``(key, cid, component)`` of the lists whose classes are not all connected yet."""
+        """Entries of the lists whose classes are not all connected yet, with their components."""
         known = connected_components(links).withColumnRenamed("node", "cid")
-        at = staged(lists.join(known, "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("component")), "jaccard-at")
-        apart = staged(at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key"), "jaccard-apart")
-        return staged(at.join(apart, "key"), "jaccard-open")
-
-    def rest(self, lists: DataFrame, meta: DataFrame) -> DataFrame:
-        """Pairs of an open list in different components that sizes and sketches allow, one end outside the list's largest component."""
+        at = staged(lists.drop("component").join(known, "cid", "left").select("key", "cid", "n", "pos", F.coalesce("component", "cid").alias("component")), "jaccard-at")
+        apart = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+        found = staged(at.join(apart, "key"), "jaccard-open")
+        discard(at, lists)
+        return found
+
+    def rest(self, lists: DataFrame) -> DataFrame:
+        """Pairs of an open list in different components that sizes and places allow, one end outside the list's largest component."""
         per = lists.groupBy("key", "component").agg(F.count("*").alias("k"))
-        largest = staged(per.groupBy("key").agg(F.max(F.struct("k", "component")).alias("m")).select("key", F.col("m.component").alias("main")), "jaccard-main")
-        full = staged(lists.join(meta, "cid").join(largest, "key"), "jaccard-full")
-        hubs = full.where("component <> main").select("key", F.col("cid").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
-        others = full.select("key", F.col("cid").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("main"), F.pmod("cid", F.lit(SALTS)).cast("int").alias("salt"))
-        on = (hubs["key"] == others["key"]) & (hubs["salt"] == others["salt"]) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & self.possible("na", "nb", "sa", "sb")
-        return hubs.join(others, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        main = staged(per.groupBy("key").agg(F.max(F.struct("k", "component")).alias("m"), F.ceil(F.sum("k") / PER_SALT).cast("int").alias("salts")).select("key", F.col("m.component").alias("main"), "salts"), "jaccard-main")
+        full = staged(lists.join(main, "key"), "jaccard-full")
+        side = lambda x, c: x.select("key", "salt", *[F.col(f).alias(f"{g}{c}") for f, g in (("cid", ""), ("n", "n"), ("pos", "p"), ("component", "c"))], *["main"] * (c == "b"))
+        outside = side(full.where("component <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "a")
+        others = side(full.withColumn("salt", F.pmod(F.xxhash64("cid"), "salts").cast("int")), "b")
+        on = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & self.possible(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb"))
+        return outside.join(others, ["key", "salt"]).where(on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     # step 5: the result
     def components(self) -> DataFrame:
@@ -309,7 +371,7 @@ class JaccardJoin:
 
     def with_shared_ids(self, links: DataFrame) -> DataFrame:
         """Links, and those between the classes of rows that share an id."""
-        live = self.members().where("n > 0 AND cid IS NOT NULL").select("cid", "digest")
+        live = self.live().select("cid", "digest")
         twice = live.groupBy("cid").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("cid")
         reps = self.classes().select("digest", "rep")
         return links.unionByName(live.join(twice, "cid").join(reps, "digest").select(F.col("cid").alias("src"), F.col("rep").alias("dst")))
