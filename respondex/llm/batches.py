@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,6 +19,16 @@ STEP_ROWS = 512
 STEP_BYTES = 2 << 20
 
 
+def give_back() -> None:
+    """Return freed memory to the machine at the end of a task, as workers live on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """Cut batches so that no step has more than STEP_ROWS rows or, but for one long row, STEP_BYTES bytes."""
     for batch in batches:
@@ -42,6 +54,8 @@ def map_rows(df: DataFrame, schema: StructType | str, column: str, make: Callabl
         for step in steps(batches, column):
             got = f(step)
             yield pa.RecordBatch.from_arrays([x if isinstance(x := got[field.name], pa.Array) and x.type == field.type else pa.array(x, field.type) for field in out], schema=out)
+        f = None
+        give_back()
 
     return df.mapInArrow(run, kind)
 
@@ -53,6 +67,8 @@ def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list], li
         f = make()
         for step in steps(batches, column):
             yield step.filter(pa.array(f(step.column(column).to_pylist()), pa.bool_()))
+        f = None
+        give_back()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, df.schema)
