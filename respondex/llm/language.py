@@ -12,6 +12,7 @@ n-grams kept are those of the largest share of any one language's.
 
 Null texts and texts without a letter are ``und`` with score 0.  A word whose script no
 language uses may be any language.  Without labelled rows every text is ``und``.
+Repeated rows are each predicted, and each count as labelled rows.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ SCRIPTS = [
 _STARTS = [a for a, _ in SCRIPTS]
 #: Labelled rows to learn from, n-grams of the model, cost of a change, words that a worker remembers.
 MAX_ROWS, MAX_GRAMS, PENALTY, MAX_CACHE = 20_000, 60_000, 12.0, 150_000
+#: Counted n-grams that a task hands on before it counts anew.
+MAX_COUNTED = 240_000
 _find = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 
 
@@ -185,18 +188,22 @@ def learn(rows: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows:
 
     def count(batches):
         seen: dict[tuple[str, str], Counter] = defaultdict(Counter)
+
+        def given() -> pa.RecordBatch:
+            flat = [(lang, kind, x, k) for (lang, kind), c in seen.items() for x, k in c.items()]
+            cols = list(zip(*flat, strict=True)) or [[], [], [], []]
+            seen.clear()
+            return pa.RecordBatch.from_pydict({"lang": pa.array(cols[0], pa.string()), "kind": pa.array(cols[1], pa.string()), "x": pa.array(cols[2], pa.string()), "n": pa.array(cols[3], pa.int64())})
+
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 for w, k in Counter(_find(text.lower()) if text else []).items():
                     for g in grams(w):
                         seen[lang, "g"][g] += k
                     seen[lang, "s"][script(w)] += k
-            for key in list(seen):  # rare n-grams go when a task has too many
-                if len(seen[key]) > 4 * MAX_GRAMS:
-                    seen[key] = Counter(dict(seen[key].most_common(2 * MAX_GRAMS)))
-        flat = [(lang, kind, x, k) for (lang, kind), c in seen.items() for x, k in c.items()]
-        cols = list(zip(*flat, strict=True)) or [[], [], [], []]
-        yield pa.RecordBatch.from_pydict({"lang": pa.array(cols[0], pa.string()), "kind": pa.array(cols[1], pa.string()), "x": pa.array(cols[2], pa.string()), "n": pa.array(cols[3], pa.int64())})
+                if sum(map(len, seen.values())) > MAX_COUNTED:
+                    yield given()
+        yield given()
 
     sums = staged(rows.mapInArrow(count, "lang string, kind string, x string, n long").groupBy("lang", "kind", "x").agg(F.sum("n").alias("n")), "language-counts")
     totals = {r["lang"]: r["t"] for r in sums.where("kind = 'g'").groupBy("lang").agg(F.sum("n").alias("t")).collect()}
