@@ -7,11 +7,13 @@ words stream through it and keep the length of the longest match that ends at ea
 word inside any occurrence of a window is hit.
 
 The automaton grows with the items, so items are cut into blocks of at most
-``block_words`` words, each broadcast and made into an automaton by each worker.  A pass
-over the documents meets HELD blocks at most, which bounds a worker's memory; if there are
-more, the spans found so far go along as a column and the table is staged between passes.
+``block_words`` words, each broadcast and made into an automaton by each worker; a longer
+item is cut into pieces that overlap by all but one word of a window, so no window is lost.
+A pass over the documents meets HELD blocks at most, which bounds the memory of workers and
+driver; if there are more, the spans found so far go along as a column and the table is
+staged between passes.
 
-Null texts have no words.  Items that repeat count each under its own id; items with a
+Null texts have no words.  Repeated rows are each scanned.  Items that repeat count each under its own id; items with a
 null id take part in hits but are not listed.
 """
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +57,7 @@ class SuffixAutomaton:
                 for c in code:
                     last = self.extend(last, c)
         self.least = min((min(window, len(c)) for _, c in coded), default=0)
+        self.at_window = self.window_states()
         self.full: dict[int, set] = {}
         self.short: dict[int, set] = {}
         for name, code in coded:
@@ -61,9 +65,11 @@ class SuffixAutomaton:
             for c in code:
                 state, length = self.next[state][c], length + 1
                 if length >= window:
-                    self.full.setdefault(self.suffix(state, window), set()).add(name)
+                    self.full.setdefault(self.at_window[state], set()).add(name)
             if length < window:
-                self.short.setdefault(self.suffix(state, length), set()).add((length, name))
+                while self.length[self.link[state]] >= length:  # under window links at most
+                    state = self.link[state]
+                self.short.setdefault(state, set()).add((length, name))
         self.above = self.nearest_short()
 
     def extend(self, last: int, c: int) -> int:
@@ -104,11 +110,13 @@ class SuffixAutomaton:
         self.next.append(follow)
         return len(self.length) - 1
 
-    def suffix(self, state: int, n: int) -> int:
-        """The state of the last n words of a match in ``state``."""
-        while self.length[self.link[state]] >= n:
-            state = self.link[state]
-        return state
+    def window_states(self) -> list[int]:
+        """For each state of at least a window's length, the state of its last ``window`` words; each follows one link."""
+        out = list(range(len(self.length)))
+        for s in sorted(out[1:], key=self.length.__getitem__):
+            if self.length[self.link[s]] >= self.window:
+                out[s] = out[self.link[s]]
+        return out
 
     def nearest_short(self) -> list[int]:
         """For each state, itself or the nearest suffix that is a whole short item's; -1: none."""
@@ -144,7 +152,7 @@ class SuffixAutomaton:
             state, length = to, length + 1
             if length >= window:
                 spans.append((i - window, i))
-                found |= self.full.get(self.suffix(state, window), ())
+                found |= self.full.get(self.at_window[state], ())
             s = self.above[state]
             while s > 0:
                 for n, name in self.short.get(s, ()):
@@ -165,19 +173,25 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int):
-    """Broadcast automata, one for each block of items in order of their ids; the items pass through the driver a block at a time."""
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Iterator[list]:
+    """Broadcast items of each pass, in HELD blocks at most; the items pass through the driver a pass at a time."""
     sc = benchmark.sparkSession.sparkContext
     rows = staged(benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL"), "benchmark")
     out, items, n = [], [], 0
     for r in rows.toLocalIterator():
         w = words(r["text"])
-        if items and n + len(w) > block_words:
-            out.append(sc.broadcast((uuid.uuid4().hex, items, window)))
-            items, n = [], 0
-        items.append((r["item"], w))
-        n += len(w)
-    return out + [sc.broadcast((uuid.uuid4().hex, items, window))] * bool(items)
+        most = max(block_words, window)
+        for a in range(0, max(1, len(w) - window + 1), most - window + 1):
+            piece = w[a : a + most]
+            if items and n + len(piece) > most:
+                out.append(sc.broadcast((uuid.uuid4().hex, items, window)))
+                items, n = [], 0
+                if len(out) == HELD:
+                    yield out
+                    out = []
+            items.append((r["item"], piece))
+            n += len(piece)
+    yield out + [sc.broadcast((uuid.uuid4().hex, items, window))] * bool(items)
 
 
 _automata: dict[str, SuffixAutomaton] = {}
@@ -193,13 +207,14 @@ def automaton(part) -> SuffixAutomaton:
     return _automata[key]
 
 
-def with_hits(docs: DataFrame, text_col: str, parts: list, out: str, keep: list[str]) -> DataFrame:
+def with_hits(docs: DataFrame, text_col: str, passes: Iterator[list], out: str, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of docs and ``out``: struct(n words, spans of hit words in order, sorted items)."""
     kind = "struct<n:int,spans:array<struct<start:int,end:int>>,items:array<string>>"
     df = docs.withColumn(out, F.lit(None).cast(kind))
-    groups = [parts[i : i + HELD] for i in range(0, len(parts), HELD)] or [[]]
-    for k, group in enumerate(groups):
-        last = k == len(groups) - 1
+    group = next(passes)
+    while group is not None:
+        after = next(passes, None)
+        last = after is None
         columns = [*(keep if last else docs.columns), out]
 
         def make(group=group, columns=columns):
@@ -220,6 +235,9 @@ def with_hits(docs: DataFrame, text_col: str, parts: list, out: str, keep: list[
         df = map_rows(df, df.select(*columns).schema, text_col, make)
         if not last:
             df = staged(df, "decontamination-pass")
+            for part in group:
+                part.destroy()
+        group = after
     return df
 
 
