@@ -7,7 +7,9 @@ dropped, the host is lower-cased and the other parameters are sorted.
 The filter holds BITS bits a listed URL in blocks of 256.  A URL sets eight bits of one
 block, so a probe reads one row of a table that is broadcast if its counted rows are few
 and shuffled by block otherwise.  Only possible hits go to the hash join with the list,
-which removes false positives; that join is salted, as one URL may hold many rows.
+which removes false positives.  Where the counted list is small, filter and list are
+broadcast and the pages are read once, without a shuffle; otherwise that join is salted,
+as one URL may hold many rows, and only possible hits are shuffled.
 
 Null URLs, and URLs without ``://``, have an empty host and path, fit no rule and are
 never listed.  Repeated rows are each judged.
@@ -28,8 +30,8 @@ _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 #: Rules of the contract: (verdict, host, path).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Parts of host names by which the query lists URLs of the pages themselves.
-SPAM = ["pills", "casino", "viagra", "payday", "replica", "lottery", "jackpot", "crypto-bonus", "free-money"]
+#: Pages of at least one such sign in SIGNS_IN characters are rejected by content; the query lists their URLs.
+SIGNS, SIGNS_IN = "[#*$%|]", 50
 
 
 def host(url: Column) -> Column:
@@ -88,38 +90,42 @@ def judged(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]
     ``allow``.  listed: whether the exact join found it (null if a rule fitted).
     """
     known = staged(listed.select(canonical(F.col(listed_col).cast("string")).alias("c")).where("c IS NOT NULL").distinct(), "listed-urls")
-    blocks = max(1, -(-known.count() * BITS // BLOCK))
+    n = known.count()
+    blocks, small = max(1, -(-n * BITS // BLOCK)), n <= BROADCAST_ROWS
     table = bloom(known, blocks)
     table = F.broadcast(table) if blocks <= BROADCAST_ROWS else table
     u = F.col("u")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("u")).select("id", host(u).alias("host"), path(u).alias("path"), canonical(u).alias("c"))
     rows = rows.withColumn("r", fitting_rule(F.col("host"), F.col("path"), rules))
-    ruled = rows.where("r IS NOT NULL").select("id", "host", "path", "r.rule", "r.verdict", F.lit(None).cast("boolean").alias("listed"))
-    free = rows.where("r IS NULL").select("id", "host", "path", "c", block(F.col("c"), blocks).alias("block"), *[m.alias(f"m{i}") for i, m in enumerate(masks(F.col("c")))])
+    free = rows.select("*", block(F.coalesce("c", F.col("id").cast("string"), F.lit("")), blocks).alias("block"), *[m.alias(f"m{i}") for i, m in enumerate(masks(F.col("c")))])
     probed = free.join(table, "block", "left")
     inside = F.coalesce(F.col("w0").bitwiseAND(F.col("m0")) == F.col("m0"), F.lit(False))
     for i in range(1, 4):
         inside = inside & (F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}"))
-    last = lambda df, found: df.select("id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(found, "block").otherwise("allow").alias("verdict"), found.alias("listed"))
-    possible = probed.where(inside).select("id", "host", "path", "c")
-    exact = salted_join(possible, known.withColumn("found", F.lit(True)), ["c"])
-    out = ruled.unionByName(last(probed.where(~F.coalesce(inside, F.lit(False))), F.lit(False))).unionByName(last(exact, F.coalesce("found", F.lit(False))))
-    return out.withColumnRenamed("id", id_col)
+    inside = F.coalesce(inside & F.col("r").isNull(), F.lit(False))
+    found = known.withColumn("found", F.lit(True))
+    if small:
+        at = probed.withColumn("c", F.when(inside, F.col("c"))).join(F.broadcast(found), "c", "left")
+    else:
+        at = salted_join(probed.where(inside), found, ["c"]).unionByName(probed.where(~inside).withColumn("found", F.lit(False)))
+    hit = F.when(F.col("r").isNull(), F.coalesce("found", F.lit(False)))
+    return at.select(F.col("id").alias(id_col), "host", "path", "r.rule", F.coalesce("r.verdict", F.when(hit, "block").otherwise("allow")).alias("verdict"), hit.alias("listed"))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    """Contract query: every page; listed are the URLs of pages whose host has a word of SPAM."""
+    """Contract query: every page; listed are the URLs of pages rejected by their content, one sign or more in SIGNS_IN characters."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    listed = pages.where(host(F.col("url")).rlike("|".join(SPAM))).select("url")
+    signs = F.length("html") - F.length(F.regexp_replace("html", SIGNS, ""))
+    listed = pages.where(SIGNS_IN * signs >= F.length("html")).where("html <> ''").select("url")
     return judged(pages, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
 SQL = r"""
-WITH p AS (SELECT page_id, url, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '') AS h0, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
-q AS (SELECT page_id, url, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path,
+WITH p AS (SELECT page_id, url, html <> '' AND 50 * (length(html) - length(regexp_replace(html, '[#*$%|]', '', 'g'))) >= length(html) AS bad, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '') AS h0, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+q AS (SELECT page_id, url, bad, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path,
   list_sort(list_filter(string_split(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref)(=|$)'))) AS pairs FROM p),
 c AS (SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(regexp_replace(path, '/index\.html?$', '/'), '/+$', '') || CASE WHEN len(pairs) > 0 THEN '?' || array_to_string(pairs, '&') ELSE '' END END AS canon FROM q),
-listed AS (SELECT DISTINCT canon FROM c WHERE canon IS NOT NULL AND regexp_matches(host, 'pills|casino|viagra|payday|replica|lottery|jackpot|crypto-bonus|free-money')),
+listed AS (SELECT DISTINCT canon FROM c WHERE canon IS NOT NULL AND bad),
 r AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) t(v, rh, rp)),
 fit AS (SELECT page_id, host AS h, path AS pa, max_by(rh || rp, length(rh || rp)) AS rule, max_by(v, length(rh || rp)) AS v FROM (SELECT DISTINCT page_id, host, path FROM c) JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1, 2, 3)
 SELECT c.page_id, host, path, rule, coalesce(v, CASE WHEN l.canon IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
