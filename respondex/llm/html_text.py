@@ -11,8 +11,9 @@ are GENERATED ones of known labels built by rule in many layouts, and at most SA
 given ones that mark their article up (a classifier's documented bound): text in
 ``article`` or ``main``, but not in what marks inside it set apart, is content.
 
-Null and empty pages have an empty text.  Unclosed and stray tags are mended as browsers do
-for paragraphs, list items and table cells; a broken page never fails.
+Null and empty pages have an empty text; repeated rows are each extracted.  Unclosed and
+stray tags are mended as browsers do for paragraphs, list items and table cells; a broken
+page never fails.  Formulas and the text inside drawings, media and objects are inline text.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ from respondex.llm.batches import map_rows
 #: Pages built by rule; given pages to learn from at most, and their length; passes over them; step size.
 GENERATED, SAMPLE, SAMPLE_CHARS, EPOCHS, RATE = 500, 100, 20_000, 12, 0.3
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe svg canvas object video audio select textarea title math".split())
-INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr input button acronym nobr center".split()) - {"center"}
+RAW = frozenset("script style template noscript iframe select textarea title".split())
+#: Elements whose tags are all inline, whatever their names.
+FOREIGN = frozenset(("math", "svg"))
+INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr input button acronym nobr math svg object video audio canvas source track param embed".split())
 #: A start tag (or any block for p) that ends an open element of these names.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 APART = frozenset("nav footer aside form header menu dialog".split())
@@ -45,7 +48,8 @@ SIGNS = frozenset(
     "disqus discussion share social sharing related recommended more breadcrumb breadcrumbs pagination pager tags tag meta byline author copyright legal "
     "toolbar tools links list logo title headline caption figure".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">]){0,5000})>", re.S)
+#: Comments, declarations, tags; a tag with an unclosed quote ends at the next ``>``.
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"\shidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -72,7 +76,7 @@ class Page:
         return len(self.parent) - 1
 
     def parse(self, source: str) -> None:
-        open_nodes, run, in_links, in_a = [0], [], 0, 0
+        open_nodes, run, in_links, in_a, foreign = [0], [], 0, 0, 0
 
         def flush():
             nonlocal in_links
@@ -94,10 +98,13 @@ class Page:
             if not m:
                 break
             at = m.end()
-            name = (m[2] or "").lower()
+            end_tag, name, said = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)
+            name = (name or "").lower()
             if not name:
                 continue
-            if m[1]:
+            if m.start() < foreign and name not in RAW:
+                continue
+            if end_tag:
                 if name == "a":
                     in_a = max(0, in_a - 1)
                 elif name not in INLINE and name not in RAW:
@@ -107,11 +114,14 @@ class Page:
                         del open_nodes[depth:]
                         in_a = 0
                 continue
-            closed = m[3].rstrip().endswith("/")
-            if name in RAW or _HIDDEN.search(m[3]) and name not in VOID:
+            closed = said.rstrip().endswith("/")
+            if name in FOREIGN and not closed:
+                end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
+                foreign = end.start() if end else at
+            if name in RAW or _HIDDEN.search(said) and name not in VOID:
                 if name in RAW:
                     end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                    at = at if closed and name in ("svg", "math") else end.end() if end else n
+                    at = end.end() if end else n
                     run.append(" ")
                     continue
                 if name in INLINE:
@@ -138,8 +148,8 @@ class Page:
                     k -= 1
                 if self.tag[open_nodes[k]] in ends:
                     del open_nodes[k:]
-            said = [name, *_WORD.findall(" ".join(x[0] or x[1] or x[2] for x in _ATTR.findall(m[3])).lower())]
-            signs = tuple(dict.fromkeys(w for w in said if w in SIGNS)) + (("hidden",) if _HIDDEN.search(m[3]) else ())
+            names = [name, *_WORD.findall(" ".join(x[0] or x[1] or x[2] for x in _ATTR.findall(said)).lower())]
+            signs = tuple(dict.fromkeys(w for w in names if w in SIGNS)) + (("hidden",) if _HIDDEN.search(said) else ())
             node = self.add(open_nodes[-1], name, signs, None)
             if not closed:
                 open_nodes.append(node)
