@@ -4,13 +4,13 @@ Base counts are of words (runs of anything but ASCII white space), symbols, repe
 lines and words in repeated three-word windows.
 
 References: for each language, over all documents, the shares of seven character classes
-and of its COMMON most used words of at most four letters (all other words are one
-class).  A document of at least ``least`` words is kept if the Jensen-Shannon distance
+and of its COMMON most used words (all other words are one class).  A document of at least ``least`` words is kept if the Jensen-Shannon distance
 (square root of the divergence in bits) of either histogram to its language's stays
 within the limit; shorter ones and those that fail a base rule are not kept.  Documents
 without a language are held against the sum of all.
 
-Null and empty texts have no words and fail the base rules.
+Null and empty texts have no words and fail the base rules; repeated rows are each judged
+and count each for the references.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from respondex.plans.staging import staged
 
-#: Words of a reference; languages up to which references are broadcast (more are joined by a shuffle).
-COMMON, LANGUAGES = 40, 200
+#: Words of a reference; languages up to which references are broadcast (more are joined by a shuffle); parts in which a language's words are ranked first.
+COMMON, LANGUAGES, PARTS = 40, 200, 16
 #: Characters of the classes, stripped from a text in this order; what is left is the last class (fixed values).
 CLASSES = {"lower": "a-z", "space": r"\x20\x09-\x0D", "wide": r"^\x00-\x7F", "upper": "A-Z", "digit": "0-9", "mark": r".,;:!?'\"()\-"}
 SYMBOLS = "#*$%&|<>"
@@ -41,7 +41,7 @@ def letter_words(text: Column) -> Column:
 
 
 def with_histograms(d: DataFrame) -> DataFrame:
-    """Adds ``chars`` (characters of t in each class and in none), ``n_symbols``, ``letters`` (number of letter words) and ``short`` (those of at most four letters).
+    """Adds ``chars`` (characters of t in each class and in none), ``n_symbols``, ``lw`` (letter words) and their number ``letters``.
 
     Each class is taken from what the ones before left, so a text is read whole once.
     """
@@ -52,8 +52,7 @@ def with_histograms(d: DataFrame) -> DataFrame:
         left = f"r{i}"
     chars = F.array(*[x.cast("double") for x in [*sizes, F.length(left)]])
     symbols = F.length(left) - F.length(F.regexp_replace(left, f"[{SYMBOLS}]+", ""))
-    d = d.select(*columns, chars.alias("chars"), symbols.cast("long").alias("n_symbols"), letter_words(F.col("t")).alias("lw"))
-    return d.select(*columns, "chars", "n_symbols", F.size("lw").alias("letters"), F.filter("lw", lambda x: F.length(x) <= 4).alias("short"))
+    return d.select(*columns, chars.alias("chars"), symbols.cast("long").alias("n_symbols"), letter_words(F.col("t")).alias("lw")).withColumn("letters", F.size("lw"))
 
 
 def counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None) -> DataFrame:
@@ -72,19 +71,17 @@ def counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None) ->
     twice = lambda x, k: (F.get("s", k + 1)["h"] == x["h"]) | F.when(k > 0, F.get("s", k - 1)["h"] == x["h"]).otherwise(False)
     d = d.withColumn("at", F.array_sort(F.transform(F.filter("s", lambda x, k: F.coalesce(twice(x, k), F.lit(False))), lambda x: x["i"])))
     covered = F.aggregate(F.transform("at", lambda x, k: F.least(F.lit(3), F.coalesce(F.get("at", k + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    return d.select("id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "chars", "letters", "short")
+    return d.select("id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "chars", "letters", "lw")
 
 
-def references(docs: DataFrame, text_col: str, lang_col: str | None) -> DataFrame:
+def references(counted: DataFrame) -> DataFrame:
     """``(ref, chars array<double>, common array<struct<word,share>>)`` for each language; ref ``*`` is the sum of all."""
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("*")) if lang_col else F.lit("*")
-    t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    d = with_histograms(docs.select(lang.alias("lang"), t.alias("t"))).drop("t")
-    # one pass: words count 1 each, classes and all words count as entries of their own
+    d = counted.select(F.coalesce("lang", F.lit("*")).alias("lang"), "chars", "letters", "lw")
     entry = lambda kind, key, n: F.struct(F.lit(kind).alias("kind"), key.alias("key"), n.alias("n"))
     sums = [entry("c", F.lit(f"{i}"), F.col("chars")[i]) for i in range(len(CLASSES) + 1)] + [entry("n", F.lit(""), F.col("letters").cast("double"))]
-    items = F.concat(F.transform("short", lambda x: entry("w", x, F.lit(1.0))), F.array(*sums))
-    each = staged(d.select("lang", F.explode(items).alias("e")).groupBy("lang", "e.kind", "e.key").agg(F.sum("e.n").alias("n")), "rule-counts")
+    once = d.select("lang", F.inline(F.array(*sums))).groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    used = d.select("lang", F.explode("lw").alias("key")).groupBy("lang", "key").agg(F.count("*").cast("double").alias("n"))
+    each = staged(used.select("lang", F.lit("w").alias("kind"), "key", "n").unionByName(once), "rule-counts")
     every = each.groupBy("kind", "key").agg(F.sum("n").alias("n")).select(F.lit("*").alias("lang"), "kind", "key", "n")
     table = each.where("lang <> '*'").unionByName(every)
     top = ranked(table)
@@ -96,9 +93,10 @@ def references(docs: DataFrame, text_col: str, lang_col: str | None) -> DataFram
 
 
 def ranked(table: DataFrame) -> DataFrame:
-    """The COMMON most counted words of each language; ties by the word."""
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
-    top = table.where("kind = 'w'").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= COMMON)
+    """The COMMON most counted words of each language; ties by the word.  Those of PARTS parts of a language's words come first, so no task ranks all of them."""
+    top = table.where("kind = 'w'").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)))
+    for by in (["lang", "part"], ["lang"]):
+        top = top.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "key"))).where(F.col("rank") <= COMMON)
     return top.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("key", "n"))).alias("common"))
 
 
@@ -114,8 +112,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
     ``(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, js_chars, js_words, base_failed, kept)``
     """
-    refs = references(docs, text_col, lang_col)
-    d = counts(docs, id_col, text_col, lang_col)
+    d = staged(counts(docs, id_col, text_col, lang_col), "rule-documents")
+    refs = references(d)
     # every language of a document has a row; none looks up the sum of all
     side = refs.withColumnRenamed("common", "ref_words")
     d = d.withColumn("ref", F.coalesce("lang", F.lit("*"))).join(F.broadcast(side) if refs.count() <= LANGUAGES + 1 else side, "ref", "left")
@@ -124,7 +122,9 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     js_chars = F.aggregate(F.zip_with("chars", "ref_chars", lambda c, q: js_term(c / F.col("total"), q)), F.lit(0.0), lambda a, x: a + x) / 2
     # counts of the document's common words as lengths of runs in sorted order
     names = F.transform("ref_words", lambda r: r["word"])
-    d = d.withColumn("names", names).withColumn("common", F.array_sort(F.filter("short", lambda x: F.array_contains("names", x)))).drop("short")
+    longest = F.array_max(F.transform("ref_words", lambda r: F.length(r["word"])))
+    d = d.withColumn("names", names).withColumn("longest", longest)
+    d = d.withColumn("common", F.array_sort(F.filter("lw", lambda x: (F.length(x) <= F.col("longest")) & F.array_contains("names", x)))).drop("lw")
     ends = F.filter(F.transform("common", lambda x, i: F.when(F.coalesce(F.get("common", i + 1) != x, F.lit(True)), F.struct(x.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
     d = d.withColumn("ends", ends)
     count = lambda x, i: x["i"] - F.when(i > 0, F.get("ends", i - 1)["i"]).otherwise(-1)
@@ -154,7 +154,7 @@ cls AS (SELECT r, doc_id, lang, len(w) AS n_words, length(t) - length(regexp_rep
   length(t) - length(regexp_replace(t, '[a-z]+', '', 'g')) AS c0, length(t) - length(regexp_replace(t, '[^\x00-\x7F]+', '', 'g')) AS c2, length(t) - length(regexp_replace(t, '[A-Z]+', '', 'g')) AS c3, length(t) - length(regexp_replace(t, '[0-9]+', '', 'g')) AS c4, length(t) - length(regexp_replace(t, '[.,;:!?''"()-]+', '', 'g')) AS c5 FROM w),
 win AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
 rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS k FROM win) WHERE k > 1) GROUP BY 1),
-sw AS (SELECT r, lang, x AS word FROM (SELECT r, lang, unnest(lw) AS x FROM w) WHERE length(x) <= 4),
+sw AS (SELECT r, lang, x AS word FROM (SELECT r, lang, unnest(lw) AS x FROM w)),
 wide AS (SELECT lang AS ref, letters, c0, c1, c2, c3, c4, c5, total FROM cls WHERE lang <> '*' UNION ALL SELECT '*', letters, c0, c1, c2, c3, c4, c5, total FROM cls),
 ref AS (SELECT ref, sum(letters) AS letters, sum(c0) / sum(total) AS q0, sum(c1) / sum(total) AS q1, sum(c2) / sum(total) AS q2, sum(c3) / sum(total) AS q3, sum(c4) / sum(total) AS q4, sum(c5) / sum(total) AS q5, 1 - (sum(c0) + sum(c1) + sum(c2) + sum(c3) + sum(c4) + sum(c5)) / sum(total) AS q6 FROM wide GROUP BY 1),
 rw AS (SELECT ref, word, n / letters AS q FROM (SELECT ref, word, count(*) AS n FROM (SELECT lang AS ref, word FROM sw WHERE lang <> '*' UNION ALL SELECT '*', word FROM sw) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY ref ORDER BY count(*) DESC, word) <= 40) JOIN ref USING (ref)),
