@@ -1,14 +1,18 @@
 """Licence scan: TF-IDF cosine of headers and licence files to templates, then inheritance from ancestor directories.
 
-A file's header passages are its lines with a word of TRIGGERS, their runs, the comment
-blocks or paragraphs around them, and the lines from such a line (or the one before it) on,
-joined one after another up to the length of the longest template; a licence file (LICENSE,
-COPYING, ...) is also one passage as a whole, and each of its paragraphs is one.  Templates are one-sentence notices, notices as
+A passage can only reach ``least`` if it has one of a template's heaviest words: without
+them the rest of the template's vector is shorter than ``least``.  These trigger words follow
+from the weights, so no line is left out by a list.  A file's header passages are its lines
+with a trigger word, their runs, the comment blocks or paragraphs around them, and the lines
+from such a line (or the one before it) on, joined one after another up to the length of
+the longest template; a licence file (LICENSE, COPYING, ...) is also one passage as a whole,
+and each of its paragraphs is one.  Templates are one-sentence notices, notices as
 they stand in source headers, the bodies of the short licences, and the titles of the long
 ones (their files hold the title as a paragraph).  Passages and templates are sparse
 vectors over their words, weighted by how few of all files use each template word; words
-outside the templates count with the largest weight.  The best cosine of at least
-``least`` names the file's own licence.
+outside the templates count with the largest weight.  A template that names versions only
+fits a passage that has them all.  The best cosine of at least ``least`` names the file's
+own licence.
 
 A directory has the licence of its licence files (the best cosine; ties by name).  A file
 without one of its own takes that of the nearest directory above it that has one.  That is
@@ -16,6 +20,7 @@ settled once per directory, by equi-joins on ancestor paths, then joined to file
 salted keys, as one directory may hold many files.
 
 Null and empty texts have no licence of their own but inherit; null paths inherit nothing.
+Repeated rows are each scanned.
 """
 
 from __future__ import annotations
@@ -76,7 +81,10 @@ _LONG = {
 }
 for _name, _texts in _LONG.items():
     TEMPLATES[_name] = TEMPLATES[_name] + _texts
-TRIGGERS = ("licen", "copyright", "permission", "redistribut", "public domain", "spdx", "all rights reserved", "terms of the")
+for _name in TEMPLATES:
+    if _name != "Proprietary":
+        _ends = ("", "-only", "-or-later") if "GPL" in _name else ("",)
+        TEMPLATES[_name] = TEMPLATES[_name] + [f"SPDX-License-Identifier: {_name}{x}" for x in _ends]
 FILE_NAMES = r"(?i)^(licen[sc]e|copying|notice|copyright)([._-].*)?$"
 LEAST = 0.75
 _WORD = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
@@ -85,7 +93,14 @@ _COMMENT = re.compile(r"\s*(?:#|//|/?\*|--|;|%|<!--)")
 
 
 def tokens(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Words of a text; ``v2.0`` is the word ``2.0``."""
+    return [w[1:] if w[0] == "v" and w[1:2].isdigit() else w for w in _WORD.findall(text.lower())]
+
+
+def versions(text: str) -> set[str]:
+    """Numbers that a template's licence names as its version (dates and list numbers are none)."""
+    w = tokens(text)
+    return {x for before, x in zip(["", *w], w) if re.fullmatch(r"\d+(\.\d+)?", x) and (before in ("version", "v", "cc0") or re.fullmatch(r"[1-9]\.0", x))}
 
 
 VOCABULARY = sorted({w for group in TEMPLATES.values() for t in group for w in tokens(t)})
@@ -108,11 +123,11 @@ def blocks(lines: list[str]) -> list[list[str]]:
     return out
 
 
-def joined(lines: list[str]) -> list[str]:
+def joined(lines: list[str], triggers: set[str]) -> list[str]:
     """Blocks around lines with a trigger, and lines from each such line or the one before it on, joined up to LONGEST words."""
     out = []
     for block in blocks(lines):
-        hits = [i for i, line in enumerate(block) if any(t in line.lower() for t in TRIGGERS)]
+        hits = [i for i, line in enumerate(block) if not triggers.isdisjoint(tokens(line))]
         if not hits or len(block) == 1:
             continue
         out.append(" ".join(block))
@@ -127,32 +142,37 @@ def joined(lines: list[str]) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def passages(text: str | None, whole: bool) -> list[str]:
+def passages(text: str | None, whole: bool, triggers: set[str]) -> list[str]:
     """Lines with a trigger, their runs, what is around them; the whole text and all blocks of a licence file."""
-    if not text:
+    if not text or triggers.isdisjoint(tokens(text)):
         return []
-    low = text.lower()
-    if not any(t in low for t in TRIGGERS):
-        return [text, *map(" ".join, blocks(text.split("\n")))] if whole else []
     out, run = [text, *map(" ".join, blocks(text.split("\n")))] if whole else [], []
     for line in [*text.split("\n"), ""]:
-        if any(t in line.lower() for t in TRIGGERS):
+        if not triggers.isdisjoint(tokens(line)):
             run.append(line)
             out.append(line)
         else:
             if len(run) > 1:
                 out.append(" ".join(run))
             run = []
-    return out + joined(text.split("\n"))
+    return list(dict.fromkeys(out + joined(text.split("\n"), triggers)))
 
 
 class Scanner:
     """Cosines of passages to the templates under given document frequencies."""
 
-    def __init__(self, files: int, frequency: dict[str, int]):
+    def __init__(self, files: int, frequency: dict[str, int], least: float = LEAST):
         self.top = log(files + 1) + 1
         self.idf = {w: log((files + 1) / (frequency.get(w, 0) + 1)) + 1 for w in VOCABULARY}
-        self.templates = [(name, self.vector(t)) for name, group in TEMPLATES.items() for t in group]
+        self.templates = [(name, self.vector(t), versions(t)) for name, group in TEMPLATES.items() for t in group]
+        self.triggers, self.least2 = set(), least * least
+        for _, v, _ in self.templates:
+            left = 1.0
+            for w in sorted(v, key=lambda w: (-v[w], w)):
+                if left < self.least2:
+                    break
+                self.triggers.add(w)
+                left -= v[w] * v[w]
 
     def vector(self, text: str) -> dict[str, float]:
         counts = Counter(tokens(text))
@@ -161,11 +181,15 @@ class Scanner:
         return {w: x / norm for w, x in v.items()}
 
     def best(self, text: str | None, whole: bool) -> tuple[str | None, float]:
-        """(licence, cosine) of the most similar template; ties go to the lower name."""
+        """(licence, cosine) of the most similar template that fits; (None, 0) where no passage can reach the limit; ties go to the lower name."""
         found: tuple[float, str | None] = (0.0, None)
-        for p in passages(text, whole):
+        for p in passages(text, whole, self.triggers):
             v = self.vector(p)
-            for name, t in self.templates:
+            if sum(x * x for w, x in v.items() if w in self.idf) < self.least2:  # no template's cosine is above the root of this share
+                continue
+            for name, t, need in self.templates:
+                if not all(x in v for x in need):
+                    continue
                 c = round(sum(x * v.get(w, 0.0) for w, x in t.items()), 9)
                 if c > found[0] or c == found[0] and found[1] is not None and name < found[1]:
                     found = (c, name)
@@ -200,7 +224,7 @@ def scanned(files: DataFrame, id_col: str, path_col: str, text_col: str, least:
     rows = rows.withColumn("whole", F.coalesce(is_file, F.lit(False)))
 
     def make():
-        scanner = Scanner(*sent.value)
+        scanner = Scanner(*sent.value, least)
 
         def f(batch: pa.RecordBatch) -> dict:
             got = [scanner.best(t, w) for t, w in zip(batch.column("text").to_pylist(), batch.column("whole").to_pylist(), strict=True)]
