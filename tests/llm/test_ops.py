@@ -43,7 +43,7 @@ def test_bpe_random_texts():
     tok = pytest.importorskip("tokenizers")
     import public_tokenizers
 
-    t, e, r = tok.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), bpe.encoder(bpe.tokenizer_file()), random.Random(3)
+    t, e, r = tok.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), bpe.Encoder(bpe.tokenizer_file()), random.Random(3)
     pool = ["a", "aa", "e", "the", "  ", " ", "\n", "\x85", "\u3000", "é", "ß", "中", "\U0001f642", "<|endoftext|>", "'s", "'", "12", "½", "_", "--", "\u0301", "\x00", "World"]
     texts = ["".join(r.choice(pool) for _ in range(r.randrange(1, 30))) for _ in range(2000)]
     assert e.encode_all(texts) == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
@@ -110,6 +110,23 @@ def test_decontamination_equals_brute_force(spark, block):
     assert kept.columns == docs(spark).columns and {x["doc_id"] for x in kept.collect()} == {i for i, x in want.items() if not x[3]}
 
 
+def test_decontamination_of_repeated_documents_in_many_passes(spark):
+    items = [(i, f"a{i} b c d e f g{i}") for i in range(12)]
+    texts = ["x a3 b c d y", "a3 b c d", "b c d e f", None]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    d = docs(spark, texts).unionByName(docs(spark, texts))
+    got = sorted((x["doc_id"], x["n_words"], x["n_hit"], x["items"]) for x in decontaminate.scan(d, b, window=4, block_words=5).collect())
+    want = brute_windows(texts, items, 4, 20)
+    assert got == sorted((i, *want[i][:3]) for i in range(4) for _ in range(2))
+
+
+def test_decontamination_of_a_repetitive_item():
+    words = [b"a"] * 3000
+    automaton = decontaminate.SuffixAutomaton([("x", words)], 13)
+    spans, found = automaton.hits(words)
+    assert spans == [(0, 3000)] and found == {"x"}
+
+
 def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.scan(docs(spark), none).where("n_hit > 0").count() == 0 and decontaminate.scan(empty(spark), none).count() == 0
@@ -159,6 +176,29 @@ def test_jaccard_join_equals_brute_force(spark, size, percent, seed):
     assert {x["doc_id"] for x in kept.collect()} == {i for i, c in want.items() if i == c} and kept.columns == docs(spark).columns
 
 
+def test_jaccard_lists_of_a_shared_passage_are_short(spark):
+    r = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(80))
+    texts = [" ".join(f"u{r.randrange(10**6)}" for _ in range(120)) + " " + passage for _ in range(300)] + [passage + f" {i}" for i in range(5)]
+    join = jaccard_join.JaccardJoin(docs(spark, texts), size=3, percent=80)
+    keys = join.keys(join.docs, join.boundary([(200, 300)]))
+    assert keys.groupBy("key").count().agg(F.max("count")).first()[0] <= 12
+
+
+def test_sketches_never_show_too_many_differences():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for _ in range(300):
+        a = r.integers(0, 2**63, r.integers(1, 3000)).astype(np.uint64)
+        b = np.concatenate([a[: r.integers(0, len(a) + 1)], r.integers(0, 2**63, r.integers(0, 900)).astype(np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        if len(b):
+            d = jaccard_join.differing(jaccard_join.sketch(a), jaccard_join.sketch(b))
+            assert d <= len(np.setxor1d(a, b)) and d == jaccard_join.differing(jaccard_join.sketch(b), jaccard_join.sketch(a))
+    assert jaccard_join.differing(jaccard_join.sketch(a), jaccard_join.sketch(a)) == 0
+
+
 def test_jaccard_join_of_shared_and_null_ids(spark):
     rows = [(1, "a b c d e"), (1, "v w x y z"), (7, "v w x y z"), (5, "v w x y z"), (None, "a b c d e"), (9, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -227,6 +267,32 @@ def test_viterbi_equals_enumeration():
         assert value(language.viterbi(s, 1.5)) == pytest.approx(value(best))
 
 
+def test_viterbi_is_exact_on_many_draws():
+    import numpy as np
+
+    r = np.random.default_rng(9)
+    paths = {n: np.array(list(np.ndindex(*[3] * n))) for n in range(1, 6)}
+    for i in range(20_000):
+        n, penalty = int(r.integers(1, 6)), float(r.choice([1.0, 3.0, 12.0]))
+        s = -r.exponential(penalty * r.choice([0.3, 0.6, 1.0]), (n, 3)) * (r.random((n, 3)) < 0.8)
+        p = paths[n]
+        values = s[np.arange(n), p].sum(axis=1) - penalty * (np.diff(p, axis=1) != 0).sum(axis=1)
+        got = language.viterbi(s, penalty)
+        assert s[np.arange(n), got].sum() - penalty * np.count_nonzero(np.diff(got)) == pytest.approx(values.max()), i
+
+
+def test_language_counts_do_not_depend_on_tasks(spark, monkeypatch):
+    import numpy as np
+
+    one = language.learn(labelled(spark).coalesce(1), "doc_id", "text", "lang")
+    monkeypatch.setattr(language, "MAX_COUNTED", 10)
+    many = language.learn(labelled(spark).repartition(7), "doc_id", "text", "lang")
+    assert one["grams"] == many["grams"] and np.allclose(np.vstack(one["logp"]), np.vstack(many["logp"]))
+    assert language.identify(empty(spark), one).count() == 0
+    twice = docs(spark, ["tho ing", "tho ing"]).withColumn("doc_id", F.lit(1))
+    assert [r["lang_pred"] for r in language.identify(twice, one).collect()] == ["aa", "aa"]
+
+
 def test_viterbi_with_a_compromise_label():
     import numpy as np
 
@@ -270,6 +336,44 @@ def test_quality(spark):
     assert {x["score"] for x in quality.scores(d, quality.learn(empty(spark), y)).collect()} == {0.5}
 
 
+def test_quality_calibration_and_features():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    z = r.normal(0, 2, 6000)
+    y = (r.random(6000) < 1 / (1 + np.exp(-z))).astype(float)
+    temperature, offset = quality.calibration(2 * z + 3, y)
+    assert temperature == pytest.approx(2, abs=0.25) and offset == pytest.approx(-3, abs=0.4)
+    # the whole fit: classes of unequal share, scores of unseen rows are right on average in each tenth
+    x = r.normal(0, 1, (8000, 6))
+    chance = 1 / (1 + np.exp(-(1.5 * x[:, 0] - x[:, 1] + 1.5)))
+    y = (r.random(8000) < chance).astype(float)
+    net = quality.fit(x[:5000], y[:5000], np.arange(5000) % 5 == 0)
+    p = quality.probabilities(x[5000:], net)
+    bins = np.minimum((p * 10).astype(int), 9)
+    error = sum(abs(p[bins == b].mean() - y[5000:][bins == b].mean()) * np.mean(bins == b) for b in set(bins.tolist()))
+    assert error < 0.05
+    n1 = np.tanh(((x[:1] - net["mean"]) / net["std"]) @ net["p"][0] + net["p"][1])
+    assert quality.probabilities(x[:1], net)[0] == pytest.approx(1 / (1 + np.exp(-((n1 @ net["p"][2] + net["p"][3])[0] + net["offset"]) / net["temperature"])))
+    # pooled vectors by plain loops
+    vectors, terms, text = r.normal(0, 1, (quality.BUCKETS, quality.DIM)), quality.Terms(), "The cat! the cat sat 12x a1b2c3d4e5f6g7"
+    got = quality.pooled([text, None], terms, vectors)
+    tokens = text.split()
+    w = np.array([vectors[quality.bucket("w" + t.strip("!").lower())] for t in tokens])
+    s = np.array([vectors[quality.bucket("s" + quality.shape(t))] for t in tokens])
+    want = np.concatenate([w.mean(axis=0), w.std(axis=0), s.mean(axis=0), s.std(axis=0), [1, 0, np.log1p(7) / 10]])
+    assert np.allclose(got[0], want) and not got[1].any()
+    assert quality.shape("a1b2c3d4e5f6g7") != quality.shape("a1b2c3d4e5f6!!") and quality.shape("The!!") == "Ul!"
+
+
+def test_quality_of_repeated_and_no_documents(spark):
+    rows = [(i % 20, f"word{i % 20} and more", "x") for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    y = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    model = quality.learn(d, y, max_rows=20)
+    assert quality.scores(d, model).count() == 200 and quality.scores(d.where("false"), model).count() == 0 and quality.good(d.where("false"), model).count() == 0
+
+
 def test_url_filter(spark):
     urls = ["http://A.Example.org/es/1", "https://example.org/en/12", "http://x.org", "http://x.org/", "http://b.com/de/x", "http://b.com/fr/", "http://bad.net/p?b=2&a=1&utm_source=q#f", "https://www.BAD.net:443/p/?a=1&b=2", "http://good.net/p", "http://notorg/", "http://myexample.org/es/", None, "", "nothing", "a://b://c/d"]
     pages = spark.createDataFrame(list(enumerate(urls)) + [(99, urls[6])], "page_id long, url string").withColumn("rule", F.lit("clash"))
@@ -289,6 +393,26 @@ def test_bloom_passes_every_listed_url(spark):
     assert got.where("verdict = 'block'").count() == 3000 and got.where("verdict = 'block' AND host <> 'h.net'").count() == 0
 
 
+def test_bloom_blocks_pass_few_others(spark):
+    listed = spark.range(4000).select(F.concat(F.lit("h.net/"), "id").alias("c"))
+    blocks = -(-4000 * url_filter.BITS // url_filter.BLOCK)
+    others = spark.range(40_000).select(F.concat(F.lit("o.net/x"), "id").alias("c"))
+    probe = others.select(url_filter.block(F.col("c"), blocks).alias("block"), *[m.alias(f"m{i}") for i, m in enumerate(url_filter.masks(F.col("c")))]).join(url_filter.bloom(listed, blocks), "block")
+    passed = probe.where(" AND ".join(f"(w{i} & m{i}) = m{i}" for i in range(4))).count()
+    assert passed / 40_000 < 0.01
+
+
+def test_url_filter_with_a_large_list(spark, monkeypatch):
+    urls = [f"http://h{i % 7}.net/{i}" for i in range(300)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls * 2)] + [(9999, None)], "page_id long, url string")
+    listed = spark.createDataFrame([(u,) for u in urls[::3]], "url string")
+    got = []
+    for n in (500_000, 0):
+        monkeypatch.setattr(url_filter, "BROADCAST_ROWS", n)
+        got.append({r["page_id"]: tuple(r)[1:] for r in url_filter.judged(pages, listed).collect()})
+    assert got[0] == got[1] and {i for i, r in got[0].items() if r[3] == "block"} == {i for i in range(600) if i % 300 % 3 == 0}
+
+
 def base_counts(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     win = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
@@ -338,7 +462,7 @@ def test_js_distances_equal_python(spark):
         return [*n, len(t) - sum(n)]
 
     words = [re.findall(r"[^\W\d_]+", t.lower()) for t in texts]
-    total = Counter(w for ws in words for w in ws if len(w) <= 4)
+    total = Counter(w for ws in words for w in ws)
     top = [w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[: rules.COMMON]]
     n_all = sum(map(len, words))
     ref_c = [sum(x) / sum(map(len, texts)) for x in zip(*map(chars, texts))]
@@ -369,6 +493,73 @@ def test_html(spark):
     assert wrong <= 5
 
 
+def test_html_without_caps(spark):
+    model = html_text.fitted([])
+    long = '<article><h1>A title</h1><p>Before <img alt="' + "x" * 9000 + '"><img alt=' + "y" * 9000 + "> after it, as one would write.</p></article>"
+    formula = "<article><p>The formula <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds in <svg><title>no</title><text>all</text></svg> cases.</p><p>See <object>the object</object> and <video><source src=v>the film</video>.</p></article>"
+    texts = [model.text(x) for x in (long, formula)]
+    assert texts[0].endswith("Before after it, as one would write.") and "xx" not in texts[0] and "yy" not in texts[0]
+    assert "The formula x=2 holds in all cases." in texts[1] and "See the object and the film." in texts[1]
+    quote = '<article><p>Some words <a title="no end>of a line</a> that goes on.</p></article>'
+    assert [t for t in html_text.Page(quote).text if t] == ["Some words of a line that goes on."]
+    many = "<article>" + "".join(f"<p>Sentence number {i} of a long page, which goes on.</p>" for i in range(4000)) + "</article>"
+    assert model.text(many).count("Sentence number") == 4000
+    pages = spark.createDataFrame([(1, "u", long, "clash", 2), (1, "u", long, "clash", 2)], "page_id long, url string, html string, text string, h int")
+    assert [r["text"] for r in html_text.extracted(pages, model).collect()] == [texts[0]] * 2
+    assert html_text.extracted(pages.where("false"), html_text.learn(pages.where("false"))).count() == 0
+
+
+def article_text(source):
+    """The article by a plain parser: its blocks, without what its own marks set apart."""
+    from html.parser import HTMLParser
+
+    class P(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.blocks, self.run = [], [], []
+
+        def flush(self):
+            text = " ".join("".join(self.run).split())
+            self.blocks += [text] if text else []
+            self.run = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("br", "img", "input"):
+                self.run.append(" ")
+            elif tag not in html_text.INLINE:
+                self.flush()
+            if tag not in html_text.VOID:
+                named = set(re.findall("[a-z]+", " ".join(v or "" for k, v in attrs if k in ("class", "id")).lower()))
+                self.open.append((tag, tag in html_text.APART or bool(named & {"ad", "ads", "comment", "comments", "share", "sidebar"})))
+
+        def handle_endtag(self, tag):
+            if tag not in html_text.INLINE:
+                self.flush()
+            if tag in [t for t, _ in self.open]:
+                while self.open.pop()[0] != tag:
+                    pass
+
+        def handle_data(self, data):
+            if any(t == "article" for t, _ in self.open) and not any(a for _, a in self.open) and self.open[-1][0] not in ("script", "style"):
+                self.run.append(data)
+
+    p = P()
+    p.feed(source or "")
+    p.flush()
+    return "\n\n".join(p.blocks)
+
+
+def test_html_of_all_pages(spark):
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables here")
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_text.op7(spark, "/root/testdata/sf0.001").collect()}
+    want = {r["page_id"]: article_text(r["html"]) for r in pages.collect()}
+    assert got.keys() == want.keys() and [i for i in want if got[i] != want[i]] == []
+
+
 def test_marginals_equal_enumeration():
     from itertools import product
     from math import exp
@@ -414,6 +605,32 @@ def test_wrapped_headers_and_full_licenses(spark):
     assert [got[i] for i in range(len(want) + 2)] == [name for name, _ in want] + [None, None]
 
 
+def test_license_versions_identifiers_and_cosines(spark):
+    prose = "the garden of the house was in the water and it was the year of the king\n" * 3
+    notice = "Licensed under the Apache License, Version 2.0."
+    rows = {0: "Licensed under the Apache License, Version 1.1.", 1: "# SPDX-License-Identifier: MIT", 2: "// SPDX-License-Identifier: BSD-3-Clause\nint x;", 3: "SPDX-License-Identifier: GPL-3.0-or-later", 4: "SPDX-License-Identifier: ISC", 5: prose * 400 + notice, 6: prose, 7: notice, 8: notice}
+    df = spark.createDataFrame([(i if i < 8 else 7, f"x/f{i}.c", t) for i, t in rows.items()], "doc_id long, path string, text string")
+    got = sorted((r["doc_id"], r["own_license"] or "") for r in licenses.scanned(df, "doc_id", "path", "text").collect())
+    assert got == [(0, ""), (1, "MIT"), (2, "BSD-3-Clause"), (3, "GPL-3.0"), (4, ""), (5, "Apache-2.0"), (6, ""), (7, "Apache-2.0"), (7, "Apache-2.0")]
+    # every line and block against every template by plain cosines: the trigger words lose none
+    r = random.Random(4)
+    scanner = licenses.Scanner(50, {w: r.randrange(0, 40) for w in licenses.VOCABULARY})
+    pool = [licenses.tokens(t) for group in licenses.TEMPLATES.values() for t in group]
+    for _ in range(400):
+        w = list(r.choice(pool))
+        for _ in range(r.randrange(0, 6)):
+            k = r.randrange(len(w))
+            w = r.choice([w[:k] + w[k + 1 :] or w, [*w[:k], r.choice(["zz", "the", "of"]), *w[k:]]])
+        line = " ".join(w)
+        v = scanner.vector(line)
+        cosines = [(-round(sum(x * v.get(y, 0) for y, x in t.items()), 9), name) for name, t, need in scanner.templates if need <= set(v)]
+        best = min(cosines, default=(0, None))
+        if -best[0] >= licenses.LEAST:
+            assert scanner.best(line, False) == (best[1], -best[0])
+        else:
+            assert scanner.best(line, False)[1] < licenses.LEAST
+
+
 def test_licenses(spark):
     rows = [
         (0, "a/LICENSE", "Licensed under the Apache License, Version 2.0."), (1, "a/b/c/f.txt", "plain text"), (2, "a/b/LICENSE.md", "Released under the MIT License."), (3, "a/b/g.txt", None),
