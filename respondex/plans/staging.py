@@ -39,15 +39,15 @@ def clear(spark: SparkSession) -> None:
     _delete(spark, run_dir(spark))
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     The result has no lineage beyond the files, so a lost executor costs a re-read
-    only, and its size is known to the planner.
+    only, and its size is known to the planner.  codec: None takes the session's.
     """
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._respondex_path = path
     return out
