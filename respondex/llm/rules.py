@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from respondex.plans.staging import staged
 
 #: Words of a reference; languages up to which references are broadcast (more are joined by a shuffle); parts in which a language's words are ranked first.
-COMMON, LANGUAGES, PARTS = 40, 200, 16
+COMMON, LANGUAGES, PARTS = 40, 200, 64
 #: Characters of the classes, stripped from a text in this order; what is left is the last class (fixed values).
 CLASSES = {"lower": "a-z", "space": r"\x20\x09-\x0D", "wide": r"^\x00-\x7F", "upper": "A-Z", "digit": "0-9", "mark": r".,;:!?'\"()\-"}
 SYMBOLS = "#*$%&|<>"
@@ -112,7 +112,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
     ``(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, js_chars, js_words, base_failed, kept)``
     """
-    d = staged(counts(docs, id_col, text_col, lang_col), "rule-documents")
+    d = staged(counts(docs, id_col, text_col, lang_col), "rule-documents", "zstd")
     refs = references(d)
     # every language of a document has a row; none looks up the sum of all
     side = refs.withColumnRenamed("common", "ref_words")
