@@ -109,8 +109,8 @@ def sigma_gene(c: Column) -> Column:
 
 
 def fasta(spark: SparkSession, path: str, chunk: int = 1 << 20) -> DataFrame:
-    """``(contig, chunk_no, start, seq)``: sequences without headers, cut into chunks of ``chunk`` bases."""
-    parts = spark.read.text(path, wholetext=True).select(F.explode(F.filter(F.split("value", r"(?m)^>"), lambda x: F.trim(x) != "")).alias("x"))
+    """``(contig, chunk_no, start, seq)``: sequences without headers, cut into chunks of ``chunk`` bases; a record, not a file, is a row."""
+    parts = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("x")).where(F.trim("x") != "")
     d = parts.select(F.regexp_extract("x", r"^(\S+)", 1).alias("contig"), F.regexp_replace(F.regexp_replace("x", r"^[^\n]*\n?", ""), r"\s+", "").alias("s"))
     return d.select("contig", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("s") - 1) / chunk).cast("int")))).alias("chunk_no"), "s").select("contig", "chunk_no", (F.col("chunk_no") * chunk + 1).alias("start"), F.substring("s", F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("seq"))
 
