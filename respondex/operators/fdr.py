@@ -25,9 +25,10 @@ def adjust_by_family(df: DataFrame, family: list[str], p: str = "p", out: str =
     df = staged(df if family else df.withColumn("__all", F.lit(0)), "bh-input")
     raw = staged(cumulated(df, by, v, partitions).withColumn("__raw", F.col(v) * F.col("__total") / F.col("__upto")), "bh-raw")
     least = raw.groupBy(*by, "__part").agg(F.min("__raw").alias("__least"))
-    later = F.min("__least").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(1, Window.unboundedFollowing))
+    later = F.min("__least").over(Window.partitionBy(*by).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1))
     d = with_side(raw, least.select(*by, "__part", later.alias("__later")), [*by, "__part"])
-    here = F.min("__raw").over(Window.partitionBy("__part", *by).orderBy(v).rowsBetween(0, Window.unboundedFollowing))
+    # from the largest p down: a frame that ends with the partition would be read anew for each row
+    here = F.min("__raw").over(Window.partitionBy("__part", *by).orderBy(F.desc(v)).rowsBetween(Window.unboundedPreceding, 0))
     done = d.select(*by, v, F.least(F.lit(1.0), here, F.col("__later")).alias(out))
     return joined_by_value(df, done, by, v).drop(v, "__all")
 
