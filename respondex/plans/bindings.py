@@ -78,7 +78,7 @@ _PIECES = [
     ("supply", "SELECT feature, count(*) FILTER (WHERE value >= 40) AS k0, count(*) FILTER (WHERE value >= 80) AS k1, count(*) FILTER (WHERE value >= 200) AS k2 FROM counts GROUP BY 1"),
     ("stab", "SELECT feature, class, n_supporting, raw_effect, effect, " + " + ".join(f"CASE WHEN k{i} >= 3 AND top > 1.0 + {s} THEN 1 ELSE 0 END" for i in range(3) for s in (-0.5, 0.0, 0.5)) + " AS passed FROM (SELECT feature, class, count(*) FILTER (WHERE p < 0.2 AND lfc > 1.0) AS n_supporting, max(lfc) FILTER (WHERE p < 0.2 AND lfc > 1.0) AS raw_effect, max(round(lfc * (1 - p), 9)) FILTER (WHERE p < 0.2 AND lfc > 1.0) AS effect, max(lfc) FILTER (WHERE p < 0.2) AS top FROM obs WHERE role <> 'challenge' GROUP BY 1, 2) LEFT JOIN supply USING (feature) WHERE n_supporting > 0"),
     ("events_iv", "SELECT event_id, user_id, event_type, epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 1000000 + CAST(floor(value * 600) AS BIGINT) AS e FROM events"),
-    ("unit_lists", "SELECT l_orderkey AS unit, l_partkey AS member FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderdate >= TIMESTAMP '1997-10-01' AND o_orderdate < TIMESTAMP '1997-10-15'"),
+    ("unit_lists", "SELECT l_orderkey AS unit, l_partkey AS member FROM lineitem JOIN orders ON o_orderkey = l_orderkey"),
     ("tu_genes", "SELECT p_partkey % 70 AS tu, p_partkey AS gene FROM part UNION ALL SELECT 1000 + p_partkey % 13, p_partkey FROM part WHERE p_partkey % 5 = 0"),
     ("tu_promoters", "SELECT DISTINCT tu, tu % 40 AS promoter FROM tu_genes WHERE tu % 3 <> 0 UNION SELECT DISTINCT tu, 100 + tu % 7 FROM tu_genes WHERE tu % 2 = 0"),
     ("interactions", "SELECT src || '-' || dst AS interaction, src AS regulator, CASE dst % 3 WHEN 0 THEN 'gene' WHEN 1 THEN 'promoter' ELSE 'tu' END AS kind, CASE WHEN dst % 3 = 0 THEN dst END AS gene, CASE WHEN dst % 3 = 1 THEN dst % 150 END AS promoter, CASE WHEN dst % 3 = 2 THEN dst % 90 END AS tu, effect FROM edges"),
@@ -100,12 +100,6 @@ def intervals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unit_lists(spark: SparkSession, d: str) -> DataFrame:
-    """``(unit, member)``: parts of the orders of two weeks."""
-    orders = table(spark, d, "orders").where("o_orderdate >= TIMESTAMP_NTZ '1997-10-01' AND o_orderdate < TIMESTAMP_NTZ '1997-10-15'").select(F.col("o_orderkey").alias("unit"))
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("unit"), F.col("l_partkey").alias("member")).join(orders, "unit")
-
-
-def all_unit_lists(spark: SparkSession, d: str) -> DataFrame:
     """``(unit, member)``: parts of all orders."""
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("unit"))
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("unit"), F.col("l_partkey").alias("member")).join(orders, "unit")

@@ -120,7 +120,8 @@ def g3(spark, d):
     return g.candidate_subgraph(b.edges(spark, d), b.seeds(spark, d)).select("src", "dst", "effect")
 
 
-_COMP = ", link AS (SELECT DISTINCT a.unit AS x, b.unit AS y FROM unit_lists a JOIN unit_lists b USING (member)), reach AS (SELECT x, y FROM link UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x), comp AS (SELECT x AS unit, min(y) AS grp FROM reach GROUP BY 1)"
+#: Least unit of each connected group: the least label seen moves along links until none gets lower.
+_COMP = ", link AS (SELECT 'u' || unit AS src, 'm' || member AS dst FROM unit_lists UNION SELECT 'm' || member, 'u' || unit FROM unit_lists), lab(node, grp) USING KEY (node) AS (SELECT DISTINCT 'u' || unit, unit FROM unit_lists UNION (SELECT link.dst, min(lab.grp) FROM lab JOIN link ON link.src = lab.node LEFT JOIN recurring.lab AS cur ON cur.node = link.dst WHERE cur.grp IS NULL OR lab.grp < cur.grp GROUP BY 1)), comp AS (SELECT CAST(node[2:] AS BIGINT) AS unit, grp FROM lab WHERE node[1] = 'u')"
 
 
 @query("g4_unit_groups", b.with_tables("unit_lists", _COMP + " SELECT unit, grp FROM comp", recursive=True))
@@ -134,43 +135,17 @@ def g4_names(spark, d):
     return g.group_names(lists, g.unit_groups(lists))
 
 
-@query("g4_unit_groups_whole")
-def g4_whole(spark, d):
-    """All orders; recursive SQL is too slow for them."""
-    return g.unit_groups(b.all_unit_lists(spark, d))
-
-
-@query("g4_group_names_whole")
-def g4_names_whole(spark, d):
-    lists = b.all_unit_lists(spark, d)
-    return g.group_names(lists, g.unit_groups(lists))
-
-
 _MEM = "m AS (SELECT feature, component FROM weights WHERE abs(weight) > 0.25)"
 
 
-@query("g5_co_members", b.with_tables("weights", f", {_MEM}, c AS (SELECT DISTINCT feature FROM m WHERE feature % 2 = 0), k AS (SELECT DISTINCT m.* FROM m SEMI JOIN c USING (feature)) SELECT a.feature AS a, b.feature AS b, count(*) AS shared FROM k a JOIN k b USING (component) WHERE a.feature < b.feature AND NOT EXISTS (SELECT 1 FROM edges WHERE least(src, dst) = a.feature AND greatest(src, dst) = b.feature) GROUP BY 1, 2"))
+@query("g5_co_members", b.with_tables("weights", f", {_MEM} SELECT a.feature AS a, b.feature AS b, count(*) AS shared FROM m a JOIN m b USING (component) WHERE a.feature < b.feature AND NOT EXISTS (SELECT 1 FROM edges WHERE least(src, dst) = a.feature AND greatest(src, dst) = b.feature) GROUP BY 1, 2"))
 def g5(spark, d):
-    m = b.weights(spark, d).where(F.abs("weight") > 0.25)
-    return g.co_members(m, m.where("feature % 2 = 0").select("feature"), b.edges(spark, d))
-
-
-@query("g5_co_members_whole")
-def g5_whole(spark, d):
-    """All members are candidates."""
     m = b.weights(spark, d).where(F.abs("weight") > 0.25)
     return g.co_members(m, m.select("feature"), b.edges(spark, d))
 
 
-@query("g6_neighbours", b.with_tables("weights", f", {_MEM}, c AS (SELECT DISTINCT feature FROM m WHERE feature % 10 = 0) SELECT feature, count(DISTINCT component) AS components FROM m WHERE component IN (SELECT component FROM m SEMI JOIN c USING (feature)) AND feature NOT IN (SELECT feature FROM c) GROUP BY 1"))
+@query("g6_neighbours", b.with_tables("weights", f", {_MEM} SELECT feature, count(DISTINCT component) AS components FROM m WHERE component IN (SELECT component FROM m SEMI JOIN seeds USING (feature)) AND feature NOT IN (SELECT feature FROM seeds) GROUP BY 1"))
 def g6(spark, d):
-    m = b.weights(spark, d).where(F.abs("weight") > 0.25)
-    return g.neighbours(m, m.where("feature % 10 = 0").select("feature"))
-
-
-@query("g6_neighbours_whole")
-def g6_whole(spark, d):
-    """The seeds are candidates."""
     return g.neighbours(b.weights(spark, d).where(F.abs("weight") > 0.25), b.seeds(spark, d))
 
 
@@ -182,15 +157,8 @@ def _steps(spark, d):
     return i, e.unionByName(b.tu_promoters(t).select(tag("p", "promoter").alias("src"), tag("t", "tu").alias("dst"))).unionByName(t.select(tag("t", "tu").alias("src"), tag("g", "gene").alias("dst"))).distinct()
 
 
-@query("g8_reachable", b.with_tables("interactions", ", e AS (SELECT 'r' || regulator AS src, kind[1] || coalesce(promoter, tu, gene) AS dst FROM interactions UNION SELECT 'p' || promoter, 't' || tu FROM tu_promoters UNION SELECT 't' || tu, 'g' || gene FROM tu_genes), reach AS (SELECT DISTINCT 'r' || regulator AS start, 'r' || regulator AS node FROM interactions WHERE regulator < 5 UNION SELECT start, dst FROM reach JOIN e ON src = node) SELECT start, node FROM reach", recursive=True))
+@query("g8_reachable", b.with_tables("interactions", ", e AS (SELECT 'r' || regulator AS src, kind[1] || coalesce(promoter, tu, gene) AS dst FROM interactions UNION SELECT 'p' || promoter, 't' || tu FROM tu_promoters UNION SELECT 't' || tu, 'g' || gene FROM tu_genes), reach AS (SELECT DISTINCT 'r' || regulator AS start, 'r' || regulator AS node FROM interactions UNION SELECT start, dst FROM reach JOIN e ON src = node) SELECT start, node FROM reach", recursive=True))
 def g8(spark, d):
-    i, e = _steps(spark, d)
-    return g.reachable(e, i.where("regulator < 5").select(F.concat(F.lit("r"), "regulator").alias("start")))
-
-
-@query("g8_reachable_whole")
-def g8_whole(spark, d):
-    """From all regulators."""
     i, e = _steps(spark, d)
     return g.reachable(e, i.select(F.concat(F.lit("r"), "regulator").alias("start")))
 

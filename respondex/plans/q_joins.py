@@ -319,13 +319,7 @@ def j24(spark, d):
     return _pairs(spark, d).join(p, "feature").join(first, "token").groupBy("gene").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.concat_ws("/", "numerator", "denominator"))).alias("contrasts"))
 
 
-@query("j27_pairings", "SELECT a.c_nationkey AS background, a.c_custkey AS condition, b.c_custkey AS control FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey WHERE a.c_custkey % 3 = 0 AND b.c_custkey % 3 > 0 AND a.c_custkey % 5 = 0 AND b.c_custkey % 5 = 0")
+@query("j27_pairings", "SELECT a.c_nationkey AS background, a.c_custkey AS condition, b.c_custkey AS control FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey WHERE a.c_mktsegment = 'BUILDING' AND b.c_mktsegment <> 'BUILDING'")
 def j27(spark, d):
-    x = table(spark, d, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("condition"), F.col("c_nationkey").alias("background"), (F.col("c_custkey") % 3 == 0).alias("treated"))
-    return modules.pairings(x)
-
-
-@query("j27_pairings_whole")
-def j27_whole(spark, d):
-    """All customers; those of one market segment are treated."""
+    """Customers of one market segment are treated."""
     return modules.pairings(table(spark, d, "customer").select(F.col("c_custkey").alias("condition"), F.col("c_nationkey").alias("background"), (F.col("c_mktsegment") == "BUILDING").alias("treated")))

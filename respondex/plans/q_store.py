@@ -93,13 +93,8 @@ def j25(spark, d):
     return store.exposures(samples, conditions)
 
 
-@query("j19_actor_interactions", b.with_tables("interactions", "SELECT interaction, regulator, kind, coalesce(gene, promoter, tu) AS target, effect FROM interactions WHERE regulator = 3 AND kind = 'tu'"))
+@query("j19_actor_interactions", b.with_tables("interactions", "SELECT interaction, regulator, kind, coalesce(gene, promoter, tu) AS target, effect FROM interactions"))
 def j19(spark, d):
-    return store.actor_interactions(b.interactions(spark, d), 3, "tu")
-
-
-@query("j19_actor_interactions_whole")
-def j19_whole(spark, d):
     """All actors, all kinds of targets."""
     return store.actor_interactions(b.interactions(spark, d))
 
@@ -134,15 +129,8 @@ def j21(spark, d):
     return table(spark, d, "supplier").where(F.contains(F.lower("s_name"), F.lit("00001")) | (F.col("s_suppkey").cast("string") == "7")).select("s_suppkey", "s_name")
 
 
-@query("j21_promoter_paths", b.with_tables("interactions", _REF + " SELECT interaction, regulator, promoter, tu, gene FROM ref WHERE promoter = 4 AND kind = 'promoter'"))
+@query("j21_promoter_paths", b.with_tables("interactions", _REF + " SELECT interaction, regulator, promoter, tu, gene FROM ref WHERE kind = 'promoter'"))
 def j21_paths(spark, d):
-    t = b.tu_genes(spark, d)
-    i = b.interactions(spark, d).where("promoter = 4")
-    return store.reference_paths(i, t, b.tu_promoters(t)).where("kind = 'promoter'").select("interaction", "regulator", "promoter", "tu", "gene")
-
-
-@query("j21_promoter_paths_whole")
-def j21_paths_whole(spark, d):
     """All promoters."""
     t = b.tu_genes(spark, d)
     return store.reference_paths(b.interactions(spark, d), t, b.tu_promoters(t)).where("kind = 'promoter'").select("interaction", "regulator", "promoter", "tu", "gene")

@@ -63,9 +63,9 @@ def test_unit_groups_take_all_orders(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{d}/lineitem.parquet")
     root = union_find([(u, 1000 + m) for u, m in lines])
     want = {i: root[i] for i in range(40)}
-    assert {x["unit"]: x["grp"] for x in catalog.QUERIES["g4_unit_groups_whole"](spark, d).collect()} == want
+    assert {x["unit"]: x["grp"] for x in catalog.QUERIES["g4_unit_groups"](spark, d).collect()} == want
     names = {k: ";".join(map(str, sorted({m for u, m in lines if want[u] == k}))) for k in set(want.values())}
-    assert {x["grp"]: x["name"] for x in catalog.QUERIES["g4_group_names_whole"](spark, d).collect()} == names
+    assert {x["grp"]: x["name"] for x in catalog.QUERIES["g4_group_names"](spark, d).collect()} == names
 
 
 def test_reachable_beyond_ten_steps(spark):
@@ -82,9 +82,11 @@ def test_whole_queries_take_all_ids(spark):
         pytest.skip("no test tables here")
     q = lambda name: catalog.QUERIES[name](spark, d)
     raw = [r.asDict() for r in bindings.interactions(spark, d).collect()]
-    assert {r["interaction"] for r in q("j19_actor_interactions_whole").collect()} == {r["interaction"] for r in raw}
-    assert {r["interaction"] for r in q("j21_promoter_paths_whole").collect()} == {r["interaction"] for r in raw if r["kind"] == "promoter"}
-    reached = {(r["start"], r["node"]) for r in q("g8_reachable_whole").collect()}
+    assert {r["interaction"] for r in q("j19_actor_interactions").collect()} == {r["interaction"] for r in raw}
+    one = store.actor_interactions(bindings.interactions(spark, d), 3, "tu").collect()
+    assert {r["interaction"] for r in one} == {r["interaction"] for r in raw if r["regulator"] == 3 and r["kind"] == "tu"}
+    assert {r["interaction"] for r in q("j21_promoter_paths").collect()} == {r["interaction"] for r in raw if r["kind"] == "promoter"}
+    reached = {(r["start"], r["node"]) for r in q("g8_reachable").collect()}
     genes = [tuple(r) for r in bindings.tu_genes(spark, d).collect()]
     steps = {}
     for a, b in [*((f"r{r['regulator']}", r["kind"][0] + str(next(r[k] for k in ("promoter", "tu", "gene") if r[k] is not None))) for r in raw), *((f"p{r['promoter']}", f"t{r['tu']}") for r in bindings.tu_promoters(bindings.tu_genes(spark, d)).collect()), *((f"t{a}", f"g{b}") for a, b in genes)]:
@@ -100,15 +102,15 @@ def test_whole_queries_take_all_ids(spark):
     assert reached == want
     people = registry.table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").collect()
     pairs = {(a[0], b[0]) for a in people for b in people if a[1] == b[1] and a[2] == "BUILDING" and b[2] != "BUILDING"}
-    assert {(r["condition"], r["control"]) for r in q("j27_pairings_whole").collect()} == pairs
+    assert {(r["condition"], r["control"]) for r in q("j27_pairings").collect()} == pairs
     of, seeds = {}, {r["feature"] for r in bindings.seeds(spark, d).collect()}
     for r in bindings.weights(spark, d).where(F.abs("weight") > 0.25).collect():
         of.setdefault(r["feature"], set()).add(r["component"])
     typed = {(min(r["src"], r["dst"]), max(r["src"], r["dst"])) for r in bindings.edges(spark, d).collect()}
     shared = {(a, b): len(of[a] & of[b]) for a in of for b in of if a < b and of[a] & of[b] and (a, b) not in typed}
-    assert {(r["a"], r["b"]): r["shared"] for r in q("g5_co_members_whole").collect()} == shared
+    assert {(r["a"], r["b"]): r["shared"] for r in q("g5_co_members").collect()} == shared
     near = {c for f in of if f in seeds for c in of[f]}
-    assert {r["feature"]: r["components"] for r in q("g6_neighbours_whole").collect()} == {f: len(of[f] & near) for f in of if f not in seeds and of[f] & near}
+    assert {r["feature"]: r["components"] for r in q("g6_neighbours").collect()} == {f: len(of[f] & near) for f in of if f not in seeds and of[f] & near}
 
 
 def test_fragment_window(spark):
