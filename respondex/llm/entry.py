@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from respondex.llm import bpe, decontaminate, html_text, jaccard_join, language, licenses, quality, rules, token_counts, url_filter
+from respondex.llm import bpe, decontaminate, html_text, jaccard_join, language, licenses, periodic_runs, quality, rules, simhash, spelling, token_counts, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8,
     "op9_quality_rules": rules.op9,
     "op10_license_scan": licenses.op10,
+    "op11_spelling": spelling.op11,
+    "op12_simhash": simhash.op12,
+    "op13_periodic_runs": periodic_runs.op13,
 }
 
 SQL: dict[str, str] = {
@@ -22,4 +25,6 @@ SQL: dict[str, str] = {
     "op4_url_filter": url_filter.SQL,
     "op8_jaccard_join": jaccard_join.SQL,
     "op9_quality_rules": rules.SQL,
+    "op11_spelling": spelling.SQL,
+    "op13_periodic_runs": periodic_runs.SQL,
 }
