@@ -5,20 +5,22 @@ included, have it set.  Two documents link if their fingerprints differ in at mo
 ``limit`` bits; every link is found.
 
 1. Equal fingerprints become one point, with the least id that has it.
-2. A vantage-point tree is fitted on a bounded sample of the points (``SAMPLE``): a node has
-   a vantage point and a radius, chosen among a few by the comparisons that they leave; its leaves
-   are shards.
-3. Each point goes down the tree.  By the triangle inequality, what links with a point at
-   distance d of a vantage point is at distance d - limit to d + limit, so branches beyond that are
-   pruned; points inside the radius by less than ``limit`` also go to the outer shard.
-   So each linked pair meets in a shard, whichever sample the tree came from.
+2. The distances of two points to a vantage point differ by at most their own distance, and by
+   an even number exactly if that is even.  So pairs an even number of bits apart are found among the points
+   of equal parity, pairs an odd number apart between the two parities, and in each case only every
+   other distance occurs: there are three joins, two within a parity and one across.
+3. For each join a vantage-point tree is fitted on a bounded sample of the points (``SAMPLE``): a node
+   has a vantage point and a radius, chosen among a few by the comparisons that they leave; its leaves are
+   shards.  Each point goes down the tree; by the triangle inequality a branch that holds no point within
+   the limit is pruned, and points near the boundary also go to the shard beyond it (of one side, if the
+   join has two).  So each linked pair meets in a shard, whichever sample the tree came from.
 4. The points of a shard are compared exactly, in dense blocks.  A shard of more than
    ``BLOCK`` points (many near copies, that no radius divides) is cut into blocks, and each pair
    of blocks is a task's group.  A group hands on a spanning forest of its links, never all pairs.
 5. Connected components of the forests, and the least document id in each.
 
-On fingerprints like random bits a radius leaves a quarter of the points on both sides, so the points of all
-shards grow as the 1.6th power of the points, and so do comparisons.
+On fingerprints like random bits, which no radius divides well, the points of all shards grow as the
+1.36th power of the points within a parity and as the 1.45th across.
 
 Null and empty texts have fingerprint zero, linked like any other.  Null ids take part, but
 never name a component unless no other id is in it (then null).  Ties of radii go to the
@@ -41,7 +43,7 @@ from respondex.plans.skew import broadcast_if_small
 from respondex.plans.staging import discard, staged
 
 #: Points that a tree is fitted on, points of a shard that is worth no further radius, points of a block of a larger shard, vantage points tried for a node.
-SAMPLE, LEAF, BLOCK, TRIED = 32_768, 4_096, 16_384, 8
+SAMPLE, LEAF, BLOCK, TRIED = 32_768, 8_192, 16_384, 8
 #: Hashes counted at once, rows of a block compared at once, links held before they are reduced.
 COUNTED, ROWS, HELD = 65_536, 128, 500_000
 
@@ -71,39 +73,56 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class Tree:
-    """A vantage-point tree: nodes ``(vantage, radius, inner, outer)``; a negative child is shard ``-1 - child``."""
+    """A vantage-point tree of a join: shards in which all pairs of points at most ``limit`` apart meet.
 
-    def __init__(self, sample: np.ndarray, total: int, limit: int, leaf: int = LEAF, seed: int = 7):
+    Points have a side; a join of two sides needs pairs across only.  A node is ``(vantage, radius,
+    reach of side 0, reach of side 1, inner, outer)``: points up to the radius plus their side's first reach
+    go to the inner child, those beyond the radius less its second reach to the outer one.
+    A negative child is shard ``-1 - child``.
+    """
+
+    def __init__(self, sides: list[np.ndarray], total: int, limit: int, leaf: int = LEAF, seed: int = 7):
         self.limit, self.nodes, self.shards = limit, [], 0
-        self._least, self._rng = max(leaf * len(sample) / max(total, 1), 16), np.random.default_rng(seed)
-        self.root = self._grow(sample)
+        self._rng, self._least = np.random.default_rng(seed), max(leaf * sum(map(len, sides)) / max(total, 1), 16)
+        self.root = self._grow(sides)
 
-    def _grow(self, points: np.ndarray) -> int:
-        best = self._split(points) if len(points) > self._least else None
+    def _reaches(self, sides: int) -> list[list[tuple[int, int]]]:
+        """The choices of reaches (inner, outer) of each side: one side alone, or either of two, crosses the boundary."""
+        return [[(0, self.limit)]] if sides == 1 else [[(self.limit, self.limit), (0, 0)], [(0, 0), (self.limit, self.limit)]]
+
+    def _grow(self, sides: list[np.ndarray]) -> int:
+        best = self._split(sides) if sum(map(len, sides)) > self._least * len(sides) and all(map(len, sides)) else None
         if best is None:
             self.shards += 1
             return -self.shards
-        vantage, radius = best
-        d = np.bitwise_count(points ^ vantage).astype(np.int64)
+        vantage, radius, reach = best
         self.nodes.append(None)
-        at = len(self.nodes) - 1
-        self.nodes[at] = (vantage, radius, self._grow(points[d <= radius]), self._grow(points[d > radius - self.limit]))
+        at, inner, outer = len(self.nodes) - 1, [], []
+        for points, (i, o) in zip(sides, reach, strict=True):
+            d = np.bitwise_count(points ^ vantage).astype(np.int64)
+            inner.append(points[d <= radius + i])
+            outer.append(points[d > radius - o])
+        self.nodes[at] = (vantage, radius, reach, self._grow(inner), self._grow(outer))
         return at
 
-    def _split(self, points: np.ndarray) -> tuple[np.uint64, int] | None:
-        """The vantage point and radius that leave the fewest comparisons; None if those are hardly fewer than all."""
-        best, n = (0.97 * len(points) ** 2, None), len(points)
-        for vantage in self._rng.choice(points, TRIED):
-            upto = np.cumsum(np.bincount(np.bitwise_count(points ^ vantage), minlength=65))
-            outer = n - np.append(np.zeros(self.limit, np.int64), upto)[: len(upto)]
-            cost = upto.astype(np.float64) ** 2 + outer.astype(np.float64) ** 2
-            radius = int(np.argmin(cost))
-            if cost[radius] < best[0]:
-                best = (cost[radius], (vantage, radius))
+    def _split(self, sides: list[np.ndarray]) -> tuple[np.uint64, int, list[tuple[int, int]]] | None:
+        """The vantage point, radius and reaches that leave the fewest comparisons; None if those are hardly fewer than all."""
+        product = lambda x: x[0].astype(np.float64) * x[-1]  # noqa: E731  of one side with itself, or of two
+        sizes = [np.array([len(p)]) for p in sides]
+        best, radii = (0.97 * float(product(sizes)[0]), None), np.arange(65)
+        for vantage in self._rng.choice(np.concatenate(sides), TRIED):
+            upto = [np.concatenate([[0], np.cumsum(np.bincount(np.bitwise_count(p ^ vantage), minlength=65))]) for p in sides]
+            for reach in self._reaches(len(sides)):
+                inner = [u[np.minimum(radii + i, 64) + 1] for u, (i, _) in zip(upto, reach, strict=True)]
+                outer = [u[-1] - u[np.maximum(radii - o, -1) + 1] for u, (_, o) in zip(upto, reach, strict=True)]
+                cost = product(inner) + product(outer)
+                radius = int(np.argmin(cost))
+                if cost[radius] < best[0]:
+                    best = (cost[radius], (vantage, radius, reach))
         return best[1]
 
-    def shards_of(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(index of the point, shard)`` of all shards that a point goes to."""
+    def shards_of(self, points: np.ndarray, side: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """``(index of the point, shard)`` of all shards that a point of this side goes to."""
         index, shard, todo = [], [], [(self.root, np.arange(len(points)))]
         while todo:
             node, at = todo.pop()
@@ -113,12 +132,24 @@ class Tree:
                 index.append(at)
                 shard.append(np.full(len(at), -1 - node, np.int32))
                 continue
-            vantage, radius, inner, outer = self.nodes[node]
+            vantage, radius, reach, inner, outer = self.nodes[node]
             d = np.bitwise_count(points[at] ^ vantage).astype(np.int64)
-            todo += [(inner, at[d <= radius]), (outer, at[d > radius - self.limit])]
+            todo += [(inner, at[d <= radius + reach[side][0]]), (outer, at[d > radius - reach[side][1]])]
         return (np.concatenate(index), np.concatenate(shard)) if index else (np.empty(0, np.int64), np.empty(0, np.int32))
 
 
+def odd(points: np.ndarray) -> np.ndarray:
+    """Whether a point has an odd number of set bits."""
+    return (np.bitwise_count(points) & 1).astype(bool)
+
+
+def joins(sample: np.ndarray, total: int, limit: int, leaf: int = LEAF) -> list[tuple[Tree, list[int]]]:
+    """The trees of the joins that find all pairs at most ``limit`` apart, each with the parities of its sides."""
+    parts = [sample[~odd(sample)], sample[odd(sample)]]
+    across = [(Tree(parts, total, limit - 1 + limit % 2, leaf), [0, 1])] if limit else []
+    return [*[(Tree([p], -(-total // 2), limit - limit % 2, leaf), [k]) for k, p in enumerate(parts)], *across]
+
+
 def rooted(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels after the links a - b joined them: the least index of each component."""
     while True:
@@ -163,43 +194,55 @@ class NearDuplicates:
         self.rows = staged(fingerprints(docs, id_col, text_col, size), "simhash-rows")
         self.points = staged(self.rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("k")), "simhash-points")
 
-    def tree(self) -> Tree:
-        """A tree fitted on at most ``sample`` points, taken by a hash of theirs."""
+    def trees(self) -> list[tuple[Tree, list[int]]]:
+        """The joins, fitted on at most ``sample`` points, taken by a hash of theirs."""
         total = self.points.count()
         share = int(min(1.0, self.sample / max(total, 1)) * (1 << 30))
         some = self.points.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < share).select("fp").limit(self.sample).toArrow()
-        return Tree(np.sort(some["fp"].to_numpy()).view(_U), total, self.limit, self.leaf)
+        return joins(np.sort(some["fp"].to_numpy()).view(_U), total, self.limit, self.leaf)
 
     def sharded(self) -> DataFrame:
-        """``(shard, fp)``: every point in its own shard and in those whose boundary it is near."""
-        tree = self.spark.sparkContext.broadcast(self.tree())
+        """``(tree, shard, side, fp)``: every point in its own shards and in those whose boundary it is near."""
+        trees = self.spark.sparkContext.broadcast(self.trees())
 
         def run(batches):
             for batch in batches:
-                points = batch.column("fp").to_numpy().view(_U)
-                index, shard = tree.value.shards_of(points)
-                yield pa.RecordBatch.from_pydict({"shard": pa.array(shard), "fp": pa.array(points[index].view(np.int64))})
+                all_points = batch.column("fp").to_numpy().view(_U)
+                parts = [all_points[~odd(all_points)], all_points[odd(all_points)]]
+                for n, (tree, sides) in enumerate(trees.value):
+                    for side, parity in enumerate(sides):
+                        index, shard = tree.shards_of(parts[parity], side)
+                        same = lambda x: pa.array(np.full(len(index), x, np.int32))  # noqa: E731,B023
+                        yield pa.RecordBatch.from_pydict({"tree": same(n), "shard": pa.array(shard), "side": same(side), "fp": pa.array(parts[parity][index].view(np.int64))})
             give_back()
 
         ship(self.spark)
-        return self.points.select("fp").mapInArrow(run, "shard int, fp long")
+        return self.points.select("fp").mapInArrow(run, "tree int, shard int, side int, fp long")
 
     def links(self) -> DataFrame:
         """Links ``(src, dst)`` between fingerprints that connect all that is linked."""
+        key, across = ["tree", "shard"], 2
         sharded = staged(self.sharded(), "simhash-shards")
-        blocks = sharded.groupBy("shard").agg(F.ceil(F.count("*") / self.block).cast("int").alias("blocks"))
-        dealt = sharded.join(broadcast_if_small(blocks), "shard").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), "blocks").cast("int"))
-        tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("shard", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "fp")
+        cut = lambda side: F.ceil(F.count_if(F.col("side") == side) / self.block).cast("int")
+        blocks = sharded.groupBy(*key).agg(cut(0).alias("b0"), cut(1).alias("b1")).where((F.col("tree") < across) | (F.col("b1") > 0))
+        mine = F.when(F.col("side") == 0, F.col("b0")).otherwise(F.col("b1"))
+        other = F.when((F.col("tree") == across) & (F.col("side") == 0), F.col("b1")).otherwise(F.col("b0"))
+        dealt = sharded.join(broadcast_if_small(blocks), key).withColumns({"own": F.pmod(F.xxhash64("fp", F.lit(1)), mine).cast("int"), "others": other}).where("others > 0")
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+        first = F.when(F.col("tree") < across, F.least("own", "other")).when(F.col("side") == 0, F.col("own")).otherwise(F.col("other"))
+        second = F.when(F.col("tree") < across, F.greatest("own", "other")).when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))
+        tiles = dealt.select(*key, first.alias("x"), second.alias("y"), "own", "side", "fp")
         limit = self.limit
 
         def compared(table: pa.Table) -> pa.Table:
-            own, fp = table["own"].to_numpy(), table["fp"].to_numpy().view(_U)
-            x, y = table["x"][0].as_py(), table["y"][0].as_py()
-            src, dst = forest(fp, None, limit) if x == y else forest(fp[own == x], fp[own == y], limit)
+            own, side, fp = table["own"].to_numpy(), table["side"].to_numpy(), table["fp"].to_numpy().view(_U)
+            tree, x, y = (table[c][0].as_py() for c in ("tree", "x", "y"))
+            left = side == 0 if tree == across else own == x
+            src, dst = forest(fp, None, limit) if tree < across and x == y else forest(fp[left], fp[~left], limit)
             return pa.table({"src": src.view(np.int64), "dst": dst.view(np.int64)})
 
         ship(self.spark)
-        found = staged(tiles.groupBy("shard", "x", "y").applyInArrow(compared, "src long, dst long").distinct(), "simhash-links")
+        found = staged(tiles.groupBy(*key, "x", "y").applyInArrow(compared, "src long, dst long").distinct(), "simhash-links")
         discard(sharded)
         return found
 
