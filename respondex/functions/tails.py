@@ -54,7 +54,12 @@ def normal_sf2(z: pd.Series) -> pd.Series:
 
 @pandas_udf(DoubleType())
 def hypergeom_tail(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    """One-sided (greater) Fisher p of the table (a, b; c, d): terms from a up, for all rows at once, until all have vanished."""
+    """One-sided (greater) Fisher p of the table (a, b; c, d), for all rows at once.
+
+    Terms are added from the one nearest the mode outward, until all have vanished: from a up if a
+    is above the mode, else 1 less those from a - 1 down.  So a first term too small for a
+    double stands for a tail that is.
+    """
     cells = np.stack([x.to_numpy(float) for x in (a, b, c, d)])
     ok = ~np.isnan(cells).any(axis=0)
     a, b, c, d = np.where(ok, cells, 0.0)
@@ -66,13 +71,17 @@ def hypergeom_tail(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd
     else:
         log_factorial = lambda x: _lgamma(x + 1)
     sides = log_factorial(row) + log_factorial(n - row) + log_factorial(col) + log_factorial(n - col)
-    term = np.exp(sides - log_factorial(n) - sum(map(log_factorial, (a, b, c, d))))
-    total, k, most = term.copy(), a.copy(), np.minimum(row, col)
-    live = np.flatnonzero(k < most)
+    upper = a > np.floor((row + 1) * (col + 1) / (n + 2))
+    k, least, most = np.where(upper, a, a - 1), np.maximum(0, row + col - n), np.minimum(row, col)
+    some = k >= least
+    x = np.where(some, k, a)
+    term = np.where(some, np.exp(sides - log_factorial(n) - sum(map(log_factorial, (x, row - x, col - x, n - row - col + x)))), 0.0)
+    total = term.copy()
+    live = np.flatnonzero(some & np.where(upper, k < most, k > least) & (term > 0))
     while len(live):
-        x, r, m = k[live], row[live], col[live]
-        term[live] *= (r - x) * (m - x) / ((x + 1) * (n[live] - r - m + x + 1))
-        k[live] += 1
+        x, r, m, rest, up = k[live], row[live], col[live], n[live] - row[live] - col[live], upper[live]
+        term[live] *= np.where(up, (r - x) * (m - x) / ((x + 1) * (rest + x + 1)), x * (rest + x) / ((r - x + 1) * (m - x + 1)))
+        k[live] += np.where(up, 1, -1)
         total[live] += term[live]
-        live = live[(k[live] < most[live]) & ((k[live] <= r * m / n[live]) | (term[live] >= total[live] * 1e-17))]
-    return pd.Series(np.minimum(1.0, total)).where(ok, None)
+        live = live[np.where(up, k[live] < most[live], k[live] > least[live]) & (term[live] >= total[live] * 1e-17)]
+    return pd.Series(np.clip(np.where(upper, total, 1 - total), 0.0, 1.0)).where(ok, None)

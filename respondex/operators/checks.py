@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,12 @@ def repeated(df: DataFrame, keys: list[str], name: str = "repeated") -> DataFram
     return failing(d, name, F.concat_ws("|", *keys), F.lit(True))
 
 
+def unique_in_panel(panel: DataFrame, by: list[str] = (), columns: tuple[str, ...] = ("promoter", "grp")) -> DataFrame:
+    """Promoters and unit groups that a panel (of each run in ``by``) names more than once; missing values are not asked."""
+    found = [repeated(panel.where(F.col(c).isNotNull()), [*by, c], f"panel_{c}") for c in columns]
+    return reduce(DataFrame.unionByName, found)
+
+
 def same_universe(counts: DataFrame, least: int) -> DataFrame:
     """Samples without all features, and conditions of too few samples."""
     total = counts.select("feature").distinct().agg(F.count("*").alias("all"))
@@ -70,9 +78,14 @@ def fingerprint(parts: DataFrame, name: str, content: str) -> DataFrame:
 
 
 def content_digest(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Order-free digest of a table's rows, made where the rows are: (rows, digest)."""
-    h = F.xxhash64(*columns)
-    return df.agg(F.count("*").alias("rows"), F.bit_xor(h).alias("digest"))
+    """Order-free digest of a table's rows, made where the rows are: (rows, digest), one row.
+
+    A row's hash is the first 60 bits of the MD5 of its values as text, null apart from any text; hashes are added, so
+    that repeated rows count each.
+    """
+    shown = F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in columns])
+    h = F.conv(F.substring(F.md5(shown), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("rows"), F.sum(h).cast("string").alias("digest"))
 
 
 def lock_mismatches(files: DataFrame, lock: DataFrame) -> DataFrame:
@@ -90,9 +103,9 @@ def releases(sources: DataFrame, least: str) -> DataFrame:
 
 
 def file_hashes(spark, path: str) -> DataFrame:
-    """``(name, sha256, size)`` of the files below a path."""
+    """``(name, path, sha256, size)`` of the files below a path."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return d.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
+    return d.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
 
 
 def no_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

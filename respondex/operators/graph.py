@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from respondex.functions.scalar import CONFIDENCE, EFFECTS, lookup
 from respondex.operators.components import connected_components
+from respondex.plans.skew import broadcast_if_small
 from respondex.plans.staging import staged
 
 
@@ -58,11 +59,20 @@ def group_names(lists: DataFrame, groups: DataFrame) -> DataFrame:
     return lists.join(groups, "unit").groupBy("grp").agg(F.array_join(F.array_sort(F.collect_set("member")), ";").alias("name"))
 
 
-def co_members(members: DataFrame, candidates: DataFrame, typed: DataFrame) -> DataFrame:
-    """Pairs of candidates that share components, with how many; pairs with a typed edge either way are left out."""
-    m = members.join(candidates.select("feature").distinct(), "feature", "left_semi").select("feature", "component").distinct()
-    a, b = m.select(F.col("feature").alias("a"), "component"), m.select(F.col("feature").alias("b"), "component")
-    pairs = a.join(b, "component").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+def co_members(members: DataFrame, candidates: DataFrame, typed: DataFrame, block: int = 512) -> DataFrame:
+    """``(a, b, shared, components)``: pairs of candidates that share components, with how many and which; pairs with a typed edge either way are left out.
+
+    The result has all pairs of a component, so the work on a large one is cut into triangles: its members
+    are dealt to blocks of some ``block``, and each pair of blocks, at most ``block`` squared pairs, is a
+    key of its own.  A member goes to as many keys as its component has blocks.
+    """
+    m = staged(members.join(candidates.select("feature").distinct(), "feature", "left_semi").select("feature", "component").distinct(), "members")
+    sizes = m.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    d = m.join(broadcast_if_small(sizes), "component").withColumn("own", F.pmod(F.xxhash64("feature"), "blocks").cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("feature", "component", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    side = lambda c: d.select("component", "x", "y", F.col("feature").alias(c), F.col("own").alias(f"own_{c}"))
+    met = side("a").join(side("b"), ["component", "x", "y"]).where((F.col("a") < F.col("b")) & ((F.col("x") == F.col("y")) | (F.col("own_a") != F.col("own_b"))))
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.array_sort(F.collect_list("component")).alias("components"))
     known = typed.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     return pairs.join(known, ["a", "b"], "left_anti")
 

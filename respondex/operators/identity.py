@@ -9,22 +9,37 @@ from respondex.functions.scalar import token
 from respondex.plans.skew import salted_join
 
 
+#: A locus number.
+LOCUS = r"^b\d{4}$"
+
+
 def alias_map(aliases: DataFrame) -> DataFrame:
-    """First owner of each token, in the given order: (token, feature, ord) to (token, feature)."""
-    return aliases.where("token IS NOT NULL AND token <> ''").groupBy("token").agg(F.min_by("feature", F.struct("ord", "feature")).alias("feature"))
+    """First owner of each token, in the given order: (token, feature, ord[, locus]) to (token, feature[, locus])."""
+    more = ["locus"] if "locus" in aliases.columns else []
+    one = F.min_by(F.struct("feature", *more), F.struct("ord", "feature")).alias("o")
+    return aliases.where("token IS NOT NULL AND token <> ''").groupBy("token").agg(one).select("token", "o.feature", *[f"o.{c}" for c in more])
 
 
-def resolved(rows: DataFrame, key: str, names: list[str], mapping: DataFrame, fallback: str | None = None) -> DataFrame:
-    """``(key, feature, basis)``: the first of the named columns that the map knows.
+def resolved(rows: DataFrame, key: str, names: list[str], mapping: DataFrame, own: list[str] = (), loci: list[str] = ()) -> DataFrame:
+    """``(key, feature, locus, basis)`` of each row: the owner of the first of the named columns that the map knows.
 
-    basis: ``mapped`` or, if nothing was found, ``fallback`` where that column matches a
-    locus number, else ``unknown``.  All tokens go through one join.
+    mapping: ``alias_map``.  A row that the map doesn't know keeps its own name, the first filled
+    of the columns ``own``, so that no measured row is lost; a mapped feature is text then too.
+    locus: the map's; without one, the name that was found if it is a locus number; of
+    a row that keeps its name, the first of ``loci`` that is one.  basis: ``mapped``,
+    ``source_name``, or ``unknown`` where there is no name either.  All tokens go through one join.
     """
     asked = rows.select(F.col(key), F.posexplode(F.array(*[token(F.col(n)) for n in names])).alias("place", "token"))
-    hits = salted_join(asked.where("token <> ''"), mapping, ["token"], how="inner").groupBy(key).agg(F.min_by("feature", "place").alias("feature"))
-    d = rows.join(hits, key, "left")
-    locus = F.col(fallback).rlike(r"^b\d{4}$") if fallback else F.lit(False)
-    return d.select(key, "feature", F.when(F.col("feature").isNotNull(), "mapped").when(F.coalesce(locus, F.lit(False)), "locus").otherwise("unknown").alias("basis"))
+    known = mapping if "locus" in mapping.columns else mapping.withColumn("locus", F.lit(None).cast("string"))
+    found = salted_join(asked.where("token <> ''"), known, ["token"], how="inner")
+    found = found.withColumn("locus", F.coalesce(F.nullif("locus", F.lit("")), F.when(F.col("token").rlike(LOCUS), F.col("token"))))
+    hits = found.groupBy(key).agg(F.min_by(F.struct("feature", "locus"), "place").alias("hit"))
+    name = F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in own], F.lit(None))
+    place = F.coalesce(*[F.when(token(F.col(c)).rlike(LOCUS), token(F.col(c))) for c in loci], F.lit(None))
+    mapped = F.col("hit").isNotNull()
+    feature = F.when(mapped, F.col("hit.feature").cast("string")).otherwise(name) if own else F.col("hit.feature")
+    basis = F.when(mapped, "mapped").when(name.isNotNull(), "source_name").otherwise("unknown")
+    return rows.join(hits, key, "left").select(key, feature.alias("feature"), F.when(mapped, F.col("hit.locus")).otherwise(place).alias("locus"), basis.alias("basis"))
 
 
 def exact(asked: DataFrame, ids: DataFrame, aliases: DataFrame) -> DataFrame:

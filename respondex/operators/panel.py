@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from respondex.operators.graph import unit_groups
 from respondex.plans.staging import staged
 
 
@@ -24,15 +25,21 @@ def promoter_rollup(mapped: DataFrame, tiers: DataFrame) -> DataFrame:
     return d.groupBy("promoter").agg(F.array_sort(F.collect_set("feature")).alias("features"), F.array_sort(F.collect_set("tu")).alias("units"), F.array_sort(F.collect_set("tier")).alias("tiers"))
 
 
-def options(stability: DataFrame, cross: DataFrame, cv: DataFrame, regulators: DataFrame, mapped: DataFrame, fragments: DataFrame) -> DataFrame:
+def feature_groups(units: DataFrame) -> DataFrame:
+    """``(feature, grp)``: the connected group of overlapping units that a feature is in; units: (unit, member)."""
+    return units.join(unit_groups(units), "unit").groupBy(F.col("member").alias("feature")).agg(F.min("grp").alias("grp"))
+
+
+def options(stability: DataFrame, cross: DataFrame, cv: DataFrame, regulators: DataFrame, mapped: DataFrame, groups: DataFrame, fragments: DataFrame) -> DataFrame:
     """Panel options: one row for each class, candidate and promoter; a feature without a unit group is its own group.
 
     stability, cross: by (feature, class).  cv: (feature, cv), the largest counts.
-    regulators: (feature, regulators).  mapped: (feature, promoter, grp) of mapped
-    promoters.  fragments: (promoter, confidence_rank, matches).
+    regulators: (feature, regulators).  mapped: (feature, promoter) of mapped promoters, through
+    however many units.  groups: (feature, grp) of ``feature_groups``.  fragments: (promoter, confidence_rank, matches).
     """
     d = stability.join(cross, ["feature", "class"], "left").join(cv.groupBy("feature").agg(F.max("cv").alias("max_cv")), "feature", "left")
-    d = d.join(regulators.select("feature", "regulators"), "feature").join(mapped.where("promoter IS NOT NULL").select("feature", "promoter", "grp").distinct(), "feature")
+    d = d.join(regulators.select("feature", "regulators"), "feature").join(mapped.where("promoter IS NOT NULL").select("feature", "promoter").distinct(), "feature")
+    d = d.join(groups.select("feature", "grp"), "feature", "left")
     d = d.join(fragments.select("promoter", F.coalesce("confidence_rank", F.lit(0)).alias("confidence_rank"), "matches"), "promoter")
     return d.withColumn("grp", F.coalesce("grp", -F.col("feature")) if dict(d.dtypes)["grp"] != "string" else F.coalesce("grp", F.col("feature").cast("string")))
 

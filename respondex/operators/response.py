@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from respondex.functions.scalar import response_label, signal
 from respondex.functions.tails import normal_sf2, student_t_sf2
 from respondex.operators.fdr import adjust_by_family
+from respondex.plans.medians import group_medians
+from respondex.plans.skew import broadcast_if_small
 
 
 def dense_counts(rows: DataFrame, feature: str, condition: Column, replicate: Column, value: str, conditions: list[str], replicates: list[int]) -> DataFrame:
@@ -25,17 +27,16 @@ def dense_counts(rows: DataFrame, feature: str, condition: Column, replicate: Co
     return wide.select("feature", F.explode(cells).alias("x")).select("feature", "x.*")
 
 
-def size_factors(counts: DataFrame, exact: bool = True) -> DataFrame:
-    """``(sample, size_factor)``: median over features of the ratio to the feature's geometric mean of positive counts; 0 or none gives 1."""
-    middle = F.median("ratio") if exact else F.percentile_approx("ratio", 0.5, 100_000)
+def size_factors(counts: DataFrame) -> DataFrame:
+    """``(sample, size_factor)``: exact median over features of the ratio to the feature's geometric mean of positive counts; 0 or none gives 1."""
     center = counts.where("value > 0").groupBy("feature").agg(F.avg(F.log("value")).alias("g"))
     ratio = counts.join(center, "feature").select("sample", (F.col("value") / F.exp("g")).alias("ratio"))
-    return ratio.groupBy("sample").agg(middle.alias("m")).select("sample", F.when(F.col("m") > 0, F.col("m")).otherwise(1.0).alias("size_factor"))
+    return group_medians(ratio, "sample", "ratio", "m").select("sample", F.when(F.col("m") > 0, F.col("m")).otherwise(1.0).alias("size_factor"))
 
 
 def normalised(counts: DataFrame, factors: DataFrame) -> DataFrame:
     """Counts with ``norm`` and ``log2``; factors has one row a sample."""
-    return counts.join(F.broadcast(factors), "sample").withColumn("norm", F.col("value") / F.col("size_factor")).withColumn("log2", F.log2(F.col("norm") + 1))
+    return counts.join(broadcast_if_small(factors), "sample").withColumn("norm", F.col("value") / F.col("size_factor")).withColumn("log2", F.log2(F.col("norm") + 1))
 
 
 def moments(norm: DataFrame) -> DataFrame:

@@ -93,6 +93,11 @@ def details(key: str, base: DataFrame, children: dict[str, DataFrame]) -> DataFr
     return out
 
 
+def attached_pairs(pairs: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """For each key its pair results: how many, their contrasts, and the results themselves as sorted structs of ``fields``; one row a key."""
+    return pairs.groupBy(key).agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.concat_ws("/", "numerator", "denominator"))).alias("contrasts"), F.array_sort(F.collect_list(F.struct(*fields))).alias("nested"))
+
+
 def local_graph(paths: DataFrame, interactions: DataFrame) -> DataFrame:
     """Distinct edges ``(feature, src, dst, kind)`` of each feature's evidence: regulation by interaction, and the target's context."""
     d = paths.select("feature", "interaction").join(interactions, "interaction")

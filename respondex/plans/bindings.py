@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from respondex.functions.scalar import eligible
 from respondex.operators import response
 from respondex.plans.registry import table
 
@@ -32,7 +33,7 @@ def norm(spark: SparkSession, d: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, d: str) -> DataFrame:
-    """``(feature, dataset, class, role, lfc, p)``."""
+    """``(feature, dataset, class, role, lfc, p, eligible)``; one feature of 13 is flagged as not eligible by its source."""
     n = norm(spark, d)
     m = response.moments(n)
     wide = m.groupBy("feature").agg(*[F.max(F.when(F.col("condition") == c, F.col(x))).alias(f"{x}_{c}") for c in CONDITIONS for x in ("mean", "var", "n")])
@@ -41,7 +42,7 @@ def observations(spark: SparkSession, d: str) -> DataFrame:
         for name, t, u, cls, role in CONTRASTS
     ]
     long = wide.select("feature", F.explode(F.array(*each)).alias("o")).select("feature", "o.*").withColumn("lfc", F.col("mean_treated") - F.col("mean_control"))
-    return response.pooled_p4(long).select("feature", "dataset", "class", "role", F.round("lfc", 9).alias("lfc"), F.round("p", 9).alias("p"))
+    return response.pooled_p4(long).select("feature", "dataset", "class", "role", F.round("lfc", 9).alias("lfc"), F.round("p", 9).alias("p"), eligible(F.col("lfc"), F.col("p"), F.when(F.col("feature") % 13 > 0, "True").otherwise("no")).alias("eligible"))
 
 
 def shrunk(spark: SparkSession, d: str) -> DataFrame:
@@ -67,16 +68,16 @@ _PIECES = [
     ("moments", "SELECT feature, condition, count(log2) AS n, avg(log2) AS mean, var_samp(log2) AS var, avg(norm) AS base FROM norm GROUP BY 1, 2"),
     ("contrasts", "SELECT * FROM (VALUES ('alpha', 'A', 'N', 'one', 'discovery'), ('rho', 'R', 'N', 'two', 'discovery'), ('versus', 'A', 'R', 'one', 'challenge')) t(dataset, tr, co, class, role)"),
     ("obs0", "SELECT a.feature, dataset, class, role, a.mean - b.mean AS lfc, CASE WHEN a.n = 3 AND b.n = 3 AND a.var + b.var > 0 THEN (a.mean - b.mean) / sqrt((a.var + b.var) / 3) END AS t FROM contrasts JOIN moments a ON a.condition = tr JOIN moments b ON b.condition = co AND b.feature = a.feature"),
-    ("obs", "SELECT feature, dataset, class, role, round(lfc, 9) AS lfc, round(greatest(0.0, 1 - abs(t) / sqrt(4 + t * t) * (1.5 - 0.5 * t * t / (4 + t * t))), 9) AS p FROM obs0"),
+    ("obs", "SELECT feature, dataset, class, role, round(lfc, 9) AS lfc, round(greatest(0.0, 1 - abs(t) / sqrt(4 + t * t) * (1.5 - 0.5 * t * t / (4 + t * t))), 9) AS p, coalesce(lfc IS NOT NULL AND t IS NOT NULL, false) AND feature % 13 > 0 AS eligible FROM obs0"),
     ("edges_raw", "SELECT l_suppkey AS src, l_partkey AS dst, CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS sign, CASE WHEN o_orderpriority[1] = '1' THEN 'C' WHEN o_orderpriority[1] IN ('2', '3') THEN 'S' ELSE 'W' END AS confidence FROM lineitem JOIN orders ON o_orderkey = l_orderkey"),
     ("edges", "SELECT src, dst, max(CASE confidence WHEN 'C' THEN 3 WHEN 'S' THEN 2 ELSE 1 END) AS rank, CASE WHEN count(DISTINCT sign) > 1 THEN 'dual' WHEN max(sign) = '+' THEN 'activates' ELSE 'represses' END AS effect, count(*) AS n_evidence FROM edges_raw GROUP BY 1, 2"),
-    ("hits", "SELECT *, coalesce(p < 0.2 AND abs(lfc) > 1.0, false) AS hit FROM obs"),
+    ("hits", "SELECT *, coalesce(eligible AND p < 0.2 AND abs(lfc) > 1.0, false) AS hit FROM obs"),
     ("seeds", "SELECT DISTINCT feature FROM hits WHERE hit AND role <> 'challenge'"),
     ("evc", "SELECT feature, class, count(DISTINCT dataset) AS seen, count(DISTINCT dataset) FILTER (WHERE qual) AS n, max(dataset) FILTER (WHERE qual) AS ds, bool_or(hit AND lfc > 0) AS up, bool_or(hit AND lfc < 0) AS down, bool_or(qual AND role <> 'challenge') AS seed, max(lfc) FILTER (WHERE qual AND role <> 'challenge') AS strongest FROM (SELECT *, hit AND lfc > 0 AS qual FROM hits) GROUP BY 1, 2"),
     ("evt", "SELECT *, CASE WHEN n = 0 THEN NULL WHEN up AND down THEN 'within_class_direction_difference' WHEN n > 1 THEN 'multiple_comparisons_supported' ELSE 'single_comparison_supported' END AS tier FROM evc"),
     ("ev", "SELECT feature, CASE WHEN bool_or(up AND down) THEN 'within_class_direction_difference' WHEN bool_or(tier = 'multiple_comparisons_supported') THEN 'multiple_comparisons_supported' ELSE 'single_comparison_supported' END AS tier, CASE WHEN count(*) FILTER (WHERE n > 0) > 1 THEN 'cross' ELSE max(class) FILTER (WHERE n > 0) END AS grp, CAST(sum(seen) AS BIGINT) AS n_seen, CAST(sum(n) AS BIGINT) AS n_hits, bool_or(up AND down) AS direction_conflict, bool_or(up) AND bool_or(down) AND NOT bool_or(up AND down) AS cross_difference, sum(n) = 1 AND max(ds) = 'alpha' AS lone, max(strongest) AS primary_effect, coalesce(max(round(n / 2, 3)) FILTER (WHERE class = 'one'), 0) AS support_one, coalesce(max(round(n / 1, 3)) FILTER (WHERE class = 'two'), 0) AS support_two FROM evt GROUP BY 1 HAVING bool_or(seed)"),
     ("supply", "SELECT feature, count(*) FILTER (WHERE value >= 40) AS k0, count(*) FILTER (WHERE value >= 80) AS k1, count(*) FILTER (WHERE value >= 200) AS k2 FROM counts GROUP BY 1"),
-    ("stab", "SELECT feature, class, n_supporting, raw_effect, effect, " + " + ".join(f"CASE WHEN k{i} >= 3 AND top > 1.0 + {s} THEN 1 ELSE 0 END" for i in range(3) for s in (-0.5, 0.0, 0.5)) + " AS passed FROM (SELECT feature, class, count(*) FILTER (WHERE p < 0.2 AND lfc > 1.0) AS n_supporting, max(lfc) FILTER (WHERE p < 0.2 AND lfc > 1.0) AS raw_effect, max(round(lfc * (1 - p), 9)) FILTER (WHERE p < 0.2 AND lfc > 1.0) AS effect, max(lfc) FILTER (WHERE p < 0.2) AS top FROM obs WHERE role <> 'challenge' GROUP BY 1, 2) LEFT JOIN supply USING (feature) WHERE n_supporting > 0"),
+    ("stab", "SELECT feature, class, n_supporting, raw_effect, effect, " + " + ".join(f"CASE WHEN k{i} >= 3 AND top > 1.0 + {s} THEN 1 ELSE 0 END" for i in range(3) for s in (-0.5, 0.0, 0.5)) + " AS passed FROM (SELECT feature, class, count(*) FILTER (WHERE p < 0.2 AND lfc > 1.0) AS n_supporting, max(lfc) FILTER (WHERE p < 0.2 AND lfc > 1.0) AS raw_effect, max(round(lfc * (1 - p), 9)) FILTER (WHERE p < 0.2 AND lfc > 1.0) AS effect, max(lfc) FILTER (WHERE p < 0.2) AS top FROM obs WHERE role <> 'challenge' AND eligible GROUP BY 1, 2) LEFT JOIN supply USING (feature) WHERE n_supporting > 0"),
     ("events_iv", "SELECT event_id, user_id, event_type, epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 1000000 + CAST(floor(value * 600) AS BIGINT) AS e FROM events"),
     ("unit_lists", "SELECT l_orderkey AS unit, l_partkey AS member FROM lineitem JOIN orders ON o_orderkey = l_orderkey"),
     ("tu_genes", "SELECT p_partkey % 70 AS tu, p_partkey AS gene FROM part UNION ALL SELECT 1000 + p_partkey % 13, p_partkey FROM part WHERE p_partkey % 5 = 0"),

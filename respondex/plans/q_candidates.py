@@ -27,7 +27,7 @@ def stable(spark, d):
     return c.stability(b.shrunk(spark, d), b.counts(spark, d), [40, 80, 200], [-0.5, 0.0, 0.5], b.P_MAX, b.LFC_MIN)
 
 
-@query("a13_evidence", b.with_tables("ev", "SELECT feature, tier, grp, n_seen, n_hits, direction_conflict, cross_difference, support_one, support_two, list_filter([CASE WHEN direction_conflict THEN 'within_class_direction_difference' END, CASE WHEN cross_difference THEN 'cross_class_direction_difference' END, CASE WHEN lone THEN 'alpha_only' END], lambda x: x IS NOT NULL) AS flags, 'two treatments' AS caveats, round(primary_effect, 6) AS primary_effect, tiers, statuses FROM ev JOIN (SELECT feature, list_sort(list(class || ':' || tier)) AS tiers FROM evt WHERE n > 0 GROUP BY 1) USING (feature) JOIN (SELECT feature, list_sort(list(dataset || ':' || CASE WHEN hit THEN 'significant_response' WHEN lfc IS NOT NULL AND p BETWEEN 0 AND 1 THEN 'no_detected_response' ELSE 'unavailable' END)) AS statuses FROM hits GROUP BY 1) USING (feature)"), lists=("flags", "tiers", "statuses"))
+@query("a13_evidence", b.with_tables("ev", "SELECT feature, tier, grp, n_seen, n_hits, n_hits AS n_up, CAST(0 AS BIGINT) AS n_down, direction_conflict, cross_difference, support_one, support_two, list_filter([CASE WHEN direction_conflict THEN 'within_class_direction_difference' END, CASE WHEN cross_difference THEN 'cross_class_direction_difference' END, CASE WHEN lone THEN 'alpha_only' END], lambda x: x IS NOT NULL) AS flags, 'two treatments' AS caveats, round(primary_effect, 6) AS primary_effect, tiers, statuses FROM ev JOIN (SELECT feature, list_sort(list(class || ':' || tier)) AS tiers FROM evt WHERE n > 0 GROUP BY 1) USING (feature) JOIN (SELECT feature, list_sort(list(dataset || ':' || CASE WHEN hit THEN 'significant_response' WHEN eligible THEN 'no_detected_response' ELSE 'unavailable' END)) AS statuses FROM hits GROUP BY 1) USING (feature)"), lists=("flags", "tiers", "statuses"))
 def a13(spark, d):
     share = lambda i: F.get("support", F.lit(i))["share"]
     out = evidence(spark, d).withColumns({"support_one": share(0), "support_two": share(1), "caveats": F.array_join("caveats", ";"), "statuses": F.transform("profile", lambda x: F.concat_ws(":", x["dataset"], x["status"])), "tiers": F.transform("tiers", lambda x: F.concat_ws(":", x["class"], x["tier"]))})
@@ -48,7 +48,7 @@ def a15(spark, d):
     return c.coverage(b.edges(spark, d), cls).withColumns({f"{n}_{k}": of(k, x) for k in ("one", "two") for n, x in (("n", "n"), ("share", "share"))}).drop("by_class")
 
 
-_FISHER = """, u AS (SELECT dataset, feature, hit AND lfc > 0 AS up, hit AND lfc < 0 AS down FROM hits), tot AS (SELECT dataset, count(*) AS background, count(*) FILTER (WHERE up) AS n_up, count(*) FILTER (WHERE down) AS n_down FROM u GROUP BY 1),
+_FISHER = """, u AS (SELECT dataset, feature, hit AND lfc > 0 AS up, hit AND lfc < 0 AS down FROM hits WHERE eligible), tot AS (SELECT dataset, count(*) AS background, count(*) FILTER (WHERE up) AS n_up, count(*) FILTER (WHERE down) AS n_down FROM u GROUP BY 1),
 s AS (SELECT src, dataset, count(*) AS targets, count(*) FILTER (WHERE up) AS a_up, count(*) FILTER (WHERE down) AS a_down, count(*) FILTER (WHERE up AND effect = 'activates') AS g_up, count(*) FILTER (WHERE down AND effect = 'represses') AS g_down FROM edges JOIN u ON feature = dst GROUP BY 1, 2),
 t AS (SELECT *, targets - a AS b, responsive - a AS c, background - targets - responsive + a AS d FROM (SELECT src, dataset, targets, background, 'up' AS direction, a_up AS a, n_up AS responsive, g_up AS agree FROM s JOIN tot USING (dataset) UNION ALL SELECT src, dataset, targets, background, 'down', a_down, n_down, g_down FROM s JOIN tot USING (dataset))),
 f AS (SELECT src, dataset, direction, sum(exp(lgamma(targets + 1) + lgamma(background - targets + 1) + lgamma(responsive + 1) + lgamma(background - responsive + 1) - lgamma(background + 1) - lgamma(k + 1) - lgamma(targets - k + 1) - lgamma(responsive - k + 1) - lgamma(background - targets - responsive + k + 1))) AS p FROM (SELECT *, unnest(range(a, least(targets, responsive) + 1)) AS k FROM t) WHERE background - targets - responsive + k >= 0 GROUP BY 1, 2, 3)"""
@@ -58,13 +58,8 @@ _ODDS = "CASE WHEN a + b = 0 OR c + d = 0 OR a + c = 0 OR b + d = 0 THEN NULL WH
 @query("a16_set_enrichment", b.with_tables("hits", _FISHER + f""", q AS (SELECT *, least(1.0, min(raw) OVER (ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS padj FROM (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS raw FROM (SELECT src, dataset, direction, least(1.0, round(p, 9)) AS p FROM f)))
 SELECT src, dataset, direction, targets, background, responsive, a, agree, {_ODDS}, round(p, 6) AS p, round(padj, 5) AS padj FROM t JOIN q USING (src, dataset, direction)"""))
 def a16(spark, d):
-    o = b.observations(spark, d).withColumn("h", c.hit(b.P_MAX, b.LFC_MIN))
-    u = o.select("dataset", "feature", F.coalesce(F.col("h") & (F.col("lfc") > 0), F.lit(False)).alias("up"), F.coalesce(F.col("h") & (F.col("lfc") < 0), F.lit(False)).alias("down"))
-    from respondex.functions.tails import hypergeom_tail
-    from respondex.operators.fdr import adjust_all
-
-    t = c.enrichment(b.edges(spark, d), u).withColumn("p", F.round(hypergeom_tail("a", "b", "c", "d"), 9))
-    out = adjust_all(t).select("src", "dataset", "direction", "targets", "background", "responsive", "a", "agree", "odds", "p", F.round("padj", 5).alias("padj"))
+    t = c.enrichment(b.edges(spark, d), c.universe(b.observations(spark, d), b.P_MAX, b.LFC_MIN))
+    out = c.enrichment_tests(t, 9).select("src", "dataset", "direction", "targets", "background", "responsive", "a", "agree", "odds", "p", F.round("padj", 5).alias("padj"))
     return rounded(out)
 
 
@@ -138,7 +133,7 @@ def g4_names(spark, d):
 _MEM = "m AS (SELECT feature, component FROM weights WHERE abs(weight) > 0.25)"
 
 
-@query("g5_co_members", b.with_tables("weights", f", {_MEM} SELECT a.feature AS a, b.feature AS b, count(*) AS shared FROM m a JOIN m b USING (component) WHERE a.feature < b.feature AND NOT EXISTS (SELECT 1 FROM edges WHERE least(src, dst) = a.feature AND greatest(src, dst) = b.feature) GROUP BY 1, 2"))
+@query("g5_co_members", b.with_tables("weights", f", {_MEM} SELECT a.feature AS a, b.feature AS b, count(*) AS shared, list_sort(list(component)) AS components FROM m a JOIN m b USING (component) WHERE a.feature < b.feature AND NOT EXISTS (SELECT 1 FROM edges WHERE least(src, dst) = a.feature AND greatest(src, dst) = b.feature) GROUP BY 1, 2"), lists=("components",))
 def g5(spark, d):
     m = b.weights(spark, d).where(F.abs("weight") > 0.25)
     return g.co_members(m, m.select("feature"), b.edges(spark, d))

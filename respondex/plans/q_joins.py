@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from respondex.operators import candidates as c
-from respondex.operators import cross, identity, interval, modules, panel, response, reviews, store
+from respondex.operators import checks, cross, identity, interval, modules, panel, response, reviews, store
 from respondex.plans import bindings as b
 from respondex.plans.q_candidates import stable
 from respondex.plans.registry import query, rounded, table
@@ -20,17 +20,22 @@ def _aliases(spark, d):
     return p.select(brand.alias("token"), F.col("p_partkey").alias("feature"), F.col("p_partkey").alias("ord")).unionByName(p.select(F.lower(F.trim("p_name")).alias("token"), F.col("p_partkey").alias("feature"), (F.col("p_partkey") + 1_000_000_000).alias("ord")))
 
 
-@query("j1_identity", f"WITH al AS (SELECT token, min_by(feature, (ord, feature)) AS feature FROM (SELECT {_BRAND} AS token, p_partkey AS feature, p_partkey AS ord FROM part UNION ALL SELECT lower(trim(p_name)), p_partkey, p_partkey + 1000000000 FROM part) GROUP BY 1), r AS (SELECT p_partkey AS key, CASE WHEN p_partkey % 3 = 0 THEN {_BRAND} ELSE 'b' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') END AS t0, CASE WHEN p_partkey % 4 < 2 THEN lower(trim(p_name)) ELSE 'none' END AS t1 FROM part) SELECT key, coalesce(a.feature, c.feature) AS feature, CASE WHEN coalesce(a.feature, c.feature) IS NOT NULL THEN 'mapped' WHEN regexp_matches(t0, '^b\\d{{4}}$') THEN 'locus' ELSE 'unknown' END AS basis FROM r LEFT JOIN al a ON a.token = t0 LEFT JOIN al c ON c.token = t1")
+_AL = f"al AS (SELECT token, min_by(feature, (ord, feature)) AS feature FROM (SELECT {_BRAND} AS token, p_partkey AS feature, p_partkey AS ord FROM part UNION ALL SELECT lower(trim(p_name)), p_partkey, p_partkey + 1000000000 FROM part) GROUP BY 1)"
+
+
+@query("j1_identity", f"WITH {_AL}, r AS (SELECT p_partkey AS key, CASE WHEN p_partkey % 3 = 0 THEN {_BRAND} ELSE 'b' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') END AS t0, CASE WHEN p_partkey % 4 < 2 THEN lower(trim(p_name)) WHEN p_partkey % 8 = 6 THEN 'orphan' || p_partkey END AS t1, CASE WHEN p_partkey % 4 < 2 THEN upper(p_name) WHEN p_partkey % 8 = 6 THEN 'Orphan' || p_partkey END AS s1 FROM part), j AS (SELECT r.*, coalesce(a.feature, c.feature) AS f FROM r LEFT JOIN al a ON a.token = t0 LEFT JOIN al c ON c.token = t1) SELECT key, CASE WHEN f IS NOT NULL THEN CAST(f AS VARCHAR) ELSE coalesce(s1, t0) END AS feature, CASE WHEN f % 2 = 0 THEN 'b' || lpad(CAST(f % 10000 AS VARCHAR), 4, '0') WHEN f IS NULL AND regexp_matches(t0, '^b\\d{{4}}$') THEN t0 END AS locus, CASE WHEN f IS NOT NULL THEN 'mapped' ELSE 'source_name' END AS basis FROM j")
 def j1(spark, d):
     k = F.col("p_partkey")
-    rows = table(spark, d, "part").select(k.alias("key"), F.when(k % 3 == 0, F.concat_ws("-", "p_brand", "p_size", "p_type")).otherwise(F.concat(F.lit("b"), F.lpad((k % 10000).cast("string"), 4, "0"))).alias("locus"), F.when(k % 4 < 2, F.upper("p_name")).otherwise("none").alias("symbol"))
-    return identity.resolved(rows, "key", ["locus", "symbol"], identity.alias_map(_aliases(spark, d)), "locus")
+    number = lambda c: F.concat(F.lit("b"), F.lpad((c % 10000).cast("string"), 4, "0"))
+    rows = table(spark, d, "part").select(k.alias("key"), F.when(k % 3 == 0, F.concat_ws("-", "p_brand", "p_size", "p_type")).otherwise(number(k)).alias("locus"), F.when(k % 4 < 2, F.upper("p_name")).when(k % 8 == 6, F.concat(F.lit("Orphan"), k)).alias("symbol"))
+    aliases = _aliases(spark, d).withColumn("locus", F.when(F.col("feature") % 2 == 0, number(F.col("feature"))))
+    return identity.resolved(rows, "key", ["locus", "symbol"], identity.alias_map(aliases), ["symbol", "locus"], ["locus"])
 
 
-@query("j26_component_features", f"WITH al AS (SELECT token, min_by(feature, (ord, feature)) AS feature FROM (SELECT {_BRAND} AS token, p_partkey AS feature, p_partkey AS ord FROM part UNION ALL SELECT lower(trim(p_name)), p_partkey, p_partkey + 1000000000 FROM part) GROUP BY 1) SELECT s_suppkey AS key, a.feature, CASE WHEN a.feature IS NOT NULL THEN 'mapped' ELSE 'unknown' END AS basis FROM supplier LEFT JOIN (SELECT p_partkey, lower(trim(p_name)) AS t FROM part) p ON p_partkey = s_suppkey LEFT JOIN al a ON a.token = t")
+@query("j26_component_features", f"WITH {_AL} SELECT s_suppkey AS key, a.feature, CASE WHEN a.feature IS NOT NULL THEN 'mapped' ELSE 'unknown' END AS basis FROM supplier LEFT JOIN (SELECT p_partkey, lower(trim(p_name)) AS t FROM part) p ON p_partkey = s_suppkey LEFT JOIN al a ON a.token = t")
 def j26(spark, d):
     rows = table(spark, d, "supplier").join(table(spark, d, "part").select(F.col("p_partkey").alias("s_suppkey"), "p_name"), "s_suppkey", "left").select(F.col("s_suppkey").alias("key"), "p_name")
-    return identity.resolved(rows, "key", ["p_name"], identity.alias_map(_aliases(spark, d)))
+    return identity.resolved(rows, "key", ["p_name"], identity.alias_map(_aliases(spark, d))).drop("locus")
 
 
 @query("j2_annotation", "SELECT l_partkey AS feature, p_name, count(*) AS n FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 7 > 0) ON p_partkey = l_partkey GROUP BY 1, 2")
@@ -89,26 +94,27 @@ def _seeds(spark, d):
 def _counterparts(spark, d):
     o, s = _seeds(spark, d)
     o = o.withColumn("ci_low", F.col("lfc") - 0.5).withColumn("ci_high", F.col("lfc") + 0.5)
-    return cross.counterparts(s, o, [(n, cls) for n, _, _, cls, role in b.CONTRASTS if role == "discovery"])
+    return cross.counterparts(s, o, [(n, cls) for n, _, _, cls, _ in b.CONTRASTS])
 
 
-@query("j7_counterparts", b.with_tables("hits", "SELECT h.feature, h.dataset, o.dataset AS other, round(o.lfc, 6) + 0.0 AS other_lfc, round(o.p, 6) AS other_p FROM hits h JOIN obs o ON o.feature = h.feature AND o.role = 'discovery' AND o.class <> h.class WHERE h.hit AND h.lfc > 0 AND h.role = 'discovery'"))
+@query("j7_counterparts", b.with_tables("hits", "SELECT h.feature, h.dataset, o.dataset AS other, round(o.lfc, 6) + 0.0 AS other_lfc, round(o.p, 6) AS other_p FROM hits h JOIN obs o ON o.feature = h.feature AND o.class <> h.class WHERE h.hit AND h.lfc > 0 AND h.role = 'discovery'"))
 def j7(spark, d):
     return rounded(_counterparts(spark, d).select("feature", "dataset", "other", "other_lfc", "other_p"))
 
 
-_CROSS = ", fam AS (SELECT feature, lfc, least(1.0, min(raw) OVER (ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS family_padj FROM (SELECT feature, lfc, p, p * count(*) OVER () / count(*) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS raw FROM obs WHERE dataset = 'versus' AND p IS NOT NULL)), cr AS (SELECT h.feature, h.dataset, h.class, o.lfc AS other_lfc, o.p AS other_p, family_padj, CASE h.dataset WHEN 'alpha' THEN v.lfc ELSE -v.lfc END AS lfc FROM hits h JOIN obs o ON o.feature = h.feature AND o.role = 'discovery' AND o.class <> h.class LEFT JOIN fam v ON v.feature = h.feature WHERE h.hit AND h.lfc > 0 AND h.role = 'discovery'), st AS (SELECT *, CASE WHEN family_padj < 0.9 AND lfc - 0.5 > 0 THEN 'discovery_response_stronger' WHEN family_padj < 0.9 AND lfc + 0.5 < 0 THEN 'counterpart_response_stronger' ELSE 'inconclusive' END AS status, coalesce(other_p BETWEEN 0 AND 1 AND other_p < 0.9 AND abs(other_lfc) > 1, false) AS detected, coalesce(other_p BETWEEN 0 AND 1 AND other_lfc - 0.5 > -1 AND other_lfc + 0.5 < 1, false) AS within_bound FROM cr)"
+_CROSS = ", fam AS (SELECT feature, lfc, eligible, least(1.0, min(raw) OVER (ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS family_padj FROM (SELECT feature, lfc, p, eligible, p * count(*) OVER () / count(*) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS raw FROM obs WHERE dataset = 'versus' AND p IS NOT NULL)), cr AS (SELECT h.feature, h.dataset, h.class, o.dataset AS other, o.lfc AS other_lfc, o.p AS other_p, o.eligible AS other_eligible, v.eligible, family_padj, CASE h.dataset WHEN 'alpha' THEN v.lfc ELSE -v.lfc END AS lfc FROM hits h JOIN obs o ON o.feature = h.feature AND o.class <> h.class LEFT JOIN fam v ON v.feature = h.feature AND o.role = 'discovery' WHERE h.hit AND h.lfc > 0 AND h.role = 'discovery'), st AS (SELECT *, CASE WHEN eligible AND family_padj < 0.9 AND lfc - 0.5 > 0 THEN 'discovery_response_stronger' WHEN eligible AND family_padj < 0.9 AND lfc + 0.5 < 0 THEN 'counterpart_response_stronger' ELSE 'inconclusive' END AS status, coalesce(other_eligible AND other_p < 0.9 AND abs(other_lfc) > 1, false) AS detected, coalesce(other_eligible AND other_lfc - 0.5 > -1 AND other_lfc + 0.5 < 1, false) AS within_bound FROM cr)"
 
 
 def _cross(spark, d):
-    w = _counterparts(spark, d).withColumns({"numerator": F.when(F.col("dataset") == "alpha", "A").otherwise("R"), "denominator": F.when(F.col("dataset") == "alpha", "R").otherwise("A")}).drop("lfc")
-    v = b.observations(spark, d).where("dataset = 'versus'").select("feature", F.lit("A").alias("numerator"), F.lit("R").alias("denominator"), "lfc", "p", (F.col("lfc") - 0.5).alias("ci_low"), (F.col("lfc") + 0.5).alias("ci_high"))
+    drug = lambda c: F.when(F.col(c) == "alpha", "A").when(F.col(c) == "rho", "R")  # noqa: E731  a challenge has no pair result of its own
+    w = _counterparts(spark, d).withColumns({"numerator": drug("dataset"), "denominator": drug("other")}).drop("lfc")
+    v = b.observations(spark, d).where("dataset = 'versus'").select("feature", F.lit("A").alias("numerator"), F.lit("R").alias("denominator"), "lfc", "p", "eligible", (F.col("lfc") - 0.5).alias("ci_low"), (F.col("lfc") + 0.5).alias("ci_high"))
     return cross.status(cross.oriented_pairs(w, cross.family_adjusted(v).drop("p")), 0.9, b.LFC_MIN, 1.0)
 
 
-@query("i4_cross_status", b.with_tables("hits", _CROSS + " SELECT feature, dataset, status, detected, within_bound FROM st"))
+@query("i4_cross_status", b.with_tables("hits", _CROSS + " SELECT feature, dataset, other, status, detected, within_bound FROM st"))
 def i4(spark, d):
-    return _cross(spark, d).select("feature", "dataset", "status", "detected", "within_bound")
+    return _cross(spark, d).select("feature", "dataset", "other", "status", "detected", "within_bound")
 
 
 @query("a18_cross_summary", b.with_tables("hits", _CROSS + " SELECT feature, class, round(avg(CASE WHEN status = 'discovery_response_stronger' THEN 1.0 ELSE 0.0 END), 6) AS stronger_fraction, round(max(abs(other_lfc)), 6) AS max_other FROM st GROUP BY 1, 2"))
@@ -156,28 +162,37 @@ def j9(spark, d):
 _GENOME = "translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
 
 
-@query("i2_reference_match", f"SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE length(g) >= 40 AND doc_id % 3 > 0 END AS matches FROM (SELECT doc_id, {_GENOME} AS g FROM documents) WHERE length(g) >= 40")
+_CUT = f"SELECT doc_id, upper({_GENOME}) AS g FROM documents WHERE text IS NOT NULL"
+
+
+@query("i2_reference_match", f"SELECT doc_id * 1000 + k AS id, CASE WHEN k % 5 < 4 THEN k % 3 > 0 AND 40 * k + 51 <= length(g) END AS matches FROM (SELECT doc_id, g, unnest(range(0, greatest(1, length(g) // 40))) AS k FROM ({_CUT})) WHERE k < 1000")
 def i2(spark, d):
+    """A 20-base sequence at every 40th base of each document's letters as a genome, one of three spoiled, one of five without a start."""
     g = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
-    i = F.col("doc_id")
-    docs = table(spark, d, "documents").select("doc_id", g.alias("genome")).where(F.length("genome") >= 40)
-    piece = F.substring("genome", 11, 20)
-    spoiled = F.when(i % 3 > 0, piece).otherwise(F.concat(F.lit("n"), F.substring(piece, 2, 19)))
+    docs = table(spark, d, "documents").select("doc_id", g.alias("g")).where("g IS NOT NULL")
+    width, k = 256, F.col("k")
+    chunks = interval.chunked(docs, "doc_id", "g", width)
+    at = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.floor(F.length("g") / 40)).cast("int") - 1)).alias("k"), F.col("g"))
+    piece = F.substring("g", 40 * k + 32, F.lit(20))
+    spoiled = F.when(k % 3 > 0, piece).otherwise(F.concat(F.lit("n"), F.substring(piece, 2, 19)))
     seq = F.concat(F.lower(F.substring(spoiled, 1, 10)), F.upper(F.substring(spoiled, 11, 1)), F.lower(F.substring(spoiled, 12, 9)))
-    rows = docs.select("doc_id", "genome", seq.alias("seq"), F.when(i % 5 > 0, F.lit(21)).alias("tss"), F.lit("+").alias("strand"))
-    return interval.reference_match(rows).select("doc_id", "matches")
+    filled = F.rpad(seq, 20, "a")  # past the end of a genome nothing is there to match
+    upper = F.concat(F.substring(filled, 1, 10), F.upper(F.substring(filled, 11, 1)), F.substring(filled, 12, 9))
+    rows = at.where(k < 1000).select((F.col("doc_id") * 1000 + k).alias("id"), F.col("doc_id").alias("contig"), upper.alias("seq"), F.when(k % 5 < 4, 40 * k + 42).alias("tss"), F.lit("+").alias("strand"))
+    return interval.reference_match(rows, chunks, width)
 
 
 def _options(spark, d):
     """Panel options, rounded as their SQL is, staged."""
     regs = b.edges(spark, d).groupBy(F.col("dst").alias("feature")).agg(F.array_sort(F.collect_set("src")).alias("regulators"))
     cv = response.replicate_summary(b.norm(spark, d), ["feature", "condition"]).where("condition <> 'N'").select("feature", "cv")
-    mapped = _mapped(spark, d).where("status = 'mapped'").select("feature", "promoter", F.col("tu").alias("grp"))
+    mapped = _mapped(spark, d).where("status = 'mapped'").select("feature", "promoter")
+    groups = panel.feature_groups(b.tu_genes(spark, d).where("gene % 6 > 0").select(F.col("tu").alias("unit"), F.col("gene").alias("member")))
     fragments = b.tu_promoters(b.tu_genes(spark, d)).select("promoter").distinct().select("promoter", (F.col("promoter") % 4).cast("int").alias("confidence_rank"), (F.col("promoter") % 5 > 0).alias("matches"))
-    return staged(rounded(panel.options(stable(spark, d), cross.summary(_cross(spark, d)), cv, regs, mapped, fragments)), "options")
+    return staged(rounded(panel.options(stable(spark, d), cross.summary(_cross(spark, d)), cv, regs, mapped, groups, fragments)), "options")
 
 
-_OPT = _CROSS + ", sm AS (SELECT feature, class, avg(CASE WHEN status = 'discovery_response_stronger' THEN 1.0 ELSE 0.0 END) AS stronger_fraction, max(abs(other_lfc)) AS max_other FROM st GROUP BY 1, 2), rg AS (SELECT dst AS feature, list_sort(list(DISTINCT src)) AS regulators FROM edges GROUP BY 1), cvs AS (SELECT feature, max(CASE WHEN m > 0 THEN s / m END) AS max_cv FROM (SELECT feature, condition, avg(norm) AS m, stddev_samp(norm) AS s FROM norm WHERE condition <> 'N' GROUP BY 1, 2) GROUP BY 1), opt AS (SELECT stab.feature, stab.class, promoter, tu AS grp, n_supporting, round(raw_effect, 6) AS raw_effect, round(effect, 6) AS effect, CAST(passed AS INTEGER) AS passed, round(passed / 9, 6) AS screen_fraction, round(stronger_fraction, 6) AS stronger_fraction, round(max_other, 6) AS max_other, round(max_cv, 6) AS max_cv, regulators, CAST(promoter % 4 AS INTEGER) AS confidence_rank, promoter % 5 > 0 AS matches FROM stab JOIN rg USING (feature) JOIN (SELECT DISTINCT feature, promoter, tu FROM (" + _MAP + ") WHERE status = 'mapped') m ON m.feature = stab.feature LEFT JOIN sm ON sm.feature = stab.feature AND sm.class = stab.class LEFT JOIN cvs ON cvs.feature = stab.feature)"
+_OPT = _CROSS + ", sm AS (SELECT feature, class, avg(CASE WHEN status = 'discovery_response_stronger' THEN 1.0 ELSE 0.0 END) AS stronger_fraction, max(abs(other_lfc)) AS max_other FROM st GROUP BY 1, 2), rg AS (SELECT dst AS feature, list_sort(list(DISTINCT src)) AS regulators FROM edges GROUP BY 1), cvs AS (SELECT feature, max(CASE WHEN m > 0 THEN s / m END) AS max_cv FROM (SELECT feature, condition, avg(norm) AS m, stddev_samp(norm) AS s FROM norm WHERE condition <> 'N' GROUP BY 1, 2) GROUP BY 1), tl AS (SELECT DISTINCT a.tu AS x, b.tu AS y FROM tu_genes a JOIN tu_genes b USING (gene) WHERE gene % 6 > 0), tr AS (SELECT x, x AS y FROM tl UNION SELECT tr.x, tl.y FROM tr JOIN tl ON tl.x = tr.y), tg AS (SELECT gene AS feature, min(y) AS grp FROM tu_genes JOIN tr ON x = tu WHERE gene % 6 > 0 GROUP BY 1), opt AS (SELECT stab.feature, stab.class, promoter, coalesce(grp, -stab.feature) AS grp, n_supporting, round(raw_effect, 6) AS raw_effect, round(effect, 6) AS effect, CAST(passed AS INTEGER) AS passed, round(passed / 9, 6) AS screen_fraction, round(stronger_fraction, 6) AS stronger_fraction, round(max_other, 6) AS max_other, round(max_cv, 6) AS max_cv, regulators, CAST(promoter % 4 AS INTEGER) AS confidence_rank, promoter % 5 > 0 AS matches FROM stab JOIN rg USING (feature) JOIN (SELECT DISTINCT feature, promoter FROM (" + _MAP + ") WHERE status = 'mapped') m ON m.feature = stab.feature LEFT JOIN tg ON tg.feature = stab.feature LEFT JOIN sm ON sm.feature = stab.feature AND sm.class = stab.class LEFT JOIN cvs ON cvs.feature = stab.feature)"
 _REUSE = "CASE WHEN len(regulators) > 0 THEN coalesce(list_sum(list_transform(regulators, lambda r: len(list_filter(rs, lambda x: x = r)))), 0) END"
 
 
@@ -199,7 +214,7 @@ _PICKED = "SELECT CAST(row_number() OVER (ORDER BY step) AS INTEGER) AS place, c
 _SHOWN = ["place", "class", "feature", "promoter", "grp", "effect"]
 
 
-@query("j5_panel_options", b.with_tables("tu_promoters", _OPT + " SELECT * FROM opt"), lists=("regulators",))
+@query("j5_panel_options", b.with_tables("tu_promoters", _OPT + " SELECT * FROM opt", recursive=True), lists=("regulators",))
 def j5(spark, d):
     return _options(spark, d)
 
@@ -224,13 +239,29 @@ def k7(spark, d):
     return rounded(named(panel.balanced(o, 6), "pick").unionByName(named(panel.effect_only(o, 6), "base")))
 
 
-@query("k7_panel_violations", "SELECT NULL::VARCHAR AS \"check\", NULL::VARCHAR AS key WHERE false")
+#: Checks of a panel ``pn`` of at most 6 options a class against the pool ``pl``.
+_VIOLATIONS = " SELECT 'budget' AS \"check\", class AS key FROM pn GROUP BY 2 HAVING count(*) > 6 UNION ALL SELECT 'repeated_option', concat_ws('|', class, feature, promoter) FROM pl GROUP BY class, feature, promoter HAVING count(*) > 1 UNION ALL SELECT 'outside_pool', concat_ws('|', class, feature, promoter) FROM pn WHERE NOT EXISTS (SELECT 1 FROM pl WHERE pl.class = pn.class AND pl.feature = pn.feature AND pl.promoter = pn.promoter) UNION ALL SELECT DISTINCT 'stale_metrics', concat_ws('|', pn.class, pn.feature, pn.promoter) FROM pn JOIN pl USING (class, feature, promoter) WHERE abs(pn.effect - pl.effect) > 1e-9 * greatest(abs(pn.effect), abs(pl.effect)) OR abs(pn.screen_fraction - pl.screen_fraction) > 1e-9 OR abs(pn.max_other - pl.max_other) > 1e-9 * greatest(abs(pn.max_other), abs(pl.max_other)) OR (pn.effect IS NULL) <> (pl.effect IS NULL) OR (pn.max_other IS NULL) <> (pl.max_other IS NULL)"
+_CHOSEN = ", pk AS (SELECT step, class, feature, promoter, effect, screen_fraction, max_other FROM pick WHERE feature IS NOT NULL)"
+
+
+@query("k7_panel_violations", b.with_tables("tu_promoters", _OPT + _BALANCED + _CHOSEN + ", pl AS (SELECT * FROM opt WHERE matches), pn AS (SELECT * FROM pk)" + _VIOLATIONS, recursive=True))
 def k7_violations(spark, d):
-    """A panel made from its own pool within its budget violates nothing."""
+    """A panel made from its own pool within its budget violates nothing, as every option is there once."""
     o = _options(spark, d)
     return panel.violations(panel.balanced(o, 6), o, 6)
 
 
+@query("k7_planted_violations", b.with_tables("tu_promoters", _OPT + _BALANCED + _CHOSEN + ", pl AS (SELECT class, feature, promoter, effect, screen_fraction, max_other FROM opt WHERE matches UNION ALL SELECT class, feature, promoter, effect, screen_fraction, max_other FROM opt WHERE matches AND feature = (SELECT min(feature) FROM opt WHERE matches)), pn AS (SELECT class, feature, promoter, CASE WHEN class = 'one' THEN effect + 1 ELSE effect END AS effect, screen_fraction, max_other FROM pk UNION ALL SELECT class, -feature, promoter, effect, screen_fraction, max_other FROM pk WHERE class = 'two')" + _VIOLATIONS, recursive=True))
+def k7_planted(spark, d):
+    """The same checks of a panel with changed effects in one class, picks from outside the pool in the other, and a pool that repeats the options of its first feature."""
+    o = _options(spark, d)
+    p = panel.balanced(o, 6)
+    first = o.where("matches").agg(F.min("feature").alias("feature"))
+    changed = p.withColumn("effect", F.when(F.col("class") == "one", F.col("effect") + 1).otherwise(F.col("effect")))
+    outside = p.where("class = 'two'").withColumn("feature", -F.col("feature"))
+    return panel.violations(changed.unionByName(outside), o.unionByName(o.join(first, "feature", "left_semi").select(o.columns)), 6)
+
+
 @query("k8_panel_listing", b.with_tables("tu_promoters", _OPT + _BALANCED + " SELECT CAST(row_number() OVER (ORDER BY step) AS INTEGER) AS place, class, feature, promoter FROM pick WHERE feature IS NOT NULL", recursive=True))
 def k8_listing(spark, d):
     return panel.listing(panel.balanced(_options(spark, d), 6)).select("place", "class", "feature", "promoter")
@@ -241,7 +272,7 @@ def k8_quality(spark, d):
     return panel.quality_listing(response.sample_quality(b.counts(spark, d)))
 
 
-@query("k8_first_choice", b.with_tables("tu_promoters", _OPT + " SELECT class, min_by(feature, (-effect, feature)) AS feature FROM opt GROUP BY 1"))
+@query("k8_first_choice", b.with_tables("tu_promoters", _OPT + " SELECT class, min_by(feature, (-effect, feature)) AS feature FROM opt GROUP BY 1", recursive=True))
 def k8(spark, d):
     """The largest effect of each class."""
     return _options(spark, d).groupBy("class").agg(F.min_by("feature", F.struct(-F.col("effect"), F.col("feature"))).alias("feature"))
@@ -256,7 +287,7 @@ def j15(spark, d):
     return store.panel_review(panel.balanced(_options(spark, d), 6), newest).select("feature", "promoter", "status")
 
 
-@query("a22_panel_metrics", b.with_tables("tu_promoters", _OPT + " SELECT class, count(*) AS n, count(DISTINCT promoter) AS promoters, count(DISTINCT grp) AS groups, round(median(effect), 6) AS median_effect, count(*) FILTER (WHERE max_other IS NULL) AS missing FROM opt GROUP BY 1"))
+@query("a22_panel_metrics", b.with_tables("tu_promoters", _OPT + " SELECT class, count(*) AS n, count(DISTINCT promoter) AS promoters, count(DISTINCT grp) AS groups, round(median(effect), 6) AS median_effect, count(*) FILTER (WHERE max_other IS NULL) AS missing FROM opt GROUP BY 1", recursive=True))
 def a22(spark, d):
     o = _options(spark, d)
     return rounded(o.groupBy("class").agg(F.count("*").alias("n"), F.count_distinct("promoter").alias("promoters"), F.count_distinct("grp").alias("groups"), F.median("effect").alias("median_effect"), F.count_if(F.col("max_other").isNull()).alias("missing")))
@@ -306,17 +337,39 @@ def a26_enriched(spark, d):
     return rounded(top.withColumn("q", F.round("q", 5)).drop("in_component", "in_set"))
 
 
+_SETS = "SELECT DISTINCT label AS set, feature FROM weights UNION SELECT DISTINCT 100 + feature % 7, feature FROM weights UNION SELECT DISTINCT 200 + feature % 11, feature FROM weights UNION SELECT DISTINCT 300 + feature // 60, feature FROM weights"
+
+
+@query("a26_combined_sets", b.with_tables("weights", f", m AS (SELECT DISTINCT component, feature FROM weights WHERE abs(weight) > 0.2), s AS ({_SETS}), u AS (SELECT count(DISTINCT feature) AS features FROM weights), nc AS (SELECT component, count(*) AS n_c FROM m GROUP BY 1), h AS (SELECT component, set, count(*) AS hit FROM m JOIN s USING (feature) GROUP BY 1, 2), r AS (SELECT component, count(*) * count(*) AS tests FROM h GROUP BY 1), pr AS (SELECT x.component, x.set AS a, y.set AS b FROM h x JOIN h y ON x.component = y.component AND x.set < y.set), o AS (SELECT component, set AS a, NULL::BIGINT AS b, 'one' AS op, feature FROM h JOIN s USING (set) UNION ALL SELECT component, a, b, 'or', feature FROM pr JOIN s ON s.set = a UNION SELECT component, a, b, 'or', feature FROM pr JOIN s ON s.set = b UNION ALL SELECT component, a, b, 'and', x.feature FROM pr JOIN s x ON x.set = a JOIN s y ON y.set = b AND y.feature = x.feature), c AS (SELECT o.component, a, b, op, count(*) AS in_set, count(m.feature) AS shared FROM o LEFT JOIN m ON m.component = o.component AND m.feature = o.feature GROUP BY 1, 2, 3, 4), t AS (SELECT c.*, n_c, tests, features FROM c JOIN nc USING (component) JOIN r USING (component), u WHERE shared > 0), f AS (SELECT component, a, b, op, shared, n_c, in_set, tests, round(least(1.0, sum(exp(lgamma(n_c + 1) + lgamma(features - n_c + 1) + lgamma(in_set + 1) + lgamma(features - in_set + 1) - lgamma(features + 1) - lgamma(j + 1) - lgamma(n_c - j + 1) - lgamma(in_set - j + 1) - lgamma(features - n_c - in_set + j + 1)))), 9) AS p FROM (SELECT *, unnest(range(shared, least(n_c, in_set) + 1)) AS j FROM t) WHERE features - n_c - in_set + j >= 0 GROUP BY ALL), q AS (SELECT *, least(1.0, min(raw) OVER (PARTITION BY component ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM (SELECT *, p * tests / count(*) OVER (PARTITION BY component ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS raw FROM f)) SELECT component, a, b, op, shared, n_c AS in_component, in_set, round(shared / n_c, 6) AS precision, round(shared / in_set, 6) AS recall, round(2 * shared / (n_c + in_set), 6) AS f1, round(p, 6) AS p, round(q, 6) AS q FROM q WHERE q <= 0.45"))
+def a26_combined(spark, d):
+    """Sets by label, two remainders and the neighbourhood of ids, alone and two at a time, cut at q 0.45 as the vectors are random."""
+    w = staged(b.weights(spark, d), "weights")
+    f = F.col("feature")
+    sets = w.select(F.explode(F.array(F.col("label").cast("long"), 100 + f % 7, 200 + f % 11, 300 + F.floor(f / 60))).alias("set"), "feature")
+    return rounded(modules.combined_sets(modules.membership(w, 0.2), sets, w.select("feature").distinct().count(), 0.45))
+
+
 @query("w7_percentile", b.with_tables("hits", "SELECT feature, dataset, CASE WHEN hit THEN round_even(cume_dist() OVER (PARTITION BY dataset, hit ORDER BY lfc) * 100, 2) END AS percentile FROM hits"))
 def w7(spark, d):
     o = b.observations(spark, d).withColumn("hit", c.hit(b.P_MAX, b.LFC_MIN))
     return modules.percentile(o, "lfc", "dataset", "hit").select("feature", "dataset", "percentile")
 
 
-@query("j24_attached_pairs", b.with_tables("obs", _PAIRS + ", al AS (SELECT lower(trim(p_name)) AS token, min(p_partkey) AS gene FROM part GROUP BY 1) SELECT gene, count(*) AS n, list_sort(list(DISTINCT numerator || '/' || denominator)) AS contrasts FROM pr JOIN part ON p_partkey = feature JOIN al ON token = lower(trim(p_name)) WHERE numerator < denominator GROUP BY 1"), lists=("contrasts",))
+@query("v6_panel_unique", b.with_tables("tu_promoters", _OPT + _BALANCED + _BASELINE + ", pn AS (SELECT 'balanced' AS run, promoter, grp FROM pick WHERE feature IS NOT NULL UNION ALL SELECT 'effect', promoter, grp FROM base WHERE feature IS NOT NULL) SELECT 'panel_promoter' AS \"check\", run || '|' || promoter AS key FROM pn GROUP BY run, promoter HAVING count(*) > 1 UNION ALL SELECT 'panel_grp', run || '|' || grp FROM pn GROUP BY run, grp HAVING count(*) > 1", recursive=True))
+def v6_panel(spark, d):
+    """A balanced panel names no promoter and no unit group twice; the baseline may."""
+    o = _options(spark, d)
+    named = lambda p, n: p.select(F.lit(n).alias("run"), "promoter", "grp")
+    return checks.unique_in_panel(named(panel.balanced(o, 6), "balanced").unionByName(named(panel.effect_only(o, 6), "effect")), ["run"])
+
+
+@query("j24_attached_pairs", b.with_tables("obs", _PAIRS + ", al AS (SELECT lower(trim(p_name)) AS token, min(p_partkey) AS gene FROM part GROUP BY 1) SELECT gene, count(*) AS n, list_sort(list(DISTINCT numerator || '/' || denominator)) AS contrasts, list_transform(list_sort(list({'n': numerator, 'd': denominator, 'f': feature, 'l': CAST(round(lfc * 1000) AS BIGINT)})), lambda x: concat_ws('/', x.n, x.d, x.f, x.l)) AS nested FROM pr JOIN part ON p_partkey = feature JOIN al ON token = lower(trim(p_name)) WHERE numerator < denominator GROUP BY 1"), lists=("contrasts", "nested"))
 def j24(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("feature"), F.lower(F.trim("p_name")).alias("token"))
     first = p.groupBy("token").agg(F.min("feature").alias("gene"))
-    return _pairs(spark, d).join(p, "feature").join(first, "token").groupBy("gene").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.concat_ws("/", "numerator", "denominator"))).alias("contrasts"))
+    named = _pairs(spark, d).join(p, "feature").join(first, "token").withColumn("thousandths", F.round(F.col("lfc") * 1000).cast("long"))
+    out = store.attached_pairs(named, "gene", ["numerator", "denominator", "feature", "thousandths"])
+    return out.withColumn("nested", F.transform("nested", lambda x: F.concat_ws("/", x["numerator"], x["denominator"], x["feature"], x["thousandths"])))
 
 
 @query("j27_pairings", "SELECT a.c_nationkey AS background, a.c_custkey AS condition, b.c_custkey AS control FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey WHERE a.c_mktsegment = 'BUILDING' AND b.c_mktsegment <> 'BUILDING'")

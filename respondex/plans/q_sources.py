@@ -48,11 +48,10 @@ def s3_annotations(spark, d):
 @query("s4_sectioned", "SELECT CAST(p_partkey AS VARCHAR) AS feature, sample, CAST(value AS DOUBLE) AS value FROM (SELECT p_partkey, unnest(['size', 'price']) AS sample, unnest([CAST(p_size AS DOUBLE), round(p_retailprice, 2)]) AS value FROM part)")
 def s4(spark, d):
     path = fresh(spark, "sections")
-    files = max(1, table(spark, d, "part").count() // 500)
-    p = table(spark, d, "part").select((F.col("p_partkey") % files).alias("f"), F.concat_ws("\t", F.concat(F.lit('"'), "p_partkey", F.lit('"')), "p_size", F.round("p_retailprice", 2).cast("string")).alias("line"))
-    text = F.concat_ws("\n", F.lit("!title"), F.lit("!begin"), F.lit('"ID"\t"size"\t"price"'), F.array_join(F.collect_list("line"), "\n"), F.lit("!end"))
-    whole = p.groupBy("f").agg(text.alias("value"))
-    whole.repartition(min(files, 200), "f").write.partitionBy("f").option("lineSep", "\n\n").text(path)
+    files = max(1, table(spark, d, "part").count() // 5000)
+    p = table(spark, d, "part").select((F.col("p_partkey") % files).alias("f"), F.col("p_partkey").alias("n"), F.concat_ws("\t", F.concat(F.lit('"'), "p_partkey", F.lit('"')), "p_size", F.round("p_retailprice", 2).cast("string")).alias("value"))
+    frame = spark.range(files).select(F.col("id").alias("f"), F.explode(F.array(*[F.struct(F.lit(n).cast("long").alias("n"), F.lit(x).alias("value")) for n, x in ((-3, "!title"), (-2, "!begin"), (-1, '"ID"\t"size"\t"price"'), (1 << 60, "!end"), ((1 << 60) + 1, "rest"))])).alias("x")).select("f", "x.*")
+    p.unionByName(frame).repartition("f").sortWithinPartitions("f", "n").select("f", "value").write.partitionBy("f").text(path)
     return readers.section_values(readers.sectioned(spark, path, "!begin", "!end")).select("feature", "sample", "value")
 
 
@@ -137,18 +136,23 @@ def s6_counts(spark, d):
     return readers.listed_counts(table(spark, d, "part"), "p_brand", {"a": ["p_size"], "b": ["p_partkey"]})
 
 
-@query("s13_standardised", b.with_tables("obs", "SELECT dataset, count(*) AS n, round(sum(lfc), 5) + 0.0 AS total FROM obs GROUP BY 1"))
+@query("s13_standardised", b.with_tables("obs", "SELECT dataset, 'results' AS part, count(*) AS n, round(sum(lfc), 5) + 0.0 AS total FROM obs GROUP BY 1 UNION ALL SELECT dataset, 'expression', count(*), round(sum(log2), 4) + 0.0 FROM norm JOIN contrasts ON condition IN (tr, co) GROUP BY 1 UNION ALL SELECT dataset, 'samples', 6, 6.0 FROM contrasts"))
 def s13(spark, d):
-    path = fresh(spark, "standardised")
-    sinks.standardised(b.observations(spark, d), path)
-    return rounded(spark.read.parquet(path).groupBy("dataset").agg(F.count("*").alias("n"), F.sum("lfc").alias("total")), 5)
+    """Results, normalised expression of each contrast's samples, and their metadata, written and read back."""
+    path, n = fresh(spark, "standardised"), b.norm(spark, d)
+    of = F.explode(F.filter(F.array(*[F.struct(F.lit(name).alias("dataset"), F.lit(t).alias("t"), F.lit(c).alias("c")) for name, t, c, *_ in b.CONTRASTS]), lambda x: (x["t"] == F.col("condition")) | (x["c"] == F.col("condition")))).alias("x")
+    expression = n.select("feature", "sample", "condition", "replicate", F.col("log2").alias("value"), of).withColumn("dataset", F.col("x.dataset"))
+    samples = expression.select("dataset", "sample", "condition", "replicate").distinct()
+    sinks.standardised(b.observations(spark, d), path, expression.select("dataset", "feature", "sample", "value"), samples)
+    part = lambda name, total: spark.read.parquet(f"{path}/{name}").groupBy("dataset").agg(F.lit(name).alias("part"), F.count("*").alias("n"), total.alias("total"))
+    return rounded(part("results", F.round(F.sum("lfc"), 5)).unionByName(part("expression", F.round(F.sum("value"), 4))).unionByName(part("samples", F.count_distinct("sample").cast("double"))), 5)
 
 
 @query("s14_display", "SELECT l_partkey AS feature, round_even(sum(l_discount), 1) AS shown, CASE WHEN l_partkey % 2 = 0 THEN 'up' ELSE 'down' END AS regulation FROM lineitem GROUP BY 1")
 def s14(spark, d):
     path = fresh(spark, "display")
     x = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("feature")).agg(F.sum("l_discount").alias("shown")).withColumn("regulation", F.when(F.col("feature") % 2 == 0, "up").otherwise("down"))
-    sinks.display(x, 1).write.partitionBy("regulation").parquet(path)
+    sinks.by_regulation(x, path, 1)
     return spark.read.parquet(path)
 
 

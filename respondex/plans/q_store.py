@@ -8,6 +8,7 @@ from respondex.operators import candidates as c
 from respondex.operators import checks, identity, reviews, store
 from respondex.plans import bindings as b
 from respondex.plans.q_candidates import evidence as _evidence
+from respondex.plans.q_sources import fresh
 from respondex.plans.registry import query, rounded, table
 from respondex.plans.staging import staged
 
@@ -136,14 +137,17 @@ def j21_paths(spark, d):
     return store.reference_paths(b.interactions(spark, d), t, b.tu_promoters(t)).where("kind = 'promoter'").select("interaction", "regulator", "promoter", "tu", "gene")
 
 
-@query("j22_candidate_detail", b.with_tables("interactions", f", {_REV}, al AS ({_AL}) SELECT feature, coalesce(rg.r, []) AS regulators, coalesce(t.u, []) AS units, coalesce(pr.p, []) AS promoters, coalesce(e.v, []) AS evidence, coalesce(i.a, []) AS identifiers, coalesce(rp.s, []) AS replicates, coalesce(x.v, []) AS assessments FROM seeds LEFT JOIN (SELECT dst AS feature, list_transform(list_sort(list({{'src': src, 'effect': effect}})), lambda x: x.src || ':' || x.effect) AS r FROM edges GROUP BY 1) rg USING (feature) LEFT JOIN (SELECT gene AS feature, list_sort(list(tu)) AS u FROM tu_genes GROUP BY 1) t USING (feature) LEFT JOIN (SELECT gene AS feature, list_sort(list(DISTINCT promoter)) AS p FROM tu_genes JOIN tu_promoters USING (tu) GROUP BY 1) pr USING (feature) LEFT JOIN (SELECT feature, list_sort(list(dataset || ':' || role)) AS v FROM obs GROUP BY 1) e USING (feature) LEFT JOIN (SELECT CAST(id AS BIGINT) AS feature, list_sort(list(DISTINCT alias)) AS a FROM al GROUP BY 1) i USING (feature) LEFT JOIN (SELECT feature, list_sort(list(sample)) AS s FROM counts WHERE value > 0 GROUP BY 1) rp USING (feature) LEFT JOIN (SELECT feature, list_sort(list(DISTINCT status)) AS v FROM rv GROUP BY 1) x USING (feature)"), lists=("regulators", "units", "promoters", "evidence", "identifiers", "replicates", "assessments"))
+@query("j22_candidate_detail", b.with_tables("interactions", f", {_REV}, al AS ({_AL}) SELECT feature, coalesce(rg.r, []) AS regulators, coalesce(t.u, []) AS units, coalesce(pr.p, []) AS promoters, coalesce(e.v, []) AS evidence, coalesce(i.a, []) AS identifiers, coalesce(rp.s, []) AS replicates, coalesce(x.v, []) AS assessments, coalesce(pa.v, []) AS paths, coalesce(ec.v, []) AS context FROM seeds LEFT JOIN (SELECT dst AS feature, list_transform(list_sort(list({{'src': src, 'effect': effect}})), lambda x: x.src || ':' || x.effect) AS r FROM edges GROUP BY 1) rg USING (feature) LEFT JOIN (SELECT gene AS feature, list_sort(list(tu)) AS u FROM tu_genes GROUP BY 1) t USING (feature) LEFT JOIN (SELECT gene AS feature, list_sort(list(DISTINCT promoter)) AS p FROM tu_genes JOIN tu_promoters USING (tu) GROUP BY 1) pr USING (feature) LEFT JOIN (SELECT feature, list_sort(list(dataset || ':' || role)) AS v FROM obs GROUP BY 1) e USING (feature) LEFT JOIN (SELECT CAST(id AS BIGINT) AS feature, list_sort(list(DISTINCT alias)) AS a FROM al GROUP BY 1) i USING (feature) LEFT JOIN (SELECT feature, list_sort(list(sample)) AS s FROM counts WHERE value > 0 GROUP BY 1) rp USING (feature) LEFT JOIN (SELECT feature, list_sort(list(DISTINCT status)) AS v FROM rv GROUP BY 1) x USING (feature) LEFT JOIN (SELECT feature, list_sort(list(DISTINCT kind || ':' || interaction)) AS v FROM (SELECT gene AS feature, kind, interaction FROM interactions WHERE kind = 'gene' UNION ALL SELECT t.gene, i.kind, interaction FROM tu_genes t JOIN interactions i ON i.kind = 'tu' AND i.tu = t.tu UNION ALL SELECT t.gene, i.kind, interaction FROM tu_genes t JOIN tu_promoters p USING (tu) JOIN interactions i ON i.kind = 'promoter' AND i.promoter = p.promoter) GROUP BY 1) pa USING (feature) LEFT JOIN (SELECT feature, list_sort(list(DISTINCT sample || ':' || concat(dose, unit))) AS v FROM counts JOIN (SELECT unnest(['A', 'N', 'R']) AS condition, unnest(['2', '0', '5']) AS dose, unnest(['mg/l', 'mg/l', 'nM']) AS unit) USING (condition) WHERE value > 0 GROUP BY 1) ec USING (feature)"), lists=("regulators", "units", "promoters", "evidence", "identifiers", "replicates", "assessments", "paths", "context"))
 def j22(spark, d):
     t, o = b.tu_genes(spark, d), b.observations(spark, d)
+    conditions = spark.createDataFrame([("A", "broth", "2", "mg/l", 1, "treated"), ("N", "broth", "0", "mg/l", 1, "control"), ("R", "broth", "5", "nM", 1, "treated")], "condition string, medium string, dose string, unit string, hours int, role string")
     children = {
         "regulators": b.edges(spark, d).select(F.col("dst").alias("feature"), "src", "effect"), "units": t.select(F.col("gene").alias("feature"), "tu"),
         "promoters": t.join(b.tu_promoters(t), "tu").select(F.col("gene").alias("feature"), "promoter").distinct(), "evidence": o.select("feature", "dataset", "role"),
         "identifiers": _ids(spark, d)[1].select(F.col("id").cast("long").alias("feature"), "alias").distinct(), "replicates": b.counts(spark, d).where("value > 0").select("feature", "sample"),
         "assessments": _reviews(spark, d).select("feature", "status").distinct(),
+        "paths": store.candidate_paths(b.seeds(spark, d), b.interactions(spark, d), t, b.tu_promoters(t)).select("feature", "kind", "interaction").distinct(),
+        "context": store.exposures(b.counts(spark, d).where("value > 0").select("feature", "sample", "condition"), conditions).select("feature", "sample", F.concat("dose", "unit").alias("exposure")).distinct(),
     }
     out = store.details("feature", b.seeds(spark, d), children)
     shown = lambda fields: lambda x: F.concat_ws(":", *[x[f] for f in fields])
@@ -272,6 +276,26 @@ def v10_releases(spark, d):
     return checks.releases(s, "14.9")
 
 
+@query("v10_file_hashes", "SELECT count(*) AS files, sum(CASE WHEN p_partkey % 50 = 1 THEN 1 ELSE 0 END)::BIGINT AS changed FROM part WHERE p_partkey % 10 = 1")
+def v10_files(spark, d):
+    """Files of a folder hashed where they lie, against a lock with some changed."""
+    path = fresh(spark, "locked")
+    k = F.col("p_partkey")
+    table(spark, d, "part").where(k % 10 == 1).select(k.alias("part"), F.concat_ws(" ", "p_name", "p_brand").alias("value")).repartition(8, "part").write.partitionBy("part").text(path)
+    files = checks.file_hashes(spark, path)
+    name = F.regexp_extract("path", r"part=(\d+)", 1)
+    files = files.select(name.alias("name"), "sha256", "size")
+    want = table(spark, d, "part").where(k % 10 == 1).select(k.cast("string").alias("name"), F.sha2(F.concat(F.concat_ws(" ", "p_name", "p_brand"), F.when(k % 50 == 1, "!").otherwise(""), F.lit("\n")), 256).alias("sha256"), (F.length(F.concat_ws(" ", "p_name", "p_brand")) + 1).cast("long").alias("size"))
+    bad = checks.lock_mismatches(files, want)
+    return files.agg(F.count("*").alias("files")).crossJoin(bad.agg(F.count("*").alias("changed")))  # one row each
+
+
+@query("v11_content_digest", "SELECT count(*) AS rows, CAST(sum(('0x' || md5(concat_ws('|', '=' || o_orderkey, '=' || o_custkey, coalesce('=' || CASE WHEN o_orderkey % 7 > 0 THEN o_orderstatus END, 'null')))[1:15])::HUGEINT) AS VARCHAR) AS digest FROM orders")
+def v11_digest(spark, d):
+    o = table(spark, d, "orders").withColumn("state", F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderstatus")))
+    return checks.content_digest(o, ["o_orderkey", "o_custkey", "state"])
+
+
 @query("v11_fingerprint", "SELECT sha256(array_to_string(list_sort(list(n_name || ':' || sha256(h))), ',')) AS run_id FROM (SELECT n_name, CAST(count(*) AS VARCHAR) AS h FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1)")
 def v11(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")

@@ -45,9 +45,9 @@ def places(df: DataFrame, by: list[str], order: list[Column], out: str) -> DataF
     return d.withColumn(out, (F.col("__place") + F.col("__before")).cast("long")).drop("__place", "__before", _PART, _ALL)
 
 
-def cumulated(df: DataFrame, by: list[str], value: str, n: int | None = None) -> DataFrame:
-    """Distinct values of each group: ``(by..., value, __k rows, __upto rows up to it, __total rows, __part)``; missing values don't count."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__k"))
+def cumulated(df: DataFrame, by: list[str], value: str, n: int | None = None, weight: str | None = None) -> DataFrame:
+    """Distinct values of each group: ``(by..., value, __k rows, __upto rows up to it, __total rows, __part)``; missing values don't count. weight: how many rows a row stands for."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg((F.sum(weight) if weight else F.count("*")).alias("__k"))
     parts = staged(parted(counts, by, [F.col(value)], n), "distinct-values")
     sizes = parts.groupBy(*by, _PART).agg(F.sum("__k").alias("__n"))
     w = Window.partitionBy(*by)

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from respondex.functions.scalar import SIGMA_GENES, lookup, token
+from respondex.plans.ranges import with_side
 from respondex.plans.skew import broadcast_if_small
+from respondex.plans.staging import staged
 
 
 def member_tables(spark: SparkSession, path: str, pattern: str, id_column: str, value_column: str | None = None, sep: str = "\t") -> DataFrame:
@@ -59,17 +61,42 @@ def first_annotations(df: DataFrame, id_column: str, columns: list[str], order:
     return df.where(F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("feature")).agg(*[F.min_by(c, F.struct(*order)).alias(c) for c in columns])
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, block, at, line)``: lines of text files of any size, read by their splits.
+
+    block is where a split begins in its file, at grows with the lines of a split, so (block, at)
+    orders the lines of a file, though no task sees more of it than splits.
+    """
+    meta = F.col("_metadata")
+    return spark.read.text(path).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+
+
+def running(d: DataFrame, groups: list[str], amount: Column, out: str) -> DataFrame:
+    """The sum of an amount over the rows before each, in the order of (block, at), of rows with ``groups``, block and at.
+
+    A split is summed by itself, and the sums of splits, one row each, give what stands before it.
+    """
+    d = d.withColumn("__x", amount)
+    inside = F.sum("__x").over(Window.partitionBy(*groups, "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    splits = d.groupBy(*groups, "block").agg(F.sum("__x").alias("__n"))
+    offset = F.sum("__n").over(Window.partitionBy(*groups).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = splits.select(*groups, "block", F.coalesce(offset, F.lit(0)).alias("__before"))
+    return with_side(d.withColumn("__inside", F.coalesce(inside, F.lit(0))), offsets, [*groups, "block"]).withColumn(out, F.col("__inside") + F.col("__before")).drop("__x", "__inside", "__before")
+
+
 def sectioned(spark: SparkSession, path: str, begin: str, end: str, sep: str = "\t") -> DataFrame:
     """``(file, row, cells)`` of the lines between two markers of each file, unquoted; row 0 is the header.
 
-    A file is one row of its lines, so a section may be as large as a task can hold.
+    A first pass finds the markers (of several the last), one row a file; a second keeps the lines between
+    them.  Files are read by splits and rows numbered by sums of splits, so a section may be as large as it likes.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
-    w = Window.partitionBy("file")
-    d = lines.withColumn("a", F.max(F.when(F.col("line") == begin, F.col("n"))).over(w)).withColumn("z", F.max(F.when(F.col("line") == end, F.col("n"))).over(w))
-    d = d.where("n > a AND n < z AND trim(line) <> ''")
+    lines = numbered_lines(spark, path)
+    place = F.struct("block", "at")
+    marks = lines.where(F.col("line").isin(begin, end)).groupBy("file").agg(F.max(F.when(F.col("line") == begin, place)).alias("a"), F.max(F.when(F.col("line") == end, place)).alias("z"))
+    d = lines.join(broadcast_if_small(marks), "file").where((place > F.col("a")) & (place < F.col("z"))).select("file", "block", "at", "line")
+    d = running(d, ["file"], F.lit(1), "row").where("trim(line) <> ''")
     cells = F.transform(F.split("line", sep), lambda x: F.regexp_replace(x, '^"|"$', ""))
-    return d.select("file", (F.col("n") - F.col("a") - 1).cast("int").alias("row"), cells.alias("cells"))
+    return d.select("file", F.col("row").cast("int").alias("row"), cells.alias("cells"))
 
 
 def section_values(rows: DataFrame) -> DataFrame:
@@ -109,10 +136,25 @@ def sigma_gene(c: Column) -> Column:
 
 
 def fasta(spark: SparkSession, path: str, chunk: int = 1 << 20) -> DataFrame:
-    """``(contig, chunk_no, start, seq)``: sequences without headers, cut into chunks of ``chunk`` bases; a record, not a file, is a row."""
-    parts = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("x")).where(F.trim("x") != "")
-    d = parts.select(F.regexp_extract("x", r"^(\S+)", 1).alias("contig"), F.regexp_replace(F.regexp_replace("x", r"^[^\n]*\n?", ""), r"\s+", "").alias("s"))
-    return d.select("contig", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("s") - 1) / chunk).cast("int")))).alias("chunk_no"), "s").select("contig", "chunk_no", (F.col("chunk_no") * chunk + 1).alias("start"), F.substring("s", F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("seq"))
+    """``(contig, chunk_no, start, seq)``: sequences without headers, cut into chunks of ``chunk`` bases.
+
+    Lines are read by the splits of a file; how many bases of its contig stand before a line comes
+    from sums of splits, so a contig may be larger than a task.  A line lies in the chunks that it
+    touches, and each chunk is put together from its lines.  A contig without bases has one empty chunk.
+    """
+    d = numbered_lines(spark, path).withColumn("head", F.regexp_extract("line", r"^>\s*(\S+)", 1)).where("trim(line) <> ''")
+    d = running(d, ["file"], F.when(F.col("line").startswith(">"), 1).otherwise(0), "upto")  # headers before the line
+    d = staged(d.withColumn("nth", F.col("upto") + F.when(F.col("line").startswith(">"), 1).otherwise(0)), "fasta-lines")
+    names = d.where(F.col("line").startswith(">")).select("file", "nth", F.col("head").alias("contig"))
+    body = d.where(~F.col("line").startswith(">")).select("file", "nth", "block", "at", F.regexp_replace("line", r"\s+", "").alias("s"))
+    body = running(body, ["file", "nth"], F.length("s"), "base")
+    first, last = F.floor(F.col("base") / chunk), F.floor((F.col("base") + F.length("s") - 1) / chunk)
+    pieces = body.where("s <> ''").withColumn("chunk_no", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    low = F.greatest(F.lit(0), F.col("chunk_no") * chunk - F.col("base"))
+    piece = F.substring("s", (low + 1).cast("int"), F.least(F.lit(chunk), (F.col("chunk_no") + 1) * chunk - F.col("base") - low).cast("int"))
+    chunks = pieces.select("file", "nth", "chunk_no", F.col("base").alias("o"), piece.alias("x")).groupBy("file", "nth", "chunk_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "x"))), lambda p: p["x"]), "").alias("seq"))
+    named = names.join(chunks, ["file", "nth"], "left").select("contig", F.coalesce("chunk_no", F.lit(0)).alias("chunk_no"), F.coalesce("seq", F.lit("")).alias("seq"))
+    return named.select("contig", "chunk_no", (F.col("chunk_no").cast("long") * chunk + 1).alias("start"), "seq")
 
 
 def component_weights(wide: DataFrame, id_column: str) -> DataFrame:

@@ -6,10 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def standardised(results: DataFrame, path: str, by: str = "dataset", parts: int = 16) -> None:
-    """One Parquet partition for each contrast; its rows are gathered by ``parts`` tasks, as many as its files."""
-    rows = results.withColumn("__salt", F.pmod(F.xxhash64(*results.columns), F.lit(parts)))
-    rows.repartition(F.col(by), F.col("__salt")).drop("__salt").write.partitionBy(by).parquet(path)
+def dealt(rows: DataFrame, path: str, by: str, parts: int) -> None:
+    """One Parquet partition for each value of ``by``; its rows are gathered by ``parts`` tasks, as many as its files."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)))
+    salted.repartition(F.col(by), F.col("__salt")).drop("__salt").write.partitionBy(by).parquet(path)
+
+
+def standardised(results: DataFrame, path: str, expression: DataFrame | None = None, samples: DataFrame | None = None, by: str = "dataset", parts: int = 16) -> None:
+    """A data set's standard folder: ``results``, and where given ``expression`` and ``samples`` beside them, each by contrast.
+
+    expression: (dataset, feature, sample, value).  samples: (dataset, sample, condition, replicate, ...), the
+    metadata of the samples of the expression; a sample of the expression without one, or in another order, is
+    an error of the caller, see ``unnamed_samples``.
+    """
+    dealt(results, f"{path}/results", by, parts)
+    if expression is not None:
+        dealt(expression, f"{path}/expression", by, parts)
+    if samples is not None:
+        dealt(samples, f"{path}/samples", by, 1)
+
+
+def unnamed_samples(expression: DataFrame, samples: DataFrame) -> DataFrame:
+    """``(dataset, sample)`` of the expression that have no metadata."""
+    return expression.select("dataset", "sample").distinct().join(samples.select("dataset", "sample").distinct(), ["dataset", "sample"], "left_anti")
 
 
 def display(df: DataFrame, places: int = 2) -> DataFrame:
@@ -17,9 +36,9 @@ def display(df: DataFrame, places: int = 2) -> DataFrame:
     return df.select(*[F.bround(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def by_regulation(results: DataFrame, path: str) -> None:
+def by_regulation(results: DataFrame, path: str, places: int = 2) -> None:
     """Display copy split by regulation."""
-    display(results).write.partitionBy("regulation").parquet(path)
+    display(results, places).write.partitionBy("regulation").parquet(path)
 
 
 def fasta_lines(name: Column, sequence: Column) -> Column:

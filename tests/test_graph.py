@@ -38,6 +38,8 @@ def test_overlaps_equal_brute_force_without_nested_loop(spark):
     r = random.Random(9)
     rows = [(i, i % 3, s, s + r.randrange(0, 50)) for i in range(60) for s in [r.randrange(300)]]
     df = spark.createDataFrame([*rows, (99, 1, 20, 10), (98, 1, None, 5)], "id long, k long, s long, e long")
+    rows += [(i, 1, s, s + n) for i, s, n in ((60, 0, 5000), (61, -700, 1), (62, 4096, 4096), (63, 64, 63), (64, -3, 200))]
+    df = spark.createDataFrame([*rows, (99, 1, 20, 10), (98, 1, None, 5)], "id long, k long, s long, e long")
     got = interval.overlaps(df, df, ["k"], 16)
     assert "BroadcastNestedLoopJoin" not in got._jdf.queryExecution().toString()
     pairs = [(x["id"], x["id_b"]) for x in got.collect()]
@@ -45,6 +47,39 @@ def test_overlaps_equal_brute_force_without_nested_loop(spark):
     assert sorted(pairs) == sorted(want)
 
 
+def test_a_long_interval_is_few_rows(spark):
+    long = spark.createDataFrame([(1, 0, 1 << 40)], "id long, s long, e long")
+    short = spark.createDataFrame([(2, 5, 9), (3, (1 << 40) + 1, (1 << 40) + 2)], "id long, s long, e long")
+    found = interval.overlaps(long, short, [], 1000)
+    assert [(r["id"], r["id_b"]) for r in found.collect()] == [(1, 2)]
+    leveled = long.withColumn("__l", interval.level_of(1000))
+    assert leveled.first()["__l"] == 31 and interval.in_bins(leveled, 1000).count() <= 2
+    assert interval.in_bins(short.withColumn("__l", interval.level_of(1000)), 1000, [0, 31]).count() <= 8
+
+
+def test_components_of_large_hubs(spark, monkeypatch):
+    from respondex.operators import components
+
+    monkeypatch.setattr(components, "HUB", 3)
+    monkeypatch.setattr(components, "HELD", 16)
+    r = random.Random(12)
+    for kind in range(3):
+        edges = [(r.randrange(400), r.randrange(400)) for _ in range(330)] if kind == 0 else [(i, i + 1) for i in range(300)] if kind == 1 else [(r.choice([0, 500]), i) for i in range(1, 400)]
+        df = spark.createDataFrame(edges, "src long, dst long").repartition(7)
+        assert {x["node"]: x["component"] for x in connected_components(df).collect()} == union_find(edges)
+    names = [(f"n{a}", f"n{b}") for a, b in edges]
+    assert {x["node"]: x["component"] for x in connected_components(spark.createDataFrame(names, "src string, dst string")).collect()} == union_find(names)
+
+
+def test_a_task_hands_on_a_forest(spark):
+    from respondex.operators import components
+
+    r = random.Random(1)
+    edges = [(a, b) for a, b in ((r.randrange(50), r.randrange(50)) for _ in range(5000)) if a != b]
+    out = components.in_forests(spark.createDataFrame(edges, "u long, v long").repartition(4)).collect()
+    assert len(out) <= 4 * 49 and union_find([(x["u"], x["v"]) for x in out]) == union_find(edges)
+
+
 def test_unit_groups(spark):
     lists = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "c"), (3, "d"), (4, "a"), (4, "b")], "unit long, member string")
     groups = graph.unit_groups(lists)
@@ -109,6 +144,9 @@ def test_whole_queries_take_all_ids(spark):
     typed = {(min(r["src"], r["dst"]), max(r["src"], r["dst"])) for r in bindings.edges(spark, d).collect()}
     shared = {(a, b): len(of[a] & of[b]) for a in of for b in of if a < b and of[a] & of[b] and (a, b) not in typed}
     assert {(r["a"], r["b"]): r["shared"] for r in q("g5_co_members").collect()} == shared
+    m = bindings.weights(spark, d).where(F.abs("weight") > 0.25)
+    blocked = graph.co_members(m, m.select("feature"), bindings.edges(spark, d), block=3).collect()
+    assert {(r["a"], r["b"]): (r["shared"], r["components"]) for r in blocked} == {k: (n, sorted(of[k[0]] & of[k[1]])) for k, n in shared.items()} and len(blocked) == len(shared)
     near = {c for f in of if f in seeds for c in of[f]}
     assert {r["feature"]: r["components"] for r in q("g6_neighbours").collect()} == {f: len(of[f] & near) for f in of if f not in seeds and of[f] & near}
 
@@ -122,8 +160,22 @@ def test_fragment_window(spark):
 
 def test_reference_match(spark):
     rows = [("ACGTTGCAAC", "ttG", 6, "+"), ("ACGTTGCAAC", "gcA", 5, "-"), ("ACGTTGCAAC", "ttC", 6, "+"), ("ACGTTGCAAC", "ttG", None, "+")]
-    df = spark.createDataFrame(rows, "genome string, seq string, tss long, strand string")
-    assert [r["matches"] for r in interval.reference_match(df).collect()] == [True, True, False, None]
+    df = spark.createDataFrame([(i, f"g{i}", *r[1:]) for i, r in enumerate(rows)], "id int, contig string, seq string, tss long, strand string")
+    genomes = spark.createDataFrame([(f"g{i}", r[0]) for i, r in enumerate(rows)], "contig string, s string")
+    for width in (3, 4, 100):
+        got = {r["id"]: r["matches"] for r in interval.reference_match(df, interval.chunked(genomes, "contig", "s", width), width).collect()}
+        assert got == {0: True, 1: True, 2: False, 3: None}
+
+
+def test_slices_across_chunks(spark):
+    r = random.Random(6)
+    genomes = {c: "".join(r.choice("ACGT") for _ in range(n)) for c, n in (("x", 97), ("y", 10), ("z", 0))}
+    chunks = interval.chunked(spark.createDataFrame(list(genomes.items()), "contig string, s string"), "contig", "s", 10)
+    assert chunks.where(F.length("seq") > 10).count() == 0 and chunks.count() == 11
+    asked = [(i, r.choice("xyzw"), a, a + r.randrange(-2, 60)) for i in range(80) for a in [r.randrange(-9, 110)]]
+    got = {x["id"]: x["piece"] for x in interval.slices(spark.createDataFrame(asked, "id int, contig string, start long, end long"), chunks, 10).collect()}
+    want = {i: genomes[c][max(a, 1) - 1 : max(b, 0)] for i, c, a, b in asked if c in genomes}
+    assert got == {i: s for i, s in want.items() if s}
 
 
 def test_reversed_pair(spark):
@@ -135,12 +187,25 @@ def test_reversed_pair(spark):
 
 def test_enrichment_golden(spark):
     u = spark.createDataFrame([("beta", i, i < 3, False) for i in range(20)], "dataset string, feature int, up boolean, down boolean")
+    # both signs stay in the background and respond in neither direction
+    v = spark.createDataFrame([("beta", i, i < 3, i == 2) for i in range(20)], "dataset string, feature int, up boolean, down boolean")
+    mixed = candidates.enrichment(spark.createDataFrame([("tf", 1, "activates"), ("tf", 2, "activates")], "src string, dst int, effect string"), v).where("direction = 'up'").first()
+    assert (mixed["background"], mixed["targets"], mixed["responsive"], mixed["a"]) == (20, 2, 2, 1)
     e = spark.createDataFrame([("tf", i, "activates") for i in range(3)], "src string, dst int, effect string")
     got = {r["direction"]: r for r in candidates.enrichment_tests(candidates.enrichment(e, u, overlap=True)).collect()}
     assert got["up"]["p"] == pytest.approx(1 / 1140) and got["up"]["padj"] == pytest.approx(2 / 1140) and got["up"]["background"] == 20
     assert got["up"]["odds"] == float("inf") and got["up"]["overlap"] == [0, 1, 2] and got["down"]["odds"] is None
 
 
+def test_background_needs_eligible_rows_of_verified_identity(spark):
+    rows = [(f"g{i}", d, 3.0 if i < 3 else -3.0 if i == 3 else 0.0, 0.001, i != 19, "source_name" if i == 18 else "mapped") for d in ("beta", "amino") for i in range(20)]
+    obs = spark.createDataFrame([*rows, ("g0", "beta", 2.5, 0.01, None, "mapped"), ("g1", "beta", -2.5, 0.01, True, "mapped")], "feature string, dataset string, lfc double, p double, eligible boolean, basis string")
+    edges = spark.createDataFrame([("tf", f"g{i}", "activates") for i in (0, 1, 2, 18, 19)], "src string, dst string, effect string")
+    got = {(r["dataset"], r["direction"]): r for r in candidates.enrichment(edges, candidates.universe(obs, 0.05, 2.0)).collect()}
+    assert all(r["background"] == 18 and r["targets"] == 3 for r in got.values())
+    assert (got["amino", "up"]["responsive"], got["beta", "up"]["responsive"], got["beta", "down"]["responsive"]) == (3, 2, 1)  # g1 has both signs in beta
+
+
 OPTIONS = "feature string, class string, promoter string, grp string, n_supporting long, screen_fraction double, confidence_rank int, stronger_fraction double, max_other double, effect double, regulators array<string>, matches boolean"
 
 
@@ -171,6 +236,22 @@ def test_panel_violations(spark):
     chosen = options(spark, [row, ("b", "one", "p2", "t2", 1, 0.9, 3, 1.0, 0.0, 9.0, ["r"], True), ("c", "two", "p3", "t3", 1, 1.0, 3, 1.0, 0.0, 9.0, ["r"], False)])
     assert sorted(tuple(r) for r in panel.violations(chosen, pool, 1).collect()) == [("budget", "one"), ("outside_pool", "two|c|p3"), ("stale_metrics", "one|b|p2")]
     assert panel.violations(panel.balanced(pool, 2), pool, 2).count() == 0
+    assert [tuple(r) for r in panel.violations(panel.balanced(pool, 2), pool.unionByName(options(spark, [row])), 2).collect()] == [("repeated_option", "one|a|p1")]
+
+
+def test_options_take_the_group_of_the_feature(spark):
+    # a and b meet in unit 1, b and c in unit 2: one group; a has promoter p through both of its units, but one option
+    units = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "c"), (3, "a"), (7, "d")], "unit long, member string")
+    groups = panel.feature_groups(units).withColumn("grp", F.col("grp").cast("string"))
+    assert {r["feature"]: r["grp"] for r in groups.collect()} == {"a": "1", "b": "1", "c": "1", "d": "7"}
+    stable = spark.createDataFrame([(f, "one", 1, 1.0, 1.0) for f in "abde"], "feature string, class string, n_supporting long, effect double, screen_fraction double")
+    cross_ = spark.createDataFrame([], "feature string, class string, stronger_fraction double, max_other double")
+    cv = spark.createDataFrame([("a", 0.5), ("a", 0.7)], "feature string, cv double")
+    regs = spark.createDataFrame([(f, ["r"]) for f in "abde"], "feature string, regulators array<string>")
+    mapped = spark.createDataFrame([("a", "p"), ("a", "p"), ("b", "p"), ("d", "q"), ("e", "q"), ("b", None)], "feature string, promoter string")
+    fragments = spark.createDataFrame([("p", 1, True), ("q", None, True)], "promoter string, confidence_rank int, matches boolean")
+    got = sorted((r["feature"], r["promoter"], r["grp"], r["confidence_rank"]) for r in panel.options(stable, cross_, cv, regs, mapped, groups, fragments).collect())
+    assert got == [("a", "p", "1", 1), ("b", "p", "1", 1), ("d", "q", "7", 0), ("e", "q", "e", 0)]
 
 
 def test_evidence_tiers(spark):
@@ -179,7 +260,9 @@ def test_evidence_tiers(spark):
         ("clash", "d1", "beta", "discovery", 3.0, 0.01), ("clash", "d2", "beta", "discovery", -3.0, 0.01), ("both", "d1", "beta", "discovery", 3.0, 0.01), ("both", "d3", "amino", "discovery", 5.0, 0.01),
         ("challenge_only", "d4", "amino", "challenge", 6.0, 0.001), ("down", "d1", "beta", "discovery", -6.0, 0.001), ("lone", "d3", "amino", "discovery", 2.2, 0.04), ("lone", "d1", "beta", "discovery", None, None),
     ]
-    obs = spark.createDataFrame(rows, "feature string, dataset string, class string, role string, lfc double, p double")
+    unusable = [("flagged", "d1", "beta", "discovery", 9.0, 0.001, False), ("flagged", "d2", "beta", "discovery", 9.0, 0.001, None), ("two_hits", "d4", "amino", "challenge", 9.0, 0.001, False)]
+    obs = spark.createDataFrame([*[(*r, r[4] is not None) for r in rows], *unusable], "feature string, dataset string, class string, role string, lfc double, p double, eligible boolean")
+    obs = obs.withColumn("basis", F.when(F.col("feature") == "clash", "source_name").otherwise("mapped"))
     ev = candidates.evidence(obs, {"beta": ["d1", "d2"], "amino": ["d3", "d4"]}, 0.05, 2.0, lone="d3", caveats={"d2": "few samples"})
     got = {r["feature"]: r for r in ev.collect()}
     assert set(got) == {"one_hit", "two_hits", "clash", "both", "lone"}
@@ -187,7 +270,9 @@ def test_evidence_tiers(spark):
     assert {k: r["tier"] for k, r in got.items()} == {"one_hit": single, "two_hits": multiple, "clash": within, "both": single, "lone": single}
     assert {k: r["grp"] for k, r in got.items()} == {"one_hit": "beta", "two_hits": "beta", "clash": "beta", "both": "cross", "lone": "amino"}
     assert {x["class"]: x["share"] for x in got["one_hit"]["support"]} == {"beta": 0.5, "amino": 0.0} and got["two_hits"]["caveats"] == ["few samples"]
-    assert got["two_hits"]["flags"] == ["cross_class_direction_difference"] and got["clash"]["flags"] == [within] and got["lone"]["flags"] == ["d3_only"] and not got["both"]["flags"]
+    assert got["two_hits"]["flags"] == ["cross_class_direction_difference"] and got["clash"]["flags"] == [within, "identity_mapping_not_verified"] and got["lone"]["flags"] == ["d3_only"] and not got["both"]["flags"]
+    assert {k: (r["n_up"], r["n_down"]) for k, r in got.items()} == {"one_hit": (1, 0), "two_hits": (2, 0), "clash": (1, 0), "both": (2, 0), "lone": (1, 0)}
+    assert {x["dataset"]: (x["status"], x["regulation"]) for x in got["two_hits"]["profile"]} == {"d1": ("significant_response", ["up"]), "d2": ("significant_response", ["up"]), "d3": ("significant_response", ["down"]), "d4": ("unavailable", ["not_regulated"])}
     assert [x["status"] for x in got["lone"]["profile"]] == ["unavailable", "significant_response"] and got["both"]["primary_effect"] == 5.0
     assert [r["feature"] for r in candidates.ranked(ev).orderBy("rank").collect()] == ["two_hits", "both", "one_hit", "lone", "clash"]
     short = candidates.shortlist(ev)
@@ -197,7 +282,8 @@ def test_evidence_tiers(spark):
 
 def test_stability_and_rank_change(spark):
     rows = [("a", "d1", "beta", "discovery", 3.0, 1.0, 0.01), ("a", "d2", "beta", "discovery", 2.4, 2.3, 0.01), ("b", "d1", "beta", "discovery", 9.0, 2.0, 0.01), ("c", "d1", "beta", "discovery", 2.2, 2.2, 0.01), ("d", "d1", "beta", "discovery", -9.0, -9.0, 0.01), ("e", "d4", "beta", "challenge", 9.0, 9.0, 0.01), ("a", "d3", "amino", "discovery", 1.8, 1.0, 0.01)]
-    obs = spark.createDataFrame(rows, "feature string, dataset string, class string, role string, lfc double, shrunk double, p double")
+    flagged = [("a", "d5", "beta", "discovery", 8.0, 8.0, 0.01, False), ("f", "d1", "beta", "discovery", 8.0, 8.0, 0.01, None)]
+    obs = spark.createDataFrame([*[(*r, True) for r in rows], *flagged], "feature string, dataset string, class string, role string, lfc double, shrunk double, p double, eligible boolean")
     counts = spark.createDataFrame([(f, v) for f, vs in {"a": [10, 20, 50], "b": [50, 50, 50], "c": [10, 10, 10]}.items() for v in vs], "feature string, value int")
     s = candidates.stability(obs, counts, [10, 20, 50], [-0.5, 0.0, 0.5], 0.05, 2.0)
     got = {(r["class"], r["feature"]): (r["n_supporting"], r["raw_effect"], r["effect"], r["passed"]) for r in s.collect()}
@@ -207,9 +293,12 @@ def test_stability_and_rank_change(spark):
 
 def test_cross_status(spark):
     rows = [("s", 3.0, 1.0, 5.0, 0.01, 0.2, 0.5, -0.4, 0.8), ("c", -3.0, -5.0, -1.0, 0.01, 4.0, 0.001, 3.0, 5.0), ("i", 3.0, -0.1, 5.0, 0.01, 0.2, 0.5, -0.4, 1.8), ("n", 3.0, 1.0, 5.0, 0.2, None, None, None, None)]
-    df = spark.createDataFrame(rows, "feature string, lfc double, ci_low double, ci_high double, family_padj double, other_lfc double, other_p double, other_low double, other_high double")
+    # a pair or a counterpart that is not eligible shows nothing, nor does one whose flag is missing
+    sure = ("s", 3.0, 1.0, 5.0, 0.01, 9.0, 0.001, -0.4, 0.8)
+    rows = [*[(*r, True, r[5] is not None) for r in rows], ("x", *sure[1:], False, False), ("y", *sure[1:], None, None)]
+    df = spark.createDataFrame(rows, "feature string, lfc double, ci_low double, ci_high double, family_padj double, other_lfc double, other_p double, other_low double, other_high double, eligible boolean, other_eligible boolean")
     got = {r["feature"]: (r["status"], r["detected"], r["within_bound"]) for r in cross.status(df, 0.05, 2.0, 1.0).collect()}
-    assert got == {"s": ("discovery_response_stronger", False, True), "c": ("counterpart_response_stronger", True, False), "i": ("inconclusive", False, False), "n": ("inconclusive", False, False)}
+    assert got == {"s": ("discovery_response_stronger", False, True), "c": ("counterpart_response_stronger", True, False), "i": ("inconclusive", False, False), "n": ("inconclusive", False, False), "x": ("inconclusive", False, False), "y": ("inconclusive", False, False)}
 
 
 def test_places_and_percentiles_of_large_groups(spark):
@@ -259,3 +348,47 @@ def test_checks(spark):
     dose = spark.createDataFrame([(1, 1.0, "mg"), (2, None, None), (3, None, "mg"), (4, -1.0, "mg"), (5, 2.0, None)], "k long, dose double, unit string")
     assert {r["key"] for r in checks.doses(dose, "k").collect()} == {"3", "4", "5"}
     assert checks.content_digest(df, ["k"]).first() == checks.content_digest(df.orderBy(F.desc("k")), ["k"]).first()
+    pair = lambda x: checks.content_digest(spark.createDataFrame([(x,), (x,)], "k long"), ["k"]).first()
+    assert pair(1) != pair(2)
+
+
+def test_combined_sets_equal_brute_force(spark):
+    from itertools import combinations
+    from math import comb
+
+    from respondex.operators import modules
+
+    r = random.Random(10)
+    n, fdr = 120, 0.2
+    sets = {f"s{i:02d}": {f for f in range(n) if r.random() < r.choice([0.03, 0.1, 0.3])} for i in range(50)}
+    comps = {c: {f for f in range(n) if r.random() < 0.04} | set(r.sample(sorted(sets["s07"] | sets["s08"]), 3)) for c in ("c1", "c2", "c3")}
+    comps["c1"] |= sets["s01"] & sets["s02"]
+    comps["c2"] |= sets["s03"] | set(list(sets["s04"])[:6])
+    tail = lambda a, size, c: sum(comb(c, j) * comb(n - c, size - j) for j in range(a, min(size, c) + 1)) / comb(n, size)
+    want = {}
+    for c, members in comps.items():
+        met = sorted(k for k, v in sets.items() if v & members)
+        tests = [(k, None, "one", sets[k]) for k in met]
+        for a, b in combinations(met, 2):
+            tests += [(a, b, "and", sets[a] & sets[b]), (a, b, "or", sets[a] | sets[b])]
+        assert len(tests) == len(met) ** 2
+        ps = [(round(tail(len(x & members), len(x), len(members)), 9), a, b, op, len(x & members), len(x)) for a, b, op, x in tests]
+        ps.sort(key=lambda x: -x[0])
+        low = 1.0
+        for i, (p, a, b, op, shared, size) in enumerate(ps):
+            upto = sum(y[0] <= p for y in ps)
+            low = min(low, p * len(ps) / upto)
+            if low <= fdr:
+                want[c, a, b, op] = (shared, size, p, low)
+    got = {(x["component"], x["a"], x["b"], x["op"]): x for x in modules.combined_sets(spark.createDataFrame([(c, f) for c, m in comps.items() for f in m], "component string, feature int"), spark.createDataFrame([(k, f) for k, m in sets.items() for f in m], "set string, feature int"), n, fdr).collect()}
+    assert set(got) == set(want) and {k[3] for k in want} == {"one", "and", "or"}
+    for k, (shared, size, p, q) in want.items():
+        x = got[k]
+        assert (x["shared"], x["in_set"], x["in_component"]) == (shared, size, len(comps[k[0]])) and x["p"] == pytest.approx(p, abs=2e-9) and x["q"] == pytest.approx(q, abs=1e-6)
+
+
+def test_identity_keeps_every_row(spark):
+    al = identity.alias_map(spark.createDataFrame([("thra", "thrA", 1, "b0002"), ("b0002", "thrA", 1, "b0002"), ("nolocus", "xyz", 2, ""), ("b0009", "abc", 3, None)], "token string, feature string, ord int, locus string"))
+    rows = [(1, "b0002", "x"), (2, "zz", "geneX"), (3, "b4444", None), (4, None, "THRA"), (5, "", " "), (6, "b0009", "own"), (7, None, "nolocus")]
+    got = {r["key"]: (r["feature"], r["locus"], r["basis"]) for r in identity.resolved(spark.createDataFrame(rows, "key int, locus_tag string, symbol string"), "key", ["locus_tag", "symbol"], al, ["symbol", "locus_tag"], ["locus_tag"]).collect()}
+    assert got == {1: ("thrA", "b0002", "mapped"), 2: ("geneX", None, "source_name"), 3: ("b4444", "b4444", "source_name"), 4: ("thrA", "b0002", "mapped"), 5: (None, None, "unknown"), 6: ("abc", "b0009", "mapped"), 7: ("xyz", None, "mapped")}

@@ -1,6 +1,8 @@
 """Golden numbers of responses and adjustment."""
 
 import math
+import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -84,6 +86,58 @@ def test_tails(spark):
     assert r["t"] == pytest.approx(0.07338803, abs=1e-8) and r["z"] == pytest.approx(0.05) and r["h"] == pytest.approx(1 / math.comb(20, 3)) and r["n"] is None
 
 
+def exact_tail(a, b, c, d):
+    row, col, n = a + b, a + c, a + b + c + d
+    top = sum(math.comb(col, k) * math.comb(n - col, row - k) for k in range(a, min(row, col) + 1) if row - k <= n - col)
+    return float(Fraction(top, math.comb(n, row)))
+
+
+def test_hypergeometric_tail_equals_fractions(spark):
+    r = random.Random(5)
+    tables = [(0, 2000, 2000, 0), (0, 1500, 2000, 500), (10, 1990, 1500, 500), (2000, 0, 0, 2000), (1990, 10, 20, 7980), (0, 0, 0, 5), (0, 0, 3, 4), (5, 0, 3, 4), (1, 0, 0, 0)]
+    tables += [tuple(r.randrange(r.choice([3, 40, 2500])) for _ in range(4)) for _ in range(60)]
+    tables = [t for t in tables if sum(t)]
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(tables)], "i int, a long, b long, c long, d long")
+    got = {x["i"]: x["p"] for x in df.select("i", hypergeom_tail("a", "b", "c", "d").alias("p")).collect()}
+    for i, t in enumerate(tables):
+        assert got[i] == pytest.approx(exact_tail(*t), rel=1e-8, abs=1e-12), t
+    assert got[0] == got[1] == got[2] == 1.0
+
+
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_group_medians_are_exact(spark, few):
+    from respondex.plans.medians import group_medians
+
+    r = random.Random(few)
+    rows = [("a", r.gauss(0, 1)) for _ in range(2001)] + [("b", float(r.randrange(3))) for _ in range(1000)] + [("c", 7.0), ("d", 1.0), ("d", 2.0), ("e", None), (None, 3.0), (None, 5.0)] + [("z", 0.0)] * 400 + [("z", 1.0)] * 400
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    want = {x["k"]: x["m"] for x in df.groupBy("k").agg(F.median("v").alias("m")).where("m IS NOT NULL").collect()}
+    for accuracy in (10, 1000):
+        assert {x["k"]: x["m"] for x in group_medians(df, "k", "v", "m", accuracy, few).collect()} == want
+
+
+def test_no_task_reads_a_whole_sample(spark):
+    """What is shuffled by the sample alone is sketches and sums; rows inside the bracket go by sample and value."""
+    from respondex.plans import medians
+
+    rows = spark.range(200_000).select((F.col("id") % 2).alias("k"), F.xxhash64("id").cast("double").alias("v"))
+    held, keep = {}, medians.staged
+
+    def watched(df, name):
+        out = keep(df, name)
+        held[name] = (df._jdf.queryExecution().executedPlan().toString(), out.count())
+        return out
+
+    medians.staged = watched
+    try:
+        assert medians.group_medians(rows, "k", "v", accuracy=100).count() == 2
+    finally:
+        medians.staged = keep
+    plan, n = held["median-counts"]
+    assert all("side#" in line and "v#" in line for line in plan.split("\n") if "hashpartitioning(g#" in line) and "hashpartitioning(g#" in plan
+    assert n < 0.08 * 200_000
+
+
 def counts(spark, table):
     rows = [(f, s, s[0], int(s[1]), float(v)) for f, vs in table.items() for s, v in zip(("A0", "A1", "N0", "N1"), vs)]
     return spark.createDataFrame(rows, "feature string, sample string, condition string, replicate int, value double")

@@ -37,3 +37,32 @@ def test_tar_members(spark, tmp_path):
         t.addfile(info, io.BytesIO(data))
     got = [tuple(r) for r in readers.tar_members(spark, f"file://{tmp_path}/x.tar").collect()]
     assert got == [("drug_1.txt", 0, "id\tv"), ("drug_1.txt", 1, "a\t1")]
+
+
+def small_splits(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    return spark
+
+
+def test_large_files_are_read_by_splits(spark, tmp_path):
+    body = [f'"x{i}"\t{i}\t{i * 2}' for i in range(400)]
+    body.insert(7, "")
+    (tmp_path / "big.txt").write_text("\n".join(["!t", "!end", "!begin", '"ID"\t"s1"\t"s2"', *body, "!end", *["rest\t1"] * 50]))
+    (tmp_path / "none.txt").write_text("!begin\na\tb\n")
+    genome = "".join("ACGT"[i * i % 7 % 4] for i in range(5000))
+    (tmp_path / "g.fa").write_text(">c1 text\n" + "\n".join(genome[i : i + 61] for i in range(0, 5000, 61)) + "\n> c2\nGG\n>empty\n>c3\nAC\nGT")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        small_splits(spark, "600b")
+        lines = readers.numbered_lines(spark, f"file://{tmp_path}/big.txt")
+        assert lines.select("block").distinct().count() > 5
+        rows = readers.sectioned(spark, f"file://{tmp_path}/*.txt", "!begin", "!end")
+        got = sorted((r["feature"], r["sample"], r["value"]) for r in readers.section_values(rows).collect())
+        assert got == sorted((f"x{i}", s, float(v)) for i in range(400) for s, v in (("s1", i), ("s2", i * 2)))
+        assert {r["row"] for r in rows.collect()} == {*range(402)} - {8}
+        chunks = sorted(tuple(r) for r in readers.fasta(spark, f"file://{tmp_path}/g.fa", 100).collect())
+        assert chunks == sorted([("c1", i, i * 100 + 1, genome[i * 100 : i * 100 + 100]) for i in range(50)] + [("c2", 0, 1, "GG"), ("empty", 0, 1, ""), ("c3", 0, 1, "ACGT")])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
