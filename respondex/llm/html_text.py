@@ -11,7 +11,9 @@ are GENERATED ones of known labels built by rule in many layouts, and at most SA
 given ones that mark their article up (a classifier's documented bound): text in
 ``article`` or ``main``, but not in what marks inside it set apart, is content.
 
-Null and empty pages have an empty text; repeated rows are each extracted.  Unclosed and
+Null and empty pages have an empty text; pages of any length are read whole; repeated rows are each extracted; a marginal
+equal to ``least`` counts as content; an empty table gives an empty result; only the named columns are read.
+Elements that attributes hide (``hidden``, ``aria-hidden``, a style without display) have no text, whatever they hold.  Unclosed and
 stray tags are mended as browsers do for paragraphs, list items and table cells; a broken
 page never fails.  Formulas and the text inside drawings, media and objects are inline text.
 """
@@ -50,11 +52,66 @@ SIGNS = frozenset(
 )
 #: Comments, declarations, tags; a tag with an unclosed quote ends at the next ``>``.
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\shidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+#: A name and, if there is one, its value: quoted in either way, or up to the next white space.
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
+def attributes(said: str) -> dict[str, str]:
+    """Values by lower-cased name of the attributes of a tag (empty without one); of equal names the first counts."""
+    out: dict[str, str] = {}
+    for name, *value in _ATTR.findall(said):
+        out.setdefault(name.lower(), html.unescape("".join(value)))
+    return out
+
+
+def hides(said: dict[str, str]) -> bool:
+    """Whether attributes hide their element."""
+    return "hidden" in said or said.get("aria-hidden", "").strip().lower() == "true" or bool(_NONE.search(said.get("style", "")))
+
+
+def token(m: re.Match) -> tuple[str, str, str]:
+    """``(slash of an end tag, lower-cased name, what follows it)``; no name for comments and declarations."""
+    end, name, said = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)
+    return end or "", (name or "").lower(), said or ""
+
+
+def after_raw(source: str, name: str, at: int) -> int:
+    """Where the text after an element without markup of its own goes on."""
+    end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+    return end.end() if end else len(source)
+
+
+def after_hidden(source: str, name: str, at: int, in_p: bool) -> int:
+    """Where the text after a hidden inline element, whose start tag ends at ``at``, goes on.
+
+    Elements nested in it are counted.  An unclosed one ends with its block: where an end tag closes what
+    isn't open inside it, or a block begins in a paragraph.
+    """
+    open_names = [name]
+    while m := _TOKEN.search(source, at):
+        at = m.end()
+        end, name, said = token(m)
+        if not name:
+            continue
+        if end:
+            if name in open_names:
+                del open_names[len(open_names) - 1 - open_names[::-1].index(name) :]
+                if not open_names:
+                    return at
+            elif name not in INLINE and name not in RAW:
+                return m.start()
+        elif name in RAW:
+            at = after_raw(source, name, at)
+        elif name not in VOID:
+            if in_p and name not in INLINE and all(x in INLINE for x in open_names):
+                return m.start()
+            if not said.rstrip().endswith("/"):
+                open_names.append(name)
+    return len(source)
+
+
 class Page:
     """Parallel lists of nodes in page order: parent, tag, signs, text (None: element), characters and link characters below."""
 
@@ -98,8 +155,7 @@ class Page:
             if not m:
                 break
             at = m.end()
-            end_tag, name, said = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)
-            name = (name or "").lower()
+            end_tag, name, said = token(m)
             if not name:
                 continue
             if m.start() < foreign and name not in RAW:
@@ -118,16 +174,15 @@ class Page:
             if name in FOREIGN and not closed:
                 end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
                 foreign = end.start() if end else at
-            if name in RAW or _HIDDEN.search(said) and name not in VOID:
-                if name in RAW:
-                    end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                    at = end.end() if end else n
-                    run.append(" ")
-                    continue
-                if name in INLINE:
-                    end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                    at = end.end() if end else at
-                    continue
+            if name in RAW:
+                at = after_raw(source, name, at)
+                run.append(" ")
+                continue
+            has = attributes(said) if said else {}
+            hidden = bool(has) and hides(has)
+            if hidden and name in INLINE and name not in VOID and not closed:
+                at = after_hidden(source, name, at, self.tag[open_nodes[-1]] == "p")
+                continue
             if name == "a":
                 in_a += not closed
                 continue
@@ -148,8 +203,8 @@ class Page:
                     k -= 1
                 if self.tag[open_nodes[k]] in ends:
                     del open_nodes[k:]
-            names = [name, *_WORD.findall(" ".join(x[0] or x[1] or x[2] for x in _ATTR.findall(said)).lower())]
-            signs = tuple(dict.fromkeys(w for w in names if w in SIGNS)) + (("hidden",) if _HIDDEN.search(said) else ())
+            names = [name, *_WORD.findall(" ".join(has.get(x, "") for x in ("class", "id", "role")).lower())]
+            signs = tuple(dict.fromkeys(w for w in names if w in SIGNS)) + (("hidden",) if hidden else ())
             node = self.add(open_nodes[-1], name, signs, None)
             if not closed:
                 open_nodes.append(node)
@@ -309,8 +364,10 @@ class Model:
         if not source:
             return ""
         page = Page(source)
-        chance = self.marginals(page)
-        return "\n\n".join(t for t, c in zip(page.text, chance, strict=True) if t is not None and c >= least)
+        chance, hidden = self.marginals(page), [False]
+        for parent, signs in zip(page.parent[1:], page.signs[1:], strict=True):
+            hidden.append(hidden[parent] or "hidden" in signs)
+        return "\n\n".join(t for t, c, h in zip(page.text, chance, hidden, strict=True) if t is not None and c >= least and not h)
 
 
 def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Model:

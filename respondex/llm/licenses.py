@@ -5,10 +5,11 @@ them the rest of the template's vector is shorter than ``least``.  These trigger
 from the weights, so no line is left out by a list.  A file's header passages are its lines
 with a trigger word, their runs, the comment blocks or paragraphs around them, and the lines
 from such a line (or the one before it) on, joined one after another up to the length of
-the longest template; a licence file (LICENSE, COPYING, ...) is also one passage as a whole,
-and each of its paragraphs is one.  Templates are one-sentence notices, notices as
-they stand in source headers, the bodies of the short licences, and the titles of the long
-ones (their files hold the title as a paragraph).  Passages and templates are sparse
+the longest template.  A licence file (LICENSE, COPYING, ...) is first one passage as a whole; only if that
+reaches no template are its header passages and paragraphs tried.  Templates are one-sentence notices,
+notices as they stand in source headers, the bodies of the short licences, and the titles of the
+long ones (their files hold the title as a paragraph).  A sentence that several licences share
+is no template, so alone it names none of them.  Passages and templates are sparse
 vectors over their words, weighted by how few of all files use each template word; words
 outside the templates count with the largest weight.  A template that names versions only
 fits a passage that has them all.  The best cosine of at least ``least`` names the file's
@@ -20,7 +21,8 @@ settled once per directory, by equi-joins on ancestor paths, then joined to file
 salted keys, as one directory may hold many files.
 
 Null and empty texts have no licence of their own but inherit; null paths inherit nothing.
-Repeated rows are each scanned.
+Texts of any length are scanned whole; repeated rows are each scanned; an empty table gives an empty
+result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -45,7 +47,13 @@ TEMPLATES = {
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
     "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
     "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."],
+    "LGPL-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1."],
+    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License."],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License."],
+    "ISC": ["Licensed under the ISC License.", "Released under the ISC License."],
+    "Zlib": ["Licensed under the zlib License.", "Released under the zlib License."],
+    "EPL-2.0": ["Licensed under the Eclipse Public License 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."],
+    "Unlicense": ["Released into the public domain under the Unlicense.", "This is free and unencumbered software released into the public domain."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
@@ -61,14 +69,38 @@ _MIT = (
 )
 _BSD = (
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
 )
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+)
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain.",
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "For more information, please refer to <https://unlicense.org>",
+)
 _GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+_GPL_LIBRARY = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This {} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"
 _LONG = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"],
     "MIT": [_MIT[0], " ".join(_MIT)],
     "BSD-3-Clause": [" ".join(_BSD)],
+    "BSD-2-Clause": [" ".join(_BSD[:2] + _BSD[3:])],
+    "ISC": [_ISC[0], " ".join(_ISC)],
+    "Zlib": [" ".join(_ZLIB)],
+    "Unlicense": [" ".join(_UNLICENSE)],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0 which is available at https://www.eclipse.org/legal/epl-2.0", "Eclipse Public License - v 2.0"],
+    "LGPL-2.1": [_GPL_LIBRARY.format("library", "library"), "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
     "GPL-3.0": [_GPL.format("General Public License", 3), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
     "GPL-2.0": [_GPL.format("General Public License", 2), "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
     "LGPL-3.0": [_GPL.format("Lesser General Public License", 3), "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
@@ -143,10 +175,10 @@ def joined(lines: list[str], triggers: set[str]) -> list[str]:
 
 
 def passages(text: str | None, whole: bool, triggers: set[str]) -> list[str]:
-    """Lines with a trigger, their runs, what is around them; the whole text and all blocks of a licence file."""
+    """Lines with a trigger, their runs, what is around them; of a licence file all blocks too."""
     if not text or triggers.isdisjoint(tokens(text)):
         return []
-    out, run = [text, *map(" ".join, blocks(text.split("\n")))] if whole else [], []
+    out, run = [*map(" ".join, blocks(text.split("\n")))] if whole else [], []
     for line in [*text.split("\n"), ""]:
         if not triggers.isdisjoint(tokens(line)):
             run.append(line)
@@ -181,9 +213,20 @@ class Scanner:
         return {w: x / norm for w, x in v.items()}
 
     def best(self, text: str | None, whole: bool) -> tuple[str | None, float]:
-        """(licence, cosine) of the most similar template that fits; (None, 0) where no passage can reach the limit; ties go to the lower name."""
+        """(licence, cosine) of the most similar template that fits; (None, 0) where no passage can reach the limit; ties go to the lower name.
+
+        whole: a licence file, whose whole text comes before its passages.
+        """
+        if whole and text:
+            found = self.best_of([text])
+            if found[0] is not None and found[1] ** 2 >= self.least2:
+                return found
+        return self.best_of(passages(text, whole, self.triggers))
+
+    def best_of(self, some: list[str]) -> tuple[str | None, float]:
+        """``best`` of given passages."""
         found: tuple[float, str | None] = (0.0, None)
-        for p in passages(text, whole, self.triggers):
+        for p in some:
             v = self.vector(p)
             if sum(x * x for w, x in v.items() if w in self.idf) < self.least2:  # no template's cosine is above the root of this share
                 continue

@@ -1,64 +1,90 @@
 """Token counts by a two-tier lookup on the map side.
 
-Tier one is a compact table of the token counts of frequent pre-tokens, broadcast to
-all workers: the vocabulary's own entries that are pre-tokens, as a vocabulary is the list
-of what is frequent.  So no pass over the texts, and no shuffle, finds them.  Tier two
-encodes the rest through the bounded caches of each worker.  Counts are exact with any
-table, and the table doesn't grow with data.
-
-Null texts count as empty; repeated rows are each counted; an empty table gives an empty
-result.
+Tier one is a compact table of the token counts of frequent pre-tokens: pre-tokens are counted on a bounded
+sample (``SAMPLE`` rows, adding up in each task before anything is gathered), the ``FREQUENT`` most frequent are
+encoded once, and their bytes and lengths are broadcast.  Tier two encodes the rest through the bounded
+cache of each worker.  Counts are exact with any table; the sample only decides what is spared.  No
+pre-token is shuffled but those of the sample, and the table doesn't grow with data.
+
+Null texts count as empty; texts of any length are counted whole; special strings count as the special tokens;
+repeated rows are each counted; of equally frequent pre-tokens the lower ones stay; an empty table gives
+an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from respondex.llm.batches import map_rows
+from respondex.llm.batches import map_rows, steps
 from respondex.llm.bpe import Encoder, tokenizer_file
+from respondex.plans.shipping import ship
 
+#: Rows of the sample (a task of it hands on at most twice the table), entries of the table, and words that a worker keeps beside it.
+SAMPLE, FREQUENT, KEPT = 4_000, 65_536, 200_000
 
-def frequent(e: Encoder) -> dict[str, int]:
-    """Token counts of the vocabulary's entries that are one pre-token each."""
-    words = []
-    for raw in e.vocabulary.ids:
-        try:
-            text = raw.decode()
-        except UnicodeDecodeError:
-            continue
-        if "\0" not in text and e.words(text) == [text]:
-            words.append(text)
-    return {w: n for w, n in zip(words, map(len, e.encode_all(words)), strict=True) if n < 256}
+
+def frequent(rows: DataFrame, raw, size: int = FREQUENT, sample: int = SAMPLE) -> list[str]:
+    """The most frequent pre-tokens of at most ``sample`` rows (text)."""
+
+    def count(batches):
+        e, seen = Encoder(raw.value), Counter()
+        for batch in steps(batches, "text"):
+            for text in batch.column("text").to_pylist():
+                seen.update(e.words(text) if text else ())
+        top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: 2 * size]
+        yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
+
+    ship(rows.sparkSession)
+    parts = rows.select("text").limit(sample).repartition(8).mapInArrow(count, "word string, n long")
+    got = parts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()
+    return got["word"].to_pylist()
+
+
+class Sizes(dict):
+    """Token counts of words: those of tier one always, others while they are few enough."""
+
+    def __init__(self, e: Encoder, tier: dict[str, int]):
+        super().__init__(tier)
+        self.encoder, self.tier = e, tier
+
+    def learn(self, words: set[str]) -> None:
+        new = words.difference(self)
+        if len(self) + len(new) > len(self.tier) + KEPT:
+            self.clear()
+            self.update(self.tier)
+            new = words.difference(self)
+        special = {w: 1 for w in new if w in self.encoder.vocabulary.special}
+        order = sorted(w.encode() for w in new if w not in special)
+        self.update(special)
+        self.update(zip((w.decode() for w in order), map(len, self.encoder.walk(order)), strict=True))
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """``(id, n_bytes, n_tokens)`` of every row; null texts count as empty, special strings as special tokens."""
     sc = docs.sparkSession.sparkContext
-    raw = sc.broadcast(tokenizer_file(path))
+    content = tokenizer_file(path)
+    raw, e = sc.broadcast(content), Encoder(content)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    words = frequent(Encoder(raw.value))
-    table = sc.broadcast(("\0".join(words).encode(), bytes(words.values())))
+    words = [w for w in frequent(rows, raw) if "\0" not in w]
+    lengths = dict(zip(words, map(len, e.encode_all(words)), strict=True))
+    table = sc.broadcast(("\0".join(words).encode(), bytes(min(255, lengths[w]) for w in words)))
 
     def make():
         e = Encoder(raw.value)
-        names, lengths = table.value
-        tier = dict(zip(names.decode().split("\0"), lengths, strict=True)) if lengths else {}
-        frequent, code = tier.get, e.cache.__getitem__
+        names, counts = table.value
+        sizes = Sizes(e, {w: n for w, n in zip(names.decode().split("\0"), counts, strict=True) if n < 255} if counts else {})
+        size = sizes.__getitem__
 
         def f(batch: pa.RecordBatch) -> dict:
-            texts, counts, misses = batch.column("text").to_pylist(), [], []
-            for text in texts:
-                words = e.words(text) if text else []
-                known = list(map(frequent, words))
-                counts.append(sum(filter(None, known)))
-                misses.append([w for w, n in zip(words, known, strict=True) if n is None])
-            e.learn(chain.from_iterable(misses))
-            counts = [n + sum(map(len, map(code, rest))) for n, rest in zip(counts, misses, strict=True)]
-            return {"id": batch.column("id"), "n_bytes": [len((t or "").encode()) for t in texts], "n_tokens": counts}
+            texts = batch.column("text").to_pylist()
+            words = [e.words(t) if t else [] for t in texts]
+            sizes.learn(set(chain.from_iterable(words)))
+            return {"id": batch.column("id"), "n_bytes": [len((t or "").encode()) for t in texts], "n_tokens": [sum(map(size, w)) for w in words]}
 
         return f
 
@@ -68,4 +94,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op5(spark, sf_dir: str) -> DataFrame:
     """Contract query: token and byte counts of every document."""
-    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("over_limit", F.col("n_tokens") > 512)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # a table of fewer splits than cores; larger ones are never moved
+        docs = docs.repartition(cores)
+    return token_counts(docs).withColumn("over_limit", F.col("n_tokens") > 512)

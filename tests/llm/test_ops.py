@@ -39,6 +39,31 @@ def test_bpe_equals_library(spark):
     assert bpe.encoded(empty(spark)).count() == token_counts.token_counts(empty(spark)).count() == 0
 
 
+def test_frequent_pretokens_are_measured(spark, monkeypatch):
+    tok = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    t = tok.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["the theandore ededshhe " * 40, "theandore ededshhe qqzzq " * 30, None, "", "<|endoftext|> theandore", *ODD]
+    d = docs(spark, texts)
+    raw = spark.sparkContext.broadcast(bpe.tokenizer_file())
+    words = token_counts.frequent(d, raw, size=5)
+    e = bpe.Encoder(raw.value)
+    seen = Counter(w for x in texts if x for w in e.words(x))
+    assert words == sorted(seen, key=lambda w: (-seen[w], w.encode()))[:5]
+    assert max(len(x) for x in e.encode_all(words)) > 1  # not only entries of the vocabulary
+    for frequent, kept in ((3, 2), (token_counts.FREQUENT, token_counts.KEPT)):
+        monkeypatch.setattr(token_counts, "KEPT", kept)
+        monkeypatch.setattr(token_counts, "FREQUENT", frequent)
+        got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(d).collect()}
+        assert got == {i: len(t.encode(x or "", add_special_tokens=False).ids) for i, x in enumerate(texts)}
+    sizes = token_counts.Sizes(e, {"the": 1})
+    for w in ("theandore", "ededshhe", "qqzzq", "the"):
+        monkeypatch.setattr(token_counts, "KEPT", 1)
+        sizes.learn({w})
+        assert sizes[w] == len(e.encode_all([w])[0]) and "the" in sizes and len(sizes) <= 2
+
+
 def test_bpe_random_texts():
     tok = pytest.importorskip("tokenizers")
     import public_tokenizers
@@ -493,6 +518,30 @@ def test_html(spark):
     assert wrong <= 5
 
 
+HIDDEN = {
+    "<p>We found <a title='the hidden cost' href='#'>LINKTEXT</a> and <em title='a hidden gem of the town'>THE OLD MILL</em> by the river.</p>": ["We found LINKTEXT and THE OLD MILL by the river."],
+    "<p>Open <span style='display:none'><span>a</span>SECRET</span>and shut.</p>": ["Open and shut."],
+    "<p>One <b data-x='display: none' alt=aria-hidden=true>two</b> <i hidden>no <b>deep</b> no</i>three <s aria-hidden=\"TRUE\">four</s><u aria-hidden=false>five</u>.</p>": ["One two three five."],
+    "<p>Left <span hidden>gone <i>and gone</p><p>Right <span style='color:red; DISPLAY : none'>gone<p>Next.</p>": ["Left", "Right", "Next."],
+    "<p>Raw <span hidden><script>var s = '</span>';</script>gone</span>stays <br hidden>here <img hidden>too.</p>": ["Raw stays here too."],
+    "<p>Quoted <span title=\"a > b\" hidden>x <a title='</span>'>y</a> z</span>end.</p>": ["Quoted end."],
+    "<p>To the end <span hidden>of the page": ["To the end"],
+}
+
+
+def test_hidden_text_of_pages():
+    for source, blocks in HIDDEN.items():
+        assert [t for t in html_text.Page(source).text if t] == blocks, source
+    said = html_text.attributes(" Class='post body' data-class=ad hidden ID = x class=no href=/a?b=1/ title='id=\"y\"'")
+    assert said == {"class": "post body", "data-class": "ad", "hidden": "", "id": "x", "href": "/a?b=1/", "title": 'id="y"'}
+    assert html_text.hides({"style": "a:b;display:none"}) and not html_text.hides({"style": "x-display:none", "class": "hidden"})
+    model = html_text.fitted([])
+    # no page marks its article; what is content was written by hand
+    paragraph = "It was a long walk along the river, and nobody had expected the rain to last until the evening."
+    page = f"<body><div class=menu><ul><li><a href=/>Home</a><li><a href=/b>Blog</a></ul></div><div class=post><h1>A walk</h1><p>{paragraph}</p><p hidden>{paragraph} Not shown.</p><div aria-hidden='true'><p>{paragraph} Nor this.</p></div><p>Then the sun came out, and <a title='hidden path' href=#>the path</a> dried within an hour or so.</p></div><div class=footer>&copy; us</div></body>"
+    assert model.text(page).split("\n\n") == ["A walk", paragraph, "Then the sun came out, and the path dried within an hour or so."]
+
+
 def test_html_without_caps(spark):
     model = html_text.fitted([])
     long = '<article><h1>A title</h1><p>Before <img alt="' + "x" * 9000 + '"><img alt=' + "y" * 9000 + "> after it, as one would write.</p></article>"
@@ -605,10 +654,57 @@ def test_wrapped_headers_and_full_licenses(spark):
     assert [got[i] for i in range(len(want) + 2)] == [name for name, _ in want] + [None, None]
 
 
+def test_full_texts_identifiers_and_shared_sentences(spark):
+    full = {"MIT": licenses._MIT, "BSD-3-Clause": licenses._BSD, "BSD-2-Clause": licenses._BSD[:2] + licenses._BSD[3:], "ISC": licenses._ISC, "Zlib": licenses._ZLIB, "Unlicense": licenses._UNLICENSE}
+    wrapped = lambda x, mark="": "\n".join(mark + " ".join(x.split()[i : i + 11]) for i in range(0, len(x.split()), 11))
+    rows, want = [], {}
+    for name, parts in full.items():
+        for path, text in ((f"f/{name}/LICENSE", "Copyright (c) 2020 Some One\n\n" + "\n\n".join(map(wrapped, parts))), (f"h/{name}/a.c", wrapped("Copyright 2019 Some One. " + " ".join(parts), " * ") + "\n\nint main() {}\n")):
+            want[len(rows)] = name
+            rows.append((len(rows), path, text))
+    for name in licenses.TEMPLATES:
+        if name != "Proprietary":
+            want[len(rows)] = name
+            rows.append((len(rows), f"s/{name}/x.py", f"# SPDX-License-Identifier: {name}\nimport os\n"))
+    for text in ("/* This program and the accompanying materials are made available under the\n * terms of the Eclipse Public License v. 2.0 which is available at\n * https://www.eclipse.org/legal/epl-2.0 */", "Eclipse Public License - v 2.0\n\nTHE ACCOMPANYING PROGRAM IS PROVIDED"):
+        want[len(rows)] = "EPL-2.0"
+        rows.append((len(rows), "e/LICENSE", text))
+    want[len(rows)] = None
+    rows.append((len(rows), "n/LICENSE", licenses._BSD[0] + "\n\nOnly for friends of the house, and on Sundays."))
+    got = {r["doc_id"]: r["own_license"] for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, path string, text string"), "doc_id", "path", "text").collect()}
+    assert got == want
+
+
+def test_inheritance_equals_brute_force(spark):
+    r = random.Random(17)
+    said = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", None: "nothing of the kind"}
+    rows = []
+    for i in range(150):
+        d = "/".join(r.choice("abc") for _ in range(r.randrange(0, 5)))
+        name = r.choice(["LICENSE", "COPYING.txt", "x.py", "y.md", "z.c", "w.h"])
+        rows.append((i, f"{d}/{name}" if d else name, said[r.choice(["MIT", "Apache-2.0", None, None])]))
+    own = {i: next((k for k, v in said.items() if v == t), None) for i, _, t in rows}
+    at = {}
+    for i, path, _ in rows:
+        d, _, name = path.rpartition("/")
+        if re.match(licenses.FILE_NAMES, name) and own[i]:
+            at.setdefault(d, set()).add(own[i])
+    want = {}
+    for i, path, _ in rows:
+        d = path.rpartition("/")[0]
+        up = [x for x in [d, *["/".join(d.split("/")[:k]) for k in range(len(d.split("/")) - 1, 0, -1)], ""] if x in at]
+        want[i] = own[i] or (min(at[up[0]]) if up else None)
+    got = {x["doc_id"]: x["license"] for x in licenses.scanned(spark.createDataFrame(rows, "doc_id long, path string, text string"), "doc_id", "path", "text").collect()}
+    wrong = {i for i in want if got[i] != want[i]}
+    # of two licence files in one directory the better cosine wins, which the brute force doesn't know
+    assert all(len(at.get(d, ())) > 1 for i in wrong for d in [max((x for x in at if (rows[i][1].rpartition("/")[0] + "/").startswith(x + "/" if x else "")), key=len)])
+    assert len(wrong) < 40 and sum(x is not None for x in want.values()) > 60
+
+
 def test_license_versions_identifiers_and_cosines(spark):
     prose = "the garden of the house was in the water and it was the year of the king\n" * 3
     notice = "Licensed under the Apache License, Version 2.0."
-    rows = {0: "Licensed under the Apache License, Version 1.1.", 1: "# SPDX-License-Identifier: MIT", 2: "// SPDX-License-Identifier: BSD-3-Clause\nint x;", 3: "SPDX-License-Identifier: GPL-3.0-or-later", 4: "SPDX-License-Identifier: ISC", 5: prose * 400 + notice, 6: prose, 7: notice, 8: notice}
+    rows = {0: "Licensed under the Apache License, Version 1.1.", 1: "# SPDX-License-Identifier: MIT", 2: "// SPDX-License-Identifier: BSD-3-Clause\nint x;", 3: "SPDX-License-Identifier: GPL-3.0-or-later", 4: "SPDX-License-Identifier: WTFPL", 5: prose * 400 + notice, 6: prose, 7: notice, 8: notice}
     df = spark.createDataFrame([(i if i < 8 else 7, f"x/f{i}.c", t) for i, t in rows.items()], "doc_id long, path string, text string")
     got = sorted((r["doc_id"], r["own_license"] or "") for r in licenses.scanned(df, "doc_id", "path", "text").collect())
     assert got == [(0, ""), (1, "MIT"), (2, "BSD-3-Clause"), (3, "GPL-3.0"), (4, ""), (5, "Apache-2.0"), (6, ""), (7, "Apache-2.0"), (7, "Apache-2.0")]
