@@ -32,10 +32,9 @@ def norm(spark: SparkSession, d: str) -> DataFrame:
     return response.normalised(c, response.size_factors(c))
 
 
-def observations(spark: SparkSession, d: str) -> DataFrame:
-    """``(feature, dataset, class, role, lfc, p, eligible)``; one feature of 13 is flagged as not eligible by its source."""
-    n = norm(spark, d)
-    m = response.moments(n)
+def observations(spark: SparkSession, d: str, n: DataFrame | None = None) -> DataFrame:
+    """``(feature, dataset, class, role, lfc, p, eligible)``; one feature of 13 is flagged as not eligible by its source; n: ``norm``, if it is there."""
+    m = response.moments(norm(spark, d) if n is None else n)
     wide = m.groupBy("feature").agg(*[F.max(F.when(F.col("condition") == c, F.col(x))).alias(f"{x}_{c}") for c in CONDITIONS for x in ("mean", "var", "n")])
     each = [
         F.struct(F.lit(name).alias("dataset"), F.lit(cls).alias("class"), F.lit(role).alias("role"), *[F.col(f"{x}_{c}").alias(f"{y}_{side}") for x, y in (("mean", "mean"), ("var", "var"), ("n", "n")) for c, side in ((t, "treated"), (u, "control"))])
@@ -45,9 +44,9 @@ def observations(spark: SparkSession, d: str) -> DataFrame:
     return response.pooled_p4(long).select("feature", "dataset", "class", "role", F.round("lfc", 9).alias("lfc"), F.round("p", 9).alias("p"), eligible(F.col("lfc"), F.col("p"), F.when(F.col("feature") % 13 > 0, "True").otherwise("no")).alias("eligible"))
 
 
-def shrunk(spark: SparkSession, d: str) -> DataFrame:
-    """Observations with a shrunk effect."""
-    return observations(spark, d).withColumn("shrunk", F.round(F.col("lfc") * (1 - F.col("p")), 9))
+def shrunk(spark: SparkSession, d: str, o: DataFrame | None = None) -> DataFrame:
+    """Observations (o, if they are there) with a shrunk effect."""
+    return (observations(spark, d) if o is None else o).withColumn("shrunk", F.round(F.col("lfc") * (1 - F.col("p")), 9))
 
 
 def edges_raw(spark: SparkSession, d: str) -> DataFrame:

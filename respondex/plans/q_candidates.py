@@ -23,8 +23,8 @@ def evidence(spark, d):
     return c.evidence(b.observations(spark, d), b.CONFIGURED, b.P_MAX, b.LFC_MIN, lone="alpha", caveats={"versus": "two treatments"})
 
 
-def stable(spark, d):
-    return c.stability(b.shrunk(spark, d), b.counts(spark, d), [40, 80, 200], [-0.5, 0.0, 0.5], b.P_MAX, b.LFC_MIN)
+def stable(spark, d, o=None):
+    return c.stability(b.shrunk(spark, d, o), b.counts(spark, d), [40, 80, 200], [-0.5, 0.0, 0.5], b.P_MAX, b.LFC_MIN)
 
 
 @query("a13_evidence", b.with_tables("ev", "SELECT feature, tier, grp, n_seen, n_hits, n_hits AS n_up, CAST(0 AS BIGINT) AS n_down, direction_conflict, cross_difference, support_one, support_two, list_filter([CASE WHEN direction_conflict THEN 'within_class_direction_difference' END, CASE WHEN cross_difference THEN 'cross_class_direction_difference' END, CASE WHEN lone THEN 'alpha_only' END], lambda x: x IS NOT NULL) AS flags, 'two treatments' AS caveats, round(primary_effect, 6) AS primary_effect, tiers, statuses FROM ev JOIN (SELECT feature, list_sort(list(class || ':' || tier)) AS tiers FROM evt WHERE n > 0 GROUP BY 1) USING (feature) JOIN (SELECT feature, list_sort(list(dataset || ':' || CASE WHEN hit THEN 'significant_response' WHEN eligible THEN 'no_detected_response' ELSE 'unavailable' END)) AS statuses FROM hits GROUP BY 1) USING (feature)"), lists=("flags", "tiers", "statuses"))

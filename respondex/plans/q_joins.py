@@ -86,13 +86,13 @@ def j6(spark, d):
     return rounded(cross.oriented_pairs(wanted, _pairs(spark, d)))
 
 
-def _seeds(spark, d):
-    o = b.observations(spark, d)
+def _seeds(spark, d, o=None):
+    o = staged(b.observations(spark, d), "observations") if o is None else o
     return o, o.where(c.hit(b.P_MAX, b.LFC_MIN, up_only=True) & (F.col("role") == "discovery")).select("feature", "dataset", "class", "lfc")
 
 
-def _counterparts(spark, d):
-    o, s = _seeds(spark, d)
+def _counterparts(spark, d, o=None):
+    o, s = _seeds(spark, d, o)
     o = o.withColumn("ci_low", F.col("lfc") - 0.5).withColumn("ci_high", F.col("lfc") + 0.5)
     return cross.counterparts(s, o, [(n, cls) for n, _, _, cls, _ in b.CONTRASTS])
 
@@ -105,10 +105,11 @@ def j7(spark, d):
 _CROSS = ", fam AS (SELECT feature, lfc, eligible, least(1.0, min(raw) OVER (ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS family_padj FROM (SELECT feature, lfc, p, eligible, p * count(*) OVER () / count(*) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS raw FROM obs WHERE dataset = 'versus' AND p IS NOT NULL)), cr AS (SELECT h.feature, h.dataset, h.class, o.dataset AS other, o.lfc AS other_lfc, o.p AS other_p, o.eligible AS other_eligible, v.eligible, family_padj, CASE h.dataset WHEN 'alpha' THEN v.lfc ELSE -v.lfc END AS lfc FROM hits h JOIN obs o ON o.feature = h.feature AND o.class <> h.class LEFT JOIN fam v ON v.feature = h.feature AND o.role = 'discovery' WHERE h.hit AND h.lfc > 0 AND h.role = 'discovery'), st AS (SELECT *, CASE WHEN eligible AND family_padj < 0.9 AND lfc - 0.5 > 0 THEN 'discovery_response_stronger' WHEN eligible AND family_padj < 0.9 AND lfc + 0.5 < 0 THEN 'counterpart_response_stronger' ELSE 'inconclusive' END AS status, coalesce(other_eligible AND other_p < 0.9 AND abs(other_lfc) > 1, false) AS detected, coalesce(other_eligible AND other_lfc - 0.5 > -1 AND other_lfc + 0.5 < 1, false) AS within_bound FROM cr)"
 
 
-def _cross(spark, d):
+def _cross(spark, d, o=None):
+    o = staged(b.observations(spark, d), "observations") if o is None else o
     drug = lambda c: F.when(F.col(c) == "alpha", "A").when(F.col(c) == "rho", "R")  # noqa: E731  a challenge has no pair result of its own
-    w = _counterparts(spark, d).withColumns({"numerator": drug("dataset"), "denominator": drug("other")}).drop("lfc")
-    v = b.observations(spark, d).where("dataset = 'versus'").select("feature", F.lit("A").alias("numerator"), F.lit("R").alias("denominator"), "lfc", "p", "eligible", (F.col("lfc") - 0.5).alias("ci_low"), (F.col("lfc") + 0.5).alias("ci_high"))
+    w = _counterparts(spark, d, o).withColumns({"numerator": drug("dataset"), "denominator": drug("other")}).drop("lfc")
+    v = o.where("dataset = 'versus'").select("feature", F.lit("A").alias("numerator"), F.lit("R").alias("denominator"), "lfc", "p", "eligible", (F.col("lfc") - 0.5).alias("ci_low"), (F.col("lfc") + 0.5).alias("ci_high"))
     return cross.status(cross.oriented_pairs(w, cross.family_adjusted(v).drop("p")), 0.9, b.LFC_MIN, 1.0)
 
 
@@ -183,13 +184,15 @@ def i2(spark, d):
 
 
 def _options(spark, d):
-    """Panel options, rounded as their SQL is, staged."""
+    """Panel options, rounded as their SQL is, staged; normalised counts and observations are made once."""
+    n = staged(b.norm(spark, d), "norm")
+    o = staged(b.observations(spark, d, n), "observations")
     regs = b.edges(spark, d).groupBy(F.col("dst").alias("feature")).agg(F.array_sort(F.collect_set("src")).alias("regulators"))
-    cv = response.replicate_summary(b.norm(spark, d), ["feature", "condition"]).where("condition <> 'N'").select("feature", "cv")
+    cv = response.replicate_summary(n, ["feature", "condition"]).where("condition <> 'N'").select("feature", "cv")
     mapped = _mapped(spark, d).where("status = 'mapped'").select("feature", "promoter")
     groups = panel.feature_groups(b.tu_genes(spark, d).where("gene % 6 > 0").select(F.col("tu").alias("unit"), F.col("gene").alias("member")))
     fragments = b.tu_promoters(b.tu_genes(spark, d)).select("promoter").distinct().select("promoter", (F.col("promoter") % 4).cast("int").alias("confidence_rank"), (F.col("promoter") % 5 > 0).alias("matches"))
-    return staged(rounded(panel.options(stable(spark, d), cross.summary(_cross(spark, d)), cv, regs, mapped, groups, fragments)), "options")
+    return staged(rounded(panel.options(stable(spark, d, o), cross.summary(_cross(spark, d, o)), cv, regs, mapped, groups, fragments)), "options")
 
 
 _OPT = _CROSS + ", sm AS (SELECT feature, class, avg(CASE WHEN status = 'discovery_response_stronger' THEN 1.0 ELSE 0.0 END) AS stronger_fraction, max(abs(other_lfc)) AS max_other FROM st GROUP BY 1, 2), rg AS (SELECT dst AS feature, list_sort(list(DISTINCT src)) AS regulators FROM edges GROUP BY 1), cvs AS (SELECT feature, max(CASE WHEN m > 0 THEN s / m END) AS max_cv FROM (SELECT feature, condition, avg(norm) AS m, stddev_samp(norm) AS s FROM norm WHERE condition <> 'N' GROUP BY 1, 2) GROUP BY 1), tl AS (SELECT DISTINCT a.tu AS x, b.tu AS y FROM tu_genes a JOIN tu_genes b USING (gene) WHERE gene % 6 > 0), tr AS (SELECT x, x AS y FROM tl UNION SELECT tr.x, tl.y FROM tr JOIN tl ON tl.x = tr.y), tg AS (SELECT gene AS feature, min(y) AS grp FROM tu_genes JOIN tr ON x = tu WHERE gene % 6 > 0 GROUP BY 1), opt AS (SELECT stab.feature, stab.class, promoter, coalesce(grp, -stab.feature) AS grp, n_supporting, round(raw_effect, 6) AS raw_effect, round(effect, 6) AS effect, CAST(passed AS INTEGER) AS passed, round(passed / 9, 6) AS screen_fraction, round(stronger_fraction, 6) AS stronger_fraction, round(max_other, 6) AS max_other, round(max_cv, 6) AS max_cv, regulators, CAST(promoter % 4 AS INTEGER) AS confidence_rank, promoter % 5 > 0 AS matches FROM stab JOIN rg USING (feature) JOIN (SELECT DISTINCT feature, promoter FROM (" + _MAP + ") WHERE status = 'mapped') m ON m.feature = stab.feature LEFT JOIN tg ON tg.feature = stab.feature LEFT JOIN sm ON sm.feature = stab.feature AND sm.class = stab.class LEFT JOIN cvs ON cvs.feature = stab.feature)"

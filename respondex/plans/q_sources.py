@@ -10,7 +10,7 @@ from respondex.operators import response
 from respondex.plans import bindings as b
 from respondex.plans.registry import query, rounded, table
 from respondex.plans.staging import shared_dir
-from respondex.sources import readers, sinks
+from respondex.sources import archives, readers, sinks
 
 
 def fresh(spark, name: str) -> str:
@@ -24,6 +24,32 @@ def s1(spark, d):
     return readers.member_tables(spark, path, r"sample=([A-Z])-(\d)", "feature").select("feature", "sample", "grp", "replicate", "value")
 
 
+def _archives(spark, d, column):
+    """Counts as tar archives, one for every 1000 features, of a gzipped table for each sample; the folder's URI."""
+    path, x = fresh(spark, "archives"), b.counts(spark, d)
+    path = path if "://" in path else f"file://{path}"
+    member = F.concat(F.lit("GSM_"), "sample", F.lit(".txt.gz"))
+    f = F.floor(F.col("feature") / 1000)
+    body = x.select(f.alias("archive"), member.alias("member"), F.col("feature").alias("line_no"), F.concat_ws("\t", "feature", F.lit("note"), F.col("value").cast("string")).alias("line"))
+    head = x.select(f.alias("archive"), member.alias("member"), "condition", "replicate").distinct().select("archive", "member", F.lit(-1).cast("long").alias("line_no"), F.concat_ws("\t", F.lit("Gene_id"), F.lit("kind"), column).alias("line"))
+    archives.write_archives(body.unionByName(head).withColumn("archive", F.concat(F.lit("a"), "archive")), path).collect()  # one row an archive
+    return path
+
+
+@query("s1_archive_tables", b.with_tables("counts", "SELECT CAST(feature AS VARCHAR) AS feature, condition || '_r' || replicate AS sample, condition AS grp, CAST(replicate AS VARCHAR) AS replicate, CASE condition WHEN 'N' THEN 'control' ELSE 'treated' END AS condition, value, 'note' AS kind FROM counts WHERE condition <> 'R'"))
+def s1_archives(spark, d):
+    """Tables of tar archives whose value column ends with a suffix; samples are known by their members' names, and those of no group are left out."""
+    path = _archives(spark, d, F.concat("condition", F.lit("_r"), "replicate", F.lit("_readcount")))
+    return archives.member_values(archives.members(spark, path, "GSM"), "Gene_id", r"GSM_([A-Z])(\d)", "readcount", {"control": ["N"], "treated": ["A"]}, notes=["kind"]).drop("member")
+
+
+@query("s2_archive_text", b.with_tables("counts", "SELECT CAST(feature AS VARCHAR) AS feature, CASE WHEN condition = 'A' THEN 'drug A, ' || replicate ELSE 'unnamed' || replicate END AS sample, CASE WHEN condition = 'A' THEN 'A' ELSE condition END AS grp, CAST(replicate AS VARCHAR) AS replicate, value FROM counts"))
+def s2_archives(spark, d):
+    """The last column is the value; its name says the sample where the pattern fits it, else the member's does."""
+    path = _archives(spark, d, F.when(F.col("condition") == "A", F.concat(F.lit("drug A, "), "replicate")).otherwise(F.concat(F.lit("unnamed"), "replicate")))
+    return archives.member_values(archives.members(spark, path), "Gene_id", r"(?:drug |GSM_)([A-Z])(?:, )?(\d)").select("feature", "sample", "grp", "replicate", "value")
+
+
 @query("s2_processed_text", b.with_tables("counts", "SELECT CAST(feature AS VARCHAR) AS feature, condition || '_' || replicate AS sample, value, p_name AS annotation FROM counts LEFT JOIN part ON p_partkey = feature"))
 def s2(spark, d):
     path, counts = fresh(spark, "processed"), b.counts(spark, d)

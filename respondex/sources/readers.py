@@ -5,11 +5,8 @@ Files are read where they lie by Spark's readers; each gives a long or all-strin
 
 from __future__ import annotations
 
-import io
 import re
-import tarfile
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,21 +29,6 @@ def member_tables(spark: SparkSession, path: str, pattern: str, id_column: str,
     return d.where("grp <> ''").withColumn("sample", F.concat_ws("_", "grp", "replicate"))
 
 
-def tar_members(spark: SparkSession, path: str) -> DataFrame:
-    """``(member, line_no, line)`` of the text members of tar archives; an archive is unpacked by one task, member by member."""
-
-    def unpack(batches):
-        for batch in batches:
-            for content in batch.column("content").to_pylist():
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    for m in tar:
-                        if m.isfile():
-                            lines = tar.extractfile(m).read().decode("utf-8", "replace").splitlines()
-                            yield pa.RecordBatch.from_pydict({"member": pa.array([m.name] * len(lines), pa.string()), "line_no": pa.array(range(len(lines)), pa.int64()), "line": pa.array(lines, pa.string())})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "member string, line_no long, line string")
-
-
 def matrix(df: DataFrame, id_column: str, samples: list[str], annotations: list[str] = (), agg: str = "sum") -> DataFrame:
     """Wide rows to ``(feature, sample, value)``; repeated ids are aggregated. Missing sample columns are an error."""
     missing = sorted(set(samples) - set(df.columns))

@@ -1,9 +1,12 @@
 """File layouts."""
 
+import gzip
 import io
 import tarfile
 
-from respondex.sources import readers
+from pyspark.sql import functions as F
+
+from respondex.sources import archives, readers
 
 
 def test_sections_and_platform(spark, tmp_path):
@@ -29,14 +32,28 @@ def test_fasta_chunks(spark, tmp_path):
     assert got == [("c1", 0, 1, "ACGT"), ("c1", 1, 5, "AC"), ("c2", 0, 1, "GG")]
 
 
-def test_tar_members(spark, tmp_path):
-    with tarfile.open(tmp_path / "x.tar", "w") as t:
-        data = b"id\tv\na\t1\n"
-        info = tarfile.TarInfo("drug_1.txt")
-        info.size = len(data)
-        t.addfile(info, io.BytesIO(data))
-    got = [tuple(r) for r in readers.tar_members(spark, f"file://{tmp_path}/x.tar").collect()]
-    assert got == [("drug_1.txt", 0, "id\tv"), ("drug_1.txt", 1, "a\t1")]
+def test_archive_members_are_partitions(spark, tmp_path):
+    body = lambda k: "id\tnote\ts%d\n" % k + "".join(f"g{i}\tn\t{i * k}\n" for i in range(5000))
+    (tmp_path / "in").mkdir()
+    for a in range(2):
+        with tarfile.open(tmp_path / "in" / f"x{a}.tar", "w") as t:
+            for k in range(4):
+                data = gzip.compress(body(k).encode()) if k % 2 else body(k).encode()
+                info = tarfile.TarInfo(f"dir/drug{a}_{k}.txt" + ".gz" * (k % 2))
+                info.size = len(data)
+                t.addfile(info, io.BytesIO(data))
+            t.addfile(tarfile.TarInfo("dir/empty_9.txt"), io.BytesIO())
+            sub = tarfile.TarInfo("dir")
+            sub.type = tarfile.DIRTYPE
+            t.addfile(sub)
+    lines = archives.members(spark, f"file://{tmp_path}/in", "drug")
+    assert lines.rdd.getNumPartitions() == 8 and lines.count() == 8 * 5001
+    assert archives.members(spark, f"file://{tmp_path}/in/x1.tar").select("archive").distinct().count() == 1
+    got = {(r["sample"], r["grp"], r["replicate"]): (r["n"], r["s"]) for r in archives.member_values(lines, "id", r"drug(\d)_(\d)").groupBy("sample", "grp", "replicate").agg(F.count("*").alias("n"), F.sum("value").alias("s")).collect()}
+    assert got == {(f"s{k}", str(a), str(k)): (5000, float(k * sum(range(5000)))) for a in range(2) for k in range(4)}
+    # the column's name comes before the member's, and a member without a header line is no table
+    named = archives.member_values(archives.members(spark, f"file://{tmp_path}/in/x0.tar"), "id", r"([a-z]+)\d?_?(\d)", groups={"treated": ["s"]}).select("grp", "replicate", "condition").distinct().collect()
+    assert sorted(tuple(r) for r in named) == [("s", str(k), "treated") for k in range(4)]
 
 
 def small_splits(spark, size):
