@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from respondex.functions.scalar import token
-from respondex.plans.skew import salted_join
+from respondex.plans.skew import broadcast_if_small, salted_join
+from respondex.plans.staging import staged
 
 
 #: A locus number.
@@ -62,6 +63,33 @@ def matching(ids: DataFrame, aliases: DataFrame, text: str) -> DataFrame:
     return direct.union(aliases.where(F.contains(F.lower("alias"), F.lit(low))).select("id")).distinct()
 
 
+def grams(text: Column, size: int) -> Column:
+    """The distinct pieces of a text that have ``size`` characters."""
+    last = F.length(text) - size + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def matching_all(asked: DataFrame, ids: DataFrame, aliases: DataFrame, size: int = 3) -> DataFrame:
+    """``(text, id)`` for each asked text and each id that holds it, or has an alias that does, ignoring case.
+
+    Names are put on inverted lists of their pieces of up to ``size`` characters.  A text is looked up on one
+    list only, that of its rarest piece of ``size`` characters (itself, if it is shorter), and what stands there is checked
+    exactly.  Lists that no text asks for are not joined.  An empty text asks nothing.
+    asked: (text).  ids: (id).  aliases: (alias, id).
+    """
+    names = ids.select(F.lower("id").alias("name"), "id").unionByName(aliases.where("alias IS NOT NULL").select(F.lower("alias").alias("name"), "id")).distinct()
+    named = names.select("name").distinct()
+    texts = asked.where("text IS NOT NULL AND text <> ''").select("text", F.lower("text").alias("low")).distinct()
+    pieces = texts.select("text", "low", F.explode(F.when(F.length("low") < size, F.array("low")).otherwise(grams(F.col("low"), size))).alias("gram"))
+    wanted = pieces.select("gram").distinct()
+    all_grams = F.flatten(F.array(*[grams(F.col("name"), n) for n in range(1, size + 1)]))
+    lists = staged(named.select("name", F.explode(all_grams).alias("gram")).join(broadcast_if_small(wanted), "gram", "left_semi"), "gram-lists")
+    rare = pieces.join(lists.groupBy("gram").agg(F.count("*").alias("k")), "gram", "left")
+    rare = rare.groupBy("text", "low").agg(F.min_by("gram", F.struct(F.coalesce("k", F.lit(0)), F.col("gram"))).alias("gram"))
+    found = rare.join(lists, "gram").where(F.contains("name", "low")).select("text", "name")
+    return found.join(names, "name").select("text", "id").distinct()
+
+
 def unique_alias(aliases: DataFrame) -> DataFrame:
     """Owner of each alias that has only one."""
     return aliases.groupBy("alias").agg(F.min("id").alias("id"), F.count_distinct("id").alias("n")).where("n = 1").drop("n")

@@ -16,6 +16,7 @@ from respondex.functions.tails import normal_sf2, student_t_sf2
 from respondex.operators.fdr import adjust_by_family
 from respondex.plans.medians import group_medians
 from respondex.plans.skew import broadcast_if_small
+from respondex.plans.staging import staged
 
 
 def dense_counts(rows: DataFrame, feature: str, condition: Column, replicate: Column, value: str, conditions: list[str], replicates: list[int]) -> DataFrame:
@@ -89,15 +90,43 @@ def dispersions(norm: DataFrame) -> DataFrame:
     return d.select("feature", F.greatest(F.coalesce("a", F.lit(1e-8)), F.lit(1e-8)).alias("dispersion"))
 
 
-def count_model(norm: DataFrame, pseudo: float = 0.5, prior: float = 1.0) -> DataFrame:
+def shared_dispersions(norm: DataFrame, least: float = 1e-8) -> DataFrame:
+    """``(feature, mean, own, trend, dispersion)``: own moment estimates drawn to a trend over the mean, in closed form.
+
+    The trend is ``a0 + a1 / mean``, by least squares of the own estimates that are above ``least`` (sums of five moments
+    of all features: one row), not below ``least``.  On the log scale an estimate of f degrees of freedom has about 2 / f
+    variance; what the scatter round the trend has beyond that, at least 0.25, is the spread of true dispersions.  The
+    log of a feature's dispersion is the mean of own and trend, weighted by the inverse of both.
+    """
+    by = norm.groupBy("feature", "condition").agg(F.avg("norm").alias("m"), F.var_samp("norm").alias("v"), F.count("*").alias("n"))
+    d = by.groupBy("feature").agg(F.sum(F.col("m") * F.col("n")).alias("total"), F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("f"), F.try_divide(F.sum((F.col("n") - 1) * (F.col("v") - F.col("m"))), F.sum((F.col("n") - 1) * F.col("m") * F.col("m"))).alias("a"))
+    d = staged(d.select("feature", (F.col("total") / F.col("n")).alias("mean"), "f", F.greatest(F.coalesce("a", F.lit(least)), F.lit(least)).alias("own")), "dispersions")
+    x, y = 1 / F.col("mean"), F.col("own")
+    used = (y > least) & (F.col("mean") > 0)
+    fit = d.where(used).agg(F.count("*").alias("k"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy")).first()
+    k, sx, sxx, sy, sxy = (float(v or 0) for v in fit)
+    det = k * sxx - sx * sx
+    a1 = (k * sxy - sx * sy) / det if det > 0 else 0.0
+    a0 = (sy - a1 * sx) / k if k else least
+    d = d.withColumn("trend", F.greatest(F.lit(least), F.lit(a0) + F.when(F.col("mean") > 0, F.lit(a1) * x).otherwise(0.0)))
+    off = F.log("own") - F.log("trend")
+    seen = d.where(used).agg(F.avg(off * off).alias("s"), F.avg(2 / F.col("f")).alias("e")).first()
+    spread = max(0.25, (seen["s"] or 0.0) - (seen["e"] or 0.0))
+    noise = 2 / F.col("f")
+    share = F.when(F.col("own") > least, spread / (spread + noise)).otherwise(0.0)  # an estimate at the floor says nothing
+    return d.select("feature", "mean", "own", "trend", F.exp(share * F.log("own") + (1 - share) * F.log("trend")).alias("dispersion"))
+
+
+def count_model(norm: DataFrame, pseudo: float = 0.5, prior: float = 1.0, dispersion: DataFrame | None = None) -> DataFrame:
     """Negative-binomial Wald contrasts of all pairs of conditions, as rows ``(feature, numerator, denominator, ...)``.
 
     Group means (plus ``pseudo``) and a pooled moment dispersion give lfc, se and z; p is
     the normal tail, padj is per contrast, and a normal prior of scale ``prior`` shrinks.
     This is a closed form in place of an iterative joint fit, so its numbers are its own.
+    dispersion: (feature, dispersion), such as ``shared_dispersions``; None takes each feature's own.
     """
     by = norm.groupBy("feature", "condition").agg(F.avg("norm").alias("m"), F.count("*").alias("n"))
-    by = by.join(dispersions(norm), "feature")
+    by = by.join(dispersions(norm) if dispersion is None else dispersion.select("feature", "dispersion"), "feature")
     mu = F.col("m") + pseudo
     by = by.select("feature", "condition", mu.alias("mu"), ((1 + F.col("dispersion") * mu) / (F.col("n") * mu)).alias("v"))
     a = by.select("feature", F.col("condition").alias("numerator"), F.col("mu").alias("mu_a"), F.col("v").alias("v_a"))

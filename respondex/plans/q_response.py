@@ -58,6 +58,11 @@ def a6(spark, d):
     return rounded(response.count_model(b.norm(spark, d)))
 
 
+@query("a6_shared_dispersions", b.with_tables("norm", ", o AS (SELECT feature, sum(m * n) / sum(n) AS mean, sum(n - 1) AS f, greatest(coalesce(sum((n - 1) * (v - m)) / nullif(sum((n - 1) * m * m), 0), 1e-8), 1e-8) AS own FROM (SELECT feature, condition, avg(norm) AS m, var_samp(norm) AS v, count(*) AS n FROM norm GROUP BY 1, 2) GROUP BY 1), l AS (SELECT regr_slope(own, 1 / mean) AS a1, regr_intercept(own, 1 / mean) AS a0 FROM o WHERE own > 1e-8 AND mean > 0), t AS (SELECT o.*, greatest(1e-8, a0 + CASE WHEN mean > 0 THEN a1 / mean ELSE 0 END) AS trend FROM o, l), s AS (SELECT greatest(0.25, avg((ln(own) - ln(trend)) ** 2) - avg(2 / f)) AS s FROM t WHERE own > 1e-8 AND mean > 0) SELECT feature, round(own, 6) AS own, round(trend, 6) AS trend, round(exp(w * ln(own) + (1 - w) * ln(trend)), 6) AS dispersion FROM (SELECT t.*, CASE WHEN own > 1e-8 THEN s / (s + 2 / f) ELSE 0 END AS w FROM t, s)"))
+def a6_shared(spark, d):
+    return rounded(response.shared_dispersions(b.norm(spark, d)).select("feature", "own", "trend", "dispersion"))
+
+
 @query("a6_count_model_tests")
 def a6_tests(spark, d):
     return rounded(response.count_model_tests(response.count_model(b.norm(spark, d))))

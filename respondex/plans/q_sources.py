@@ -11,6 +11,7 @@ from respondex.plans import bindings as b
 from respondex.plans.registry import query, rounded, table
 from respondex.plans.staging import shared_dir
 from respondex.sources import archives, readers, sinks
+from respondex.sources.keyed_store import KeyedStore
 
 
 def fresh(spark, name: str) -> str:
@@ -187,6 +188,16 @@ def s15(spark, d):
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", sinks.fasta_lines(F.col("doc_id").cast("string"), F.col("text")).alias("record"))
 
 
+@query("s16_incremental_store", "SELECT user_id AS key, min_by(event_type, event_id) AS first_wins, max_by(event_type, event_id) FILTER (WHERE value > 5) AS last_filled, min_by(event_type, event_id) FILTER (WHERE value > 5) AS first_filled FROM events GROUP BY 1")
+def s16_incremental(spark, d):
+    """Three loads, the last in order first, into a store that merges the buckets that a load names."""
+    store = KeyedStore(spark, fresh(spark, "store"), ["key"], "event_id", first=["v"], last_filled=["w"], first_filled=["w"])
+    e = table(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", F.col("event_type").alias("v"), F.when(F.col("value") > 5, F.col("event_type")).alias("w"))
+    for third in (2, 0, 1):
+        store.load(e.where(F.col("event_id") % 3 == third))
+    return store.current().select("key", F.col("v_first").alias("first_wins"), F.col("w_last_filled").alias("last_filled"), F.col("w_first_filled").alias("first_filled"))
+
+
 @query("s16_store_upsert", "SELECT user_id AS key, min_by(event_type, event_id) AS first_wins, max_by(event_type, event_id) FILTER (WHERE value > 5) AS last_filled, min_by(event_type, event_id) FILTER (WHERE value > 5) AS first_filled FROM events GROUP BY 1")
 def s16(spark, d):
     from respondex.operators.store import upserted

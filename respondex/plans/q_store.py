@@ -38,6 +38,16 @@ def j11(spark, d):
     return identity.matching(*_ids(spark, d), "AND#1")
 
 
+@query("j11_batch_search", f"WITH q AS (SELECT DISTINCT t AS text FROM (SELECT upper(substr(p_brand || '/' || p_size, 4, 4 + p_partkey % 3)) AS t FROM part UNION ALL SELECT left(p_name, 2 + p_partkey % 5) FROM part UNION ALL SELECT CAST(s_suppkey AS VARCHAR) FROM supplier UNION ALL SELECT s_name FROM supplier) WHERE t <> ''), n AS (SELECT CAST(p_partkey AS VARCHAR) AS id, CAST(p_partkey AS VARCHAR) AS t FROM part UNION {_AL}) SELECT DISTINCT text, id FROM q JOIN n ON contains(lower(t), lower(text))")
+def j11_batch(spark, d):
+    """A table of texts, some shorter than the pieces of the lists and some that nothing holds, against all names."""
+    p, s = table(spark, d, "part"), table(spark, d, "supplier")
+    k = F.col("p_partkey")
+    asked = p.select(F.upper(F.substring(F.concat_ws("/", "p_brand", "p_size"), F.lit(4), (4 + k % 3).cast("int"))).alias("text")).unionByName(p.select(F.left("p_name", (2 + k % 5).cast("int")).alias("text")))
+    asked = asked.unionByName(s.select(F.col("s_suppkey").cast("string").alias("text"))).unionByName(s.select(F.col("s_name").alias("text")))
+    return identity.matching_all(asked, *_ids(spark, d))
+
+
 @query("j12_exact_resolve", f"WITH al AS (SELECT lower(alias) AS low, count(DISTINCT id) AS n, min(id) AS one FROM ({_AL}) GROUP BY 1), q AS (SELECT DISTINCT t FROM (SELECT CAST(s_suppkey * 3 AS VARCHAR) AS t FROM supplier UNION ALL SELECT upper(p_brand || '/' || p_size) FROM part UNION ALL SELECT s_name FROM supplier)) SELECT t AS text, coalesce(p.id, CASE WHEN n = 1 THEN one END) AS id, CASE WHEN p.id IS NOT NULL THEN 'exact' WHEN n = 1 THEN 'alias' WHEN n > 1 THEN 'ambiguous' ELSE 'unknown' END AS status FROM q LEFT JOIN (SELECT CAST(p_partkey AS VARCHAR) AS id FROM part) p ON p.id = t LEFT JOIN al ON low = lower(t)")
 def j12(spark, d):
     ids, aliases = _ids(spark, d)

@@ -392,3 +392,15 @@ def test_identity_keeps_every_row(spark):
     rows = [(1, "b0002", "x"), (2, "zz", "geneX"), (3, "b4444", None), (4, None, "THRA"), (5, "", " "), (6, "b0009", "own"), (7, None, "nolocus")]
     got = {r["key"]: (r["feature"], r["locus"], r["basis"]) for r in identity.resolved(spark.createDataFrame(rows, "key int, locus_tag string, symbol string"), "key", ["locus_tag", "symbol"], al, ["symbol", "locus_tag"], ["locus_tag"]).collect()}
     assert got == {1: ("thrA", "b0002", "mapped"), 2: ("geneX", None, "source_name"), 3: ("b4444", "b4444", "source_name"), 4: ("thrA", "b0002", "mapped"), 5: (None, None, "unknown"), 6: ("abc", "b0009", "mapped"), 7: ("xyz", None, "mapped")}
+
+
+def test_batch_search_equals_contains(spark):
+    r = random.Random(2)
+    names = [("".join(r.choice("abAé#") for _ in range(r.randrange(0, 9))), f"id{i % 40}") for i in range(120)] + [(None, "id1")]
+    texts = {"".join(r.choice("abE\u00e9#") for _ in range(r.randrange(0, 6))) for _ in range(60)} | {"ID3", "zz", "d", ""}
+    ids = [f"id{i}" for i in range(45)]
+    df = identity.matching_all(spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string"), spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(names, "alias string, id string"))
+    want = {(t, i) for t in texts if t for i in ids if t.lower() in i or any(n is not None and k == i and t.lower() in n.lower() for n, k in names)}
+    assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(x) for x in df.collect()]
+    assert len(got) == len(set(got)) and set(got) == want

@@ -186,3 +186,18 @@ def test_distances_and_components_agree_with_numpy(spark):
     score = {r["sample"]: r["score"] for r in response.principal_components(g).where("component = 1").collect()}
     u, s, _ = np.linalg.svd(m - m.mean(axis=0))
     assert [abs(score[x]) for x in ("A0", "A1", "N0", "N1")] == pytest.approx(np.abs(u[:, 0] * s[0]).tolist())
+
+
+def test_shared_dispersions_are_nearer_the_planted_ones(spark):
+    rng = np.random.default_rng(11)
+    rows, true = [], {}
+    for f in range(400):
+        mu = float(np.exp(rng.uniform(3, 8)))
+        true[f"g{f}"] = a = (0.05 + 3 / mu) * float(np.exp(rng.normal(0, 0.3)))
+        rows += [(f"g{f}", c, float(rng.negative_binomial(1 / a, 1 / (1 + a * mu)))) for c in "AN" for _ in range(3)]
+    d = response.shared_dispersions(spark.createDataFrame(rows, "feature string, condition string, norm double")).collect()
+    off = lambda c: np.mean([(math.log(r[c]) - math.log(true[r["feature"]])) ** 2 for r in d])
+    assert len(d) == 400 and off("dispersion") < 0.5 * off("own")
+    one = response.shared_dispersions(spark.createDataFrame([("x", "A", 3.0), ("x", "A", 3.0)], "feature string, condition string, norm double")).first()
+    assert one["dispersion"] == pytest.approx(1e-8)
+    assert response.shared_dispersions(spark.createDataFrame([], "feature string, condition string, norm double")).count() == 0

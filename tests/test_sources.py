@@ -7,6 +7,7 @@ import tarfile
 from pyspark.sql import functions as F
 
 from respondex.sources import archives, readers
+from respondex.sources.keyed_store import KeyedStore
 
 
 def test_sections_and_platform(spark, tmp_path):
@@ -83,3 +84,28 @@ def test_large_files_are_read_by_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_a_load_rewrites_the_buckets_that_it_names(spark, tmp_path):
+    store = KeyedStore(spark, f"file://{tmp_path}/s", ["k"], "at", first=["a"], last_filled=["b"], first_filled=["b"], buckets=16)
+    rows = [(k, t, f"a{k}-{t}", f"b{t}" if (k + t) % 3 else None) for k in range(300) for t in (5, 6)]
+    kind = "k long, at long, a string, b string"
+    first = store.load(spark.createDataFrame(rows, kind))
+    assert set(first.values()) == {1} and store.loads() == 1
+    more = [(k, t, f"a{k}-{t}", "late" if t > 6 else None) for k in (7, 8, 900) for t in (4, 9)]
+    after = store.load(spark.createDataFrame(more, kind))
+    named = {r["b"] for r in spark.createDataFrame(more, kind).select(F.pmod(F.xxhash64("k"), F.lit(16)).cast("int").alias("b")).collect()}
+    assert {b for b, n in after.items() if n == 2} == named and len(named) <= 3
+    assert {p.name for p in (tmp_path / "s" / "data" / "load=000002").iterdir() if p.is_dir()} == {f"bucket={b}" for b in named}
+    want = {}
+    for k, t, a, b in sorted(rows + more, key=lambda x: x[1]):
+        w = want.setdefault(k, [a, None, None])
+        w[1], w[2] = (b, w[2] or b) if b is not None else w[1:]
+    assert {r["k"]: [r["a_first"], r["b_last_filled"], r["b_first_filled"]] for r in store.current().collect()} == want
+    # a load that broke off before its manifest changes nothing, and runs again
+    spark.createDataFrame([(1,)], "x int").write.parquet(f"file://{tmp_path}/s/data/load=000003/bucket=0")
+    assert {r["k"] for r in store.current().collect()} == set(want)
+    gone = store.clean()
+    assert len([g for g in gone if g.startswith("load=000001")]) == len(named & set(first)) and {r["k"] for r in store.current().collect()} == set(want)
+    store.load(spark.createDataFrame([(1, 0, "zero", None)], kind))
+    assert store.current().where("k = 1").first()["a_first"] == "zero"
