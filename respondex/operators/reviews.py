@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from respondex.plans.ranges import parted, with_side
+from respondex.plans.staging import staged
+
 _ORDER = ("edited_at", "edit_id")
 
 
@@ -15,9 +18,20 @@ def latest(reviews: DataFrame, keys: list[str]) -> DataFrame:
     return reviews.groupBy(*keys).agg(newest).select(*keys, "r.*")
 
 
-def history(reviews: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Every review with the value before it."""
-    return reviews.withColumn("old_value", F.lag(value).over(Window.partitionBy(*keys).orderBy(*_ORDER)))
+def history(reviews: DataFrame, keys: list[str], value: str, parts: int | None = None) -> DataFrame:
+    """Every review with the value before it.
+
+    Reviews lie in range partitions (``parts``; None: the session's number) of entity and time, so a hot entity is
+    in several.  Within a partition the row before is at hand; for the first row of an entity there it is the
+    last one of the partition before, of which there is one row an entity and partition.
+    """
+    d = staged(parted(reviews, keys, [F.col(c) for c in _ORDER], parts), "history")
+    w = Window.partitionBy("__part", *keys).orderBy(*_ORDER)
+    d = d.withColumn("__first", F.row_number().over(w) == 1).withColumn("__lag", F.lag(value).over(w))
+    ends = d.groupBy("__part", *keys).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*_ORDER)).alias("__end"))
+    before = ends.select("__part", *keys, F.lag("__end").over(Window.partitionBy(*keys).orderBy("__part")).alias("__before"))
+    out = with_side(d, before, ["__part", *keys])
+    return out.withColumn("old_value", F.when(F.col("__first"), F.col("__before.v")).otherwise(F.col("__lag"))).drop("__part", "__first", "__lag", "__before")
 
 
 def invalid(reviews: DataFrame, known: DataFrame, keys: list[str], statuses: list[str]) -> DataFrame:

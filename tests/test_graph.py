@@ -323,6 +323,18 @@ def test_latest_review_is_by_time(spark):
     assert reviews.latest(df, ["feature"]).first()["status"] == "tie"
 
 
+def test_history_of_a_hot_entity(spark):
+    r = random.Random(7)
+    rows = [(i, r.choice(["hot", "hot", "hot", "b", None]), r.randrange(50), r.choice(["x", "y", None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "edit_id int, feature string, edited_at int, status string")
+    out = reviews.history(df, ["feature"], "status", parts=9)
+    want, last = {}, {}
+    for i, k, _, v in sorted(rows, key=lambda x: (x[2], x[0])):
+        want[i] = last.get(k)
+        last[k] = v
+    assert {x["edit_id"]: x["old_value"] for x in out.collect()} == want and out.columns == [*df.columns, "old_value"]
+
+
 def test_edge_collapse_and_search(spark):
     raw = spark.createDataFrame([("r", "g", "+", "S"), ("r", "g", "-", "W"), ("r", "h", "?", "C"), ("q", "h", "+", "?")], "src string, dst string, sign string, confidence string")
     got = {(r["src"], r["dst"]): (r["rank"], r["effect"], r["n_evidence"]) for r in graph.collapsed_edges(raw).collect()}
