@@ -10,8 +10,8 @@ Which tokens may follow each other comes from the merge order: two tokens are ap
 in an encoding unless some merge across their border comes before the merges that
 built them up to it.
 
-Null and empty texts have no tokens; repeated rows are each encoded; an empty table gives
-an empty result.
+Null and empty texts have no tokens; texts of any length are encoded whole; repeated rows are each encoded; an
+empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations

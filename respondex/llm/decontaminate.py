@@ -13,7 +13,8 @@ A pass over the documents meets HELD blocks at most, which bounds the memory of
 driver; if there are more, the spans found so far go along as a column and the table is
 staged between passes.
 
-Null texts have no words.  Repeated rows are each scanned.  Items that repeat count each under its own id; items with a
+Null and empty texts have no words; texts of any length stream through whole; an empty table on either side
+gives no hits.  Only the named columns are read, so others may have any name.  Repeated rows are each scanned.  Items that repeat count each under its own id; items with a
 null id take part in hits but are not listed.
 """
 

@@ -12,7 +12,9 @@ n-grams kept are those of the largest share of any one language's.
 
 Null texts and texts without a letter are ``und`` with score 0.  A word whose script no
 language uses may be any language.  Without labelled rows every text is ``und``.
-Repeated rows are each predicted, and each count as labelled rows.
+Repeated rows are each predicted, and each count as labelled rows.  Texts of any length are labelled whole; of
+equally good labels the first language by name is taken; an empty table gives an empty result; only the named columns
+are read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ training rows that the network doesn't see make its sigmoid a calibrated probabi
 At most about ``max_rows`` labelled rows, picked evenly by a hash of the id, are used (a
 classifier's documented bound); of rows that share an id one is used to learn, and each is scored.  Empty and null texts are scored as documents without
 terms.  Without labels, or with one label only, the score is the share of label 1 (0.5
-without any).
+without any).  Texts of any length are pooled whole; repeated rows are each scored; of several labels of an id
+the larger counts; equal documents have equal scores; an empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations

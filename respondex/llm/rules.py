@@ -10,7 +10,8 @@ within the limit; shorter ones and those that fail a base rule are not kept.  Do
 without a language are held against the sum of all.
 
 Null and empty texts have no words and fail the base rules; repeated rows are each judged
-and count each for the references.
+and count each for the references.  Texts of any length are counted whole; equally used words are taken in
+their order; an empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ broadcast and the pages are read once, without a shuffle; otherwise that join is
 as one URL may hold many rows, and only possible hits are shuffled.
 
 Null URLs, and URLs without ``://``, have an empty host and path, fit no rule and are
-never listed.  Repeated rows are each judged.
+never listed.  Repeated rows are each judged.  URLs of any length are compared whole; of equally long rules
+the last in the order of verdict, host and path holds; an empty table or list gives an empty result or no hits; only the named columns are read.
 """
 
 from __future__ import annotations
