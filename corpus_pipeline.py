@@ -21,7 +21,7 @@ from respondex.plans.staging import discard, staged
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; the model is learned from those with a label.
+    """Documents whose language is known with a score of at least 0.2; the model is learned from those with a label.
 
     Null and empty texts, and texts without a letter, have no language and go.
     """
