@@ -60,21 +60,37 @@ def reference_paths(interactions: DataFrame, tu_genes: DataFrame, tu_promoters:
     return gene.unionByName(p.select(*cols, basis)).unionByName(t.select(*cols, basis))
 
 
+def path_targets(candidates: DataFrame, tu_genes: DataFrame, tu_promoters: DataFrame) -> dict[str, DataFrame]:
+    """What each candidate's paths may end at, by kind: ``(feature, gene)`` itself, ``(feature, promoter)`` its own and its units', ``(feature, tu)`` its units; each pair once."""
+    c = candidates.select("feature").distinct()
+    tus = c.join(tu_genes.select(F.col("gene").alias("feature"), "tu"), "feature").distinct()
+    proms = tus.join(tu_promoters, "tu").select("feature", "promoter")
+    if "promoter" in candidates.columns:
+        proms = proms.unionByName(candidates.where("promoter IS NOT NULL").select("feature", "promoter"))
+    return {"gene": c.select("feature", F.col("feature").alias("gene")), "promoter": proms.distinct(), "tu": tus}
+
+
+def path_counts(candidates: DataFrame, interactions: DataFrame, tu_genes: DataFrame, tu_promoters: DataFrame) -> DataFrame:
+    """``(feature, kind, n)``: how many paths ``candidate_paths`` has, without making them.
+
+    Interactions are counted by their target first, so what is joined grows with targets.
+    """
+    parts = []
+    for kind, pairs in path_targets(candidates, tu_genes, tu_promoters).items():
+        k = interactions.where(F.col("kind") == kind).groupBy(kind).agg(F.count("*").alias("k"))
+        parts.append(pairs.join(k, kind).groupBy("feature").agg(F.sum("k").alias("n")).select("feature", F.lit(kind).alias("kind"), "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def candidate_paths(candidates: DataFrame, interactions: DataFrame, tu_genes: DataFrame, tu_promoters: DataFrame) -> DataFrame:
     """``(feature, interaction, kind)``: interactions of the feature itself, of its units, and of its own or its units' promoters; not those of sibling features.
 
     candidates: (feature[, promoter]), a promoter being the candidate's own.  Keys are made
     distinct before the joins; an interaction has one kind, so no pair can come twice.
     """
-    c = candidates.select("feature").distinct()
-    tus = c.join(tu_genes.select(F.col("gene").alias("feature"), "tu"), "feature").distinct()
-    proms = tus.join(tu_promoters, "tu").select("feature", "promoter")
-    if "promoter" in candidates.columns:
-        proms = proms.unionByName(candidates.where("promoter IS NOT NULL").select("feature", "promoter"))
-    of = lambda kind, key: interactions.where(F.col("kind") == kind).select(key, "interaction", "kind")
-    own = c.join(of("gene", "gene").withColumnRenamed("gene", "feature"), "feature")
-    parts = [own, proms.distinct().join(of("promoter", "promoter"), "promoter"), tus.join(of("tu", "tu"), "tu")]
-    return reduce(DataFrame.unionByName, [x.select("feature", "interaction", "kind") for x in parts])
+    targets = path_targets(candidates, tu_genes, tu_promoters)
+    of = lambda kind: interactions.where(F.col("kind") == kind).select(kind, "interaction", "kind")
+    return reduce(DataFrame.unionByName, [pairs.join(of(kind), kind).select("feature", "interaction", "kind") for kind, pairs in targets.items()])
 
 
 def actor_interactions(interactions: DataFrame, regulator: int | None = None, kind: str | None = None) -> DataFrame:
