@@ -182,8 +182,15 @@ def distances(g: DataFrame) -> DataFrame:
     return d.select("a", "b", F.sqrt(F.greatest(F.lit(0.0), F.col("aa") + F.col("bb") - 2 * F.col("dot"))).alias("distance"))
 
 
-def principal_components(g: DataFrame, k: int = 2) -> DataFrame:
-    """``(sample, component, score, share)`` from the Gram table, whose size is samples squared; the largest score of a component is positive."""
+def principal_components(g: DataFrame, k: int = 2, most: int = 4_096) -> DataFrame:
+    """``(sample, component, score, share)`` from the Gram table; the largest score of a component is positive.
+
+    The table's size is samples squared, and it is solved where the query is built, so more than ``most`` samples are an error.
+    """
+    g = staged(g, "gram")
+    n = g.where("a = b").count()
+    if n > most:
+        raise ValueError(f"{n} samples are more than the {most} that one machine solves")
     rows = g.collect()
     names = sorted({r["a"] for r in rows})
     at = {n: i for i, n in enumerate(names)}
