@@ -1,10 +1,10 @@
 """Token counts by a two-tier lookup on the map side.
 
 Tier one is a compact table of the token counts of frequent pre-tokens: pre-tokens are counted on a bounded
-sample (``SAMPLE`` rows, adding up in each task before anything is gathered), the ``FREQUENT`` most frequent are
-encoded once, and their bytes and lengths are broadcast.  Tier two encodes the rest through the bounded
-cache of each worker.  Counts are exact with any table; the sample only decides what is spared.  No
-pre-token is shuffled but those of the sample, and the table doesn't grow with data.
+sample (the first ``SAMPLE`` rows that Spark finds), the ``FREQUENT`` most frequent are encoded once, and their bytes
+and lengths are broadcast.  Tier two encodes the rest through the bounded cache of each worker.  Counts are exact
+with any table; the sample only decides what is spared.  No pre-token is shuffled, and the table doesn't
+grow with data.
 
 Null texts count as empty; texts of any length are counted whole; special strings count as the special tokens;
 repeated rows are each counted; of equally frequent pre-tokens the lower ones stay; an empty table gives
@@ -20,29 +20,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from respondex.llm.batches import map_rows, steps
+from respondex.llm.batches import map_rows
 from respondex.llm.bpe import Encoder, tokenizer_file
-from respondex.plans.shipping import ship
 
-#: Rows of the sample (a task of it hands on at most twice the table), entries of the table, and words that a worker keeps beside it.
-SAMPLE, FREQUENT, KEPT = 4_000, 65_536, 200_000
+#: Rows of the sample and their characters at most, entries of the table, and words that a worker keeps beside it.
+SAMPLE, SAMPLE_CHARS, FREQUENT, KEPT = 2_000, 20_000, 65_536, 200_000
 
 
-def frequent(rows: DataFrame, raw, size: int = FREQUENT, sample: int = SAMPLE) -> list[str]:
-    """The most frequent pre-tokens of at most ``sample`` rows (text)."""
+def frequent(rows: DataFrame, e: Encoder, size: int | None = None, sample: int = SAMPLE) -> list[str]:
+    """The most frequent pre-tokens of the first ``sample`` rows (text) of at most SAMPLE_CHARS characters.
 
-    def count(batches):
-        e, seen = Encoder(raw.value), Counter()
-        for batch in steps(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                seen.update(e.words(text) if text else ())
-        top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: 2 * size]
-        yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
-
-    ship(rows.sparkSession)
-    parts = rows.select("text").limit(sample).repartition(8).mapInArrow(count, "word string, n long")
-    got = parts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()
-    return got["word"].to_pylist()
+    Spark reads as many partitions as it needs for them; they are counted where the query is built.
+    """
+    seen: Counter = Counter()
+    for r in rows.where(F.length("text") <= SAMPLE_CHARS).select("text").take(sample):
+        seen.update(e.words(r["text"]))
+    return [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: FREQUENT if size is None else size]]
 
 
 class Sizes(dict):
@@ -70,7 +63,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     content = tokenizer_file(path)
     raw, e = sc.broadcast(content), Encoder(content)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    words = [w for w in frequent(rows, raw) if "\0" not in w]
+    words = [w for w in frequent(rows, e) if "\0" not in w]
     lengths = dict(zip(words, map(len, e.encode_all(words)), strict=True))
     table = sc.broadcast(("\0".join(words).encode(), bytes(min(255, lengths[w]) for w in words)))
 

@@ -46,9 +46,8 @@ def test_frequent_pretokens_are_measured(spark, monkeypatch):
     t = tok.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = ["the theandore ededshhe " * 40, "theandore ededshhe qqzzq " * 30, None, "", "<|endoftext|> theandore", *ODD]
     d = docs(spark, texts)
-    raw = spark.sparkContext.broadcast(bpe.tokenizer_file())
-    words = token_counts.frequent(d, raw, size=5)
-    e = bpe.Encoder(raw.value)
+    e = bpe.Encoder(bpe.tokenizer_file())
+    words = token_counts.frequent(d, e, size=5)
     seen = Counter(w for x in texts if x for w in e.words(x))
     assert words == sorted(seen, key=lambda w: (-seen[w], w.encode()))[:5]
     assert max(len(x) for x in e.encode_all(words)) > 1  # not only entries of the vocabulary
