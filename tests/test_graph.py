@@ -416,3 +416,27 @@ def test_batch_search_equals_contains(spark):
     assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
     got = [tuple(x) for x in df.collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def path_tables(spark, seed=5):
+    """Candidates, some with a promoter of their own, interactions of all kinds, units and their promoters; targets are shared and some lead nowhere."""
+    rnd = random.Random(seed)
+    genes = [(t, g) for g in range(30) for t in {rnd.randrange(8) for _ in range(rnd.randrange(3))}]
+    proms = sorted({(t, rnd.randrange(6)) for t in range(9) for _ in range(2) if t != 4})
+    rows = {(r, k, rnd.randrange({"gene": 32, "promoter": 8, "tu": 10}[k])) for r in range(12) for k in ("gene", "promoter", "tu") for _ in range(6)}
+    inter = [(f"{r}-{k}{x}-{n}", r, k, *[x if k == c else None for c in ("gene", "promoter", "tu")]) for r, k, x in sorted(rows) for n in range(1 + x % 2)]
+    return (
+        spark.createDataFrame([(f, f % 6 if f % 2 else None) for f in range(0, 30, 2)] + [(f, 3) for f in (1, 3)], "feature long, promoter long"),
+        spark.createDataFrame(inter, "interaction string, regulator long, kind string, gene long, promoter long, tu long"), spark.createDataFrame(genes, "tu long, gene long"), spark.createDataFrame(proms, "tu long, promoter long"),
+    )
+
+
+def sorted_rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_path_ends_join_no_interaction_to_candidates(spark):
+    inputs = path_tables(spark)
+    by = store.candidate_paths(*inputs).groupBy("feature", "kind")
+    want = by.agg(F.min("interaction").alias("first"), F.max("interaction").alias("last"), F.count("*").alias("n"))
+    assert sorted_rows(store.path_ends(*inputs).select(want.columns)) == sorted_rows(want)
