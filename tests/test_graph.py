@@ -440,3 +440,9 @@ def test_path_ends_join_no_interaction_to_candidates(spark):
     by = store.candidate_paths(*inputs).groupBy("feature", "kind")
     want = by.agg(F.min("interaction").alias("first"), F.max("interaction").alias("last"), F.count("*").alias("n"))
     assert sorted_rows(store.path_ends(*inputs).select(want.columns)) == sorted_rows(want)
+
+
+def test_local_graph_counts_make_no_graph(spark):
+    inputs = path_tables(spark)
+    want = store.local_graph(store.candidate_paths(*inputs), inputs[1]).groupBy("feature", "kind").agg(F.count("*").alias("n"))
+    assert sorted_rows(store.local_graph_counts(*inputs)) == sorted_rows(want)
