@@ -446,3 +446,9 @@ def test_local_graph_counts_make_no_graph(spark):
     inputs = path_tables(spark)
     want = store.local_graph(store.candidate_paths(*inputs), inputs[1]).groupBy("feature", "kind").agg(F.count("*").alias("n"))
     assert sorted_rows(store.local_graph_counts(*inputs)) == sorted_rows(want)
+
+
+def test_local_node_counts_make_no_graph(spark):
+    inputs = path_tables(spark)
+    want = store.local_nodes(store.local_graph(store.candidate_paths(*inputs), inputs[1])).groupBy("feature", "kind").agg(F.count("*").alias("n"))
+    assert sorted_rows(store.local_node_counts(*inputs)) == sorted_rows(want)
