@@ -452,3 +452,24 @@ def test_local_node_counts_make_no_graph(spark):
     inputs = path_tables(spark)
     want = store.local_nodes(store.local_graph(store.candidate_paths(*inputs), inputs[1])).groupBy("feature", "kind").agg(F.count("*").alias("n"))
     assert sorted_rows(store.local_node_counts(*inputs)) == sorted_rows(want)
+
+
+@pytest.mark.parametrize("wide", [1, 256])
+def test_reachable_equals_a_search(spark, wide):
+    rnd = random.Random(wide)
+    edges = sorted({(f"n{rnd.randrange(14)}", f"{rnd.choice('nz')}{rnd.randrange(25)}") for _ in range(60)} | {("a", "z1"), ("a", "n1"), ("b", "n1"), ("b", "z40")})
+    to = {}
+    for s, d in edges:
+        to.setdefault(s, []).append(d)
+    want = set()
+    for start in ("a", "b", "n3", "z2", "c"):
+        todo, seen = [start], {start}
+        while todo:
+            for d in to.get(todo.pop(), []):
+                if d not in seen:
+                    seen.add(d)
+                    todo.append(d)
+        want |= {(start, x) for x in seen}
+    e = spark.createDataFrame([(s, d, 1) for s, d in edges for _ in range(2)], "src string, dst string, n int")
+    got = graph.reachable(e, spark.createDataFrame([(x,) for x in ("a", "b", "n3", "z2", "c", "a")], "start string"), fold=2, wide=wide).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
