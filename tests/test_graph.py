@@ -473,3 +473,10 @@ def test_reachable_equals_a_search(spark, wide):
     e = spark.createDataFrame([(s, d, 1) for s, d in edges for _ in range(2)], "src string, dst string, n int")
     got = graph.reachable(e, spark.createDataFrame([(x,) for x in ("a", "b", "n3", "z2", "c", "a")], "start string"), fold=2, wide=wide).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_sequences_are_cut_in_one_pass(spark):
+    texts = [(i, "".join(random.Random(i).choices("ACGT\n", k=n))) for i, n in enumerate((1, 31, 255, 256, 257, 512, 2000))]
+    d = interval.chunked(spark.createDataFrame([*texts, (99, ""), (98, None)], "id long, g string"), "id", "g", 256)
+    assert sorted_rows(d) == sorted([(i, n, t[n * 256 : n * 256 + 256]) for i, t in texts for n in range((len(t) + 255) // 256)], key=repr)
+    assert "substring" not in d._jdf.queryExecution().optimizedPlan().toString()
