@@ -480,3 +480,11 @@ def test_sequences_are_cut_in_one_pass(spark):
     d = interval.chunked(spark.createDataFrame([*texts, (99, ""), (98, None)], "id long, g string"), "id", "g", 256)
     assert sorted_rows(d) == sorted([(i, n, t[n * 256 : n * 256 + 256]) for i, t in texts for n in range((len(t) + 255) // 256)], key=repr)
     assert "substring" not in d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reference_totals_make_no_paths(spark):
+    _, *tables = path_tables(spark)
+    by = store.reference_paths(*tables).groupBy("regulator", "kind", "basis")
+    want = by.agg(F.count("*").alias("n"), F.count_distinct("gene").alias("genes"), F.count_distinct("promoter").alias("promoters"))
+    assert {r["basis"] for r in want.collect()} == {"direct", "context", "missing"}
+    assert sorted_rows(store.reference_totals(*tables).select(want.columns)) == sorted_rows(want)
