@@ -488,3 +488,12 @@ def test_reference_totals_make_no_paths(spark):
     want = by.agg(F.count("*").alias("n"), F.count_distinct("gene").alias("genes"), F.count_distinct("promoter").alias("promoters"))
     assert {r["basis"] for r in want.collect()} == {"direct", "context", "missing"}
     assert sorted_rows(store.reference_totals(*tables).select(want.columns)) == sorted_rows(want)
+
+
+def test_path_texts_are_the_sorted_paths(spark):
+    inputs = path_tables(spark)
+    want = {r["feature"]: set() for r in inputs[0].collect()}
+    for r in store.candidate_paths(*inputs).collect():
+        want[r["feature"]].add(f"{r['kind']}:{r['interaction']}")
+    got = {r["feature"]: ";".join(r["texts"]) for r in store.path_texts(*inputs).collect()}
+    assert got == {f: ";".join(sorted(x)) for f, x in want.items()}
