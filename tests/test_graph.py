@@ -497,3 +497,13 @@ def test_path_texts_are_the_sorted_paths(spark):
         want[r["feature"]].add(f"{r['kind']}:{r['interaction']}")
     got = {r["feature"]: ";".join(r["texts"]) for r in store.path_texts(*inputs).collect()}
     assert got == {f: ";".join(sorted(x)) for f, x in want.items()}
+
+
+def test_unit_context_sums_up_each_remainder_once(spark, tmp_path):
+    from respondex.plans import catalog
+
+    spark.range(400).select(F.col("id").alias("p_partkey")).write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(500).select(F.col("id").alias("s_suppkey")).union(spark.range(7, 8)).write.parquet(str(tmp_path / "supplier.parquet"))
+    got = catalog.QUERIES["a28_unit_context"](spark, str(tmp_path))
+    rows = {r["set"]: r for r in got.collect()}
+    assert len(rows) == 500 and rows[7]["features"] == 16 and rows[57]["features"] == 8 and rows[7]["share"] == rows[57]["share"]
