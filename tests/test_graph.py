@@ -507,3 +507,16 @@ def test_unit_context_sums_up_each_remainder_once(spark, tmp_path):
     got = catalog.QUERIES["a28_unit_context"](spark, str(tmp_path))
     rows = {r["set"]: r for r in got.collect()}
     assert len(rows) == 500 and rows[7]["features"] == 16 and rows[57]["features"] == 8 and rows[7]["share"] == rows[57]["share"]
+
+
+def test_pairings_are_dealt_by_their_pairs(spark, monkeypatch):
+    from respondex.operators import modules
+    from respondex.plans import skew
+
+    rows = [(i, i % 3 if i % 10 else None, i % 4 == 0 if i % 11 else None) for i in range(200)] + [(900, 7, True), (901, 8, False), (902, 1, False), (902, 1, False)]
+    monkeypatch.setattr(modules, "dealt_by_output", lambda *a: skew.dealt_by_output(*a, each=200))
+    d = modules.pairings(spark.createDataFrame(rows, "condition long, background long, treated boolean"), block=5)
+    want = [(b, x, y) for x, b, t in rows for y, c, u in rows if t and u is False and b == c and b is not None]
+    assert sorted_rows(d) == sorted(want, key=repr)
+    tasks = d.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) >= 4 and max(r["count"] for r in tasks) < len(want) / 3
