@@ -520,3 +520,17 @@ def test_pairings_are_dealt_by_their_pairs(spark, monkeypatch):
     assert sorted_rows(d) == sorted(want, key=repr)
     tasks = d.groupBy(F.spark_partition_id()).count().collect()
     assert len(tasks) >= 4 and max(r["count"] for r in tasks) < len(want) / 3
+
+
+def test_edges_of_features_are_chosen_before_the_shuffle(spark, tmp_path):
+    from respondex.plans import bindings
+
+    rows = [(o, o % 5, o % 7, "O" if o % 2 else "F") for o in range(60)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_partkey long, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(o, f"{1 + o % 5}-X") for o in range(50)], "o_orderkey long, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    few = spark.createDataFrame([(2,), (3,), (3,), (99,)], "feature long")
+    d = str(tmp_path)
+    some = bindings.edges(spark, d, few)
+    assert sorted_rows(some) == sorted_rows(bindings.edges(spark, d).where("dst IN (2, 3)"))
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") > plan.index("Inner")
