@@ -534,3 +534,12 @@ def test_edges_of_features_are_chosen_before_the_shuffle(spark, tmp_path):
     assert sorted_rows(some) == sorted_rows(bindings.edges(spark, d).where("dst IN (2, 3)"))
     plan = some._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("LeftSemi") > plan.index("Inner")
+
+
+def test_panel_options_shuffle_edges_of_their_features_only(spark, monkeypatch):
+    from respondex.plans import bindings, q_joins
+
+    asked, whole = [], bindings.edges
+    monkeypatch.setattr(q_joins.b, "edges", lambda *a: asked.append(a[2:]) or whole(*a))
+    q_joins._options(spark, "/root/testdata/sf0.001")
+    assert len(asked) == 1 and "feature" in asked[0][0].columns
