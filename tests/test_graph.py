@@ -399,6 +399,24 @@ def test_combined_sets_equal_brute_force(spark):
         assert (x["shared"], x["in_set"], x["in_component"]) == (shared, size, len(comps[k[0]])) and x["p"] == pytest.approx(p, abs=2e-9) and x["q"] == pytest.approx(q, abs=1e-6)
 
 
+def test_combined_sets_make_no_pairs_that_are_left_out(spark, monkeypatch):
+    from respondex.operators import modules
+
+    made, write = [], modules.staged
+
+    def counted(df, name, codec=None):
+        out = write(df, name, codec)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(modules, "staged", counted)
+    sets = spark.createDataFrame([(f"s{f // 5:03d}", f) for f in range(2000)], "set string, feature int")
+    m = spark.createDataFrame([("c", f) for f in range(2000) if f % 5 == 0 or f < 10], "component string, feature int")
+    got = {(x["a"], x["b"], x["op"], x["shared"], x["in_set"]) for x in modules.combined_sets(m, sets, 2000, 0.05).collect()}
+    assert ("s000", "s001", "or", 10, 10) in got and all({a, b} & {"s000", "s001"} for a, b, *_ in got)
+    assert max(made) < 2000
+
+
 def test_identity_keeps_every_row(spark):
     al = identity.alias_map(spark.createDataFrame([("thra", "thrA", 1, "b0002"), ("b0002", "thrA", 1, "b0002"), ("nolocus", "xyz", 2, ""), ("b0009", "abc", 3, None)], "token string, feature string, ord int, locus string"))
     rows = [(1, "b0002", "x"), (2, "zz", "geneX"), (3, "b4444", None), (4, None, "THRA"), (5, "", " "), (6, "b0009", "own"), (7, None, "nolocus")]
