@@ -151,6 +151,30 @@ def test_whole_queries_take_all_ids(spark):
     assert {r["feature"]: r["components"] for r in q("g6_neighbours").collect()} == {f: len(of[f] & near) for f in of if f not in seeds and of[f] & near}
 
 
+def test_pairs_of_blocks_equal_brute_force(spark):
+    import pyarrow as pa
+
+    r = random.Random(1)
+    for trial in range(20):
+        y, n = trial % 2, r.choice([0, 1, 5, 30])
+        rows = [(0, y, r.choice([0, y]), f"f{i:02d}", sorted(r.sample(range(10), r.randint(1, 6)))) for i in r.sample(range(99), n)]
+        kinds = dict(x=pa.int32(), y=pa.int32(), own=pa.int32(), feature=pa.string(), components=pa.list_(pa.int32()))
+        m = pa.table({c: pa.array([x[i] for x in rows], kind) for i, (c, kind) in enumerate(kinds.items())})
+        want = {(a[3], b[3]): sorted(set(a[4]) & set(b[4])) for a in rows for b in rows if a[3] < b[3] and set(a[4]) & set(b[4]) and (y == 0 or a[2] != b[2])}
+        barred = r.sample(sorted(want), len(want) // 3)
+        known = pa.table({c: pa.array([p[i] for p in barred], pa.string()) for i, c in enumerate("ab")})
+        for each in (1, 7, 1 << 21):
+            got = graph.block_pairs(m, known, each).to_pylist()
+            assert {(x["a"], x["b"]): x["components"] for x in got} == {k: v for k, v in want.items() if k not in barred}
+            assert len({(x["a"], x["b"]) for x in got}) == len(got) and all(x["shared"] == len(x["components"]) for x in got)
+    m = spark.createDataFrame([(f"f{i}", i % 3) for i in range(40)], "feature string, component int")
+    pairs = graph.co_members(m, m.select("feature"), spark.createDataFrame([("f0", "f3"), ("f6", "f0"), ("f3", "zz")], "src string, dst string"), block=7)
+    got = {(x["a"], x["b"]) for x in pairs.collect()}
+    assert got == {(f"f{i}", f"f{j}") for i in range(40) for j in range(40) if i % 3 == j % 3 and f"f{i}" < f"f{j}"} - {("f0", "f3"), ("f0", "f6")}
+    top = pairs._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroups")  # no pair is shuffled
+    assert len(top) > 1 and "Exchange" not in top[0]
+
+
 def test_fragment_window(spark):
     prom = spark.createDataFrame([("p", 100, "+"), ("q", 100, "-"), ("r", None, "+")], "promoter string, tss long, strand string")
     sites = spark.createDataFrame([("p", 75, 130), ("q", 75, 130), ("p", 0, 5), ("p", 9, 3)], "promoter string, left long, right long")
