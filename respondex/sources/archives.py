@@ -1,7 +1,8 @@
 """Tar archives of text members, read member by member.
 
 The ``tar_members`` data source walks an archive's headers by seeking from one to the next, so planning
-reads no content, and gives each member a partition of its own; a gzipped member is unpacked as a stream.
+reads no content, and gives each member a partition of its own, or where there are many, neighbours that are small
+together one; a gzipped member is unpacked as a stream.
 Archives are opened where they lie by ``pyarrow.fs``, which seeks in local and shared folders and in the
 object stores that it knows.
 """
@@ -22,9 +23,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from respondex.plans.shipping import ship
 from respondex.plans.skew import broadcast_if_small
+from respondex.plans.staging import staged
 
-#: Lines of a batch.
-LINES = 4_096
+#: Lines of a batch; members that may each have a partition, and bytes of the small ones that share one beyond that.
+LINES, ALONE, SHARED = 4_096, 256, 1 << 20
 KIND = "archive string, member string, line_no long, line string"
 
 
@@ -38,6 +40,26 @@ class Member(InputPartition):
     size: int
 
 
+@dataclass
+class Members(InputPartition):
+    """Members that one task reads."""
+
+    members: list[Member]
+
+
+def packed(members: list[Member]) -> list[Members]:
+    """A partition for each member, or if there are more than ``ALONE``, for neighbours of up to ``SHARED`` bytes, and a share of all."""
+    most = min(SHARED, sum(m.size for m in members) // ALONE) if len(members) > ALONE else -1
+    out, held = [], 0
+    for m in members:
+        if not out or held + m.size > most:
+            out.append(Members([]))
+            held = 0
+        out[-1].members.append(m)
+        held += m.size
+    return out
+
+
 class Part(io.RawIOBase):
     """Some bytes of a file that can seek, as a stream."""
 
@@ -70,23 +92,29 @@ def opened(path: str):
 
 
 class TarReader(DataSourceReader):
-    def __init__(self, path: str, holds: str):
-        self.path, self.holds = path, holds
+    def __init__(self, path: str, holds: str, first: bool):
+        self.path, self.holds, self.first = path, holds, first
 
-    def partitions(self) -> list[Member]:
+    def partitions(self) -> list[Members]:
         out = []
         for archive in archives_below(self.path):
             with opened(archive) as f, tarfile.open(fileobj=f, mode="r:") as tar:
                 out += [Member(archive, m.name, m.offset_data, m.size) for m in tar if m.isfile() and self.holds in m.name]
-        return out
+        return packed(out)
+
+    def read(self, part: Members) -> Iterator[pa.RecordBatch]:
+        for member in part.members:
+            yield from self.lines(member)
 
-    def read(self, member: Member) -> Iterator[pa.RecordBatch]:
+    def lines(self, member: Member) -> Iterator[pa.RecordBatch]:
         with opened(member.archive) as f:
             raw = io.BufferedReader(Part(f, member.offset, member.size))
             plain = gzip.GzipFile(fileobj=raw) if raw.peek(2)[:2] == b"\x1f\x8b" else raw
             lines, n = [], 0
             for line in io.TextIOWrapper(plain, encoding="utf-8", errors="replace", newline=None):
                 lines.append(line.rstrip("\n"))
+                if self.first:
+                    break
                 if len(lines) == LINES:
                     yield self.batch(member, n, lines)
                     n, lines = n + len(lines), []
@@ -99,7 +127,7 @@ class TarReader(DataSourceReader):
 
 
 class TarMembers(DataSource):
-    """``(archive, member, line_no, line)``; options: path, and holds, a text that the names of members hold."""
+    """``(archive, member, line_no, line)``; options: path; holds, a text that the names of members hold; first, whether each one's first line is all that is read."""
 
     @classmethod
     def name(cls) -> str:
@@ -109,17 +137,17 @@ class TarMembers(DataSource):
         return KIND
 
     def reader(self, schema) -> TarReader:
-        return TarReader(self.options["path"], self.options.get("holds", ""))
+        return TarReader(self.options["path"], self.options.get("holds", ""), self.options.get("first", "") == "true")
 
 
-def members(spark: SparkSession, path: str, holds: str = "") -> DataFrame:
-    """Lines of the members of the tar archives at a URI or below it, a partition for each member whose name holds the text."""
+def members(spark: SparkSession, path: str, holds: str = "", first: bool = False) -> DataFrame:
+    """Lines of the members of the tar archives at a URI or below it whose names hold the text; first: only the first line of each is read."""
     ship(spark)
     spark.dataSource.register(TarMembers)
-    return spark.read.format("tar_members").option("holds", holds).load(path)
+    return spark.read.format("tar_members").option("holds", holds).option("first", str(first).lower()).load(path)
 
 
-def member_values(lines: DataFrame, id_column: str, pattern: str, suffix: str | None = None, groups: dict[str, list[str]] | None = None, sep: str = "\t", notes: list[str] = ()) -> DataFrame:
+def member_values(lines: DataFrame, id_column: str, pattern: str, suffix: str | None = None, groups: dict[str, list[str]] | None = None, sep: str = "\t", notes: list[str] = (), heads: DataFrame | None = None) -> DataFrame:
     """``(feature, sample, grp, replicate, condition, value, member[, notes])`` of tables, one a member.
 
     suffix: None takes the last column as the value and its name as the sample, and tries the pattern on that name
@@ -127,11 +155,12 @@ def member_values(lines: DataFrame, id_column: str, pattern: str, suffix: str |
     case, is the value, the name without it is the sample, and the pattern is tried on the member's
     name only.  pattern: groups 1 and 2 are a sample's group and replicate; members that it fits nowhere are
     passed over.  groups: conditions to their groups; members of no group are passed over.  notes: further
-    columns to keep.  The header of a member, one row each, is joined by its name.
+    columns to keep.  The header of a member, one row each, is joined by its name.  heads: the first lines of the same members, if
+    they can be read alone.
     """
     key = ["archive", "member"]
     cells = F.split("line", sep)
-    head = lines.where("line_no = 0").select(*key, cells.alias("names"))
+    head = (lines if heads is None else heads).where("line_no = 0").select(*key, cells.alias("names"))
     if suffix is None:
         value = F.size("names") - 1
         head = head.withColumn("at", value).withColumn("sample", F.col("names")[value])
@@ -146,7 +175,7 @@ def member_values(lines: DataFrame, id_column: str, pattern: str, suffix: str |
     of = {g: c for c, names in (groups or {}).items() for g in names}
     condition = F.element_at(F.create_map(*[F.lit(x) for kv in of.items() for x in kv]), F.col("fit.grp")) if of else F.lit(None).cast("string")
     head = head.withColumn("condition", condition)
-    head = head.where("condition IS NOT NULL") if of else head
+    head = staged(head.where("condition IS NOT NULL") if of else head, "heads")
     place = lambda name: (F.array_position("names", name) - 1).cast("int")
     d = lines.where("line_no > 0 AND trim(line) <> ''").join(broadcast_if_small(head), key)
     got = lambda at: F.get(cells, at)

@@ -57,6 +57,23 @@ def test_archive_members_are_partitions(spark, tmp_path):
     assert sorted(tuple(r) for r in named) == [("s", str(k), "treated") for k in range(4)]
 
 
+def test_many_small_members_share_partitions(spark, tmp_path):
+    m = [archives.Member("a", str(i), 0, size) for i, size in enumerate([100] * 3000 + [5_000_000] * 3 + [0] * 2000)]
+    parts = archives.packed(m)
+    assert [x for p in parts for x in p.members] == m and len(parts) < 2 * archives.ALONE
+    assert all(len(p.members) == 1 or sum(x.size for x in p.members) <= archives.SHARED for p in parts)
+    with tarfile.open(tmp_path / "x.tar", "w") as t:
+        for k in range(1000):
+            data = gzip.compress(f"id\tGSM_a{k}\nf\t{k}\ng\t1\n".encode())
+            info = tarfile.TarInfo(f"m{k}.gz")
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    lines, heads = archives.members(spark, f"file://{tmp_path}/x.tar"), archives.members(spark, f"file://{tmp_path}/x.tar", first=True)
+    assert lines.rdd.getNumPartitions() < 600 and heads.count() == 1000 and lines.count() == 3000
+    got = archives.member_values(lines, "id", r"GSM_([a-z])(\d+)", heads=heads).groupBy("feature").agg(F.count("*").alias("n"), F.sum("value").alias("s")).collect()
+    assert {(x["feature"], x["n"], x["s"]) for x in got} == {("f", 1000, 499500.0), ("g", 1000, 1000.0)}
+
+
 def small_splits(spark, size):
     spark.conf.set("spark.sql.files.maxPartitionBytes", size)
     spark.conf.set("spark.sql.files.openCostInBytes", "1")
