@@ -175,6 +175,19 @@ def test_pairs_of_blocks_equal_brute_force(spark):
     assert len(top) > 1 and "Exchange" not in top[0]
 
 
+def test_totals_and_names_read_their_tables_once(spark, monkeypatch):
+    from respondex.operators import store
+
+    names, write = [], store.staged
+    monkeypatch.setattr(store, "staged", lambda df, name, codec=None: names.append(name) or write(df, name, codec))
+    i = spark.createDataFrame([("x", "gene", 1, None, None), ("y", "promoter", None, 5, None), ("z", "tu", None, None, 7), ("w", "tu", None, None, 7)], "interaction string, kind string, gene long, promoter long, tu long")
+    units = spark.createDataFrame([(7, 1)], "tu long, gene long")
+    got = store.path_counts(spark.createDataFrame([(1,)], "feature long"), i, units, spark.createDataFrame([(7, 5)], "tu long, promoter long")).collect()
+    assert {(x["kind"], x["n"]) for x in got} == {("gene", 1), ("promoter", 1), ("tu", 2)} and names == ["target-totals"]
+    named = graph.group_names(spark.createDataFrame([(1, "a"), (2, "a"), (2, None)], "unit long, member string"), spark.createDataFrame([(1, 1), (2, 1)], "unit long, grp long"))
+    assert [tuple(x) for x in named.collect()] == [(1, "a")] and "collect_set" not in named._jdf.queryExecution().toString()
+
+
 def test_fragment_window(spark):
     prom = spark.createDataFrame([("p", 100, "+"), ("q", 100, "-"), ("r", None, "+")], "promoter string, tss long, strand string")
     sites = spark.createDataFrame([("p", 75, 130), ("q", 75, 130), ("p", 0, 5), ("p", 9, 3)], "promoter string, left long, right long")
