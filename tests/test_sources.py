@@ -126,3 +126,31 @@ def test_a_load_rewrites_the_buckets_that_it_names(spark, tmp_path):
     assert len([g for g in gone if g.startswith("load=000001")]) == len(named & set(first)) and {r["k"] for r in store.current().collect()} == set(want)
     store.load(spark.createDataFrame([(1, 0, "zero", None)], kind))
     assert store.current().where("k = 1").first()["a_first"] == "zero"
+
+
+def test_files_are_written_and_hashed_by_tasks(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from respondex.operators import checks
+    from respondex.plans import catalog
+    from respondex.sources import sinks
+
+    monkeypatch.setattr(sinks, "FILES", 10)
+    texts = {str(i): f"línea {i}\n" * (i % 3) for i in range(95)} | {"big": "x" * (3 << 20)}
+    path = f"file://{tmp_path}/below"
+    assert sinks.write_texts(spark.createDataFrame(list(texts.items()), "name string, text string"), path) == 96
+    assert len(list((tmp_path / "below").iterdir())) > 5 and not [p for p in (tmp_path / "below").rglob(".*")]
+    deep = tmp_path / "below" / "a" / "b c"
+    deep.mkdir(parents=True)
+    (deep / "last").write_bytes(b"\xff")
+    for hidden in ("_SUCCESS", ".last.crc"):
+        (deep / hidden).write_text("no")
+    (tmp_path / "below" / "empty").mkdir()
+    want = {(k, hashlib.sha256(v.encode()).hexdigest(), len(v.encode())) for k, v in texts.items()} | {("last", hashlib.sha256(b"\xff").hexdigest(), 1)}
+    got = checks.file_hashes(spark, path).collect()
+    assert {(x["name"], x["sha256"], x["size"]) for x in got} == want and len(got) == len(want)
+    assert {x["path"] for x in got if x["name"] == "last"} == {f"file://{deep}/last"}
+    assert checks.file_hashes(spark, f"{path}/empty").count() == 0
+    # a size in bytes, not letters
+    spark.createDataFrame([(i, "größe", "b") for i in range(1, 60)], "p_partkey long, p_name string, p_brand string").write.parquet(f"file://{tmp_path}/sf/part.parquet")
+    assert [tuple(x) for x in catalog.QUERIES["v10_file_hashes"](spark, f"file://{tmp_path}/sf").collect()] == [(6, 2)]
