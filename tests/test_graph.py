@@ -598,3 +598,21 @@ def test_panel_options_shuffle_edges_of_their_features_only(spark, monkeypatch):
     monkeypatch.setattr(q_joins.b, "edges", lambda *a: asked.append(a[2:]) or whole(*a))
     q_joins._options(spark, "/root/testdata/sf0.001")
     assert len(asked) == 1 and "feature" in asked[0][0].columns
+
+
+def test_seeds_are_made_once_and_edges_dealt_by_counted_rows(spark, monkeypatch):
+    from respondex.operators.candidates import seeded
+    from respondex.plans import bindings, skew
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables here")
+    seeds = bindings.seeds(spark, d)
+    assert sum("Relation" in x and "l_partkey" in x for x in seeds._jdf.queryExecution().optimizedPlan().toString().splitlines()) == 1
+    assert sorted(seeds.collect()) == sorted(seeded(bindings.observations(spark, d), bindings.P_MAX, bindings.LFC_MIN).select("feature").distinct().collect())
+    want = sorted(bindings.edges(spark, d).collect())
+    monkeypatch.setattr(skew, "TASK_ROWS", 600)
+    dealt = bindings.edges(spark, d)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "SortAggregate" not in plan
+    assert sorted(dealt.collect()) == want and {x["effect"] for x in want} == {"activates", "represses", "dual"}
