@@ -616,3 +616,22 @@ def test_seeds_are_made_once_and_edges_dealt_by_counted_rows(spark, monkeypatch)
     plan = dealt._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 2 and "SortAggregate" not in plan
     assert sorted(dealt.collect()) == want and {x["effect"] for x in want} == {"activates", "represses", "dual"}
+
+
+def test_a_task_reduces_few_edges_at_a_time():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from respondex.operators import components
+
+    r = np.random.default_rng(5)
+    ends = r.integers(0, 9_000_000, (2, components.HELD))
+    batches = [pa.RecordBatch.from_arrays([pa.array(ends[0, i : i + 10_000]), pa.array(ends[1, i : i + 10_000])], ["u", "v"]) for i in range(0, components.HELD, 10_000)]
+    tracemalloc.start()
+    out = components.forest(batches)
+    assert tracemalloc.get_traced_memory()[1] < 40e6 and not batches
+    tracemalloc.stop()
+    root = union_find(list(zip(*ends.tolist(), strict=True)))
+    assert all(root[u] == v for u, v in zip(*(c.to_pylist() for c in out.columns), strict=True)) and out.num_rows == sum(k != v for k, v in root.items())
