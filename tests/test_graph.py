@@ -635,3 +635,17 @@ def test_a_task_reduces_few_edges_at_a_time():
     tracemalloc.stop()
     root = union_find(list(zip(*ends.tolist(), strict=True)))
     assert all(root[u] == v for u, v in zip(*(c.to_pylist() for c in out.columns), strict=True)) and out.num_rows == sum(k != v for k, v in root.items())
+
+
+def test_reference_paths_are_dealt_by_the_rows_they_make(spark):
+    genes = spark.createDataFrame([(t, g) for t in (1, 2) for g in range(50)], "tu long, gene long")
+    promoters = spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "tu long, promoter long")
+    i = spark.createDataFrame([(f"{n}", n, "promoter", None, p, None) for n, p in enumerate([7] * 40 + [8, 9])] + [("t", 1, "tu", None, None, 2), ("g", 1, "gene", 5, None, None)], "interaction string, regulator long, kind string, gene long, promoter long, tu long")
+    out = store.reference_paths(i, genes, promoters, ("promoter",), each=200)
+    assert out.rdd.getNumPartitions() == 20
+    sizes = [n for n in out.rdd.glom().map(len).collect() if n]
+    assert sum(sizes) == 40 * 100 + 2 and max(sizes) < 1500 and len(sizes) > 6
+    got = {(x["interaction"], x["promoter"], x["tu"], x["gene"], x["basis"]) for x in out.collect()}
+    want = {(f"{n}", 7, t, g, "context") for n in range(40) for t in (1, 2) for g in range(50)} | {("40", 8, 3, None, "missing"), ("41", 9, None, None, "missing")}
+    assert got == want
+    assert {x["kind"]: x["count"] for x in store.reference_paths(i, genes, promoters).groupBy("kind").count().collect()} == {"promoter": 4002, "tu": 50, "gene": 1}
