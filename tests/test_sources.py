@@ -154,3 +154,13 @@ def test_files_are_written_and_hashed_by_tasks(spark, tmp_path, monkeypatch):
     # a size in bytes, not letters
     spark.createDataFrame([(i, "größe", "b") for i in range(1, 60)], "p_partkey long, p_name string, p_brand string").write.parquet(f"file://{tmp_path}/sf/part.parquet")
     assert [tuple(x) for x in catalog.QUERIES["v10_file_hashes"](spark, f"file://{tmp_path}/sf").collect()] == [(6, 2)]
+
+
+def test_display_rounds_as_numpy(spark):
+    import numpy as np
+
+    from respondex.sources import sinks
+
+    values = [0.8500000000000001, 1.6500000000000001, 0.25, 0.35, -0.85, -0.0, 2.675, 1e300, float("inf"), None]
+    shown = [r["x"] for r in sinks.display(spark.createDataFrame([(v,) for v in values], "x double"), 1).collect()]
+    assert shown[:2] == [0.8, 1.6] and shown[-3:] == [1e300, float("inf"), None] and shown[:-3] == [float(np.round(v, 1)) for v in values[:-3]]
