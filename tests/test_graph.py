@@ -103,6 +103,13 @@ def test_unit_groups_take_all_orders(spark, tmp_path):
     assert {x["grp"]: x["name"] for x in catalog.QUERIES["g4_group_names"](spark, d).collect()} == names
 
 
+def test_unit_groups_leave_out_no_unit(spark):
+    lists = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (2, "b"), (3, None), (3, "c"), (4, None), (None, "c"), (5, "b")], "unit long, member string")
+    groups = graph.unit_groups(lists)
+    assert sorted(tuple(r) for r in groups.select("unit", "grp", "members").collect()) == [(1, 1, 2), (2, 1, 2), (3, 3, 1), (4, 4, 0), (5, 1, 2)]
+    assert {tuple(r) for r in graph.group_names(lists, groups).collect()} == {(1, "a;b"), (3, "c"), (4, None)}
+
+
 def test_reachable_beyond_ten_steps(spark):
     chain = spark.createDataFrame([*[(i, i + 1) for i in range(14)], (14, 3)], "src long, dst long")
     got = graph.reachable(chain, spark.createDataFrame([(0,), (12,)], "start long"))
