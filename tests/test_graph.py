@@ -110,6 +110,34 @@ def test_unit_groups_leave_out_no_unit(spark):
     assert {tuple(r) for r in graph.group_names(lists, groups).collect()} == {(1, "a;b"), (3, "c"), (4, None)}
 
 
+def test_crossed_equals_a_join(spark, monkeypatch):
+    from respondex.plans import skew
+
+    r = random.Random(5)
+    left = [(r.choice([1, 1, 2, 3, None]), r.choice([*range(40), None])) for _ in range(150)]
+    right = [(r.choice([1, 1, 2, 4, None]), r.choice([*"abcdefghijklmnop", None])) for _ in range(90)]
+    want = sorted(((k, x, y) for k, x in left for m, y in right if k == m and k is not None), key=repr)
+    l, d = spark.createDataFrame(left, "k long, x long"), spark.createDataFrame(right, "k long, y string")
+    for limit in (1000, 10):
+        monkeypatch.setattr(skew, "LISTED_ROWS", limit)
+        for run, each in ((1, 50), (2, 400), (256, 1 << 22)):
+            assert sorted((tuple(x) for x in skew.crossed(l, d, "k", run, each).collect()), key=repr) == want
+    assert skew.crossed(l.limit(0), d, "k").count() == 0
+
+
+def test_pairs_are_written_in_runs(spark, tmp_path):
+    from respondex.plans import skew
+
+    one = spark.range(2000).selectExpr("id % 2 AS k", "concat('r', id) AS x")
+    two = spark.range(4000).selectExpr("id % 2 AS k", "concat('g', id) AS y")
+    size = {}
+    for name, df in (("join", one.repartition(4, "x").join(F.broadcast(two), "k")), ("crossed", skew.crossed(one, two, "k"))):
+        df.write.parquet(f"{tmp_path}/{name}")
+        assert spark.read.parquet(f"{tmp_path}/{name}").distinct().count() == 4_000_000
+        size[name] = sum(f.stat().st_size for f in (tmp_path / name).iterdir())
+    assert size["crossed"] * 3 < size["join"], size
+
+
 def test_reachable_beyond_ten_steps(spark):
     chain = spark.createDataFrame([*[(i, i + 1) for i in range(14)], (14, 3)], "src long, dst long")
     got = graph.reachable(chain, spark.createDataFrame([(0,), (12,)], "start long"))
