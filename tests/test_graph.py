@@ -116,12 +116,13 @@ def test_crossed_equals_a_join(spark, monkeypatch):
     r = random.Random(5)
     left = [(r.choice([1, 1, 2, 3, None]), r.choice([*range(40), None])) for _ in range(150)]
     right = [(r.choice([1, 1, 2, 4, None]), r.choice([*"abcdefghijklmnop", None])) for _ in range(90)]
-    want = sorted(((k, x, y) for k, x in left for m, y in right if k == m and k is not None), key=repr)
+    want = {"inner": [(k, x, y) for k, x in left for m, y in right if k == m and k is not None]}
+    want["left"] = want["inner"] + [(k, x, None) for k, x in left if k not in (1, 2)]
     l, d = spark.createDataFrame(left, "k long, x long"), spark.createDataFrame(right, "k long, y string")
     for limit in (1000, 10):
         monkeypatch.setattr(skew, "LISTED_ROWS", limit)
-        for run, each in ((1, 50), (2, 400), (256, 1 << 22)):
-            assert sorted((tuple(x) for x in skew.crossed(l, d, "k", run, each).collect()), key=repr) == want
+        for run, each, how in ((1, 50, "left"), (2, 400, "inner"), (256, 1 << 22, "left")):
+            assert sorted((tuple(x) for x in skew.crossed(l, d, "k", run, each, how).collect()), key=repr) == sorted(want[how], key=repr)
     assert skew.crossed(l.limit(0), d, "k").count() == 0
 
 
