@@ -5,6 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from respondex.operators import candidates, checks, cross, graph, identity, interval, panel, reviews, store
 from respondex.operators.components import connected_components
@@ -211,6 +212,18 @@ def test_pairs_of_blocks_equal_brute_force(spark):
     assert len(top) > 1 and "Exchange" not in top[0]
 
 
+def test_blocks_are_shuffled_packed(spark, monkeypatch):
+    m = spark.range(3000).selectExpr("id AS feature", "explode(array(int(id % 9), int(10 + id % 7))) AS component")
+    pairs = graph.co_members(m, m.select("feature"), spark.createDataFrame([(0, 9)], "src long, dst long"), block=100)
+    rows, put = [], DataFrame.repartition
+    monkeypatch.setattr(DataFrame, "repartition", lambda df, *a: rows.append(df) or put(df, *a))
+    graph.co_members(m, m.select("feature"), spark.createDataFrame([(0, 9)], "src long, dst long"), block=100)
+    assert rows[0].count() == 30 * 30  # blocks, not 30 times all features
+    want = {(a, b): [c for c in (a % 9,) if a % 9 == b % 9] + [10 + a % 7] * (a % 7 == b % 7) for a in range(60) for b in range(a + 1, 60)}
+    got = {(r["a"], r["b"]): r["components"] for r in pairs.where("b < 60").collect()}
+    assert got == {k: v for k, v in want.items() if v and k != (0, 9)}
+
+
 def test_totals_and_names_read_their_tables_once(spark, monkeypatch):
     from respondex.operators import store
 
