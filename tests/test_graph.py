@@ -601,6 +601,11 @@ def test_path_texts_are_the_sorted_paths(spark):
         want[r["feature"]].add(f"{r['kind']}:{r['interaction']}")
     got = {r["feature"]: ";".join(r["texts"]) for r in store.path_texts(*inputs).collect()}
     assert got == {f: ";".join(sorted(x)) for f, x in want.items()}
+    base = inputs[0].select("feature").distinct().withColumn("seen", F.col("feature") * 2)
+    d = store.path_texts(*inputs, base=base, each=10)
+    assert {(r["feature"], r["seen"]): ";".join(r["texts"]) for r in d.collect()} == {(f, 2 * f): x for f, x in got.items()}
+    plan = d._jdf.queryExecution().sparkPlan().toString()  # texts are met last, after all shuffles of rows
+    assert "SortMergeJoin [__cls" in plan.split("Exchange")[0]
 
 
 def test_unit_context_sums_up_each_remainder_once(spark, tmp_path):
